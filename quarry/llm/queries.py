@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
 from .exact_dedup import exact_dedup
+from .html_text import main_text
 from .simhash import simhash_groups
+from .suffix_dedup import cut_repeats
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,10 +28,20 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_repeats(read_table(spark, sf_dir, "documents"), with_text=False)
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(read_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_simhash_dedup": op2_simhash_dedup,
+        "op3_suffix_dedup": op3_suffix_dedup,
+        "op4_html_extraction": op4_html_extraction,
     }
 
 
