@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .byte_bpe import encode_documents
 from .common import read_table
 from .exact_dedup import exact_dedup
 from .html_text import main_text
+from .packing import pack
+from .secrets import scan
 from .simhash import simhash_groups
 from .suffix_dedup import cut_repeats
 
@@ -36,12 +40,29 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(read_table(spark, sf_dir, "pages"))
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return encode_documents(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, with_ids=False)
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(read_table(spark, sf_dir, "documents"))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return pack(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, with_ids=False)
+
+
 def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_simhash_dedup": op2_simhash_dedup,
         "op3_suffix_dedup": op3_suffix_dedup,
         "op4_html_extraction": op4_html_extraction,
+        "op6_byte_bpe": op6_byte_bpe,
+        "op7_secret_scan": op7_secret_scan,
+        "op8_best_fit_packing": op8_best_fit_packing,
     }
 
 
