@@ -13,6 +13,7 @@ from .packing import pack
 from .secrets import scan
 from .simhash import simhash_groups
 from .suffix_dedup import cut_repeats
+from .toxicity import fit_from, score
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +55,11 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, with_ids=False)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return score(docs, fit_from(docs, read_table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -63,6 +69,7 @@ def queries() -> dict:
         "op6_byte_bpe": op6_byte_bpe,
         "op7_secret_scan": op7_secret_scan,
         "op8_best_fit_packing": op8_best_fit_packing,
+        "op10_toxicity": op10_toxicity,
     }
 
 
