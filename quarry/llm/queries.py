@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import encode_documents
-from .common import read_table
+from .common import read_table, shared_dir
+from .embedding_dedup import near_vectors
 from .exact_dedup import exact_dedup
 from .html_text import main_text
 from .packing import pack
@@ -14,6 +17,7 @@ from .secrets import scan
 from .simhash import simhash_groups
 from .suffix_dedup import cut_repeats
 from .toxicity import fit_from, score
+from .warc import page_records, read_warc, write_warc
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +45,10 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(read_table(spark, sf_dir, "pages"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return encode_documents(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, with_ids=False)
@@ -55,6 +63,24 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, with_ids=False)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    write_warc(read_table(spark, sf_dir, "pages"), path)
+    return page_records(read_warc(spark, path))
+
+
+OP9_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+w AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS last FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to
+FROM w
+"""
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return score(docs, fit_from(docs, read_table(spark, sf_dir, "labels")))
@@ -66,12 +92,14 @@ def queries() -> dict:
         "op2_simhash_dedup": op2_simhash_dedup,
         "op3_suffix_dedup": op3_suffix_dedup,
         "op4_html_extraction": op4_html_extraction,
+        "op5_embedding_dedup": op5_embedding_dedup,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_secret_scan": op7_secret_scan,
         "op8_best_fit_packing": op8_best_fit_packing,
+        "op9_warc": op9_warc,
         "op10_toxicity": op10_toxicity,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op9_warc": OP9_SQL}
