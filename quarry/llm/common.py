@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that nothing needs any more, such as those behind a finished `durable`.
+
+    Spark's cleaner acts when the driver's JVM collects its garbage, which a driver with little to do seldom does.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -55,10 +65,17 @@ def attach_spread(rows: DataFrame, table: DataFrame, key: str, count: str, total
     hot_from = max(100, total // 1000)
     others = [c for c in table.columns if c != key]
     hot = table.where(F.col(count) >= hot_from).select(F.col(key), F.lit(True).alias("__hot"), *[F.col(c).alias(f"__hot_{c}") for c in others])
-    tagged = rows.join(F.broadcast(hot), key, "left").withColumn("__key", F.when(F.col("__hot"), F.xxhash64(*spread)).otherwise(F.col(key)))
+    tagged = rows.join(F.broadcast(hot), key, "left")
+    tagged = tagged.select(
+        F.when(F.col("__hot"), F.xxhash64(*spread)).otherwise(F.col(key)).alias("__key"),
+        F.when(F.col("__hot"), F.col(key)).alias("__own"),
+        *[c for c in rows.columns if c != key],
+        *[f"__hot_{c}" for c in others],
+    )
     cold = table.where(F.col(count) < hot_from).withColumnRenamed(key, "__key").withColumn("__cold", F.lit(True))
-    met = tagged.join(cold, "__key", "left").where("__hot or __cold")
-    return met.select(*rows.columns, *[F.when(F.col("__hot"), F.col(f"__hot_{c}")).otherwise(F.col(c)).alias(c) for c in others])
+    met = tagged.join(cold, "__key", "left").where("__own is not null or __cold")
+    mine = {key: F.coalesce("__own", "__key")}
+    return met.select(*[mine.get(c, F.col(c)).alias(c) for c in rows.columns], *[F.when(F.col("__own").isNotNull(), F.col(f"__hot_{c}")).otherwise(F.col(c)).alias(c) for c in others])
 
 
 def connected_components(edges: DataFrame, a: str = "u", b: str = "v", max_rounds: int = 60) -> DataFrame:

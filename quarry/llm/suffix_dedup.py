@@ -23,6 +23,7 @@ names. Ids are integers.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach_spread, durable
+from .common import attach_spread, durable, release
 
 LENGTH = 100
 K = 32  # bytes of an anchor gram
-W = 64  # grams an anchor is chosen among; W + K - 1 <= length
+W = 69  # grams an anchor is chosen among; W + K - 1 <= length
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _LOW = np.uint64((1 << 24) - 1)
@@ -58,20 +59,16 @@ def gram_hashes(octets: np.ndarray, k: int = K) -> np.ndarray:
 
 
 def anchors(octets: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """For documents side by side in one array: per anchor its document's number, first and last string start, gram
-    hash and context hash. Starts count from the array's beginning."""
-    none = (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2
+    """For documents side by side in one array: per anchor its document's number, first and last string start, the
+    gram's place, gram hash and context hash. Places count from the array's beginning."""
+    none = (np.empty(0, np.int64),) * 4 + (np.empty(0, np.uint64),) * 2
     if len(octets) < length:
         return none
     gram = gram_hashes(octets)
     if len(octets) > int(_LOW):
         least = _long_minima(gram)
     else:
-        v = (gram & ~_LOW) | np.arange(len(gram), dtype=np.uint64)
-        size = 1
-        while size < W:
-            v, size = np.minimum(v[:-size], v[size:]), size * 2
-        least = (v & _LOW).astype(np.int64)
+        least = _minima(gram)
     doc = np.repeat(np.arange(len(starts)), ends - starts)[: len(least)]
     strings = np.flatnonzero(np.arange(len(least)) + length <= ends[doc])
     if not len(strings):
@@ -83,19 +80,21 @@ def anchors(octets: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: in
     with np.errstate(over="ignore"):
         for piece in (first, first + K, first + 2 * K, end - K, end - 2 * K, end - 3 * K):
             c = _mix(c * _ODD + gram[piece])
-    return doc[new], first, last, gram[at[new]], c
+    return doc[new], first, last, at[new], gram[at[new]], c
+
+
+def _minima(gram: np.ndarray) -> np.ndarray:
+    """For each W grams in a row, the place of the least (the first of equal ones)."""
+    v, size = (gram & ~_LOW) | np.arange(len(gram), dtype=np.uint64), 1
+    while size < W:
+        by = min(size, W - size)
+        v, size = np.minimum(v[:-by], v[by:]), size + by
+    return (v & _LOW).astype(np.int64)
 
 
 def _long_minima(gram: np.ndarray) -> np.ndarray:
-    """Places of the least gram of each W, for arrays whose places don't fit beside a hash: slab by slab."""
-    out = []
-    for lo in range(0, len(gram) - W + 1, SLAB):
-        part = gram[lo : min(lo + SLAB + W - 1, len(gram))]
-        v, size = (part & ~_LOW) | np.arange(len(part), dtype=np.uint64), 1
-        while size < W:
-            v, size = np.minimum(v[:-size], v[size:]), size * 2
-        out.append((v & _LOW).astype(np.int64) + lo)
-    return np.concatenate(out)
+    """_minima for arrays whose places don't fit beside a hash: slab by slab."""
+    return np.concatenate([_minima(gram[lo : lo + SLAB + W - 1]) + lo for lo in range(0, len(gram) - W + 1, SLAB)])
 
 
 def suffix_order(symbols: np.ndarray, left: np.ndarray) -> np.ndarray:
@@ -273,39 +272,59 @@ def _slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray
 
 def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, octets, starts, ends in _slabs(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(anchors(octets, starts, ends)[3].view(np.int64))], ["h"])
+        yield pa.RecordBatch.from_arrays([pa.array(anchors(octets, starts, ends)[4].view(np.int64))], ["h"])
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """at: first start << 16 | starts after it << 8 | the gram's offset from it."""
     for ids, octets, starts, ends in _slabs(batches):
-        doc, first, last, h, c = anchors(octets, starts, ends)
-        local = (first - starts[doc]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(ids, pa.int64()).take(pa.array(doc)), pa.array(local), pa.array((last - first).astype(np.int32))], ["h", "c", "doc", "a", "m"])
+        doc, first, last, gram, h, c = anchors(octets, starts, ends)
+        at = (first - starts[doc]) << 16 | (last - first) << 8 | (gram - first)
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(ids, pa.int64()).take(pa.array(doc)), pa.array(at)], ["h", "c", "doc", "at"])
 
 
 def _contexts(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: dict[str, list] = {k: [] for k in ("h", "doc", "a", "n", "context")}
+            out: dict[str, list] = {k: [] for k in ("h", "doc", "at", "n", "context")}
             for doc, text, rows in zip(b.column("doc").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("rows").to_pylist()):
                 for r in rows:
-                    for k, v in zip(out, (r["h"], doc, r["a"], r["n"], text[r["a"] : r["a"] + r["m"] + length])):
+                    a = r["at"] >> 16
+                    for k, v in zip(out, (r["h"], doc, r["at"], r["n"], text[a : a + (r["at"] >> 8 & 255) + length])):
                         out[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out["h"], pa.int64()), pa.array(out["doc"], pa.int64()), pa.array(out["a"], pa.int32()), pa.array(out["n"], pa.int64()), pa.array(out["context"], pa.binary())], list(out))
+            yield pa.RecordBatch.from_arrays([*[pa.array(out[k], pa.int64()) for k in list(out)[:4]], pa.array(out["context"], pa.binary())], list(out))
 
     return run
 
 
+def _can_repeat(h: list[int], at: np.ndarray, text: list[bytes], length: int) -> np.ndarray:
+    """Which contexts share, with another of their anchor, the bytes that a common string must have.
+
+    A string around the gram holds at least half of its other length - K bytes on one side of it.
+    """
+    side = (length - K) // 2
+    left, right = [], []
+    for key, g, t in zip(h, (at & 255).tolist(), text):
+        left.append((key, t[g - side : g]) if g >= side else None)
+        right.append((key, t[g + K : g + K + side]) if g + K + side <= len(t) else None)
+    lefts, rights = Counter(left), Counter(right)
+    return np.array([(x is not None and lefts[x] > 1) or (y is not None and rights[y] > 1) for x, y in zip(left, right)], bool)
+
+
 def _merge(length: int):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        doc = rows.column("doc").to_numpy()
-        at = rows.column("a").to_numpy().astype(np.int64)
-        text = rows.column("context").to_pylist()
-        first = rows.column("c").to_numpy() == key[1].as_py()
+        text, at = rows.column("context").to_pylist(), rows.column("at").to_numpy()
+        can = np.flatnonzero(_can_repeat(rows.column("h").to_pylist(), at, text, length))
+        doc, at, first = rows.column("doc").to_numpy()[can], at[can] >> 16, rows.column("c").to_numpy()[can] == key[1].as_py()
+        text = [text[k] for k in can.tolist()]
         part = lambda who: Shard([t for t, w in zip(text, who) if w], doc[who], at[who], length)
-        pair = key[1] != key[2] and not first.all() and first.any()
-        d, lo, hi = _ranges(*later_starts(part(first), part(~first))) if pair else _ranges(*later_starts(part(first), None)) if key[1] == key[2] else (np.empty(0, np.int64),) * 3
-        return pa.table({"doc": d, "lo": lo.astype(np.int32), "hi": hi.astype(np.int32)})
+        late = (np.empty(0, np.int64),) * 2
+        if len(can) > 1 and key[1] == key[2]:
+            late = later_starts(part(first), None)
+        elif len(can) > 1 and first.any() and not first.all():
+            late = later_starts(part(first), part(~first))
+        d, lo, hi = _ranges(*late)
+        return pa.table({"doc": d, "r": lo << 33 | (hi - lo) << 2 | 2})
 
     return run
 
@@ -326,29 +345,31 @@ def cut(text: bytes, ranges: list[tuple[int, int]], length: int) -> tuple[bytes,
 
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Over columns (doc, text): rows (doc, lo, hi, kind) with ranges of string starts.
+    """Over columns (doc, text): rows (doc, r) with ranges of string starts; r is first << 33 | further << 2 | kind.
 
     kind 0: an anchor that occurs elsewhere; kind 1: the same range when it is the earliest with its context, which
     takes it back; kind 2: starts that the suffix arrays found to be later occurrences.
     """
     grams = durable(docs.select("doc", "text").mapInArrow(_gram_rows, "h long").groupBy("h").agg(F.count("*").alias("hn")).where("hn > 1"))
+    release(docs.sparkSession)
     anchors_met = grams.agg(F.coalesce(F.sum("hn"), F.lit(0))).first()[0]
-    rows = docs.select("doc", "text").mapInArrow(_anchor_rows, "h long, c long, doc long, a int, m int")
-    met = durable(attach_spread(rows, grams, "h", "hn", anchors_met, ["doc", "a"]).select("h", "c", "doc", "a", "m"))
-    classes = durable(met.groupBy("h", "c").agg(F.min(F.struct("doc", "a", "m")).alias("p")).select("h", "p.doc", "p.a", "p.m"))
+    rows = docs.select("doc", "text").mapInArrow(_anchor_rows, "h long, c long, doc long, at long")
+    met = durable(attach_spread(rows, grams, "h", "hn", anchors_met, ["doc", "at"]).select("h", "c", "doc", "at"))
+    release(docs.sparkSession)
+    classes = durable(met.groupBy("h", "c").agg(F.min(F.struct("doc", "at")).alias("p")).select("h", "p.doc", "p.at"))
     several = durable(classes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
     contexts = several.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    asked = attach_spread(classes, several, "h", "n", contexts, ["doc", "a"]).groupBy("doc").agg(F.collect_list(F.struct("h", "a", "m", "n")).alias("rows"))
-    context = docs.join(asked, "doc").select("doc", "text", "rows").mapInArrow(_contexts(length), "h long, doc long, a int, n long, context binary")
+    asked = attach_spread(classes, several, "h", "n", contexts, ["doc", "at"]).groupBy("doc").agg(F.collect_list(F.struct("h", "at", "n")).alias("rows"))
+    context = docs.join(asked, "doc").select("doc", "text", "rows").mapInArrow(_contexts(length), "h long, doc long, at long, n long, context binary")
     shards = max(1, contexts // CHUNK)
-    dealt = context.withColumn("s", F.ceil(F.col("n") / CHUNK).cast("int")).withColumn("c", F.pmod(F.xxhash64(F.lit(3), "doc", "a"), F.col("s")).cast("int"))
+    dealt = context.withColumn("s", F.ceil(F.col("n") / CHUNK).cast("int")).withColumn("c", F.pmod(F.xxhash64(F.lit(3), "doc", "at"), F.col("s")).cast("int"))
     shard = F.when(F.col("s") == 1, F.pmod(F.xxhash64(F.lit(5), "h"), F.lit(shards))).otherwise(-1 - F.col("h").bitwiseAND(F.lit(2**62 - 1)))
-    cells = dealt.select(shard.alias("shard"), "doc", "a", "context", "c", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("o"))
-    cells = cells.select("shard", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "doc", "a", "context", "c")
-    late = cells.groupBy("shard", "i", "j").applyInArrow(_merge(length), "doc long, lo int, hi int")
-    there = met.select("doc", F.col("a").alias("lo"), (F.col("a") + F.col("m")).alias("hi"), F.lit(0).alias("kind"))
-    first = classes.select("doc", F.col("a").alias("lo"), F.col("a").alias("hi"), F.lit(1).alias("kind"))
-    return there.unionByName(first).unionByName(late.withColumn("kind", F.lit(2)))
+    cells = dealt.select(shard.alias("shard"), "h", "doc", "at", "context", "c", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("o"))
+    cells = cells.select("shard", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "h", "doc", "at", "context", "c")
+    late = cells.groupBy("shard", "i", "j").applyInArrow(_merge(length), "doc long, r long")
+    first, further = F.shiftright("at", 16), F.shiftright("at", 8).bitwiseAND(F.lit(255))
+    there = F.shiftleft(first, 33).bitwiseOR(F.shiftleft(further, 2))
+    return met.select("doc", there.alias("r")).unionByName(classes.select("doc", there.bitwiseOR(F.lit(1)).alias("r"))).unionByName(late)
 
 
 def _cut_rows(length: int, with_text: bool):
@@ -357,8 +378,8 @@ def _cut_rows(length: int, with_text: bool):
             kept, spans, sizes = [], [], []
             for text, rows in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("ranges").to_pylist()):
                 rows = rows or []
-                back = {r["lo"] for r in rows if r["kind"] == 1}
-                left, gone = cut(text, [(r["lo"], r["hi"]) for r in rows if r["kind"] == 2 or (r["kind"] == 0 and r["lo"] not in back)], length)
+                back = {r >> 33 for r in rows if r & 3 == 1}
+                left, gone = cut(text, [(r >> 33, (r >> 33) + (r >> 2 & 0x7FFFFFFF)) for r in rows if r & 3 == 2 or (r & 3 == 0 and r >> 33 not in back)], length)
                 kept.append(left)
                 spans.append(gone)
                 sizes.append(len(text))
@@ -384,7 +405,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # A null id becomes a key of the text alone, below every id.
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**62)) - F.xxhash64(text).bitwiseAND(F.lit(2**60 - 1)))
     base = docs.select(key.alias("doc"), text.alias("text"))
-    ranges = repeated_ranges(base, length).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi", "kind")).alias("ranges"))
+    ranges = repeated_ranges(base, length).groupBy("doc").agg(F.collect_list("r").alias("ranges"))
     joined = base.join(ranges, "doc", "left").select(F.when(F.col("doc") > -(2**62), F.col("doc")).alias("id"), "text", "ranges")
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary, spans array<struct<start:int,end:int>>" if with_text else "")
     return joined.mapInArrow(_cut_rows(length, with_text), schema).withColumnRenamed("id", id_col)
