@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The patterns and strings that define line kinds, codes and tokens.
@@ -131,27 +131,25 @@ def lookup(mapping: Column, key: Column, default: Column) -> Column:
     return F.coalesce(F.try_element_at(mapping, key), default)
 
 
-def token_offsets(c: Column, pattern: str = r"\p{IsHan}|[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]") -> Column:
-    """H9: [start, end) of each token of a context-free tokenizer, as structs (s, e) in code points.
+def token_rows(df: DataFrame, key: list[str], text: str, pattern: str | None = None) -> DataFrame:
+    """H9: the key columns with (token, s, e) for each token of a text: its number and its [s, e) in code points.
 
-    The default takes ideographs singly, and runs of letters and digits and other signs by themselves. The text between
-    two tokens is what splitting leaves, so places are running sums of lengths.
+    Tokens come from a context-free pattern; the default takes ideographs singly, and runs of letters and digits, and
+    other signs, by themselves. The text between two tokens is what splitting leaves, so places are running sums over
+    rows of one text, in time linear in its length. Tokens without width are left out. `key` names one row of df.
     """
-    found = F.regexp_extract_all(c, F.lit(f"(?U)({pattern})"), F.lit(1))
-    gaps = F.split(c, f"(?U)(?:{pattern})", -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
-    indexes = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(F.array().cast("array<int>"))
-
-    def step(acc: Column, i: Column) -> Column:
-        s = acc["at"] + F.length(F.get(gaps, i))
-        e = s + F.length(F.get(found, i))
-        return F.struct(e.alias("at"), F.array_append(acc["out"], F.struct(s.alias("s"), e.alias("e"))).alias("out"))
-
-    return F.filter(F.aggregate(indexes, start, step, lambda acc: acc["out"]), lambda x: x["e"] > x["s"])
+    pattern = pattern or DEFAULT_TOKEN
+    found = F.regexp_extract_all(F.col(text), F.lit(f"(?U)({pattern})"), F.lit(1))
+    gaps = F.split(F.col(text), f"(?U)(?:{pattern})", -1)
+    sizes = F.arrays_zip(F.transform(found, F.length).alias("n"), F.transform(F.slice(gaps, 1, F.size(found)), F.length).alias("gap"))
+    each = df.select(*key, F.posexplode(sizes).alias("token", "x"))
+    upto = Window.partitionBy(*key).orderBy("token").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.sum(F.col("x.n") + F.col("x.gap")).over(upto).cast("int")
+    return each.select(*key, "token", (end - F.col("x.n")).alias("s"), end.alias("e")).where("e > s")
 
 
 def token_count(c: Column, pattern: str | None = None) -> Column:
-    """The number of tokens that token_offsets gives, without their places."""
+    """The number of tokens that token_rows gives, without their places."""
     return F.regexp_count(c, F.lit(f"(?U){pattern or DEFAULT_TOKEN}"))
 
 

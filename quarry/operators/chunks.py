@@ -120,14 +120,18 @@ def fixed_token_windows(blocks: DataFrame, ranges: DataFrame | None = None, size
     if size <= 0 or not 0 <= overlap < size:
         raise ValueError("invalid chunk size or overlap")
     step, profile = size - overlap, f"fixed_t{size}_o{overlap}"
-    placed = _placed(blocks.withColumn("offsets", tx.token_offsets(tx.strip(F.col("text")), *([pattern] if pattern else []))), ranges, list(order), F.size("offsets"))
+    placed = _placed(blocks, ranges, list(order), tx.token_count(F.col("t"), pattern))
     each = placed.withColumn("k", F.explode(_touched(F.col("left"), F.col("right"), F.col("total"), size, step)))
-    start, end = F.col("k") * step, F.col("k") * step + size
-    length = F.length("t")
-    first, last = (start - F.col("left")).cast("int"), (end - F.col("left")).cast("int")
-    begins = F.when(first > 0, F.get("offsets", first)["s"]).otherwise(0)
-    ends = F.when(last < F.size("offsets"), F.get("offsets", last - 1)["e"]).otherwise(length)
-    each = each.withColumns({"lo": begins, "hi": ends, "n": length})
+    # Only a window's first and last token decide where it begins and ends in their blocks; they are looked up by number.
+    first, last = F.col("k") * step - F.col("left"), F.col("k") * step + size - F.col("left") - 1
+    inner = F.col("size") - 1
+    each = each.withColumns({"first": F.when((first > 0) & (first <= inner), first).cast("int"), "last": F.when((last >= 0) & (last < inner), last).cast("int"), "n": F.length("t")})
+    cut = each.where("first is not null or last is not null").select("document_id", "range_index", "place", "k", F.explode(F.array_compact(F.array("first", "last"))).alias("token"))
+    texts = placed.join(cut.select("document_id", "range_index", "place").distinct(), ["document_id", "range_index", "place"], "left_semi")
+    tokens = tx.token_rows(texts, ["document_id", "range_index", "place"], "t", pattern)
+    edges = cut.join(tokens, ["document_id", "range_index", "place", "token"]).groupBy("document_id", "range_index", "place", "k").agg(F.map_from_entries(F.collect_set(F.struct("token", F.struct("s", "e")))).alias("edge"))
+    each = each.join(edges, ["document_id", "range_index", "place", "k"], "left")
+    each = each.withColumns({"lo": F.coalesce(F.try_element_at("edge", "first")["s"], F.lit(0)), "hi": F.coalesce(F.try_element_at("edge", "last")["e"], "n")})
     part = F.struct("place", "lo", "hi", "n", "t", *PART)
     parts = each.groupBy("document_id", "range_index", "k").agg(F.array_sort(F.collect_list(part)).alias("parts"))
     text = tx.strip(F.array_join(F.transform("parts", lambda p: F.substring(p["t"], p["lo"] + 1, p["hi"] - p["lo"])), "\n"))

@@ -14,7 +14,7 @@ def requested_pages(spec: Column, strict: bool = True) -> Column:
     strict (P1): a reversed range, a page below 1, and a specification without pages raise. Else (P2): a reversed range
     names nothing. Empty parts are skipped.
     """
-    parts = F.filter(F.transform(F.split(spec, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(spec, ","), lambda p: F.trim(p)), lambda p: p != "")
 
     def expand(part: Column) -> Column:
         start, end = F.split_part(part, F.lit("-"), F.lit(1)).cast("int"), F.when(part.contains("-"), F.split_part(part, F.lit("-"), F.lit(2))).otherwise(part).cast("int")
