@@ -33,6 +33,7 @@ from .common import attach, durable
 LEAST = 1000  # bytes from which equal payloads are stored once
 END = "\r\n\r\n"
 BATCH_BYTES = 8 << 20
+BROADCAST_ROWS = 100_000  # revisits, about 100 bytes each, up to which their list is broadcast
 SCHEMA = "record_id string, warc_type string, target_uri string, warc_date string, payload_digest string, refers_to string, content_length long, http_length long, payload binary"
 #: Header of each column that a predicate can be pushed to.
 HEADERS = {
@@ -72,6 +73,8 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     groups = durable(digests.groupBy("sha1").agg(F.max("id").alias("refers_to"), F.count("*").alias("n")).where("n > 1"))
     again = attach(digests, groups, "sha1", "n", digests.count()).where("id <> refers_to or (id is null and refers_to is not null)")
     again = durable(again.select(F.col("id").alias("again_id"), F.col("sha1").alias("again_sha1"), "refers_to").distinct())
+    if again.count() <= BROADCAST_ROWS:
+        again = F.broadcast(again)  # else payloads and revisits shuffle by id and digest
     marked = base.join(again, F.col("id").eqNullSafe(F.col("again_id")) & (F.col("sha1") == F.col("again_sha1")), "left")
     text = F.when(F.col("refers_to").isNull(), record_text("response", False)).otherwise(record_text("revisit", True))
     marked.select(text.alias("value")).write.option("lineSep", END).text(path)
