@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,15 +29,6 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files that nothing needs any more, such as those behind a finished `durable`.
-
-    Spark's cleaner acts when the driver's JVM collects its garbage, which a driver with little to do seldom does.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,7 +5,8 @@ start). The work is divided so that equal strings meet without all-against-all m
 
 1. Anchors. In every document, each string of `length` bytes selects the least-hashed K-byte gram of its first
    W + K - 1 bytes. Equal strings select the same gram, at the same place within them. So a string can only repeat if
-   its anchor's hash repeats; a count over hashes finds those that do, and all others leave.
+   its anchor's hash repeats. Anchors shuffle once by hash, and those without another leave; the few hashes that make
+   up a thousandth of all anchors or more are known from a bounded summary before, and their rows are spread.
 2. Copies. An anchor's context is the text of all strings that select it (at most length + W - 1 bytes). Occurrences
    with the same context are collapsed to the earliest before anything else; the later ones repeat it in full.
 3. Shards. The distinct contexts of an anchor with two or more go to one shard, which builds a suffix array by
@@ -28,10 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach_spread, durable, release
+from .common import attach_spread, durable
 
 LENGTH = 100
 K = 32  # bytes of an anchor gram
@@ -40,6 +41,8 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _LOW = np.uint64((1 << 24) - 1)
 SLAB = 1 << 22  # bytes handled at a time; one document may be longer
+HOT = 1000  # anchors with this fraction of all are spread
+COUNTERS = 4000
 CHUNK = 2048  # contexts of one anchor that a shard takes whole
 
 
@@ -270,9 +273,24 @@ def _slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray
         yield flush()
 
 
-def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (h, n, seen): a summary of COUNTERS anchor hashes (Misra and Gries) and, in its first row, how many were
+    seen. A hash that makes up more than 1 / COUNTERS of them is in it, with n short by at most that share."""
+    kept, counts, seen = np.empty(0, np.uint64), np.empty(0, np.int64), 0
     for _, octets, starts, ends in _slabs(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(anchors(octets, starts, ends)[4].view(np.int64))], ["h"])
+        h = anchors(octets, starts, ends)[4]
+        seen += len(h)
+        new, n = np.unique(h, return_counts=True)
+        kept, at = np.unique(np.concatenate((kept, new)), return_inverse=True)
+        counts = np.bincount(at, np.concatenate((counts, n)), len(kept)).astype(np.int64)
+        if len(kept) > COUNTERS:
+            counts -= np.partition(counts, len(counts) - COUNTERS - 1)[len(counts) - COUNTERS - 1]
+            kept, counts = kept[counts > 0], counts[counts > 0]
+    if seen:
+        kept, counts = np.append(kept, np.uint64(0)), np.append(counts, 0)
+        total = np.zeros(len(kept), np.int64)
+        total[0] = seen
+        yield pa.RecordBatch.from_arrays([pa.array(kept.view(np.int64)), pa.array(counts), pa.array(total)], ["h", "n", "seen"])
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,12 +368,14 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     kind 0: an anchor that occurs elsewhere; kind 1: the same range when it is the earliest with its context, which
     takes it back; kind 2: starts that the suffix arrays found to be later occurrences.
     """
-    grams = durable(docs.select("doc", "text").mapInArrow(_gram_rows, "h long").groupBy("h").agg(F.count("*").alias("hn")).where("hn > 1"))
-    release(docs.sparkSession)
-    anchors_met = grams.agg(F.coalesce(F.sum("hn"), F.lit(0))).first()[0]
-    rows = docs.select("doc", "text").mapInArrow(_anchor_rows, "h long, c long, doc long, at long")
-    met = durable(attach_spread(rows, grams, "h", "hn", anchors_met, ["doc", "at"]).select("h", "c", "doc", "at"))
-    release(docs.sparkSession)
+    often = durable(docs.select("doc", "text").mapInArrow(_frequent, "h long, n long, seen long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen")))
+    total = often.agg(F.coalesce(F.sum("seen"), F.lit(0))).first()[0]
+    # Every hash with a thousandth of all anchors is found; none with less than three quarters of that, so 1,334 at most.
+    hot = F.broadcast(often.where(F.col("n") > max(1, total * (1 / HOT - 1 / COUNTERS))).select("h", F.lit(True).alias("hot")))
+    rows = docs.select("doc", "text").mapInArrow(_anchor_rows, "h long, c long, doc long, at long").join(hot, "h", "left")
+    rows = rows.select(F.when(F.col("hot"), F.xxhash64("doc", "at")).otherwise(F.col("h")).alias("key"), F.when(F.col("hot"), F.col("h")).alias("own"), "c", "doc", "at")
+    shared = rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("own is not null or n > 1")
+    met = durable(shared.select(F.coalesce("own", "key").alias("h"), "c", "doc", "at"))
     classes = durable(met.groupBy("h", "c").agg(F.min(F.struct("doc", "at")).alias("p")).select("h", "p.doc", "p.at"))
     several = durable(classes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
     contexts = several.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
