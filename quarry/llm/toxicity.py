@@ -39,7 +39,8 @@ CANDIDATES = 1000
 COST = 2.0
 DECAY = 0.6
 LEAST_GAIN = 0.0005
-LEAST_DOCS = 4
+LEAST_DOCS = 4  # toxic documents that a candidate is in, and their share of all
+LEAST_SHARE = 0.005
 LEAST_Z = 3.0
 FOLDS = 2
 CHARS = 20_000  # of a sampled document that fitting uses; scoring has no such bound
@@ -71,8 +72,24 @@ def _gram_hashes(octets: bytes, size: int) -> np.ndarray:
 
 
 def _document_frequency(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
-    each = [np.unique(_gram_hashes(t, size)) for t in texts]
-    return np.unique(np.concatenate(each), return_counts=True) if each else (np.empty(0, np.uint64), np.empty(0, np.int64))
+    """Sorted gram hashes and the number of texts that hold each; texts are merged some at a time to bound memory."""
+    keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+    for k in range(0, len(texts), 200):
+        new, n = np.unique(np.concatenate([np.unique(_gram_hashes(t, size)) for t in texts[k : k + 200]]), return_counts=True)
+        keys, at = np.unique(np.concatenate((keys, new)), return_inverse=True)
+        counts = np.bincount(at, np.concatenate((counts, n)), len(keys)).astype(np.int64)
+    return keys, counts
+
+
+def _frequency_of(keys: np.ndarray, texts: list[bytes], size: int) -> np.ndarray:
+    """How many texts hold each of the sorted keys."""
+    counts = np.zeros(len(keys), np.int64)
+    if len(keys):
+        for t in texts:
+            h = _gram_hashes(t, size)
+            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            counts[np.unique(at[keys[at] == h])] += 1
+    return counts
 
 
 def distinctive(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
@@ -88,10 +105,9 @@ def distinctive(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     held: list[np.ndarray] = []
     for size in SIZES:
         grams, a = _document_frequency(toxic, size)
-        grams, a = grams[a >= LEAST_DOCS], a[a >= LEAST_DOCS]
-        known, counts = _document_frequency(ordinary, size)
-        at = np.minimum(np.searchsorted(known, grams), max(0, len(known) - 1))
-        b = np.where(known[at] == grams, counts[at], 0) if len(known) else np.zeros(len(grams))
+        enough = a >= max(LEAST_DOCS, LEAST_SHARE * len(toxic))
+        grams, a = grams[enough], a[enough]
+        b = _frequency_of(grams, ordinary, size)
         z = np.log((a + 0.5) / (len(toxic) + 1) / ((b + 0.5) / (len(ordinary) + 1))) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
         gain = np.where(z > LEAST_Z, a / len(toxic) - COST * b / max(1, len(ordinary)), 0.0)
         best = np.argsort(-gain, kind="stable")[:CANDIDATES]
