@@ -32,7 +32,7 @@ def check_jsonl(spark: SparkSession, path: str, allow_legacy_footer: bool = Fals
 
     Whole files are read one per row, as line numbers need; meant for files of a size that a task can hold.
     """
-    whole = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     lines = whole.select("file", F.posexplode(F.split("value", "\n")).alias("n", "value")).withColumn("value", F.trim(F.regexp_replace("value", r"\s+$", "")))
     lines = lines.where("value <> ''")
     if allow_legacy_footer:
