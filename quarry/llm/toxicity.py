@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SAMPLE = 2500  # labelled documents of each class that fitting reads at most
+SAMPLE = 2000  # labelled documents of each class that fitting reads at most
 WINDOW, STRIDE = 64, 48  # bytes
 ORDINARY_BYTES = 131_072
 SEGMENTS = 300

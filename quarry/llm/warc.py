@@ -148,7 +148,9 @@ class WarcReader(DataSourceReader):
         found = store.get_file_info(fs.FileSelector(path, recursive=True))
         return [WarcPartition(f.path) for f in sorted(found, key=lambda f: f.path) if f.type == fs.FileType.File and f.size and not f.base_name.startswith(("_", "."))]
 
-    def read(self, partition: WarcPartition) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: WarcPartition | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # what Spark passes where there are no partitions
+            return
         store, _ = filesystem(self.root)
         with store.open_input_file(partition.path) as raw:
             stream = gzip.open(raw) if partition.path.endswith(".gz") else io.BufferedReader(_Seekable(raw), 1 << 20)

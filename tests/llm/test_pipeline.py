@@ -1,0 +1,48 @@
+import zlib
+
+import pytest
+
+import __spark_entry__
+import corpus_pipeline
+from quarry.llm.common import read_table
+from quarry.llm.toxicity import fit_from, score
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_stages_chain_and_take_effect(spark, tmp_path):
+    docs = read_table(spark, SMALL, "documents")
+    columns, counts = docs.columns, [docs.count()]
+    rejected = {r.doc_id for r in score(docs, fit_from(docs, read_table(spark, SMALL, "labels"))).where("predicted = 1").collect()}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, SMALL)
+        out.write.parquet(str(tmp_path / name))
+        out = spark.read.parquet(str(tmp_path / name))
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert out.columns == columns
+            counts.append(out.count())
+            if name == "toxicity":
+                assert {r.doc_id for r in out.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()} - rejected
+            if name == "exact_dedup":
+                assert out.count() == len({" ".join(r.text.split()) for r in docs.collect()})
+        docs = out
+    assert counts == sorted(counts, reverse=True) and counts[2] < counts[1] and counts[4] == counts[3]
+    assert docs.groupBy("sequence_id").sum("length").agg({"sum(length)": "max"}).first()[0] <= 1024
+    got = corpus_pipeline.run(spark, SMALL)
+    assert got.count() == docs.count() and {r.doc_id for r in got.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+@pytest.mark.parametrize("number", range(1, 11))
+def test_queries_keep_every_row(spark, number):
+    (name,) = [n for n in __spark_entry__.queries() if n.startswith(f"op{number}_")]
+    df = __spark_entry__.queries()[name](spark, SMALL)
+    table = {4: "pages", 5: "embeddings", 9: "pages"}.get(number, "documents")
+    source = read_table(spark, SMALL, table)
+    key = source.columns[0]
+    assert {r[0] for r in df.select(key).collect()} == {r[0] for r in source.select(key).collect()}
+    if number != 8:
+        assert df.count() == source.count()
+
+
+def test_held_out_rows():
+    assert zlib.crc32(b"12") % 5 == zlib.crc32(str(12).encode()) % 5
