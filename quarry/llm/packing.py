@@ -90,8 +90,8 @@ def _times(counts: np.ndarray, combination: tuple[int, ...]) -> int:
     return min(int(counts[x]) // combination.count(x) for x in set(combination))
 
 
-def _filling(counts: np.ndarray, first: int, gap: int) -> tuple[int, ...] | None:
-    """One, two or three lengths that sum to `gap` and are there besides `first`; larger parts first."""
+def _filling(counts: np.ndarray, first: int, gap: int, parts: int) -> tuple[int, ...] | None:
+    """Up to `parts` (at most three) lengths that sum to `gap` and are there besides `first`; larger parts first."""
     there = counts > 0
 
     def pair(total: int, most: int, taken: tuple[int, ...]) -> tuple[int, ...] | None:
@@ -101,11 +101,11 @@ def _filling(counts: np.ndarray, first: int, gap: int) -> tuple[int, ...] | None
                 return x, total - x
         return None
 
-    if there[gap] and _times(counts, (first, gap)):
+    if parts >= 1 and there[gap] and _times(counts, (first, gap)):
         return (gap,)
-    if found := pair(gap, gap - 1, (first,)):
+    if parts >= 2 and (found := pair(gap, gap - 1, (first,))):
         return found
-    for x in range(gap - 2, (gap + 2) // 3 - 1, -1):
+    for x in range(gap - 2 if parts >= 3 else 0, (gap + 2) // 3 - 1, -1):
         if there[x] and _times(counts, (first, x)) and (found := pair(gap - x, x, (first, x))):
             return (x, *found)
     return None
@@ -114,8 +114,16 @@ def _filling(counts: np.ndarray, first: int, gap: int) -> tuple[int, ...] | None
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """(lengths in one sequence, number of such sequences), covering the histogram exactly.
 
-    A step uses up a length or a set of alike sequences, so the plan's size is bounded by the capacity, not the counts.
+    With few pieces, filling gaps exactly by triples can use up the short ones that best fit needs later; so plans with
+    fillings of up to three, two, one and no parts are made, and the one with the fewest sequences is taken.
     """
+    plans = [_plan(histogram, capacity, parts) for parts in (3, 2, 1, 0)]
+    return min(plans, key=lambda combinations: sum(n for _, n in combinations))
+
+
+def _plan(histogram: dict[int, int], capacity: int, parts: int) -> list[tuple[tuple[int, ...], int]]:
+    """One plan. A step uses up a length or a set of alike sequences, so its size is bounded by the capacity, not the
+    counts."""
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         counts[length] = n
@@ -123,7 +131,7 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
     for length in range(capacity, 0, -1):
         while counts[length]:
             gap = capacity - length
-            found = _filling(counts, length, gap) if gap else ()
+            found = _filling(counts, length, gap, parts) if gap else ()
             if found is None:
                 break
             combination = (length, *found)
