@@ -7,9 +7,12 @@ fold over the blocks of a document; it runs over three small numbers a block, an
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +23,42 @@ SKIPPED = ("header_footer",)
 TOKEN_PROFILES = ((256, 51), (512, 102), (1024, 205))
 
 
+@dataclass(frozen=True)
+class Tokens:
+    """What counts as a token: a context-free pattern, or a file of the `tokenizers` library.
+
+    A pattern runs in the JVM. A file's tokens may depend on what is beside them, so its windows are cut from whole
+    documents and shrink until the text by itself has no more tokens than it should; that runs in Python, document by
+    document. Tokens without width do not count.
+    """
+
+    pattern: str | None = None
+    file: str | None = None
+
+    def count(self, text: Column) -> Column:
+        if self.file is None:
+            return tx.token_count(text, self.pattern)
+        path = self.file
+
+        @F.pandas_udf("int")
+        def counted(texts: pd.Series) -> pd.Series:
+            return texts.map(lambda t: len(file_offsets(path, t)), na_action="ignore")
+
+        return counted(text)
+
+
+_loaded: dict[str, object] = {}
+
+
+def file_offsets(path: str, text: str) -> list[tuple[int, int]]:
+    """[start, end) in code points of the tokens that a tokenizer file gives; one tokenizer per worker process."""
+    if path not in _loaded:
+        from tokenizers import Tokenizer
+
+        _loaded[path] = Tokenizer.from_file(path)
+    return [(s, e) for s, e in _loaded[path].encode(text, add_special_tokens=False).offsets if e > s]
+
+
 def usable_blocks(blocks: DataFrame) -> DataFrame:
     """without page headers and blank blocks; adds stripped text `t`."""
     return blocks.where(~F.col("block_type").isin(*SKIPPED)).withColumn("t", tx.strip(F.col("text"))).where("t <> ''")
@@ -114,31 +153,75 @@ def fixed_windows(blocks: DataFrame, ranges: DataFrame | None = None, size: int
     return _finish(texts, prefix, "fixed", "0.1-draft", title, ["range_index", "k"])
 
 
-def fixed_token_windows(blocks: DataFrame, ranges: DataFrame | None = None, size: int = 256, overlap: int = 51, order: tuple[str, ...] = ("pdf_page", "block_id"), title: str = "", pattern: str | None = None) -> DataFrame:
-    """Token windows. Tokens come from a context-free pattern, so a window's text has as many tokens by itself as
-    within its document, and its right edge never needs to shrink."""
+def fixed_token_windows(blocks: DataFrame, ranges: DataFrame | None = None, size: int = 256, overlap: int = 51, order: tuple[str, ...] = ("pdf_page", "block_id"), title: str = "", tokens: Tokens | None = None) -> DataFrame:
+    """Token windows over the blocks of a document and range, blocks being parted by line breaks."""
     if size <= 0 or not 0 <= overlap < size:
         raise ValueError("invalid chunk size or overlap")
-    step, profile = size - overlap, f"fixed_t{size}_o{overlap}"
-    placed = _placed(blocks, ranges, list(order), tx.token_count(F.col("t"), pattern))
-    each = placed.withColumn("k", F.explode(_touched(F.col("left"), F.col("right"), F.col("total"), size, step)))
-    # Only a window's first and last token decide where it begins and ends in their blocks; they are looked up by number.
-    first, last = F.col("k") * step - F.col("left"), F.col("k") * step + size - F.col("left") - 1
-    inner = F.col("size") - 1
-    each = each.withColumns({"first": F.when((first > 0) & (first <= inner), first).cast("int"), "last": F.when((last >= 0) & (last < inner), last).cast("int"), "n": F.length("t")})
-    cut = each.where("first is not null or last is not null").select("document_id", "range_index", "place", "k", F.explode(F.array_compact(F.array("first", "last"))).alias("token"))
-    texts = placed.join(cut.select("document_id", "range_index", "place").distinct(), ["document_id", "range_index", "place"], "left_semi")
-    tokens = tx.token_rows(texts, ["document_id", "range_index", "place"], "t", pattern)
-    edges = cut.join(tokens, ["document_id", "range_index", "place", "token"]).groupBy("document_id", "range_index", "place", "k").agg(F.map_from_entries(F.collect_set(F.struct("token", F.struct("s", "e")))).alias("edge"))
-    each = each.join(edges, ["document_id", "range_index", "place", "k"], "left")
-    each = each.withColumns({"lo": F.coalesce(F.try_element_at("edge", "first")["s"], F.lit(0)), "hi": F.coalesce(F.try_element_at("edge", "last")["e"], "n")})
+    tokens, step = tokens or Tokens(), size - overlap
+    cut = _pattern_windows if tokens.file is None else _file_windows
+    each = cut(blocks, ranges, size, step, list(order), tokens)
     part = F.struct("place", "lo", "hi", "n", "t", *PART)
     parts = each.groupBy("document_id", "range_index", "k").agg(F.array_sort(F.collect_list(part)).alias("parts"))
     text = tx.strip(F.array_join(F.transform("parts", lambda p: F.substring(p["t"], p["lo"] + 1, p["hi"] - p["lo"])), "\n"))
-    return _token_chunks(parts.withColumn("text", text), profile, "fixed_token", size, overlap, title, ["range_index", "k"], pattern)
+    return _token_chunks(parts.withColumn("text", text), f"fixed_t{size}_o{overlap}", "fixed_token", size, overlap, title, ["range_index", "k"], tokens)
+
 
+def _pattern_windows(blocks: DataFrame, ranges: DataFrame | None, size: int, step: int, order: list[str], tokens: Tokens) -> DataFrame:
+    """(block columns, k, lo, hi, n): the part of each block in each window.
+
+    Tokens of a pattern are the same by themselves as within their document, so a right edge never needs to shrink, and
+    only a window's first and last token decide where it begins and ends in their blocks; they are looked up by number.
+    """
+    placed = _placed(blocks, ranges, order, tokens.count(F.col("t")))
+    each = placed.withColumn("k", F.explode(_touched(F.col("left"), F.col("right"), F.col("total"), size, step)))
+    first, last = F.col("k") * step - F.col("left"), F.col("k") * step + size - F.col("left") - 1
+    inner = F.col("size") - 1
+    each = each.withColumns({"first": F.when((first > 0) & (first <= inner), first).cast("int"), "last": F.when((last >= 0) & (last < inner), last).cast("int"), "n": F.length("t")})
+    key = ["document_id", "range_index", "place"]
+    cut = each.where("first is not null or last is not null").select(*key, "k", F.explode(F.array_compact(F.array("first", "last"))).alias("token"))
+    texts = placed.join(cut.select(*key).distinct(), key, "left_semi")
+    edges = cut.join(tx.token_rows(texts, key, "t", tokens.pattern), [*key, "token"]).groupBy(*key, "k").agg(F.map_from_entries(F.collect_set(F.struct("token", F.struct("s", "e")))).alias("edge"))
+    each = each.join(edges, [*key, "k"], "left")
+    return each.withColumns({"lo": F.coalesce(F.try_element_at("edge", "first")["s"], F.lit(0)), "hi": F.coalesce(F.try_element_at("edge", "last")["e"], "n")})
+
+
+def token_windows(offsets: list[tuple[int, int]], size: int, step: int, count: Callable[[int, int], int]) -> Iterator[tuple[int, int]]:
+    """Character windows of `size` tokens, each shrunk until `count` finds no more in it; the last reaches the end."""
+    for start in range(0, len(offsets), step):
+        end = min(start + size, len(offsets))
+        while end > start + 1 and count(offsets[start][0], offsets[end - 1][1]) > size:
+            end -= 1
+        yield offsets[start][0], offsets[end - 1][1]
+        if end == len(offsets):
+            return
+
+
+def _file_windows(blocks: DataFrame, ranges: DataFrame | None, size: int, step: int, order: list[str], tokens: Tokens) -> DataFrame:
+    """As _pattern_windows for a tokenizer file: one document and range at a time."""
+    placed = _placed(blocks, ranges, order, F.length("t") + 1)
+    path = tokens.file
 
-def _token_chunks(parts: DataFrame, profile: str, strategy: str, target: int, overlap: int, title: str, order: list[str], pattern: str | None) -> DataFrame:
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("place")
+        places, texts, lefts = (rows.column(c).to_pylist() for c in ("place", "t", "left"))
+        whole = "".join(t + "\n" for t in texts)
+        out: dict[str, list] = {c: [] for c in ("document_id", "range_index", "place", "k", "lo", "hi")}
+        shared = rows.column("document_id")[0].as_py(), rows.column("range_index")[0].as_py()
+        found = token_windows(file_offsets(path, whole), size, step, lambda a, b: len(file_offsets(path, whole[a:b])))
+        for k, (start, end) in enumerate(found):
+            for place, text, left in zip(places, texts, lefts):
+                lo, hi = max(start - left, 0), min(end - left, len(text))
+                if lo < hi:
+                    for column, value in zip(out.values(), (*shared, place, k, lo, hi)):
+                        column.append(value)
+        return pa.table(out, schema=pa.schema([("document_id", pa.string()), ("range_index", pa.int32()), ("place", pa.int32()), ("k", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())]))
+
+    narrow = placed.select("document_id", "range_index", "place", "t", "left")
+    cut = narrow.groupBy("document_id", "range_index").applyInArrow(run, "document_id string, range_index int, place int, k long, lo int, hi int")
+    return placed.withColumn("n", F.length("t")).join(cut, ["document_id", "range_index", "place"])
+
+
+def _token_chunks(parts: DataFrame, profile: str, strategy: str, target: int, overlap: int, title: str, order: list[str], tokens: Tokens) -> DataFrame:
     fragments = F.transform(
         "parts",
         lambda p: F.struct(
@@ -159,8 +242,8 @@ def _token_chunks(parts: DataFrame, profile: str, strategy: str, target: int, ov
         order,
         {
             "profile": F.lit(profile),
-            "token_count": tx.token_count(F.col("text"), pattern),
-            "retrieval_token_count": tx.token_count(F.col("retrieval_text"), pattern),
+            "token_count": tokens.count(F.col("text")),
+            "retrieval_token_count": tokens.count(F.col("retrieval_text")),
             "target_tokens": F.lit(target),
             "overlap_tokens": F.lit(overlap),
             "source_fragments": fragments,
@@ -198,22 +281,22 @@ def by_characters(rows: list[dict], most: int, least: int) -> list[int]:
     return _numbers(done, len(rows))
 
 
-def by_tokens(rows: list[dict], most: int, least: int) -> list[int]:
+def by_tokens(rows: list[dict], most: int, least: int, weigh: Callable[[list[int]], int] | None = None) -> list[int]:
     """W7 over one document: as W6 but within page ranges, and a chunk below `least` goes behind the one before, if it
-    continues its section or is headings only, and both fit."""
+    continues its section or is headings only, and both fit.
+
+    weigh counts the tokens of some blocks together; without it, the sum of the blocks' own counts.
+    """
+    weigh = weigh or (lambda run: sum(rows[k]["size"] for k in run))
     runs: list[list[int]] = []
-    size = 0
     for k, r in enumerate(rows):
-        if not runs or r["boundary"] or r["range_index"] != rows[k - 1]["range_index"] or size + r["size"] > most:
+        if not runs or r["boundary"] or r["range_index"] != rows[k - 1]["range_index"] or weigh([*runs[-1], k]) > most:
             runs.append([])
-            size = 0
         runs[-1].append(k)
-        size += r["size"]
-    weigh = lambda run: sum(rows[k]["size"] for k in run)
     done: list[list[int]] = []
     for run in runs:
         bridge = bool(done) and (rows[done[-1][-1]]["path"] == rows[run[0]]["path"] or all(rows[k]["heading"] for k in run))
-        if done and weigh(run) < least and bridge and weigh(done[-1]) + weigh(run) <= most:
+        if done and weigh(run) < least and bridge and weigh(done[-1] + run) <= most:
             done[-1] += run
         else:
             done.append(run)
@@ -228,13 +311,16 @@ def _numbers(runs: list[list[int]], n: int) -> list[int]:
     return out
 
 
-def _folded(units: DataFrame, order: list[str], fold: Callable[[list[dict]], list[int]]) -> DataFrame:
+def _folded(units: DataFrame, order: list[str], fold: Callable[[list[dict]], list[int]], with_text: bool = False) -> DataFrame:
     """units (document_id, range_index, order columns, boundary, raw, size, path, heading, part) with `chunk`."""
     asked = ["boundary", "raw", "size", "range_index", "path", "heading"]
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("range_index", "ascending"), *[(c, "ascending") for c in order]])
-        return rows.append_column("chunk", pa.array(fold(rows.select(asked).to_pylist()), pa.int32()))
+        small = rows.select(asked).to_pylist()
+        if with_text:
+            small = [r | {"t": t} for r, t in zip(small, pc.struct_field(rows.column("part"), "t").to_pylist())]
+        return rows.append_column("chunk", pa.array(fold(small), pa.int32()))
 
     return units.groupBy("document_id").applyInArrow(run, T.StructType([*units.schema.fields, T.StructField("chunk", T.IntegerType())]))
 
@@ -258,16 +344,22 @@ def structural_chunks(blocks: DataFrame, most: int = 600, least: int = 80, order
     return _finish(texts, prefix, "structural", "0.1-draft", title, ["chunk"])
 
 
-def structural_token_chunks(
-    blocks: DataFrame, ranges: DataFrame | None = None, most: int = 512, least: int = 64, order: tuple[str, ...] = ("pdf_page", "block_id"), title: str = "", pattern: str | None = None
-) -> DataFrame:
+def structural_token_chunks(blocks: DataFrame, ranges: DataFrame | None = None, most: int = 512, least: int = 64, order: tuple[str, ...] = ("pdf_page", "block_id"), title: str = "", tokens: Tokens | None = None) -> DataFrame:
     """Chunks along titles and layout, by tokens, within page ranges."""
-    folded = _folded(_units(blocks, ranges, list(order), tx.token_count(F.col("t"), pattern)), list(order), lambda rows: by_tokens(rows, most, least))
+    tokens = tokens or Tokens()
+    path = tokens.file
+
+    def fold(rows: list[dict]) -> list[int]:
+        weigh = None if path is None else lambda run: len(file_offsets(path, "\n".join(rows[k]["t"] for k in run)))
+        return by_tokens(rows, most, least, weigh)
+
+    size = tokens.count(F.col("t")) if path is None else F.lit(0)
+    folded = _folded(_units(blocks, ranges, list(order), size), list(order), fold, path is not None)
     parts = folded.groupBy("document_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("range_index", *order, "part"))).alias("rows"))
     whole = F.transform("rows", lambda r: r["part"].withField("lo", F.lit(0)).withField("hi", F.length(r["part"]["t"])).withField("n", F.length(r["part"]["t"])))
     parts = parts.withColumn("parts", whole)
     texts = parts.withColumn("text", tx.strip(F.array_join(F.transform("parts", lambda p: p["t"]), "\n")))
-    return _token_chunks(texts, f"structural_t{most}", "structural_token", most, 0, title, ["chunk"], pattern)
+    return _token_chunks(texts, f"structural_t{most}", "structural_token", most, 0, title, ["chunk"], tokens)
 
 
 def profile_report(chunks: DataFrame, by: str = "strategy", tokens: bool = False) -> DataFrame:

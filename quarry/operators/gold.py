@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schemas import CANDIDATES
+
 
 def last_by(df: DataFrame, key: str, order: str | None = None) -> DataFrame:
     """One row per key: the last by `order` (or any, if rows of a key are alike)."""
@@ -85,11 +87,11 @@ def gold_mapping(questions: DataFrame, answers: DataFrame, evidence: DataFrame,
     )
     fields = ("chunk_id", "evidence_ids", "matched_source_block_ids", "source_fragment_coverage", "evidence_coverage", "proposed_relevance")
     ordered = F.row_number().over(Window.partitionBy(by, "question_id").orderBy(F.desc("proposed_relevance"), "chunk_id"))  # T4
-    rows = pairs.withColumn("n", ordered).groupBy(by, "question_id").agg(F.sort_array(F.collect_list(F.struct("n", F.to_json(F.struct(*fields)).alias("j")))).alias("r"))
-    candidate = "array<struct<chunk_id:string,evidence_ids:array<string>,matched_source_block_ids:array<string>,source_fragment_coverage:map<string,double>,evidence_coverage:map<string,double>,proposed_relevance:int>>"
-    listed = rows.select(by, "question_id", F.from_json(F.concat(F.lit("["), F.array_join(F.transform("r", lambda x: x["j"]), ","), F.lit("]")), candidate).alias("relevant_chunk_candidates"))
+    rows = pairs.withColumn("n", ordered).groupBy(by, "question_id").agg(F.collect_list(F.struct("n", F.struct(*fields).alias("c"))).alias("r"))
+    in_order = F.array_sort("r", lambda a, b: a["n"] - b["n"])  # by the number alone: maps have no order
+    listed = rows.select(by, "question_id", F.transform(in_order, lambda x: x["c"]).alias("relevant_chunk_candidates"))
     every = questions.select(F.col("id").alias("question_id")).crossJoin(F.broadcast(chunks.select(by).distinct()))  # strategies are a handful
-    empty = F.expr(f"cast(array() as {candidate})")
+    empty = F.expr(f"cast(array() as {CANDIDATES})")
     return every.join(listed, [by, "question_id"], "left").select("question_id", by, F.coalesce("relevant_chunk_candidates", empty).alias("relevant_chunk_candidates"), F.lit("draft_pending_human_review").alias("mapping_status"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from .blocks import with_lines
+from .chunks import Tokens
 
 
 def _as(df: DataFrame, name: str, id_: Column | str) -> DataFrame:
@@ -119,7 +120,7 @@ def chunk_artifacts(chunks: DataFrame, blocks: DataFrame, mappings: DataFrame, e
     )
 
 
-def chunk_matrix(chunks: DataFrame, blocks: DataFrame, mappings: DataFrame, hashes: DataFrame | None = None, pattern: str | None = None) -> DataFrame:
+def chunk_matrix(chunks: DataFrame, blocks: DataFrame, mappings: DataFrame, hashes: DataFrame | None = None, tokens: Tokens | None = None) -> DataFrame:
     """V3: token chunks. hashes (file, sha256, expected) compares files with a manifest; token counts are made anew."""
     each = chunks.select("chunk_id", F.explode("source_fragments").alias("f")).select("chunk_id", "f.*")
     sized = each.join(blocks.select("block_id", F.length(tx.strip(F.col("text"))).alias("size")), "block_id", "left")
@@ -129,7 +130,7 @@ def chunk_matrix(chunks: DataFrame, blocks: DataFrame, mappings: DataFrame, hash
     checks = [
         duplicates(chunks, "chunk_id", "duplicate_chunk_ids"),
         failing(chunks, "chunk_id", tx.is_blank(F.col("text")), "empty_chunks"),
-        failing(chunks, "chunk_id", tx.token_count(F.col("text"), pattern) != F.col("token_count"), "invalid_token_counts"),
+        failing(chunks, "chunk_id", (tokens or Tokens()).count(F.col("text")) != F.col("token_count"), "invalid_token_counts"),
         failing(chunks, "chunk_id", _citation_differs(), "invalid_citations"),
         failing(sized, F.concat_ws(":", "chunk_id", "block_id", problem), ~F.coalesce(sound, F.lit(False)), "invalid_source_fragments"),
         failing(mappings, "question_id", F.size("relevant_chunk_candidates") == 0, "questions_without_candidates"),

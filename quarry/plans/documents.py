@@ -152,7 +152,7 @@ FROM sources GROUP BY document_id, n"""
 
 def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fragments of token windows of 256 with 51 in common; tokens are runs without spaces."""
-    chunks = ch.fixed_token_windows(line_blocks(spark, sf_dir), pattern=r"\S+")
+    chunks = ch.fixed_token_windows(line_blocks(spark, sf_dir), tokens=ch.Tokens(r"\S+"))
     each = chunks.select("chunk_id", "token_count", F.explode("source_fragments").alias("f"))
     return each.select("chunk_id", "token_count", "f.block_id", F.col("f.block_character_start").alias("lo"), F.col("f.block_character_end").alias("hi"), F.col("f.coverage").alias("coverage"))
 
@@ -175,7 +175,7 @@ def structural_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def structural_token_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows only, as structural_chunks."""
-    chunks = ch.structural_token_chunks(line_blocks(spark, sf_dir), pattern=r"\S+")
+    chunks = ch.structural_token_chunks(line_blocks(spark, sf_dir), tokens=ch.Tokens(r"\S+"))
     return chunks.select("chunk_id", "token_count", F.size("source_block_ids").alias("n_blocks"), F.md5("text").alias("text_md5"))
 
 
@@ -217,7 +217,7 @@ SELECT 'q' || item_id AS question_id, format('{{}}_FIXED_V01_C{{:04d}}', documen
 
 def fragment_gold_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates by fragments that cover at least 0.6 of their block; counts per question."""
-    mapped = go.gold_mapping(*_gold_inputs(spark, sf_dir), ch.fixed_token_windows(line_blocks(spark, sf_dir), pattern=r"\S+"), "profile", 0.6)
+    mapped = go.gold_mapping(*_gold_inputs(spark, sf_dir), ch.fixed_token_windows(line_blocks(spark, sf_dir), tokens=ch.Tokens(r"\S+")), "profile", 0.6)
     each = mapped.select("question_id", F.explode("relevant_chunk_candidates").alias("c"))
     return each.select("question_id", "c.chunk_id", F.size("c.matched_source_block_ids").alias("n_matched"), F.size("c.source_fragment_coverage").alias("n_fragments"), F.col("c.proposed_relevance").alias("relevance"))
 

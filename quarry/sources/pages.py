@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,3 +52,21 @@ def page_paths(spark: SparkSession, mapping: dict[str, list[str]]) -> DataFrame:
     rows = spark.createDataFrame([(k, *([int(x) for x in key.split("-", 1)] * 2)[:2], path) for k, (key, path) in enumerate(mapping.items())], "k int, a int, b int, title_path array<string>")
     each = rows.where("a <= b").select("k", F.explode(F.sequence("a", "b")).alias("pdf_page"), "title_path")
     return each.groupBy("pdf_page").agg(F.max_by("title_path", "k").alias("title_path"))
+
+
+@dataclass(frozen=True)
+class BuildConfig:
+    """What building blocks needs besides the pages."""
+
+    document_id: str
+    batch_id: str
+    pdf_pages: list[int]
+    printed_page_offset: int = 0
+    chapter_titles: dict[str, str] = field(default_factory=dict)
+    initial_title_paths: dict[str, list[str]] = field(default_factory=dict)
+
+
+def read_build_config(spark: SparkSession, path: str) -> BuildConfig:
+    """Read a JSON configuration through Spark, so from any store that Spark reads; other fields are left alone."""
+    values = json.loads(spark.read.text(path, wholetext=True).first()[0])
+    return BuildConfig(**{k: values[k] for k in BuildConfig.__dataclass_fields__ if k in values})

@@ -72,7 +72,7 @@ def test_details_and_citation(spark):
 
 def test_token_windows_cover_every_token(spark):
     parts = ["a b c d", "e f", "g h i j k l m"]
-    got = ch.fixed_token_windows(frame(spark, [{"text": p} for p in parts]), size=5, overlap=2, pattern=r"\S+")
+    got = ch.fixed_token_windows(frame(spark, [{"text": p} for p in parts]), size=5, overlap=2, tokens=ch.Tokens(r"\S+"))
     assert [t for _, t, _ in texts(got)] == ["a b c d\ne", "d\ne f\ng h", "g h i j k", "j k l m"]
     row = got.orderBy("chunk_id").collect()[1]
     assert [(f.block_id, f.block_character_start, f.block_character_end, f.coverage) for f in row.source_fragments] == [("B0000", 6, 7, 0.142857), ("B0001", 0, 3, 1.0), ("B0002", 0, 3, 0.230769)]
@@ -115,7 +115,7 @@ def test_structural_chunks_against_plain_rule(spark, seed):
 
 def test_structural_token_chunks_merge_backward_within_a_section(spark):
     rows = [{"text": "a b c d e f", "path": ["p"]}, {"text": "g", "path": ["q"]}, {"text": "H", "type": "heading", "path": ["r"]}, {"text": "i j k", "path": ["r"]}, {"text": "l", "path": ["r"], "region": "t"}]
-    got = ch.structural_token_chunks(frame(spark, rows), most=8, least=3, pattern=r"\S+")
+    got = ch.structural_token_chunks(frame(spark, rows), most=8, least=3, tokens=ch.Tokens(r"\S+"))
     # g is small but opens a section of its own; l is small and continues the section of H.
     assert [s for _, _, s in texts(got)] == [["B0000"], ["B0001"], ["B0002", "B0003", "B0004"]]
     assert got.where(F.col("token_count") > 8).count() == 0
@@ -124,3 +124,20 @@ def test_structural_token_chunks_merge_backward_within_a_section(spark):
 def test_profile_report(spark):
     r = ch.profile_report(ch.fixed_windows(frame(spark, [{"text": "abcdefghi", "issues": ["i"]}]), size=4, overlap=1)).first()
     assert (r.chunk_count, r.average_characters, r.minimum_characters, r.maximum_characters, r.chunks_with_issues) == (3, 3.67, 3, 4, 3)
+
+
+def test_a_tokenizer_file_as_source_of_tokens(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    public = pytest.importorskip("public_tokenizers")
+    path = public.path("byte_bpe_50k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    count = lambda t: len([1 for a, b in library.encode(t, add_special_tokens=False).offsets if b > a])
+    rng = random.Random(3)
+    parts = [" ".join(rng.choices(["window", "刀具补偿", "G01", "unbelievable", "x"], k=rng.randint(1, 12))) for _ in range(12)]
+    got = ch.fixed_token_windows(frame(spark, [{"text": p} for p in parts]), size=20, overlap=4, tokens=ch.Tokens(file=path)).orderBy("chunk_id").collect()
+    whole = "".join(p + "\n" for p in parts)
+    offsets = [(a, b) for a, b in library.encode(whole, add_special_tokens=False).offsets if b > a]
+    assert [r.text for r in got] == [whole[a:b].strip() for a, b in ch.token_windows(offsets, 20, 16, lambda a, b: count(whole[a:b]))]
+    assert all(r.token_count == count(r.text) <= 20 for r in got)
+    chunks = ch.structural_token_chunks(frame(spark, [{"text": p} for p in parts]), most=30, least=5, tokens=ch.Tokens(file=path)).orderBy("chunk_id").collect()
+    assert [b for r in chunks for b in r.source_block_ids] == [f"B{k:04d}" for k in range(12)] and all(count(r.text) <= 30 for r in chunks)
