@@ -5,10 +5,12 @@ Scores are rounded before they are ranked, so that the order in which a shuffle
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,24 +69,20 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", doc_text:
 def dense_top_k(docs: DataFrame, queries: DataFrame, doc_id: str = "vec_id", doc_vector: str = "embedding", query_id: str = "query_id", query_vector: str = "query_vector", k: int = 10, digits: int = 6) -> DataFrame:
     """Exact top k by cosine, (query_id, doc_id, score, rank).
 
-    Query vectors are broadcast while they fit in QUERY_BLOCK, which their count and width show; each task multiplies
-    them with its documents block by block and keeps its own k best, so k rows per query and task shuffle. More queries
-    than that go in several rounds.
+    Query vectors are held by every task while they fit in QUERY_BLOCK, which their count and width show; more of them
+    go in several rounds. A task multiplies them with its documents batch by batch and keeps k of each batch, ties being
+    settled as in the final ranking, so k rows per query and batch shuffle however many documents tie.
     """
-    import math
-
-    asked = queries.where(F.size(query_vector) > 0)
-    n, width = asked.agg(F.count("*"), F.coalesce(F.max(F.size(query_vector)), F.lit(1))).first()
-    rounds = max(1, math.ceil(n * width * 8 / QUERY_BLOCK))
-    schema = T.StructType([T.StructField("q", queries.schema[query_id].dataType), T.StructField("d", docs.schema[doc_id].dataType), T.StructField("score", T.DoubleType())])
+    asked = queries.where(F.size(query_vector) > 0).select(F.col(query_id).alias("q"), F.col(query_vector).alias("v"))
+    n, width = asked.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
     base = docs.where(F.size(doc_vector) > 0).select(F.col(doc_id).alias("d"), F.col(doc_vector).alias("v"))
-    found = None
-    for r in range(rounds):
-        rows = asked.where(F.pmod(F.xxhash64(query_id), F.lit(rounds)) == r).select(F.col(query_id).alias("q"), F.col(query_vector).alias("v")).toArrow()
-        part = base.mapInArrow(_block_top_k(rows["q"].combine_chunks(), _unit(rows["v"]), k, digits), schema)
-        found = part if found is None else found.unionByName(part)
-    ranked = top_k(found, "q", "d", k)
-    return ranked.withColumnsRenamed({"q": query_id, "d": doc_id})
+
+    def scorer(held: pa.Table):
+        unit = _unit(held["v"])
+        return lambda batch: np.rint(unit @ _unit(batch.column("v")).T * 10**digits).astype(np.int64)
+
+    found = _in_blocks(base, asked, n * width * 8, scorer, k, as_text=True).withColumn("score", F.col("score") / 10**digits)
+    return top_k(found, "q", "d", k).withColumnsRenamed({"q": query_id, "d": doc_id})
 
 
 def _unit(vectors) -> np.ndarray:
@@ -95,18 +93,38 @@ def _unit(vectors) -> np.ndarray:
     return rows / np.where(size > 0, size, 1)
 
 
-def _block_top_k(ids: pa.Array, asked: np.ndarray, k: int, digits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not len(asked) or not b.num_rows:
-                continue
-            score = np.round(asked @ _unit(b.column("v")).T, digits)
-            keep = min(k, b.num_rows)
-            least = np.partition(score, b.num_rows - keep, axis=1)[:, b.num_rows - keep]
-            q, d = np.nonzero(score >= least[:, None])  # ties with the k-th included: ids decide later
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), b.column("d").take(pa.array(d)), pa.array(score[q, d])], ["q", "d", "score"])
+def _in_blocks(base: DataFrame, asked: DataFrame, size: int, scorer, k: int, as_text: bool) -> DataFrame:
+    """(q, d, score) with the k best of each batch of base (d, v) for every query of asked (q, v).
 
-    return run
+    scorer makes, from a table of queries, a function of a batch that gives whole-number scores (queries x documents).
+    Ties in a batch go by d, as text or as it is.
+    """
+    rounds = max(1, math.ceil(size / QUERY_BLOCK))
+    schema = T.StructType([T.StructField("q", asked.schema["q"].dataType), T.StructField("d", base.schema["d"].dataType), T.StructField("score", T.LongType())])
+
+    def run_for(held: pa.Table):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            score_of, ids = scorer(held), held["q"].combine_chunks()
+            for b in batches:
+                n = b.num_rows
+                if not n or not len(ids):
+                    continue
+                order = np.empty(n, np.int64)
+                order[pc.sort_indices(b.column("d").cast(pa.string()) if as_text else b.column("d")).to_numpy()] = np.arange(n)
+                score = score_of(b)
+                best = np.argpartition(-(score * n - order), min(k, n) - 1, axis=1)[:, : min(k, n)]
+                q = np.repeat(np.arange(len(ids)), best.shape[1])
+                d = best.ravel()
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), b.column("d").take(pa.array(d)), pa.array(score[q, d])], ["q", "d", "score"])
+
+        return run
+
+    found = None
+    for r in range(rounds):
+        held = asked.where(F.pmod(F.xxhash64("q"), F.lit(rounds)) == r).toArrow()  # QUERY_BLOCK or so
+        part = base.mapInArrow(run_for(held), schema)
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def normalized_vectors(docs: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -115,19 +133,36 @@ def normalized_vectors(docs: DataFrame, vector: str = "embedding") -> DataFrame:
 
 
 def character_overlap_top_k(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", query_id: str = "query_id", query_text: str = "query", k: int = 10) -> DataFrame:
-    """By the number of distinct characters that a query and a document share; ties by id order.
+    """By the number of distinct characters that a query and a document share; ties by id order. Documents that
+    share none do not appear.
 
-    Characters are an equi-join key like terms are. Documents with the same set of characters tie everywhere, so they
-    are collapsed to their k first ids and only character sets meet the queries.
+    Every document shares characters with nearly every query, so joining on characters would give a row for each of
+    them. Instead the queries' character sets are held as for dense ranking, and a batch's overlaps are one matrix
+    product over the characters that queries have.
     """
-    letters = lambda c: F.array_sort(F.array_distinct(F.filter(F.split(F.coalesce(c, F.lit("")), ""), lambda x: x != "")))
-    sets = docs.select(F.col(doc_id), letters(F.col(doc_text)).alias("set"))
-    ordered = sets.withColumn("at", F.row_number().over(Window.partitionBy("set").orderBy(doc_id))).where(F.col("at") <= k)
-    distinct = ordered.select("set").distinct().withColumn("letter", F.explode("set"))
-    asked = queries.select(query_id, F.explode(letters(F.col(query_text))).alias("letter"))
-    met = asked.join(distinct, "letter").groupBy(query_id, "set").agg(F.count("*").cast("int").alias("score"))
-    order = Window.partitionBy(query_id).orderBy(F.desc("score"), doc_id)
-    return met.join(ordered, "set").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(query_id, doc_id, "score", "rank")
+    asked = queries.select(F.col(query_id).alias("q"), F.coalesce(F.col(query_text), F.lit("")).alias("v"))
+    size = asked.agg(F.coalesce(F.sum(F.length("v") + 100), F.lit(0))).first()[0]
+    base = docs.select(F.col(doc_id).alias("d"), F.coalesce(F.col(doc_text), F.lit("")).alias("v"))
+
+    def scorer(held: pa.Table):
+        sets = [set(t) for t in held["v"].to_pylist()]
+        letters = {c: n for n, c in enumerate(sorted(set().union(*sets)))}
+        wanted = np.zeros((len(sets), len(letters) + 1), np.float32)
+        for row, s in enumerate(sets):
+            wanted[row, [letters[c] for c in s]] = 1
+
+        def score(batch: pa.RecordBatch) -> np.ndarray:
+            has = np.zeros((batch.num_rows, len(letters) + 1), np.float32)
+            for row, text in enumerate(batch.column("v").to_pylist()):
+                has[row, [letters[c] for c in set(text) if c in letters]] = 1
+            return (wanted @ has.T).astype(np.int64)
+
+        return score
+
+    found = _in_blocks(base, asked, size, scorer, k, as_text=False).where("score > 0")
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "d")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select(F.col("q").alias(query_id), F.col("d").alias(doc_id), F.col("score").cast("int").alias("score"), "rank")
 
 
 def graded_judgments(labels: DataFrame) -> DataFrame:
