@@ -32,13 +32,19 @@ NEVER = frozenset("nav header footer aside form button fieldset dialog menu labe
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILERPLATE = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline-share comment comments commentlist consent cookie cookies disclaimer disqus footer "
-    "gdpr header masthead menu modal nav navbar navigation newsletter notice notification overlay pagination pager paywall popup promo promoted promotion recommended related reply replies "
+    "ad ads adv alert announcement advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline-share comment comments commentlist consent cookie cookies disclaimer disqus footer "
+    "gdpr header masthead menu modal nav navbar navigation newsletter notice notification overlay pagination pager paywall popup popover promo promoted promotion recommended related reply replies search login signin poll copyright "
     "respond share sharing sidebar signup skip social sponsor sponsored sponsorship subscribe subscription tagcloud tags toolbar topbar widget widgets".split()
 )
 SECTIONS = frozenset("div section article main table center td".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-TELLING = frozenset("article articlebody article-body entry-content post-content story story-body content main-content maincontent post entry body-text".split())
+#: Of an element that marks an article, only these words say that it is not the page's article.
+NOT_THE_ARTICLE = frozenset("ad ads advert advertisement comment comments commentlist promo related reply replies sponsored teaser".split())
+TELLING = frozenset(
+    "article articlebody article-body article-content article-text body-text content entry entry-content main-content maincontent page-content post post-body post-content story story-body story-content".split()
+)
+#: Class names that begin so describe a layout, not what is in the element.
+STATES = ("has-", "with-", "no-", "without-", "is-", "js-")
 
 _TOKEN = re.compile(rf"""<!--.*?-->|<({RAW})\b[^>]*>.*?</\1\s*>|<(/?)([a-zA-Z][\w:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][\w:-]*)([^>]*)>|<[!?][^>]*>""", re.S | re.I)
 _ATTRIBUTE = re.compile(r"""([\w:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\b(hidden)\b""")
@@ -48,6 +54,7 @@ _WORDS = re.compile(r"[\s_-]+")
 def _traits(tag: str, attributes: str) -> tuple[bool, int]:
     """(never article text, how surely it marks the article: 3 article, 2 main, 1 a telling class, 0)."""
     never, mark = tag in NEVER, {"article": 3, "main": 2}.get(tag, 0)
+    words: set[str] = set()
     if attributes and not attributes.isspace():
         for name, *values, bare in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), next((v for v in values if v), "").lower()
@@ -59,9 +66,10 @@ def _traits(tag: str, attributes: str) -> tuple[bool, int]:
             elif name == "itemprop":
                 mark = max(mark, 3 if value == "articlebody" else 0)
             elif name in ("class", "id") and tag not in ("body", "html"):
-                never |= not BOILERPLATE.isdisjoint(_WORDS.split(value))
-                mark = max(mark, 0 if TELLING.isdisjoint(value.split()) else 1)
-    return never, mark
+                names = [n for n in value.split() if not n.startswith(STATES)]
+                words.update(w for n in names for w in _WORDS.split(n))
+                mark = max(mark, 0 if TELLING.isdisjoint(names) else 1)
+    return never or not (BOILERPLATE if mark == 0 else NOT_THE_ARTICLE).isdisjoint(words), mark
 
 
 def lines_of(page: str) -> list[tuple[str, int, int, int]]:

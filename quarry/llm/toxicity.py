@@ -38,7 +38,7 @@ ALIKE = 2
 CANDIDATES = 1000
 COST = 2.0
 DECAY = 0.6
-LEAST_GAIN = 0.0005
+LEAST_GAIN = 0.01
 LEAST_DOCS = 4  # toxic documents that a candidate is in, and their share of all
 LEAST_SHARE = 0.005
 LEAST_Z = 3.0

@@ -172,6 +172,13 @@ def test_other_layouts(wrap):
     assert extract(page) == ("A long sentence of the story that goes on. " * 4).strip() + " End."
 
 
+def test_class_names_of_layouts_and_of_articles_do_not_hide_text():
+    body = "<p>" + "A long sentence of the story that goes on. " * 3 + "</p>"
+    text = ("A long sentence of the story that goes on. " * 3).strip()
+    assert extract(f"<div class='page has-sidebar'><div>{body}</div><div class='sidebar'>Side.</div></div>") == text
+    assert extract(f"<article class='post social'>{body}<div class='share-buttons'>Share</div></article><article class='comment'>{body}</article>") == text
+
+
 def test_surge_and_dive():
     assert stretches([0, 5, 90, 0, 0, 0, 7, 0, 0, 0, 40, 60]) == [(1, 3, 95), (6, 7, 7), (10, 12, 100)]
     assert stretches([]) == []
