@@ -18,7 +18,8 @@ from pyspark.sql import types as T
 from ..functions import text as tx
 from ..functions import vectors as vx
 
-QUERY_BLOCK = 64 << 20  # bytes of query vectors that a task holds at once
+QUERY_BLOCK = 64 << 20  # bytes of queries (and of their scores for a batch) that a task holds at once
+BATCH_ROWS = 1000
 
 
 def top_k(scored: DataFrame, query_id: str, doc_id: str, k: int, score: str = "score") -> DataFrame:
@@ -40,24 +41,49 @@ def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", query_id: str = "query_id", query_text: str = "query", k: int = 10, k1: float = 1.5, b: float = 0.75, keep_zero: bool = False) -> DataFrame:
     """(query_id, doc_id, score, rank).
 
-    Documents are reduced to the terms that some query has before anything is counted per term: document frequencies
-    are exact for those, and no other term shuffles. Only (document, term) pairs of query terms meet the queries.
-    keep_zero fills up queries that fewer than k documents match by documents of score zero, in id order; it looks at
-    k documents only.
+    Common terms match nearly every document with nearly every query, so joining postings on terms would make a row for
+    each of those. Instead the queries' weights are held as a sparse matrix by term, bounded by QUERY_BLOCK, and a
+    batch's scores are added up there; k rows per query and batch shuffle. Document frequencies of the query terms and
+    the mean length come from a pass before, which reduces to a row per term within tasks.
+
+    Scores are rounded to eight places before they are ranked. keep_zero fills up queries that fewer than k documents
+    match by documents of score zero, in id order; it looks at k documents only.
     """
-    query_terms = queries.select(query_id, F.explode(tx.tokens(F.coalesce(F.col(query_text), F.lit("")))).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("qtf"))
-    vocabulary = query_terms.select("term").distinct()
-    tokens = docs.select(F.col(doc_id), tx.tokens(F.coalesce(F.col(doc_text), F.lit(""))).alias("tokens"))
-    sized = tokens.select(doc_id, "tokens", F.size("tokens").alias("length"))
-    stats = sized.agg(F.count("*").alias("count"), F.avg("length").alias("mean_length"))
-    terms = sized.select(doc_id, "length", F.explode("tokens").alias("term")).join(vocabulary, "term", "left_semi")
-    postings = terms.groupBy(doc_id, "term", "length").agg(F.count("*").alias("tf"))
-    frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.ln(1.0 + (F.col("count") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = query_terms.join(frequency, "term").crossJoin(F.broadcast(stats)).select(query_id, "term", "mean_length", (F.col("qtf") * idf).alias("weight"))  # stats is one row
-    norm = F.col("tf") + k1 * (1.0 - b + b * F.col("length") / F.col("mean_length"))
-    gain = F.col("weight") * (F.col("tf") * (k1 + 1.0) / norm)
-    scored = postings.join(weighted, "term").groupBy(query_id, doc_id).agg(F.round(F.sum(gain), 8).alias("score"))
+    words = lambda c: tx.tokens(F.coalesce(F.col(c), F.lit("")))
+    asked = queries.select(F.col(query_id).alias("q"), words(query_text).alias("v"))
+    base = docs.select(F.col(doc_id).alias("d"), words(doc_text).alias("v"))
+    size = asked.agg(F.coalesce(F.sum(F.size("v") * 32 + BATCH_ROWS * 8), F.lit(0))).first()[0]
+
+    def prepare(held: pa.Table) -> dict:
+        vocabulary = pc.unique(pc.list_flatten(held["v"].combine_chunks())).sort()
+        counts = base.select("v").mapInArrow(_frequencies(vocabulary), "term long, df long, docs long, length long")
+        rows = counts.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("df", "docs", "length")]).collect()  # a row per query term
+        df = np.zeros(len(vocabulary))
+        for r in rows:
+            if r["term"] >= 0:
+                df[r["term"]] = r["df"]
+        total, length = sum(r["docs"] for r in rows), sum(r["length"] for r in rows)
+        return {"vocabulary": vocabulary, "idf": np.log(1 + (total - df + 0.5) / (df + 0.5)), "mean": length / total if length else 1.0}
+
+    def scorer(held: pa.Table, context: dict):
+        term, query, weight = _query_weights(held["v"].combine_chunks(), context)
+        starts = np.searchsorted(term, np.arange(len(context["idf"]) + 1))
+
+        def score(batch: pa.RecordBatch) -> np.ndarray:
+            doc, terms, tf, lengths = _postings(batch.column("v"), context["vocabulary"])
+            gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[doc] / context["mean"]))
+            each = starts[terms + 1] - starts[terms]
+            at = np.repeat(starts[terms] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+            cell = query[at] * batch.num_rows + np.repeat(doc, each)
+            total = np.bincount(cell, weight[at] * np.repeat(gain, each), held.num_rows * batch.num_rows)
+            return np.rint(total.reshape(held.num_rows, batch.num_rows) * 1e8).astype(np.int64)
+
+        return score
+
+    if k <= 0:
+        raise ValueError("k must be positive")
+    found = _in_blocks(base, asked, size, scorer, k, as_text=True, prepare=prepare).where("score > 0")
+    scored = found.select(F.col("q").alias(query_id), F.col("d").alias(doc_id), (F.col("score") / 1e8).alias("score"))
     if keep_zero:
         first = docs.select(doc_id).orderBy(F.col(doc_id).cast("string")).limit(k)
         # Among any k documents and the matches are the k best, so k documents stand in for all that score zero.
@@ -66,6 +92,39 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", doc_text:
     return top_k(scored, query_id, doc_id, k)
 
 
+def _postings(lists: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, ...]:
+    """(document, term, frequency) of the vocabulary's terms in a batch of token lists, and the lists' lengths."""
+    lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    term = pc.fill_null(pc.index_in(lists.flatten(), value_set=vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    doc = np.repeat(np.arange(len(lists)), lengths)[term >= 0]
+    key, tf = np.unique(doc * max(1, len(vocabulary)) + term[term >= 0], return_counts=True)
+    return key // max(1, len(vocabulary)), key % max(1, len(vocabulary)), tf, lengths
+
+
+def _frequencies(vocabulary: pa.Array):
+    """Per task: a row per term of the vocabulary with its document frequency, and one (term -1) with the sizes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, docs, length = np.zeros(len(vocabulary), np.int64), 0, 0
+        for b in batches:
+            _, term, _, lengths = _postings(b.column("v"), vocabulary)
+            df += np.bincount(term, minlength=len(vocabulary))
+            docs, length = docs + b.num_rows, length + int(lengths.sum())
+        seen = np.flatnonzero(df)
+        zero = np.zeros(len(seen), np.int64)
+        columns = (np.append(seen, -1), np.append(df[seen], 0), np.append(zero, docs), np.append(zero, length))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["term", "df", "docs", "length"])
+
+    return run
+
+
+def _query_weights(lists: pa.Array, context: dict) -> tuple[np.ndarray, ...]:
+    """(term, query, weight) sorted by term: the query's frequency of a term times its idf."""
+    query, term, qtf, _ = _postings(lists, context["vocabulary"])
+    by = np.argsort(term, kind="stable")
+    return term[by], query[by], qtf[by] * context["idf"][term[by]]
+
+
 def dense_top_k(docs: DataFrame, queries: DataFrame, doc_id: str = "vec_id", doc_vector: str = "embedding", query_id: str = "query_id", query_vector: str = "query_vector", k: int = 10, digits: int = 6) -> DataFrame:
     """Exact top k by cosine, (query_id, doc_id, score, rank).
 
@@ -77,11 +136,11 @@ def dense_top_k(docs: DataFrame, queries: DataFrame, doc_id: str = "vec_id", doc
     n, width = asked.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
     base = docs.where(F.size(doc_vector) > 0).select(F.col(doc_id).alias("d"), F.col(doc_vector).alias("v"))
 
-    def scorer(held: pa.Table):
+    def scorer(held: pa.Table, _: None):
         unit = _unit(held["v"])
         return lambda batch: np.rint(unit @ _unit(batch.column("v")).T * 10**digits).astype(np.int64)
 
-    found = _in_blocks(base, asked, n * width * 8, scorer, k, as_text=True).withColumn("score", F.col("score") / 10**digits)
+    found = _in_blocks(base, asked, n * (width + BATCH_ROWS) * 8, scorer, k, as_text=True).withColumn("score", F.col("score") / 10**digits)
     return top_k(found, "q", "d", k).withColumnsRenamed({"q": query_id, "d": doc_id})
 
 
@@ -93,19 +152,20 @@ def _unit(vectors) -> np.ndarray:
     return rows / np.where(size > 0, size, 1)
 
 
-def _in_blocks(base: DataFrame, asked: DataFrame, size: int, scorer, k: int, as_text: bool) -> DataFrame:
+def _in_blocks(base: DataFrame, asked: DataFrame, size: int, scorer, k: int, as_text: bool, prepare=None) -> DataFrame:
     """(q, d, score) with the k best of each batch of base (d, v) for every query of asked (q, v).
 
-    scorer makes, from a table of queries, a function of a batch that gives whole-number scores (queries x documents).
-    Ties in a batch go by d, as text or as it is.
+    prepare, if given, runs on the driver for each table of queries; scorer makes, in a task, from a table of queries
+    and what prepare gave, a function of a batch that gives whole-number scores (queries x documents). Ties in a batch
+    go by d, as text or as it is.
     """
     rounds = max(1, math.ceil(size / QUERY_BLOCK))
     schema = T.StructType([T.StructField("q", asked.schema["q"].dataType), T.StructField("d", base.schema["d"].dataType), T.StructField("score", T.LongType())])
 
-    def run_for(held: pa.Table):
+    def run_for(held: pa.Table, context):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            score_of, ids = scorer(held), held["q"].combine_chunks()
-            for b in batches:
+            score_of, ids = scorer(held, context), held["q"].combine_chunks()
+            for b in (b.slice(at, BATCH_ROWS) for b in batches for at in range(0, b.num_rows, BATCH_ROWS)):
                 n = b.num_rows
                 if not n or not len(ids):
                     continue
@@ -122,7 +182,7 @@ def _in_blocks(base: DataFrame, asked: DataFrame, size: int, scorer, k: int, as_
     found = None
     for r in range(rounds):
         held = asked.where(F.pmod(F.xxhash64("q"), F.lit(rounds)) == r).toArrow()  # QUERY_BLOCK or so
-        part = base.mapInArrow(run_for(held), schema)
+        part = base.mapInArrow(run_for(held, prepare(held) if prepare else None), schema)
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -141,10 +201,10 @@ def character_overlap_top_k(docs: DataFrame, queries: DataFrame, doc_id: str = "
     product over the characters that queries have.
     """
     asked = queries.select(F.col(query_id).alias("q"), F.coalesce(F.col(query_text), F.lit("")).alias("v"))
-    size = asked.agg(F.coalesce(F.sum(F.length("v") + 100), F.lit(0))).first()[0]
+    size = asked.agg(F.coalesce(F.sum(F.length("v") + BATCH_ROWS * 8), F.lit(0))).first()[0]
     base = docs.select(F.col(doc_id).alias("d"), F.coalesce(F.col(doc_text), F.lit("")).alias("v"))
 
-    def scorer(held: pa.Table):
+    def scorer(held: pa.Table, _: None):
         sets = [set(t) for t in held["v"].to_pylist()]
         letters = {c: n for n, c in enumerate(sorted(set().union(*sets)))}
         wanted = np.zeros((len(sets), len(letters) + 1), np.float32)

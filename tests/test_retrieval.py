@@ -65,7 +65,8 @@ def test_dense_rounds_give_the_same(spark, monkeypatch):
     vectors = spark.range(60).select(F.col("id").alias("vec_id"), F.array(F.sin("id"), F.cos("id"), F.sin(F.col("id") * 2)).alias("embedding"))
     queries = vectors.where("vec_id % 7 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     one = sorted(map(tuple, re_.dense_top_k(vectors, queries, k=4).collect()))
-    monkeypatch.setattr(re_, "QUERY_BLOCK", 50)
+    monkeypatch.setattr(re_, "BATCH_ROWS", 7)
+    monkeypatch.setattr(re_, "QUERY_BLOCK", 9 * (3 + re_.BATCH_ROWS) * 8 // 3)
     assert sorted(map(tuple, re_.dense_top_k(vectors, queries, k=4).collect())) == one
 
 
