@@ -7,6 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.partitioning import spread
 from .byte_bpe import encode_documents
 from .common import read_table, shared_dir
 from .embedding_dedup import near_vectors
@@ -34,11 +35,11 @@ FROM n WINDOW w AS (PARTITION BY text_sha256)
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_groups(read_table(spark, sf_dir, "documents"))
+    return simhash_groups(spread(read_table(spark, sf_dir, "documents")))
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut_repeats(read_table(spark, sf_dir, "documents"), with_text=False)
+    return cut_repeats(spread(read_table(spark, sf_dir, "documents")), with_text=False)
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,16 +52,16 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return encode_documents(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, with_ids=False)
+    return encode_documents(spread(read_table(spark, sf_dir, "documents")), path, public_tokenizers.PATTERN, with_ids=False)
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(read_table(spark, sf_dir, "documents"))
+    return scan(spread(read_table(spark, sf_dir, "documents")))
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return pack(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, with_ids=False)
+    return pack(spread(read_table(spark, sf_dir, "documents")), path, public_tokenizers.PATTERN, with_ids=False)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +84,7 @@ FROM w
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return score(docs, fit_from(docs, read_table(spark, sf_dir, "labels")))
+    return score(spread(docs), fit_from(docs, read_table(spark, sf_dir, "labels")))
 
 
 def queries() -> dict:
