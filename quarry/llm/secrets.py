@@ -31,10 +31,10 @@ ASSIGN_LEAST = 12
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 
-#: Per class: candidate runs, window, bits a character that its windows must reach.
+#: Per class, the narrower first: candidate runs, window, bits a character that its windows must reach.
 CLASSES = {
-    "entropy_base64": (re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"), 20, 3.7),
     "entropy_hex": (re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-F]{20,}|[0-9a-f]{20,})(?![0-9A-Fa-f])"), 20, 3.0),
+    "entropy_base64": (re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"), 20, 3.7),
 }
 #: Candidates that look random but are not secrets: words, snake or kebab case, paths, numbers, UUIDs, placeholders.
 ALLOWED = (

@@ -18,7 +18,6 @@ table gives an empty result; other columns may have any names.
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
