@@ -4,7 +4,8 @@ Markup is stripped to lines, one per block element. Elements that are never arti
 the like, by tag, role or class) leave a gap of empty lines. Each line weighs its characters outside links, and the
 weights are summed over sliding windows of WINDOW lines. Where the sums rise over SURGE text begins, where they fall to
 zero it ends; the lines between are kept, however short. If the page marks its article (article, main, or a telling
-class), lines outside it weigh nothing and every stretch inside it counts.
+class) and the heaviest stretch lies inside that mark, lines inside weigh MARKED times as much and lines outside so much
+less; a mark that does not hold the heaviest stretch gives way to the next weaker one, and to none in the end.
 
 Defined results: null or empty html gives an empty text; very long pages are used whole; pages of which no window
 reaches SURGE keep their heaviest stretch; a short stretch in the same section as a kept one stays with it; unclosed and stray tags end with the element around them; rows are
@@ -25,6 +26,7 @@ from pyspark.sql import types as T
 
 WINDOW = 3
 SURGE = 80  # characters in a window that mark the start of running text
+MARKED = 4  # times the weight of lines that the page marks as its article, and one part in so many of the others
 
 # What HTML calls its elements, and words that sites give as class or id.
 RAW = "script|style|noscript|template|textarea|svg|iframe|object|canvas|title|select|option|math|audio|video"
@@ -158,17 +160,32 @@ def stretches(weights: list[int]) -> list[tuple[int, int, int]]:
     return found
 
 
+def _heaviest(weights: list[int]) -> int:
+    return max((sum(weights[lo:hi]) for lo, hi, _ in stretches(weights)), default=0)
+
+
+def _sides(lines: list[tuple[str, int, int, int]]) -> list[tuple[list[int], list[bool]]]:
+    """The weights and the members of the lines inside the mark and of those outside it; members have text."""
+    for least in sorted({m for t, _, m, _ in lines if t and m}, reverse=True):
+        inside = [bool(t) and m >= least for t, _, m, _ in lines]
+        outside = [bool(t) and m < least for t, _, m, _ in lines]
+        marked = [max(w, 1) if i else 0 for i, (_, w, _, _) in zip(inside, lines)]
+        rest = [w if o else 0 for o, (_, w, _, _) in zip(outside, lines)]
+        if _heaviest(marked) >= _heaviest(rest):
+            return [([w * MARKED for w in marked], inside), ([w // MARKED for w in rest], outside)]
+    return [([w if t else 0 for t, w, _, _ in lines], [bool(t) for t, *_ in lines])]
+
+
 def extract(page: str | None) -> str:
     lines = lines_of(page or "")
-    best = max((m for t, _, m, _ in lines if t), default=0)
-    weights = [0 if not t or (best and m < best) else max(w, 1 if best else 0) for t, w, m, _ in lines]
-    found = stretches(weights)
-    if not best:
-        top = max((peak for *_, peak in found), default=0)
-        sure = [s for s in found if s[2] >= min(SURGE, top)]
-        sections = {lines[k][3] for lo, hi, _ in sure for k in range(lo, hi)} - {0}
-        found = [s for s in found if s in sure or any(lines[k][3] in sections for k in range(s[0], s[1]))]
-    return " ".join(lines[k][0] for lo, hi, _ in found for k in range(lo, hi) if lines[k][0] and (not best or lines[k][2] >= best))
+    found = [(stretches(weights), members) for weights, members in _sides(lines)]
+    top = max((peak for some, _ in found for *_, peak in some), default=0)
+    kept: list[int] = []
+    for some, members in found:
+        own = [([k for k in range(lo, hi) if members[k]], peak >= min(SURGE, top)) for lo, hi, peak in some]
+        sections = {lines[k][3] for ks, sure in own if sure for k in ks} - {0}
+        kept += [k for ks, sure in own if sure or any(lines[k][3] in sections for k in ks) for k in ks]
+    return " ".join(lines[k][0] for k in sorted(kept))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

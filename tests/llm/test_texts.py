@@ -183,6 +183,15 @@ def test_surge_and_dive():
     assert stretches([]) == []
 
 
+def test_a_mark_must_hold_the_heaviest_stretch_and_window_sums_choose_inside_it():
+    text = ("A long sentence of the story that goes on. " * 3).strip()
+    body = f"<p>{text}</p>"
+    assert extract(f"<div>{body * 3}</div><nav>Menu</nav><article><h3>Another story</h3></article>") == " ".join([text] * 3)
+    assert extract(f"<main>{body * 3}</main><p>Outside.</p><nav>Menu</nav><article>Another story</article>") == " ".join([text] * 3)
+    assert extract(f"<article>{body * 3}</article><nav>Menu</nav><article>Another one</article><p>Outside.</p>") == " ".join([text] * 3)
+    assert extract(f"<article><h1><a href=x>Title</a></h1>{body}<p>End.</p></article><li><a href=y>Next</a></li><article>{body}</article>") == f"Title {text} End. {text}"
+
+
 def test_html_edges(spark):
     pages = spark.createDataFrame([(1, "u", None, "x"), (2, None, "", "x"), (None, "u", "plain &lt;text&gt; &#x263A;", "x"), (None, "u", "plain &lt;text&gt; &#x263A;", "x"), (3, "u", "<p>" + "word " * 50_000, "x")], "page_id long, url string, html string, text string")
     got = main_text(pages).collect()
