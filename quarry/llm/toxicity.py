@@ -8,7 +8,8 @@ numbers of windows that save 1, 2, 3 and 4 bytes or more, the sum) are calibrate
 The calibration uses documents that the dictionaries it sees were not trained on (two folds); the final dictionaries
 are trained on all of the sample.
 
-Fitting reads at most `sample` labelled documents of each class, chosen by hash; scoring uses every whole text.
+Fitting reads the whole texts of at most `sample` labelled documents of each class, chosen by hash; scoring uses every
+whole text.
 
 Defined results: null and empty texts are scored as one empty window; labels that are null or not 0 or 1 are not
 learned from; if a document has several labels each counts; without both classes every score is the share of toxic
@@ -42,7 +43,7 @@ LEAST_DOCS = 4  # toxic documents that a candidate is in, and their share of all
 LEAST_SHARE = 0.005
 LEAST_Z = 3.0
 FOLDS = 2
-CHARS = 20_000  # of a sampled document that fitting uses; scoring has no such bound
+COUNTED_AT_ONCE = 2_000_000  # byte strings whose documents are counted at a time
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:
@@ -70,14 +71,28 @@ def _gram_hashes(octets: bytes, size: int) -> np.ndarray:
     return h
 
 
-def _document_frequency(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted gram hashes and the number of texts that hold each; texts are merged some at a time to bound memory."""
-    keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-    for k in range(0, len(texts), 200):
-        new, n = np.unique(np.concatenate([np.unique(_gram_hashes(t, size)) for t in texts[k : k + 200]]), return_counts=True)
-        keys, at = np.unique(np.concatenate((keys, new)), return_inverse=True)
-        counts = np.bincount(at, np.concatenate((counts, n)), len(keys)).astype(np.int64)
-    return keys, counts
+def _document_frequency(texts: list[bytes], size: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted gram hashes that at least `least` texts hold, and the number of texts that hold each.
+
+    Hashes are counted range by range, texts merged some at a time, so that memory does not grow with the texts.
+    """
+    parts = 1 + sum(map(len, texts)) // COUNTED_AT_ONCE
+    found = []
+    for part in range(parts):
+        lo, hi = np.uint64((part << 64) // parts), np.uint64(((part + 1) << 64) // parts - 1)
+        keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+        held, waiting = [], 0
+        for k, t in enumerate(texts, 1):
+            h = _gram_hashes(t, size)
+            held.append(np.unique(h[(h >= lo) & (h <= hi)] if parts > 1 else h))
+            waiting += len(held[-1])
+            if k == len(texts) or waiting > COUNTED_AT_ONCE // 4:
+                new, n = np.unique(np.concatenate(held), return_counts=True)
+                keys, at = np.unique(np.concatenate((keys, new)), return_inverse=True)
+                counts = np.bincount(at, np.concatenate((counts, n)), len(keys)).astype(np.int64)
+                held, waiting = [], 0
+        found.append((keys[counts >= least], counts[counts >= least]))
+    return np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found])
 
 
 def _frequency_of(keys: np.ndarray, texts: list[bytes], size: int) -> np.ndarray:
@@ -103,9 +118,7 @@ def distinctive(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     ordinary_share: list[float] = []
     held: list[np.ndarray] = []
     for size in SIZES:
-        grams, a = _document_frequency(toxic, size)
-        enough = a >= max(LEAST_DOCS, LEAST_SHARE * len(toxic))
-        grams, a = grams[enough], a[enough]
+        grams, a = _document_frequency(toxic, size, max(LEAST_DOCS, LEAST_SHARE * len(toxic)))
         b = _frequency_of(grams, ordinary, size)
         z = np.log((a + 0.5) / (len(toxic) + 1) / ((b + 0.5) / (len(ordinary) + 1))) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
         gain = np.where(z > LEAST_Z, a / len(toxic) - COST * b / max(1, len(ordinary)), 0.0)
@@ -147,7 +160,7 @@ def train(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
     """The contents of the ordinary and of the toxic dictionary."""
     import zstandard
 
-    samples = [t[k : k + 256] for t in ordinary for k in range(0, len(t), 256)][:60_000]
+    samples = [t[k : k + 256] for t in ordinary for k in range(0, len(t), 256)]
     try:
         base = zstandard.train_dictionary(ORDINARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:  # too little text to train on
@@ -221,7 +234,7 @@ def fit(toxic: list[str], ordinary: list[str], toxic_share: float) -> Model:
     if not toxic or not ordinary:
         nothing = np.zeros(1)
         return Model(b"", b"", nothing, nothing, nothing, toxic_share)
-    sets = [[normalised(t[:CHARS]) for t in texts] for texts in (toxic, ordinary)]
+    sets = [[normalised(t) for t in texts] for texts in (toxic, ordinary)]
     x, y = [], []
     for k in range(FOLDS):
         rest = [[t for j, t in enumerate(s) if j % FOLDS != k] for s in sets]
@@ -236,13 +249,13 @@ def fit(toxic: list[str], ordinary: list[str], toxic_share: float) -> Model:
 
 
 def fit_from(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Fit on labels of rows that are not held out. At most 2 * sample texts come to the driver."""
+    """Fit on labels of rows that are not held out. At most 4 * sample whole texts come to the driver."""
     usable = labels.where(F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label"))
     shares = {r["__label"]: r["n"] for r in usable.groupBy("__label").agg(F.count("*").alias("n")).collect()}
     share = shares.get(1, 0) / max(1, sum(shares.values()))
     chosen = [usable.where(F.col("__label") == k).orderBy(F.xxhash64("__id"), "__id").limit(sample) for k in (0, 1)]
     few = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * sample rows
-    rows = docs.select(F.col(id_col).alias("__id"), F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, CHARS).alias("__text")).join(few, "__id").orderBy("__id", "__label").limit(4 * sample).collect()
+    rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).join(few, "__id").orderBy("__id", "__label").limit(4 * sample).collect()
     return fit([r["__text"] for r in rows if r["__label"] == 1], [r["__text"] for r in rows if r["__label"] == 0], share)
 
 

@@ -278,6 +278,33 @@ def test_toxicity_edges(spark):
     assert toxicity.score(docs, toxicity.fit_from(docs, labels.limit(0))).first().score == 0.0
 
 
+def test_fitting_reads_whole_texts(spark):
+    long = " ".join(t for _, t, y in toxic_corpus(2, 120) if not y)
+    assert len(long) > 21_000
+    rows = [(k, f"{long[k:]} {t}", y) for k, t, y in toxic_corpus(3, 100)]
+    model = toxicity.fit_from(spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string"), spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int"))
+    assert b"grumblef" in model.toxic  # what marks toxic documents comes after 20,000 characters
+    assert model.mean[-1] > np.log(20_000 / toxicity.STRIDE)  # the logarithm of the number of windows
+
+
+def test_ordinary_dictionary_learns_from_all_windows(monkeypatch):
+    import zstandard
+
+    seen: list[bytes] = []
+    monkeypatch.setattr(zstandard, "train_dictionary", lambda size, samples: seen.extend(samples) or zstandard.ZstdCompressionDict(b"x" * 100, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+    toxicity.train([], [b"a" * (256 * 60_000), b"the last"])
+    assert len(seen) == 60_001 and seen[-1] == b"the last"
+
+
+@pytest.mark.parametrize("at_once", [50, 3000, 10**9])
+def test_document_frequencies_by_ranges(monkeypatch, at_once):
+    monkeypatch.setattr(toxicity, "COUNTED_AT_ONCE", at_once)
+    texts = [toxicity.normalised(t) for _, t, _ in toxic_corpus(4, 12)]
+    keys, counts = toxicity._document_frequency(texts, 8, 2)
+    plain = Counter(h for t in texts for h in set(toxicity._gram_hashes(t, 8).tolist()))
+    assert list(zip(keys.tolist(), counts.tolist())) == sorted((h, n) for h, n in plain.items() if n >= 2)
+
+
 def test_fit_is_the_same_twice():
     rows = toxic_corpus(1, 150)
     sides = [t for _, t, y in rows if y], [t for _, t, y in rows if not y]
