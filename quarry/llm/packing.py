@@ -15,6 +15,7 @@ packed again; null ids are packed like others; an empty table gives an empty res
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,9 +31,9 @@ ROWS_PER_BUCKET = 20_000
 
 
 class Tokenizer:
-    """The ids that a byte-level BPE file of the `tokenizers` library gives (add_special_tokens=False, strings of
-    special tokens being ordinary text). The merges are run by tiktoken's core over the same vocabulary, which is
-    several times as fast; tests hold the ids against the library's own."""
+    """The ids that a byte-level BPE file of the `tokenizers` library gives (add_special_tokens=False). The merges are
+    run by tiktoken's core over the same vocabulary, which is several times as fast; tests hold the ids against the
+    library's own."""
 
     def __init__(self, path: str, pattern: str):
         import tiktoken
@@ -41,17 +42,30 @@ class Tokenizer:
             spec = json.load(f)
         if spec["model"]["type"] != "BPE" or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"].get("add_prefix_space"):
             raise ValueError("a byte-level BPE file is asked for")
-        special = {t["content"] for t in spec["added_tokens"]}
+        if any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")) or spec["normalizer"]:
+            raise ValueError("added tokens that match as they are and texts as they are are asked for")
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         # Byte-level files show bytes as characters: printable Latin-1 as itself, the others from U+0100 on, in order.
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         hidden = [b for b in range(256) if b not in shown]
         octet = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
         ranks = {bytes(octet[c] for c in token): rank for token, rank in spec["model"]["vocab"].items() if token not in special}
         self.core = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.added = special
+        self.split = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))) or "(?!)")  # the longest counts
 
     def encode(self, text: str) -> np.ndarray:
+        """Strings of added tokens are ordinary text (the library's encode_special_tokens=True)."""
         return np.array(self.core.encode_ordinary(text), "<u4")
 
+    def encode_added(self, text: str) -> np.ndarray:
+        """Strings of added tokens become their ids, the text between them is encoded apart, as the library does."""
+        found, at = [], 0
+        for m in self.split.finditer(text):
+            found += [self.encode(text[at : m.start()]), np.array([self.added[m[0]]], "<u4")]
+            at = m.end()
+        return np.concatenate([*found, self.encode(text[at:])]) if found else self.encode(text)
+
 
 _made: dict[tuple[str, str], Tokenizer] = {}
 
@@ -66,7 +80,7 @@ def pieces(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str,
         for b in batches:
             rows, piece, start, length, crc, ids = [], [], [], [], [], []
             for row, text in enumerate(b.column(1).to_pylist()):
-                all_ids = np.append(tokenizer.encode(text or ""), np.uint32(end_id)).astype("<u4")
+                all_ids = np.append(tokenizer.encode_added(text or ""), np.uint32(end_id)).astype("<u4")
                 cuts = [0, *range(len(all_ids) % capacity or capacity, len(all_ids) + 1, capacity)]
                 for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
                     rows.append(row)

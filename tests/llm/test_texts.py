@@ -52,6 +52,15 @@ def test_packing_ids_equal_the_library():
         assert ours.encode(text).tolist() == theirs.encode(text, add_special_tokens=False).ids
 
 
+def test_packed_ids_equal_the_unmodified_library(spark):
+    texts = [*ODD, "ab <|endoftext|> cd", "<|endoftext|>", "<|endoftext|><|endoftext|>", "x<|endoftext|", "é<|endoftext|>'s \n<|ENDOFTEXT|>", "w " * 70 + "<|endoftext|>"]
+    theirs, ids = Tokenizer.from_file(JSON), {}
+    for r in sorted(packing.pack(frame(spark, texts), JSON, public_tokenizers.PATTERN, capacity=64, end_id=2).collect(), key=lambda r: r.piece):
+        ids.setdefault(r.doc_id, []).extend(r.ids)
+    assert [ids[k] for k in range(len(texts))] == [[*theirs.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert 50256 in ids[len(ODD)]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_covers_every_piece_once(seed):
     rng = random.Random(seed)
