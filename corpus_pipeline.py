@@ -29,6 +29,7 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """With op2's contract: four-word shingles, at most 4 differing bits, expected at a similarity of 0.96."""
     return keep_one_of_each(docs)
 
 
