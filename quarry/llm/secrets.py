@@ -15,7 +15,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,11 +39,12 @@ CLASSES = {
     "entropy_base64": (re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"), 20, 3.7),
 }
 #: Candidates that look random but are not secrets: words, snake or kebab case, paths, numbers, UUIDs, placeholders.
+#: No pattern can match a string in two ways, so that none takes more than linear time to fail.
 ALLOWED = (
     r"[A-Za-z]+",
     r"[0-9_=+/-]+",
-    r"[A-Za-z]?[a-z]*(?:[/_=+-]+[A-Za-z]?[a-z]*)*",
-    r"[A-Z]+(?:[/_=+-]+[A-Z]*)*",
+    r"[A-Z]?[a-z]*(?:[/_=+-][A-Z]?[a-z]*)*",
+    r"[A-Z][A-Z/_=+-]*",
     r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}",
     r".*(?:EXAMPLE|example|xxxx|XXXX|placeholder|0123456789|abcdefghij|ABCDEFGHIJ).*",
 )
@@ -93,11 +96,15 @@ def in_order(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
 def all_spans(text: str, base: list[tuple[str, int, int]], allowed: re.Pattern) -> list[tuple[str, int, int]]:
     found = list(base)
     for kind, (candidates, window, least) in CLASSES.items():
+        # Spans of one class never cover one another, so those found before the class decide.
+        before = sorted((s, e) for _, s, e in found)
+        starts, furthest = [s for s, _ in before], list(accumulate((e for _, e in before), max))
         for m in candidates.finditer(text):
             if not allowed.fullmatch(m[0]):
                 for lo, hi in entropy_spans(m[0], window, least):
                     lo, hi = lo + m.start(), hi + m.start()
-                    if not any(s <= lo and hi <= e for _, s, e in found):
+                    k = bisect_right(starts, lo)
+                    if not k or furthest[k - 1] < hi:
                         found.append((kind, lo, hi))
     return found
 

@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -47,9 +48,8 @@ def test_bpe_cache_is_bounded(monkeypatch):
 
 def test_packing_ids_equal_the_library():
     ours, theirs = packing.Tokenizer(JSON, public_tokenizers.PATTERN), Tokenizer.from_file(JSON)
-    theirs.encode_special_tokens = True
     for text in ODD:
-        assert ours.encode(text).tolist() == theirs.encode(text, add_special_tokens=False).ids
+        assert ours.encode_added(text).tolist() == theirs.encode(text, add_special_tokens=False).ids
 
 
 def test_packed_ids_equal_the_unmodified_library(spark):
@@ -133,6 +133,31 @@ def test_secret_base_spans_against_plain_rule(spark):
     assert secrets.scan(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("candidate", [*(c * 10_000 + "Section1" for c in "=-_/+"), "ab/" * 1000 + "1", "a" + "-" * 9_999 + "1b1b1b", "Ab_cD" * 4000 + "1"])
+def test_allow_list_takes_linear_time(candidate):
+    allowed = re.compile("|".join(f"(?:{a})" for a in secrets.ALLOWED))
+    began = time.perf_counter()
+    assert not allowed.fullmatch(candidate)
+    secrets.all_spans(candidate, secrets.base_spans(candidate), allowed)
+    assert time.perf_counter() - began < 1
+
+
+def test_allow_list_accepts_separators_in_a_row():
+    allowed = re.compile("|".join(f"(?:{a})" for a in secrets.ALLOWED))
+    for clean in ("a--b", "Some//Path_to-file", "-x", "x-", "ABC--DEF_", "snake_case_words", "1234--5678", "=" * 30):
+        assert allowed.fullmatch(clean), clean
+    for odd in ("aBc", "a1", "AB-c1", "Ab1"):
+        assert not allowed.fullmatch(odd) or odd.isalpha(), odd
+
+
+def test_a_text_of_many_secrets_takes_linear_time():
+    allowed = re.compile("|".join(f"(?:{a})" for a in secrets.ALLOWED))
+    text = "token = a1a1a1a1a1a1a1a1 x9Yk2LmQ7pZ4vN8rT3wS " * 10_000
+    began = time.perf_counter()
+    assert len(secrets.all_spans(text, secrets.base_spans(text), allowed)) == 30_000
+    assert time.perf_counter() - began < 5
+
+
 def test_entropy_windows_against_direct_computation():
     rng = random.Random(0)
     for _ in range(30):
