@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+HOT_ROWS = 50_000_000  # rows of one key that a single task may be dealt
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session's spark.checkpoint.dir names it.
 
-    Only where that is unset (tests, local mode) is a temporary folder made and kept for the session.
+    Only where that is unset and the driver is the only machine (local mode, tests) is a temporary folder made, which
+    goes with the process; a cluster without a shared folder is refused.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -19,7 +24,11 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(named)
         return named
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        made = tempfile.mkdtemp(prefix="quarry-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(made)
     return spark.sparkContext.getCheckpointDir()
 
 
@@ -33,17 +42,25 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def hot_from(total: int) -> int:
+    """From how many of `total` rows on a key is hot: a thousandth, or HOT_ROWS where that is less.
+
+    So no more than the larger of 1,000 and total / HOT_ROWS keys are hot, 200,000 of 10^13 rows, a few megabytes; and
+    what shuffles by key has neither a thousandth of the rows nor HOT_ROWS of them under one key.
+    """
+    return max(100, min(total // 1000, HOT_ROWS))
+
+
 def attach(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
     """Join rows to a table with one row per key, where `count` in the table says how many rows have that key.
 
-    A key with at least a thousandth of all rows is hot. At most 1,000 keys can be hot, so those are broadcast and
-    their rows never move; the rest shuffle, with no key above a thousandth of the rows.
+    Hot keys (`hot_from`) are broadcast and their rows never move; the rest shuffle.
     """
-    hot_from = max(100, total // 1000)
-    hot = F.broadcast(table.where(F.col(count) >= hot_from))
-    cold = table.where(F.col(count) < hot_from)
+    least = hot_from(total)
+    hot = F.broadcast(table.where(F.col(count) >= least))
+    cold = table.where(F.col(count) < least)
     here = rows.join(hot, key, "inner")
-    rest = rows.join(F.broadcast(table.where(F.col(count) >= hot_from).select(key)), key, "left_anti")
+    rest = rows.join(F.broadcast(table.where(F.col(count) >= least).select(key)), key, "left_anti")
     return here.unionByName(rest.join(cold, key, how))
 
 
@@ -52,9 +69,9 @@ def attach_spread(rows: DataFrame, table: DataFrame, key: str, count: str, total
 
     Rows of hot keys take their values from the broadcast, and shuffle by a hash of `spread` instead of their key.
     """
-    hot_from = max(100, total // 1000)
+    least = hot_from(total)
     others = [c for c in table.columns if c != key]
-    hot = table.where(F.col(count) >= hot_from).select(F.col(key), F.lit(True).alias("__hot"), *[F.col(c).alias(f"__hot_{c}") for c in others])
+    hot = table.where(F.col(count) >= least).select(F.col(key), F.lit(True).alias("__hot"), *[F.col(c).alias(f"__hot_{c}") for c in others])
     tagged = rows.join(F.broadcast(hot), key, "left")
     tagged = tagged.select(
         F.when(F.col("__hot"), F.xxhash64(*spread)).otherwise(F.col(key)).alias("__key"),
@@ -62,7 +79,7 @@ def attach_spread(rows: DataFrame, table: DataFrame, key: str, count: str, total
         *[c for c in rows.columns if c != key],
         *[f"__hot_{c}" for c in others],
     )
-    cold = table.where(F.col(count) < hot_from).withColumnRenamed(key, "__key").withColumn("__cold", F.lit(True))
+    cold = table.where(F.col(count) < least).withColumnRenamed(key, "__key").withColumn("__cold", F.lit(True))
     met = tagged.join(cold, "__key", "left").where("__own is not null or __cold")
     mine = {key: F.coalesce("__own", "__key")}
     return met.select(*[mine.get(c, F.col(c)).alias(c) for c in rows.columns], *[F.when(F.col("__own").isNotNull(), F.col(f"__hot_{c}")).otherwise(F.col(c)).alias(c) for c in others])

@@ -5,20 +5,24 @@ start). The work is divided so that equal strings meet without all-against-all m
 
 1. Anchors. In every document, each string of `length` bytes selects the least-hashed K-byte gram of its first
    W + K - 1 bytes. Equal strings select the same gram, at the same place within them. So a string can only repeat if
-   its anchor's hash repeats. Anchors shuffle once by hash, and those without another leave; the few hashes that make
-   up a thousandth of all anchors or more are known from a bounded summary before, and their rows are spread.
+   its anchor's hash repeats. Anchors shuffle once by hash, and those without another leave. A task sends one anchor of
+   a hash that it holds several times to meet others, and knows of the rest that they repeat; so no more anchors of a
+   hash meet than there are slabs of text, however common it is.
 2. Copies. An anchor's context is the text of all strings that select it (at most length + W - 1 bytes). Occurrences
-   with the same context are collapsed to the earliest before anything else; the later ones repeat it in full.
+   with the same context are collapsed to the earliest before anything else; the later ones repeat it in full. Contexts
+   are the same if the gram's hash, their sizes and two independent 64-bit hashes of all their bytes are.
 3. Shards. The distinct contexts of an anchor with two or more go to one shard, which builds a suffix array by
    Larsson-Sadakane refinement and common prefixes by Kasai's rule, both in numpy; runs of suffixes with `length`
-   bytes in common are equal strings, of which the earliest start stays. Anchors with very many contexts are dealt to
-   chunks; each pair of chunks is merged by binary search of one chunk's strings in the other's suffix array.
+   bytes in common are equal strings, of which the earliest start stays. A string holds half of its other bytes on one
+   side of the gram, so the contexts of an anchor with very many are dealt by the bytes on the left and by those on the
+   right of it: two rows each, however many there are. What still shares a side with very many is dealt to chunks; each
+   pair of chunks is merged by binary search of one chunk's strings in the other's suffix array.
 4. Spans. Starts that repeat are gathered as ranges per document, joined to the text once, and cut out.
 
 Defined results: null text is empty; texts below `length` bytes lose nothing; very long texts are used whole; rows
 with null ids come first, and of those equal texts count as one document; a repeated row (same id and text) is one
 document with its copy and both get the same result; an empty table gives an empty result; other columns may have any
-names. Ids are integers.
+names. Ids are integers. A text of 1 GiB or more, which places are not wide enough for, fails the query.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach_spread, durable
+from .common import attach, attach_spread, durable
 
 LENGTH = 100
 K = 32  # bytes of an anchor gram
@@ -41,8 +45,8 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _LOW = np.uint64((1 << 24) - 1)
 SLAB = 1 << 22  # bytes handled at a time; one document may be longer
-HOT = 1000  # anchors with this fraction of all are spread
-COUNTERS = 4000
+KNOWN = 1 << 18  # hashes that a task remembers as repeated
+LONGEST = 1 << 30
 CHUNK = 2048  # contexts of one anchor that a shard takes whole
 
 
@@ -61,10 +65,15 @@ def gram_hashes(octets: np.ndarray, k: int = K) -> np.ndarray:
         return _mix(h)
 
 
+def _words(octets: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one number."""
+    return np.ndarray((max(0, len(octets) - 7),), "<u8", octets.tobytes(), strides=(1,)).copy()
+
+
 def anchors(octets: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """For documents side by side in one array: per anchor its document's number, first and last string start, the
-    gram's place, gram hash and context hash. Places count from the array's beginning."""
-    none = (np.empty(0, np.int64),) * 4 + (np.empty(0, np.uint64),) * 2
+    gram's place, gram hash and two hashes of the whole context. Places count from the array's beginning."""
+    none = (np.empty(0, np.int64),) * 4 + (np.empty(0, np.uint64),) * 3
     if len(octets) < length:
         return none
     gram = gram_hashes(octets)
@@ -79,11 +88,15 @@ def anchors(octets: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: in
     at, doc = least[strings], doc[strings]
     new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (doc[1:] != doc[:-1]))))
     first, last = strings[new], strings[np.concatenate((new[1:], [len(strings)])) - 1]
-    end, c = last + length, (last - first).astype(np.uint64)
+    final, c = last + length - K, (last - first).astype(np.uint64)
+    d, words = c ^ _ODD, _words(octets)
     with np.errstate(over="ignore"):
-        for piece in (first, first + K, first + 2 * K, end - K, end - 2 * K, end - 3 * K):
+        for k in range(0, length + W - 1, K):  # pieces that cover the context, the last of them at its end
+            piece = np.minimum(first + k, final)
             c = _mix(c * _ODD + gram[piece])
-    return doc[new], first, last, at[new], gram[at[new]], c
+            for w in range(0, K, 8):
+                d = _mix((d ^ words[piece + w]) * _ODD)
+    return doc[new], first, last, at[new], gram[at[new]], c, d
 
 
 def _minima(gram: np.ndarray) -> np.ndarray:
@@ -263,6 +276,8 @@ def _slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray
 
     for b in batches:
         for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
+            if len(t or b"") >= LONGEST:
+                raise ValueError(f"document {i} is of {len(t)} bytes, and places go up to {LONGEST}")
             if size and size + len(t or b"") > SLAB:
                 yield flush()
                 ids, texts, size = [], [], 0
@@ -273,43 +288,60 @@ def _slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray
         yield flush()
 
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, n, seen): a summary of COUNTERS anchor hashes (Misra and Gries) and, in its first row, how many were
-    seen. A hash that makes up more than 1 / COUNTERS of them is in it, with n short by at most that share."""
-    kept, counts, seen = np.empty(0, np.uint64), np.empty(0, np.int64), 0
-    for _, octets, starts, ends in _slabs(batches):
-        h = anchors(octets, starts, ends)[4]
-        seen += len(h)
-        new, n = np.unique(h, return_counts=True)
-        kept, at = np.unique(np.concatenate((kept, new)), return_inverse=True)
-        counts = np.bincount(at, np.concatenate((counts, n)), len(kept)).astype(np.int64)
-        if len(kept) > COUNTERS:
-            counts -= np.partition(counts, len(counts) - COUNTERS - 1)[len(counts) - COUNTERS - 1]
-            kept, counts = kept[counts > 0], counts[counts > 0]
-    if seen:
-        kept, counts = np.append(kept, np.uint64(0)), np.append(counts, 0)
-        total = np.zeros(len(kept), np.int64)
-        total[0] = seen
-        yield pa.RecordBatch.from_arrays([pa.array(kept.view(np.int64)), pa.array(counts), pa.array(total)], ["h", "n", "seen"])
-
-
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+ALONE, FIRST, KNOWN_TO_REPEAT = 0, 1, 2
+
+
+def _meetings(h: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How each anchor of a slab meets others (ALONE, FIRST of several here, KNOWN_TO_REPEAT), and the sorted hashes
+    that the task now knows to repeat, a FIRST of which has been sent."""
+    order = np.argsort(h, kind="stable")
+    by = h[order]
+    head = np.concatenate(([True], by[1:] != by[:-1]))
+    several = ~(head & np.concatenate((head[1:], [True])))
+    old = known[np.minimum(np.searchsorted(known, by), len(known) - 1)] == by if len(known) else np.zeros(len(by), bool)
+    how = np.empty(len(h), np.int8)
+    how[order] = np.where(old | (several & ~head), KNOWN_TO_REPEAT, np.where(several, FIRST, ALONE))
+    new = by[head & several & ~old]
+    known = np.sort(np.concatenate((known, new)) if len(known) + len(new) <= KNOWN else new[:KNOWN])
+    return how, known
+
+
+def _anchor_rows(length: int):
     """at: first start << 16 | starts after it << 8 | the gram's offset from it."""
-    for ids, octets, starts, ends in _slabs(batches):
-        doc, first, last, gram, h, c = anchors(octets, starts, ends)
-        at = (first - starts[doc]) << 16 | (last - first) << 8 | (gram - first)
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(ids, pa.int64()).take(pa.array(doc)), pa.array(at)], ["h", "c", "doc", "at"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.empty(0, np.uint64)
+        for ids, octets, starts, ends in _slabs(batches):
+            doc, first, last, gram, h, c, d = anchors(octets, starts, ends, length)
+            if not len(doc):
+                continue
+            how, known = _meetings(h, known)
+            at = (first - starts[doc]) << 16 | (last - first) << 8 | (gram - first)
+            columns = [*(pa.array(x.view(np.int64)) for x in (h, c, d)), pa.array(ids, pa.int64()).take(pa.array(doc)), pa.array(at), pa.array(how)]
+            yield pa.RecordBatch.from_arrays(columns, ["h", "c", "d", "doc", "at", "how"])
+
+    return run
+
+
+def _contexts(length: int, most: int):
+    """A row per context, with `side` null; of an anchor with more than `most` contexts, a row for the bytes on each
+    side of the gram that has enough of them, `side` being their hash with the anchor's."""
+    other = (length - K) // 2
 
-def _contexts(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: dict[str, list] = {k: [] for k in ("h", "doc", "at", "n", "context")}
+            out: dict[str, list] = {k: [] for k in ("h", "doc", "at", "side", "context")}
             for doc, text, rows in zip(b.column("doc").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("rows").to_pylist()):
                 for r in rows:
-                    a = r["at"] >> 16
-                    for k, v in zip(out, (r["h"], doc, r["at"], r["n"], text[a : a + (r["at"] >> 8 & 255) + length])):
-                        out[k].append(v)
+                    a, g = r["at"] >> 16, r["at"] & 255
+                    t = text[a : a + (r["at"] >> 8 & 255) + length]
+                    sides: list[int | None] = [None]
+                    if r["n"] > most:
+                        beside = ((b"l", t[g - other : g]) if g >= other else None, (b"r", t[g + K : g + K + other]) if g + K + other <= len(t) else None)
+                        sides = [int.from_bytes(hashlib.blake2b(s[1], digest_size=8, key=s[0] + r["h"].to_bytes(8, "big", signed=True)).digest(), "big", signed=True) for s in beside if s]
+                    for side in sides:
+                        for k, v in zip(out, (r["h"], doc, r["at"], side, t)):
+                            out[k].append(v)
             yield pa.RecordBatch.from_arrays([*[pa.array(out[k], pa.int64()) for k in list(out)[:4]], pa.array(out["context"], pa.binary())], list(out))
 
     return run
@@ -362,30 +394,41 @@ def cut(text: bytes, ranges: list[tuple[int, int]], length: int) -> tuple[bytes,
     return b"".join([*left, text[at:]]), [(lo, hi) for lo, hi in spans]
 
 
+def _cells(contexts: DataFrame, shard: F.Column, count: F.Column) -> DataFrame:
+    """Contexts dealt to (shard, chunk, chunk): one cell for up to CHUNK of a shard, else one for each pair of chunks."""
+    dealt = contexts.withColumn("s", F.greatest(F.lit(1), F.ceil(count / CHUNK)).cast("int")).withColumn("c", F.pmod(F.xxhash64(F.lit(3), "doc", "at"), F.col("s")).cast("int"))
+    cells = dealt.select(shard.alias("shard"), "h", "doc", "at", "context", "c", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("o"))
+    return cells.select("shard", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "h", "doc", "at", "context", "c")
+
+
 def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Over columns (doc, text): rows (doc, r) with ranges of string starts; r is first << 33 | further << 2 | kind.
 
     kind 0: an anchor that occurs elsewhere; kind 1: the same range when it is the earliest with its context, which
     takes it back; kind 2: starts that the suffix arrays found to be later occurrences.
     """
-    often = durable(docs.select("doc", "text").mapInArrow(_frequent, "h long, n long, seen long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen")))
-    total = often.agg(F.coalesce(F.sum("seen"), F.lit(0))).first()[0]
-    # Every hash with a thousandth of all anchors is found; none with less than three quarters of that, so 1,334 at most.
-    hot = F.broadcast(often.where(F.col("n") > max(1, total * (1 / HOT - 1 / COUNTERS))).select("h", F.lit(True).alias("hot")))
-    rows = docs.select("doc", "text").mapInArrow(_anchor_rows, "h long, c long, doc long, at long").join(hot, "h", "left")
-    rows = rows.select(F.when(F.col("hot"), F.xxhash64("doc", "at")).otherwise(F.col("h")).alias("key"), F.when(F.col("hot"), F.col("h")).alias("own"), "c", "doc", "at")
-    shared = rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("own is not null or n > 1")
-    met = durable(shared.select(F.coalesce("own", "key").alias("h"), "c", "doc", "at"))
-    classes = durable(met.groupBy("h", "c").agg(F.min(F.struct("doc", "at")).alias("p")).select("h", "p.doc", "p.at"))
+    rows = docs.select("doc", "text").mapInArrow(_anchor_rows(length), "h long, c long, d long, doc long, at long, how byte")
+    known = F.col("how") == KNOWN_TO_REPEAT
+    rows = rows.select(F.when(known, F.xxhash64("doc", "at")).otherwise(F.col("h")).alias("key"), F.when(known, F.col("h")).alias("own"), "c", "d", "doc", "at", "how")
+    shared = rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where((F.col("how") != ALONE) | (F.col("n") > 1))
+    met = durable(shared.select(F.coalesce("own", "key").alias("h"), "c", "d", "doc", "at"))
+    classes = durable(met.groupBy("h", "c", "d").agg(F.min(F.struct("doc", "at")).alias("p")).select("h", "p.doc", "p.at"))
     several = durable(classes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
-    contexts = several.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    asked = attach_spread(classes, several, "h", "n", contexts, ["doc", "at"]).groupBy("doc").agg(F.collect_list(F.struct("h", "at", "n")).alias("rows"))
-    context = docs.join(asked, "doc").select("doc", "text", "rows").mapInArrow(_contexts(length), "h long, doc long, at long, n long, context binary")
+    contexts, most = several.agg(F.coalesce(F.sum("n"), F.lit(0)), F.max("n")).first()
+    asked = attach_spread(classes, several, "h", "n", contexts, ["doc", "at"])
+
+    def texts_of(some: DataFrame) -> DataFrame:
+        each = docs.join(some.groupBy("doc").agg(F.collect_list(F.struct("h", "at", "n")).alias("rows")), "doc").select("doc", "text", "rows")
+        return each.mapInArrow(_contexts(length, CHUNK), "h long, doc long, at long, side long, context binary")
+
     shards = max(1, contexts // CHUNK)
-    dealt = context.withColumn("s", F.ceil(F.col("n") / CHUNK).cast("int")).withColumn("c", F.pmod(F.xxhash64(F.lit(3), "doc", "at"), F.col("s")).cast("int"))
-    shard = F.when(F.col("s") == 1, F.pmod(F.xxhash64(F.lit(5), "h"), F.lit(shards))).otherwise(-1 - F.col("h").bitwiseAND(F.lit(2**62 - 1)))
-    cells = dealt.select(shard.alias("shard"), "h", "doc", "at", "context", "c", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("o"))
-    cells = cells.select("shard", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "h", "doc", "at", "context", "c")
+    cells = _cells(texts_of(asked.where(F.col("n") <= CHUNK)), F.pmod(F.xxhash64(F.lit(5), "h"), F.lit(shards)), F.lit(1))
+    if contexts and most > CHUNK:
+        sides = durable(texts_of(asked.where(F.col("n") > CHUNK)))
+        alike = durable(sides.groupBy("side").agg(F.count("*").alias("m")).where("m > 1"))
+        total = alike.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+        # Shards of the others have numbers from 0 on; these have negative ones.
+        cells = cells.unionByName(_cells(attach(sides, alike, "side", "m", total), -1 - F.col("side").bitwiseAND(F.lit(2**62 - 1)), F.col("m")))
     late = cells.groupBy("shard", "i", "j").applyInArrow(_merge(length), "doc long, r long")
     first, further = F.shiftright("at", 16), F.shiftright("at", 8).bitwiseAND(F.lit(255))
     there = F.shiftleft(first, 33).bitwiseOR(F.shiftleft(further, 2))

@@ -175,6 +175,31 @@ def test_suffix_against_plain_rule(spark, monkeypatch, chunk):
     assert got == plain_cut(rows)
 
 
+@pytest.mark.parametrize("length", [100, 150, 200])
+@pytest.mark.parametrize("chunk", [2048, 3])
+def test_suffix_of_other_lengths_and_texts_that_differ_in_the_middle(spark, monkeypatch, length, chunk):
+    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+    rng = random.Random(length)
+    rows = []
+    for k in range(0, 80, 2):  # pairs that differ in one byte, at every distance from the ends
+        t = "".join(rng.choices("abcdefgh", k=2 * length - 1))
+        rows += [(k, t), (k + 1, t[: length - 1 - k // 4] + "Z" + t[length - k // 4 :])]
+    rows += [(100 + k, t) for k, (_, t) in enumerate(passage_rows(length))]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.cut_repeats(frame(spark, rows), length=length, with_text=False).collect()}
+    assert got == plain_cut(rows, length)
+
+
+def test_suffix_common_anchors_meet_once_a_slab(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SLAB", 4000)
+    monkeypatch.setattr(suffix_dedup, "KNOWN", 4)
+    rows = passage_rows(7) + [(100 + k, "boilerplate " * 12 + str(k) * 120) for k in range(60)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.cut_repeats(frame(spark, rows), with_text=False).collect()}
+    assert got == plain_cut(rows)
+    h = np.array([5, 9, 5, 7, 9, 5], np.uint64)
+    how, known = suffix_dedup._meetings(h, np.array([9], np.uint64))
+    assert how.tolist() == [1, 2, 2, 0, 2, 2] and known.tolist() == [5, 9]
+
+
 def test_suffix_real_outputs_and_edges(spark):
     rows = [(1, "a" * 5 + "q" * 100), (2, "b" + "q" * 100 + "c")]
     got = {r.doc_id: (bytes(r.kept), [(s.start, s.end) for s in r.spans]) for r in suffix_dedup.cut_repeats(frame(spark, rows)).collect()}
