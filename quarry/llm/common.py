@@ -64,6 +64,13 @@ def attach(rows: DataFrame, table: DataFrame, key: str, count: str, total: int,
     return here.unionByName(rest.join(cold, key, how))
 
 
+def without(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """The rows whose key is not in the table of `attach`; rows of hot keys go before anything shuffles."""
+    least = hot_from(total)
+    cold = rows.join(F.broadcast(table.where(F.col(count) >= least).select(key)), key, "left_anti")
+    return cold.join(table.where(F.col(count) < least).select(key), key, "left_anti")
+
+
 def attach_spread(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, spread: list[str]) -> DataFrame:
     """The inner join of `attach` for a 64-bit key, in one pass over rows that are dear to compute.
 

@@ -7,7 +7,9 @@ small; every choice finds every link.
 
 Equal fingerprints are collapsed first. Keys that few fingerprints share are joined natively; a key that many share is
 dealt in chunks to cells (chunk i, chunk j) that each compare their two chunks and return only a spanning forest, so
-neither a task nor the output grows with the square of a group.
+neither a task nor the output grows with the square of a group. The fingerprints of a key that very many share meet by
+pigeonhole once more, over the bits that are not in the key, before they are dealt to cells; so what they send is a
+fixed number of rows each, unless that many agree on those bits too.
 
 Defined results: null text counts as empty; texts without words have fingerprint zero and link like any other; very
 long texts are used whole; null ids take part but never name a component while another id is there; rows that share an
@@ -26,12 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import attach, connected_components, durable
+from .common import attach, connected_components, durable, without
 
 BITS = 64
 SEED = 42
 DIRECT = 64  # a key shared by more fingerprints than this goes to cells
 CHUNK = 1024  # fingerprints per chunk of a cell
+SPLIT = 16_384  # a key shared by more fingerprints than this is split by further bits first
 _BIT = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -89,12 +92,24 @@ def blocks_for(count: int, distance: int) -> int:
     return 16
 
 
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _choices(places: list[int], r: int, distance: int) -> list[int]:
+    """The places in r blocks: for every choice of r - distance blocks, the mask of their bits, as a signed integer."""
+    block = [sum(1 << p for p in places[len(places) * k // r : len(places) * (k + 1) // r]) for k in range(r)]
+    return [_signed(sum(block[k] for k in some)) for some in combinations(range(r), r - distance)]
+
+
 def table_masks(r: int, distance: int) -> list[int]:
-    """For every choice of r - distance blocks, the mask of their bits, as signed integers."""
-    edges = [BITS * k // r for k in range(r + 1)]
-    block = [((1 << hi) - (1 << lo)) for lo, hi in zip(edges, edges[1:])]
-    masks = [sum(block[k] for k in some) for some in combinations(range(r), r - distance)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+    return _choices(list(range(BITS)), r, distance)
+
+
+def further_masks(mask: int, distance: int) -> list[int]:
+    """For fingerprints that agree on the mask's bits: masks over the others, on one of which close pairs agree too."""
+    others = [k for k in range(BITS) if not mask >> k & 1]
+    return _choices(others, distance + 2, distance)
 
 
 def spanning_edges(left: np.ndarray, right: np.ndarray | None, distance: int) -> list[tuple[int, int]]:
@@ -124,26 +139,43 @@ def spanning_edges(left: np.ndarray, right: np.ndarray | None, distance: int) ->
 
 
 def hamming_links(classes: DataFrame, count: int, distance: int) -> DataFrame:
-    """Edges (u, v) whose components are those of all pairs of distinct fingerprints within `distance` bits."""
-    masks = table_masks(blocks_for(count, distance), distance)
-    keys = classes.select("fp", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks)])).alias("k")).select("fp", "k.t", "k.key")
-    busy = durable(keys.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > DIRECT))
-    few = keys.join(busy, ["t", "key"], "left_anti")
-    other = few.select("t", "key", F.col("fp").alias("fp2"))
-    direct = few.join(other, ["t", "key"]).where((F.col("fp") < F.col("fp2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= distance)).select(F.col("fp").alias("u"), F.col("fp2").alias("v"))
+    """Edges (u, v) whose components are those of all pairs of distinct fingerprints within `distance` bits.
 
-    many = keys.join(busy, ["t", "key"]).withColumn("s", F.ceil(F.col("n") / CHUNK).cast("int")).withColumn("c", F.pmod(F.xxhash64(F.lit(3), F.col("fp")), F.col("s")).cast("int"))
-    cells = many.select("t", "key", "fp", "c", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("o")).select("t", "key", "fp", "c", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"))
+    Tables and keys are hashed to one number g; where two of them have the same, more is compared, and nothing else.
+    """
+    masks = table_masks(blocks_for(count, distance), distance)
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks)]))
+    keys = classes.select("fp", each.alias("k")).select("fp", "k.t", F.xxhash64("k.t", "k.key").alias("g"))
+    total = count * len(masks)
+    busy = durable(keys.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > DIRECT))
+    few = without(keys.select("fp", "g"), busy, "g", "n", total)
+    other = few.select("g", F.col("fp").alias("fp2"))
+    direct = few.join(other, "g").where((F.col("fp") < F.col("fp2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= distance)).select(F.col("fp").alias("u"), F.col("fp2").alias("v"))
+
+    many = attach(keys, busy, "g", "n", total)
+    dealt = _cells(many.where(F.col("n") <= SPLIT))
+    if (busy.agg(F.max("n")).first()[0] or 0) > SPLIT:
+        further = classes.sparkSession.createDataFrame([(t, further_masks(m % (1 << 64), distance)) for t, m in enumerate(masks)], "t int, masks array<long>")
+        again = many.where(F.col("n") > SPLIT).join(F.broadcast(further), "t").select("g", "fp", F.explode("masks").alias("mask"))
+        again = again.select(F.xxhash64("g", "mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("g"), "fp")
+        alike = durable(again.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"))
+        dealt = dealt.unionByName(_cells(attach(again, alike, "g", "n", alike.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])))
 
     def cell(key: tuple, rows: pa.Table) -> pa.Table:
         fp = rows.column("fp").to_numpy().view(np.uint64)
-        first = rows.column("c").to_numpy() == key[2].as_py()
-        edges = spanning_edges(fp[first], None if key[2] == key[3] else fp[~first], distance)
+        first = rows.column("c").to_numpy() == key[1].as_py()
+        edges = spanning_edges(fp[first], None if key[1] == key[2] else fp[~first], distance)
         u, v = zip(*edges) if edges else ((), ())
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    dense = cells.groupBy("t", "key", "i", "j").applyInArrow(cell, "u long, v long")
-    return direct.unionByName(dense)
+    return direct.unionByName(dealt.groupBy("g", "i", "j").applyInArrow(cell, "u long, v long"))
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    """Rows (g, fp, n) dealt to the cells (g, i, j) of pairs of chunks; c is a row's own chunk."""
+    dealt = rows.withColumn("s", F.ceil(F.col("n") / CHUNK).cast("int")).withColumn("c", F.pmod(F.xxhash64(F.lit(3), F.col("fp")), F.col("s")).cast("int"))
+    cells = dealt.select("g", "fp", "c", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("o"))
+    return cells.select("g", "fp", "c", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"))
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:

@@ -93,10 +93,40 @@ def near_rows(seed=4):
     return rows + [(100, None), (101, "A b"), (102, "a  B")]
 
 
-@pytest.mark.parametrize("limits", [(64, 1024), (0, 2)])
+LIMITS = [(64, 1024, 16_384), (0, 2, 100), (0, 4, 3)]
+
+
+def set_limits(monkeypatch, limits):
+    for name, value in zip(("DIRECT", "CHUNK", "SPLIT"), limits):
+        monkeypatch.setattr(simhash, name, value)
+
+
+@pytest.mark.parametrize("limits", LIMITS)
+def test_links_within_a_crowded_key(spark, monkeypatch, limits):
+    set_limits(monkeypatch, limits)
+    rng = random.Random(3)
+    fps = sorted({0xABCDEF0123400000 + rng.getrandbits(20) for _ in range(150)} | {rng.getrandbits(64) for _ in range(50)})
+    expected = components(fps, [(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 4])
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    edges = simhash.hamming_links(spark.createDataFrame([(f,) for f in signed], "fp long"), len(fps), 4)
+    found = [(r.u % (1 << 64), r.v % (1 << 64)) for r in edges.collect()]
+    assert components(fps, found) == expected
+
+
+def test_further_masks_keep_every_close_pair():
+    mask = simhash.table_masks(7, 4)[3] % (1 << 64)
+    places = [k for k in range(64) if not mask >> k & 1]
+    masks = [m % (1 << 64) for m in simhash.further_masks(mask, 4)]
+    assert len(masks) == 15 and all(m & mask == 0 for m in masks)
+    rng = random.Random(1)
+    for _ in range(200):
+        flips = sum(1 << p for p in rng.sample(places, 4))
+        assert any(m & flips == 0 for m in masks)
+
+
+@pytest.mark.parametrize("limits", LIMITS)
 def test_simhash_against_plain_rule(spark, monkeypatch, limits):
-    monkeypatch.setattr(simhash, "DIRECT", limits[0])
-    monkeypatch.setattr(simhash, "CHUNK", limits[1])
+    set_limits(monkeypatch, limits)
     rows = near_rows()
     fp = {i: plain_fingerprint(t) for i, t in rows}
     links = [(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 4]
