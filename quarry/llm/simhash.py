@@ -148,13 +148,16 @@ def hamming_links(classes: DataFrame, count: int, distance: int) -> DataFrame:
     keys = classes.select("fp", each.alias("k")).select("fp", "k.t", F.xxhash64("k.t", "k.key").alias("g"))
     total = count * len(masks)
     busy = durable(keys.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > DIRECT))
-    few = without(keys.select("fp", "g"), busy, "g", "n", total)
+    most = busy.agg(F.max("n")).first()[0] or 0
+    few = without(keys.select("fp", "g"), busy, "g", "n", total) if most else keys.select("fp", "g")
     other = few.select("g", F.col("fp").alias("fp2"))
     direct = few.join(other, "g").where((F.col("fp") < F.col("fp2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= distance)).select(F.col("fp").alias("u"), F.col("fp2").alias("v"))
 
+    if not most:
+        return direct
     many = attach(keys, busy, "g", "n", total)
     dealt = _cells(many.where(F.col("n") <= SPLIT))
-    if (busy.agg(F.max("n")).first()[0] or 0) > SPLIT:
+    if most > SPLIT:
         further = classes.sparkSession.createDataFrame([(t, further_masks(m % (1 << 64), distance)) for t, m in enumerate(masks)], "t int, masks array<long>")
         again = many.where(F.col("n") > SPLIT).join(F.broadcast(further), "t").select("g", "fp", F.explode("masks").alias("mask"))
         again = again.select(F.xxhash64("g", "mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("g"), "fp")

@@ -1,37 +1,44 @@
 """Toxicity scores by compression distance.
 
 Two zstandard dictionaries are trained, one on ordinary text and one on toxic text. The ordinary one is what
-zstandard's own training picks from windows of ordinary documents. The toxic one is the same content followed by the
-byte strings that are over-represented in toxic documents; so a window compresses to fewer bytes with it exactly as far as it holds what marks toxic text, and
-text that both know cancels out. A document's windows are compressed with both, and the bytes saved (their maximum, the
-numbers of windows that save 1, 2, 3 and 4 bytes or more, the sum) are calibrated to a probability by a logistic model.
-The calibration uses documents that the dictionaries it sees were not trained on (two folds); the final dictionaries
-are trained on all of the sample.
-
-Fitting reads the whole texts of at most `sample` labelled documents of each class, chosen by hash; scoring uses every
-whole text.
-
-Defined results: null and empty texts are scored as one empty window; labels that are null or not 0 or 1 are not
-learned from; if a document has several labels each counts; without both classes every score is the share of toxic
-labels (0 without labels); rows are independent, so repeated rows and repeated or null ids each give a row; an empty
-table gives an empty result; other columns may have any names.
+zstandard's training picks from all pieces of ordinary documents. Most of a toxic document is ordinary text as well, on
+which two dictionaries differ by chance only; so the other one is trained on the toxic documents' passages around byte
+strings that are over-represented in them, and is searched together with the ordinary one. A window then compresses to
+fewer bytes exactly as far as it holds what marks toxic text, and text that both know cancels out. A document's windows
+are compressed with both, and the bytes saved (their maximum, the numbers of windows that save 1, 2, 3 and 4 bytes or
+more, the sum) are calibrated to a probability by a logistic model. The calibration uses documents that the
+dictionaries it sees were not trained on (two folds); the final dictionaries are trained on all of the sample.
+
+Fitting reads the whole texts of at most `sample` labelled documents of each class, chosen by hash; the folds and the
+final training are tasks of their own, of which the driver gets features and dictionaries, not texts. Scoring uses
+every whole text.
+
+Defined results: null and empty texts are scored as one empty window; rows with null ids are not held out and have no
+labels; labels that are null or not 0 or 1 are not learned from; if a document has both labels each counts; without
+both classes every score is the share of toxic labels (0 without labels); rows are independent, so repeated rows and
+repeated or null ids each give a row; an empty table gives an empty result; other columns may have any names.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SAMPLE = 2000  # labelled documents of each class that fitting reads at most
 WINDOW, STRIDE = 64, 48  # bytes
 ORDINARY_BYTES = 131_072
+PIECE = 256  # bytes of an ordinary sample for training
+TOXIC_BYTES = 3072
+AROUND = 3  # bytes on each side of a mark that make its passage
+COVER = {"k": 24, "d": 6}  # segments and the strings in them that zstandard's training counts, for passages
 SEGMENTS = 300
 SIZES = (12, 10, 8, 6)  # of the byte strings considered
 ALIKE = 2
@@ -47,7 +54,7 @@ COUNTED_AT_ONCE = 2_000_000  # byte strings whose documents are counted at a tim
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:
-    return F.crc32(doc_id.cast("string")) % folds == 0
+    return F.coalesce(F.crc32(doc_id.cast("string")) % folds == 0, F.lit(False))
 
 
 def normalised(text: str | None) -> bytes:
@@ -156,16 +163,28 @@ def distinctive(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     return chosen
 
 
-def train(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
-    """The contents of the ordinary and of the toxic dictionary."""
+def _trained(size: int, samples: list[bytes], **cover: int) -> bytes:
+    """What zstandard's training makes of the samples; samples too few to train on are the dictionary themselves."""
     import zstandard
 
-    samples = [t[k : k + 256] for t in ordinary for k in range(0, len(t), 256)]
     try:
-        base = zstandard.train_dictionary(ORDINARY_BYTES, samples).as_bytes()
-    except zstandard.ZstdError:  # too little text to train on
-        base = b"".join(samples)[-ORDINARY_BYTES:]
-    return base, base + b"".join(reversed(distinctive(toxic, ordinary)))  # the last bytes are searched first
+        return zstandard.train_dictionary(size, samples, **cover).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)
+
+
+def passages(toxic: list[bytes], marks: list[bytes]) -> list[bytes]:
+    """The toxic texts' bytes in and around marks, longer marks first."""
+    if not marks:
+        return []
+    found = re.compile(b"|".join(map(re.escape, sorted(marks, key=lambda m: (-len(m), m)))))
+    return [t[max(0, m.start() - AROUND) : m.end() + AROUND] for t in toxic for m in found.finditer(t)]
+
+
+def train(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
+    """The contents of the ordinary dictionary, and of the toxic one behind it (the last bytes are searched first)."""
+    base = _trained(ORDINARY_BYTES, [t[k : k + PIECE] for t in ordinary for k in range(0, len(t), PIECE)])
+    return base, base + _trained(TOXIC_BYTES, passages(toxic, distinctive(toxic, ordinary)), **COVER)
 
 
 class Compressor:
@@ -229,34 +248,72 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return mean, scale, w
 
 
-def fit(toxic: list[str], ordinary: list[str], toxic_share: float) -> Model:
+def fit_part(part: int, sets: tuple[list[bytes], list[bytes]]) -> tuple[tuple[bytes, bytes] | None, list[list[float]], list[int]]:
+    """One of FOLDS + 1 parts of fitting on ordinary and toxic texts: a fold's features and labels by dictionaries of
+    the other texts, or, as the last part, the dictionaries of all."""
+    if part == FOLDS:
+        return train(sets[1], sets[0]), [], []
+    pair = [Compressor(c) for c in train(*([t for j, t in enumerate(s) if j % FOLDS != part] for s in (sets[1], sets[0])))]
+    mine = [(features(t, *pair), label) for label, s in enumerate(sets) for t in s[part::FOLDS]]
+    return None, [x for x, _ in mine], [y for _, y in mine]
+
+
+def calibrated(dictionaries: tuple[bytes, bytes], x: list[list[float]], y: list[int], toxic_share: float) -> Model:
     """toxic_share: of all labels; the classes' samples are weighted by it."""
+    yy = np.array(y, float)
+    weight = np.where(yy == 1, toxic_share / (yy == 1).sum(), (1 - toxic_share) / (yy == 0).sum()) * len(yy)
+    return Model(*dictionaries, *_logistic(np.array(x), yy, weight))
+
+
+def constant(toxic_share: float) -> Model:
+    nothing = np.zeros(1)
+    return Model(b"", b"", nothing, nothing, nothing, toxic_share)
+
+
+def fit(toxic: list[str], ordinary: list[str], toxic_share: float) -> Model:
+    """Fit in this process."""
     if not toxic or not ordinary:
-        nothing = np.zeros(1)
-        return Model(b"", b"", nothing, nothing, nothing, toxic_share)
-    sets = [[normalised(t) for t in texts] for texts in (toxic, ordinary)]
-    x, y = [], []
-    for k in range(FOLDS):
-        rest = [[t for j, t in enumerate(s) if j % FOLDS != k] for s in sets]
-        pair = [Compressor(c) for c in train(*rest)]
-        for label, s in ((1.0, sets[0]), (0.0, sets[1])):
-            for t in s[k::FOLDS]:
-                x.append(features(t, *pair))
-                y.append(label)
-    yy = np.array(y)
-    weight = np.where(yy == 1, toxic_share / len(toxic), (1 - toxic_share) / len(ordinary)) * len(yy)
-    return Model(*train(*sets), *_logistic(np.array(x), yy, weight))
+        return constant(toxic_share)
+    sets = [normalised(t) for t in ordinary], [normalised(t) for t in toxic]
+    parts = [fit_part(k, sets) for k in range(FOLDS + 1)]
+    return calibrated(parts[-1][0], [x for p in parts for x in p[1]], [y for p in parts for y in p[2]], toxic_share)
 
 
 def fit_from(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Fit on labels of rows that are not held out. At most 4 * sample whole texts come to the driver."""
-    usable = labels.where(F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label"))
+    """Fit on labels of rows that are not held out, on the whole texts of at most `sample` documents of each class.
+
+    Every part of fitting is a task; the driver collects a row of features for each document of the sample.
+    """
+    usable = labels.where(F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).where("__id is not null").distinct()
     shares = {r["__label"]: r["n"] for r in usable.groupBy("__label").agg(F.count("*").alias("n")).collect()}
     share = shares.get(1, 0) / max(1, sum(shares.values()))
+    if len(shares) < 2:
+        return constant(share)
     chosen = [usable.where(F.col("__label") == k).orderBy(F.xxhash64("__id"), "__id").limit(sample) for k in (0, 1)]
     few = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * sample rows
-    rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).join(few, "__id").orderBy("__id", "__label").limit(4 * sample).collect()
-    return fit([r["__text"] for r in rows if r["__label"] == 1], [r["__text"] for r in rows if r["__label"] == 0], share)
+    found = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).join(few, "__id")
+    # Ids that repeat give more rows than labels; the sample's bound holds for rows too.
+    place = F.row_number().over(Window.partitionBy("__label").orderBy(F.xxhash64("__id"), "__id", F.xxhash64("__text"), "__text"))
+    rows = found.withColumn("__at", place).where(F.col("__at") <= sample)
+    parts = rows.select(F.explode(F.sequence(F.lit(0), F.lit(FOLDS))).alias("__part"), "__label", "__at", "__text").repartitionByRange(FOLDS + 1, "__part")
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        part = key[0].as_py()
+        table = table.sort_by([("__label", "ascending"), ("__at", "ascending")])
+        texts = [normalised(t) for t in table.column("__text").to_pylist()]
+        ordinary = int((table.column("__label").to_numpy() == 0).sum())
+        made, x, y = fit_part(part, (texts[:ordinary], texts[ordinary:])) if 0 < ordinary < len(texts) else (None, [], [])
+        out = {"part": [part] * len(x), "label": y, "x": x, "ordinary": [None] * len(x), "toxic": [None] * len(x)}
+        if made:
+            out = {"part": [part], "label": [None], "x": [None], "ordinary": [made[0]], "toxic": [made[1]]}
+        return pa.table({n: pa.array(out[n], t) for n, t in (("part", pa.int32()), ("label", pa.int32()), ("x", pa.list_(pa.float64())), ("ordinary", pa.binary()), ("toxic", pa.binary()))})
+
+    got = parts.groupBy("__part").applyInArrow(run, "part int, label int, x array<double>, ordinary binary, toxic binary").collect()
+    made = [(bytes(r["ordinary"]), bytes(r["toxic"])) for r in got if r["part"] == FOLDS]
+    mine = sorted((r["part"], r["label"], r["x"]) for r in got if r["part"] < FOLDS)
+    if not made or len({y for _, y, _ in mine}) < 2:
+        return constant(share)  # labels of documents that are not there
+    return calibrated(made[0], [x for *_, x in mine], [y for _, y, _ in mine], share)
 
 
 def _scorer(model: Model):

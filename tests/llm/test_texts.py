@@ -305,7 +305,9 @@ def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (2, ""), (None, "a b"), (3, "x" * 300_000)], "doc_id long, text string")
     labels = spark.createDataFrame([(k, 0) for k in range(10)], "doc_id long, toxic int")
     one_class = toxicity.score(docs, toxicity.fit_from(docs, labels)).collect()
-    assert [r.score for r in one_class] == [0.0] * 5
+    assert [r.score for r in one_class] == [0.0] * 5 and {type(r.held_out) for r in one_class} == {bool}
+    absent = spark.createDataFrame([(100 + k, k % 2) for k in range(10)], "doc_id long, toxic int")
+    assert {r.score for r in toxicity.score(docs, toxicity.fit_from(docs, absent)).collect()} < {i / 10 for i in range(11)} | {i / 9 for i in range(10)} | {i / 8 for i in range(9)} | {i / 7 for i in range(8)}
     tiny = toxicity.fit(["bad word"], ["good word"], 0.5)
     assert toxicity.score(docs, tiny).count() == 5
     assert toxicity.score(docs.limit(0), tiny).count() == toxicity.drop_toxic(docs.limit(0), tiny).count() == 0
@@ -325,11 +327,23 @@ def test_ordinary_dictionary_learns_from_all_windows(monkeypatch):
     import zstandard
 
     seen: list[bytes] = []
-    monkeypatch.setattr(zstandard, "train_dictionary", lambda size, samples: seen.extend(samples) or zstandard.ZstdCompressionDict(b"x" * 100, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+    monkeypatch.setattr(zstandard, "train_dictionary", lambda size, samples, **_: seen.extend(samples) or zstandard.ZstdCompressionDict(b"x" * 100, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
     toxicity.train([], [b"a" * (256 * 60_000), b"the last"])
     assert len(seen) == 60_001 and seen[-1] == b"the last"
 
 
+def test_toxic_dictionary_is_trained_on_passages():
+    toxic = [b"some words idiot more words", b"nothing here", b"the end idiot"]
+    assert toxicity.passages(toxic, [b"idiot", b" idiot "]) == [b"rds idiot mor", b"nd idiot"]
+    assert toxicity.passages(toxic, []) == [] and toxicity._trained(100, []) == b""
+    rows = toxic_corpus(5, 300)
+    sides = [[toxicity.normalised(t) for _, t, y in rows if y == k] for k in (1, 0)]
+    base, both = toxicity.train(*sides)
+    assert both.startswith(base) and b"grumblef" in both[len(base) :] and b"grumblef" not in base
+    # A trained dictionary, and not the passages themselves.
+    assert len(base) < len(both) <= len(base) + toxicity.TOXIC_BYTES and both[len(base) :][:4] == b"\x37\xa4\x30\xec"
+
+
 @pytest.mark.parametrize("at_once", [50, 3000, 10**9])
 def test_document_frequencies_by_ranges(monkeypatch, at_once):
     monkeypatch.setattr(toxicity, "COUNTED_AT_ONCE", at_once)
@@ -339,6 +353,15 @@ def test_document_frequencies_by_ranges(monkeypatch, at_once):
     assert list(zip(keys.tolist(), counts.tolist())) == sorted((h, n) for h, n in plain.items() if n >= 2)
 
 
+def test_fit_in_tasks_does_not_depend_on_partitions(spark):
+    rows = toxic_corpus(6, 500)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(3, "another text of an id that repeats")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] * 2, "doc_id long, toxic int")
+    model = toxicity.fit_from(docs, labels, sample=100)
+    again = toxicity.fit_from(docs.repartition(7), labels.repartition(3), sample=100)
+    assert model.toxic == again.toxic and np.allclose(model.weights, again.weights) and b"grumblef" in model.toxic
+
+
 def test_fit_is_the_same_twice():
     rows = toxic_corpus(1, 150)
     sides = [t for _, t, y in rows if y], [t for _, t, y in rows if not y]
