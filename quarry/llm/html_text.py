@@ -1,23 +1,35 @@
 """Main-text extraction by line-block distribution.
 
 Markup is stripped to lines, one per block element. Elements that are never article text (scripts, menus, forms and
-the like, by tag, role or class) leave a gap of empty lines. Each line weighs its characters outside links, and the
-weights are summed over sliding windows of WINDOW lines. Where the sums rise over SURGE text begins, where they fall to
-zero it ends; the lines between are kept, however short. If the page marks its article (article, main, or a telling
-class) and the heaviest stretch lies inside that mark, lines inside weigh MARKED times as much and lines outside so much
-less; a mark that does not hold the heaviest stretch gives way to the next weaker one, and to none in the end.
+the like, by tag, role or class) leave a gap of empty lines, and so do lists of links. Each line weighs its characters
+outside links, and the weights are summed over sliding windows of WINDOW lines. Where the sums rise over SURGE text
+begins, where they fall to zero it ends; the lines between are kept, however short. If the page marks its article
+(article, main, or a telling class) and the heaviest stretch lies inside that mark, lines inside weigh MARKED times as
+much and lines outside so much less; a mark that does not hold the heaviest stretch gives way to the next weaker one,
+and to none in the end.
+
+Tags and class names are hints, and a hint gives way to the text: an element is not left out if it holds the page's
+article or main element; if it holds the top heading and half of all text, or running text if it is a form; if it was
+never closed and holds a quarter of all text; or if, being a form or told by its class alone, it holds the most text of
+those left out, and what remains has neither weight nor a mark.
+
+Pages are read in time proportional to their length, whatever their markup: a search for the end of a comment, of a tag
+or of a raw element that finds none is not made again.
 
 Defined results: null or empty html gives an empty text; very long pages are used whole; pages of which no window
-reaches SURGE keep their heaviest stretch; a short stretch in the same section as a kept one stays with it; unclosed and stray tags end with the element around them; rows are
-independent, so repeated rows and repeated or null ids each give a row; an empty table gives an empty result; other
-columns may have any names.
+reaches SURGE keep their heaviest stretch; a short stretch in the same section as a kept one stays with it; unclosed
+and stray tags end with the element around them; a comment, tag or raw element without an end is dropped up to its next
+character; rows are independent, so repeated rows and repeated or null ids each give a row; an empty table gives an
+empty result; other columns may have any names.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,9 +40,12 @@ WINDOW = 3
 SURGE = 80  # characters in a window that mark the start of running text
 MARKED = 4  # times the weight of lines that the page marks as its article, and one part in so many of the others
 
+LINKS = 3  # list items in a row that are links and nothing else make a menu
+
 # What HTML calls its elements, and words that sites give as class or id.
-RAW = "script|style|noscript|template|textarea|svg|iframe|object|canvas|title|select|option|math|audio|video"
-NEVER = frozenset("nav header footer aside form button fieldset dialog menu label input datalist head".split())
+RAW = frozenset("script style noscript template textarea svg iframe object canvas title math audio video".split())
+NEVER = frozenset("nav header footer aside form button fieldset dialog menu label input select option optgroup datalist head".split())
+WRAPPERS = frozenset({"form"})  # of those, what can be around a whole page
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILERPLATE = frozenset(
@@ -38,29 +53,90 @@ BOILERPLATE = frozenset(
     "gdpr header masthead menu modal nav navbar navigation newsletter notice notification overlay pagination pager paywall popup popover promo promoted promotion recommended related reply replies search login signin poll copyright "
     "respond share sharing sidebar signup skip social sponsor sponsored sponsorship subscribe subscription tagcloud tags toolbar topbar widget widgets".split()
 )
-SECTIONS = frozenset("div section article main table center td".split())
+SECTIONS = frozenset("div section article main table center td form".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Of an element that marks an article, only these words say that it is not the page's article.
 NOT_THE_ARTICLE = frozenset("ad ads advert advertisement comment comments commentlist promo related reply replies sponsored teaser".split())
 TELLING = frozenset(
     "article articlebody article-body article-content article-text body-text content entry entry-content main-content maincontent page-content post post-body post-content story story-body story-content".split()
 )
+#: Inside a marked article these words say what a part of it is.
+PARTS = frozenset({"header"})
 #: Class names that begin so describe a layout, not what is in the element.
 STATES = ("has-", "with-", "no-", "without-", "is-", "js-")
 
-_TOKEN = re.compile(rf"""<!--.*?-->|<({RAW})\b[^>]*>.*?</\1\s*>|<(/?)([a-zA-Z][\w:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][\w:-]*)([^>]*)>|<[!?][^>]*>""", re.S | re.I)
-_ATTRIBUTE = re.compile(r"""([\w:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\b(hidden)\b""")
+_NAME = re.compile(r"(/?)([a-zA-Z][\w:-]*)")
+_QUOTED = re.compile(r"""(?:[^<>"']+|"[^"]*"|'[^']*')*+""")
+_ATTRIBUTE = re.compile(r"""(?<![\w:-])([\w:-]++)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORDS = re.compile(r"[\s_-]+")
 
 
-def _traits(tag: str, attributes: str) -> tuple[bool, int]:
-    """(never article text, how surely it marks the article: 3 article, 2 main, 1 a telling class, 0)."""
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, value, attributes): kind text, open or close; comments, declarations and raw elements are left out."""
+    at, n = 0, len(page)
+    nowhere: set[str] = set()  # what is not found from here on
+    plain_until = 0  # up to here, a tag's quotes have led to no end
+
+    def find(what: str, start: int) -> int:
+        if what in nowhere:
+            return -1
+        found = page.find(what, start)
+        if found < 0:
+            nowhere.add(what)
+        return found
+
+    def raw_end(tag: str, start: int) -> int:
+        if tag in nowhere:
+            return -1
+        found = re.compile(rf"</{tag}\s*>", re.I).search(page, start)
+        if not found:
+            nowhere.add(tag)
+        return found.end() if found else -1
+
+    text_from = 0
+    while (at := page.find("<", at)) >= 0:
+        end, token = -1, None
+        if page.startswith("<!--", at):
+            end = find("-->", at + 4) + 3
+            end = end if end > 2 else -1
+        elif at + 1 < n and page[at + 1] in "!?":
+            end = find(">", at + 2) + 1 or -1
+        elif name := _NAME.match(page, at + 1):
+            if at >= plain_until:
+                stop = _QUOTED.match(page, name.end()).end()
+                if stop < n and page[stop] == ">":
+                    end = stop + 1
+                else:
+                    plain_until = stop
+            if end < 0:
+                end = find(">", name.end()) + 1 or -1
+            tag = name[2].lower()
+            token = ("close" if name[1] else "open", tag, page[name.end() : end - 1] if end > 0 else "")
+            if end > 0 and tag in RAW:
+                token = None
+                if not name[1] and (closed := raw_end(tag, end)) > 0:
+                    end = closed
+        if end < 0:
+            at += 1
+            continue
+        if at > text_from:
+            yield "text", page[text_from:at], ""
+        if token:
+            yield token
+        at = text_from = end
+    if text_from < n:
+        yield "text", page[text_from:], ""
+
+
+def _traits(tag: str, attributes: str) -> tuple[bool, frozenset[str], int]:
+    """(never article text, words of class and id, how surely it marks the article: 3 article, 2 main, 1 a telling
+    class, 0)."""
     never, mark = tag in NEVER, {"article": 3, "main": 2}.get(tag, 0)
     words: set[str] = set()
     if attributes and not attributes.isspace():
-        for name, *values, bare in _ATTRIBUTE.findall(attributes):
+        for name, *values in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), next((v for v in values if v), "").lower()
-            if bare or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
+            if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
                 never = True
             elif name == "role":
                 never |= value in ROLES
@@ -71,78 +147,148 @@ def _traits(tag: str, attributes: str) -> tuple[bool, int]:
                 names = [n for n in value.split() if not n.startswith(STATES)]
                 words.update(w for n in names for w in _WORDS.split(n))
                 mark = max(mark, 0 if TELLING.isdisjoint(names) else 1)
-    return never or not (BOILERPLATE if mark == 0 else NOT_THE_ARTICLE).isdisjoint(words), mark
+    return never, frozenset(words), mark
 
 
-def lines_of(page: str) -> list[tuple[str, int, int, int]]:
-    """(text, characters outside links, mark, section) per block in page order; boilerplate leaves empty lines.
+class Element:
+    """An open block element; elements are numbered in page order, so those inside one follow it."""
 
-    section numbers the innermost element around the block that groups blocks, with 0 for the page itself.
-    """
-    lines: list[tuple[str, int, int, int]] = []
-    stack: list[tuple[str, bool, int, int]] = []  # tag, never, mark and section of every open block element
+    __slots__ = ("closed", "last", "lines", "mark", "never", "parent", "section", "start", "tag", "words")
+
+    def __init__(self, tag: str, never: bool, words: frozenset[str], mark: int, parent: int, start: int):
+        self.tag, self.never, self.words, self.mark, self.parent, self.start = tag, never, words, mark, parent, start
+        self.closed, self.last, self.lines, self.section = False, -1, (start, start), 0
+
+
+def parse(page: str) -> tuple[list[tuple[str, int, int]], list[Element]]:
+    """Lines (text, characters outside links, element) in page order and all block elements; element 0 is the page."""
+    lines: list[tuple[str, int, int]] = []
+    elements = [Element("", False, frozenset(), 0, -1, 0)]
+    stack, open_ = [0], Counter()
     text: list[str] = []
-    linked, in_link, silent = 0, 0, 0
+    linked, in_link = 0, False
 
     def end_line() -> None:
         nonlocal linked
         if text:
             words = " ".join(html.unescape("".join(text)).split())
             if words:
-                lines.append((words, max(0, len(words) - linked), max((s[2] for s in stack), default=0), stack[-1][3] if stack else 0))
+                lines.append((words, max(0, len(words) - linked), stack[-1]))
             text.clear()
         linked = 0
 
     def close(upto: int) -> None:
-        nonlocal silent
-        for _, never, _, _ in stack[upto:]:
-            if never:
-                silent -= 1
-                lines.extend([("", 0, 0, 0)] * WINDOW)
+        for k in stack[upto:]:
+            elements[k].last, elements[k].lines = len(elements) - 1, (elements[k].start, len(lines))
+            open_[elements[k].tag] -= 1
         del stack[upto:]
 
-    at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at and not silent:
-            piece = page[at : m.start()]
-            text.append(piece)
+    for kind, value, attributes in tokens(page):
+        if kind == "text":
+            text.append(value)
             if in_link:
-                linked += len(piece)
-        at = m.end()
-        tag = (m[3] or m[6] or "").lower()
-        if not tag:
-            continue
-        closing, attributes = m[2] or m[5], m[4] or m[7] or ""
-        if tag in INLINE or tag == "br":
-            if tag == "a":
-                in_link = 0 if closing else 1
-            if tag in ("br", "img") and not silent:
+                linked += len(value)
+        elif value in INLINE or value == "br":
+            if value == "a":
+                in_link = kind == "open"
+            if value in ("br", "img"):
                 text.append(" ")
-            continue
-        end_line()
-        in_link = 0
-        if closing:
-            open_ = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if open_ is not None:
-                close(open_)
-        elif tag not in VOID and not attributes.rstrip().endswith("/"):
-            never, mark = _traits(tag, attributes)
-            inside = any(s[2] >= 2 for s in stack)
-            if tag == "header" and inside:
-                never = False  # an article's own heading
-            if tag in ("article", "main") and silent and not never and not inside:
-                close(next(k for k, s in enumerate(stack) if s[1]))  # what stood open around it was never closed
-            if tag == "p" and stack and stack[-1][0] == "p":
-                close(len(stack) - 1)
-            around = stack[-1][3] if stack else 0
-            stack.append((tag, never, mark, m.start() + 1 if tag in SECTIONS else around))
-            if never:
-                silent += 1
-                lines.extend([("", 0, 0, 0)] * WINDOW)
-    if at < len(page) and not silent:
-        text.append(page[at:])
+        else:
+            end_line()
+            in_link = False
+            if kind == "close":
+                if open_[value]:
+                    at = next(k for k in range(len(stack) - 1, -1, -1) if elements[stack[k]].tag == value)
+                    elements[stack[at]].closed = True
+                    close(at)
+            elif value not in VOID and not attributes.rstrip().endswith("/"):
+                if value == "p" and elements[stack[-1]].tag == "p":
+                    elements[stack[-1]].closed = True
+                    close(len(stack) - 1)
+                elements.append(Element(value, *_traits(value, attributes), stack[-1], len(lines)))
+                stack.append(len(elements) - 1)
+                open_[value] += 1
     end_line()
-    return lines
+    close(0)
+    return lines, elements
+
+
+def _left_out(lines: list[tuple[str, int, int]], elements: list[Element]) -> list[bool]:
+    """Whether each element, or one around it, is left out; sets the elements' marks and sections to those in force."""
+    upto = list(accumulate((len(t) for t, *_ in lines), initial=0))
+    held = [upto[e.lines[1]] - upto[e.lines[0]] for e in elements]
+
+    def inside(flags: list[bool]) -> list[int]:
+        before = list(accumulate(flags, initial=0))
+        return [before[e.last + 1] - before[k + 1] for k, e in enumerate(elements)]
+
+    articles = inside([e.tag in ("article", "main") and e.words.isdisjoint(NOT_THE_ARTICLE) for e in elements])
+    tops = inside([e.tag == "h1" for e in elements])
+    marks, hints = [0] * len(elements), [False] * len(elements)
+    for k, e in enumerate(elements):
+        around = marks[e.parent] if k else 0
+        words = NOT_THE_ARTICLE if e.mark else BOILERPLATE - PARTS if around else BOILERPLATE
+        hints[k] = (e.never and not (e.tag == "header" and around >= 2)) or not words.isdisjoint(e.words)
+        marks[k] = max(around, e.mark)
+    most = held[0]
+
+    def gives_way(k: int, e: Element) -> bool:
+        headed = tops[k] and (2 * held[k] >= most or (e.tag in WRAPPERS and held[k] >= SURGE))
+        return bool(articles[k] or headed or (not e.closed and 4 * held[k] >= most))
+
+    hints = [h and not gives_way(k, e) for k, (h, e) in enumerate(zip(hints, elements))]
+
+    def spread(flags: list[bool]) -> list[bool]:
+        out = list(flags)
+        for k, e in enumerate(elements[1:], 1):
+            out[k] |= out[e.parent]
+        return out
+
+    gone = spread(hints)
+    weights = [0 if gone[k] else w for _, w, k in lines]
+    marked = any(marks[k] and not gone[k] for *_, k in lines)
+    if not marked and max((sum(weights[k : k + WINDOW]) for k in range(len(weights))), default=0) < SURGE:
+        around = [k for k, (h, e) in enumerate(zip(hints, elements)) if h and not gone[e.parent] and e.tag not in NEVER - WRAPPERS]
+        if around:
+            top = max(around, key=held.__getitem__)
+            within = range(top, elements[top].last + 1)
+            gone = spread([h and not (k in within and 2 * held[k] >= held[top] and e.tag not in NEVER - WRAPPERS) for k, (h, e) in enumerate(zip(hints, elements))])
+    for k, e in enumerate(elements):
+        around = elements[e.parent] if k else None
+        e.section = k if e.tag in SECTIONS else around.section if around else 0
+        e.mark = marks[k]
+    return gone
+
+
+def lines_of(page: str) -> list[tuple[str, int, int, int]]:
+    """(text, characters outside links, mark, section) per block in page order; boilerplate leaves empty lines.
+
+    section numbers the innermost element around the block that groups blocks, with 0 for the page itself.
+    """
+    lines, elements = parse(page)
+    gone = _left_out(lines, elements)
+    gap = [("", 0, 0, 0)] * WINDOW
+    # A gap is where elements that are left out begin and end, also if they are empty.
+    cuts = {at for k, e in enumerate(elements) if k and gone[k] and not gone[e.parent] for at in e.lines}
+    out: list[tuple[str, int, int, int]] = []
+    links: list[tuple[str, int, int, int]] = []
+
+    def end_links() -> None:
+        out.extend(gap if len(links) >= LINKS else links)
+        links.clear()
+
+    for n, (text, weight, k) in enumerate(lines):
+        e = elements[k]
+        row = (text, weight, e.mark, e.section)
+        item = not weight and (e.tag == "li" or (e.parent > 0 and elements[e.parent].tag == "li"))
+        if n in cuts or not item:
+            end_links()
+        if n in cuts:
+            out.extend(gap)
+        if not gone[k]:
+            (links if item else out).append(row)
+    end_links()
+    return out
 
 
 def stretches(weights: list[int]) -> list[tuple[int, int, int]]:

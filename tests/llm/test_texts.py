@@ -226,6 +226,59 @@ def test_a_mark_must_hold_the_heaviest_stretch_and_window_sums_choose_inside_it(
     assert extract(f"<article><h1><a href=x>Title</a></h1>{body}<p>End.</p></article><li><a href=y>Next</a></li><article>{body}</article>") == f"Title {text} End. {text}"
 
 
+STORY = "A long sentence of the story that goes on. " * 4
+P = f"<p>{STORY}</p>"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<body><form id=aspnetForm><nav><a href=x>Home</a></nav><div>{P}<p>End.</p></div><footer>Imprint</footer></form></body>", STORY + "End."),
+        (f"<body><nav><ul><li><a href=x>Home</a><li><a href=y>Two</a></ul><div>{P}<p>End.</p></div></body>", STORY + "End."),
+        (f"<div class=search-result-page><div class=menu>Menu</div><h1>Top</h1>{P}<p>End.</p></div>", "Top " + STORY + "End."),
+        (f"<div class=search-result-page><div class=menu>Menu</div>{P}<p>End.</p></div>", STORY + "End."),
+        (f"<article><div class=entry-header><h1>Title</h1></div>{P}</article>", "Title " + STORY),
+        (f"<article>{P}<ul><li><a href=1>One link</a></li><li><a href=2>Two link</a><li><a href=3>Three</a></ul>{P}</article>", STORY + STORY),
+        (f"<datalist><option>x</datalist><article>{P}</article><select><option>z</option></select>", STORY),
+        (f"<article>{P}<div class=share>Share this</div></article>", STORY),
+        (f"<div><h1>Head</h1>{P}</div><div class=comments>{P * 10}</div>", "Head " + STORY),
+        (f"<article>{P}</article><footer>&copy; x y z", STORY),
+        ("<article><p>Short.</p></article><footer>A long imprint that is longer than the article of the page is, by far, and says nothing of worth.</footer>", "Short."),
+        (f"<p title='a > b'>{STORY}</p><script>if (a < b) </scripted> '</p>'</script>", STORY),
+    ],
+)
+def test_hints_give_way_to_the_text(page, text):
+    assert extract(page) == " ".join(text.split())
+
+
+@pytest.mark.parametrize("piece", ["<option>", "<!--", "<div>", "<a ", "<", "</div>", '<a "', "<p class='", "<script>", "<svg ", "<div class=ad>", "<p>x", "<nav><li><a href=x>y"])
+def test_a_megabyte_of_unclosed_markup_takes_linear_time(piece):
+    page = piece * (1_000_000 // len(piece))
+    began = time.perf_counter()
+    extract(page)
+    extract(f"<p {'a' * 500_000}>{P}")
+    assert time.perf_counter() - began < 5
+
+
+def made_page(rng):
+    """A page of one of several layouts without article elements, and the text that it was made around."""
+    words = lambda lo, hi: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(lo, hi)))
+    title, body = words(2, 5), [words(18, 60) for _ in range(rng.randint(2, 6))]
+    body.insert(rng.randint(1, len(body)), words(2, 4))
+    inner = f"<h1>{title}</h1>" + "".join(f"<p>{p}" + rng.choice(["</p>", "", "</p>\n<div class=ad>" + words(4, 20) + "</div>"]) for p in body)
+    wrap = rng.choice(["<main>{}</main>", "<div class=content>{}</div>", "<div>{}</div>", "<table><tr><td>{}</td></tr></table>", "<form id=all>{}</form>", "<section>{}</section>"])
+    before = [f"<nav><ul>{''.join(f'<li><a href=x>{words(1, 3)}</a></li>' for _ in range(5))}</ul></nav>", f"<header><p>{words(10, 30)}</p></header>", f"<div id=cookie-notice>{words(20, 40)}</div>", f"<div class=sidebar><p>{words(20, 50)}</p></div>", "<script>var a='<p>no</p>';</script>"]
+    after = [f"<section id=comments>{''.join(f'<p>{words(10, 60)}</p>' for _ in range(4))}</section>", f"<footer>{words(3, 30)}</footer>", f"<form><label>{words(2, 5)}</label><input></form>", f"<aside>{words(20, 40)}</aside>", f"<div class=related><ul>{''.join(f'<li><a href=x>{words(3, 8)}</a></li>' for _ in range(4))}</ul></div>"]
+    some = lambda parts: "".join(rng.sample(parts, rng.randint(1, len(parts))))
+    return f"<html><head><title>{title}</title></head><body>{some(before)}{wrap.format(inner)}{some(after)}</body></html>", " ".join([title, *body])
+
+
+def test_made_pages_of_several_layouts():
+    rng = random.Random(11)
+    pages = [made_page(rng) for _ in range(300)]
+    assert [k for k, (page, text) in enumerate(pages) if extract(page) != text] == []
+
+
 def test_html_edges(spark):
     pages = spark.createDataFrame([(1, "u", None, "x"), (2, None, "", "x"), (None, "u", "plain &lt;text&gt; &#x263A;", "x"), (None, "u", "plain &lt;text&gt; &#x263A;", "x"), (3, "u", "<p>" + "word " * 50_000, "x")], "page_id long, url string, html string, text string")
     got = main_text(pages).collect()
