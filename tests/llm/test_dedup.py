@@ -8,6 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quarry.llm import common, embedding_dedup, simhash, suffix_dedup
+from quarry.llm import exact_dedup as exact_dedup_module
 from quarry.llm.exact_dedup import drop_exact_duplicates, exact_dedup
 
 DOCS = "doc_id long, text string, keep_id string, fp int, h string, row string, id string, n int"
@@ -36,10 +37,29 @@ def test_exact_against_plain_rule(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(g[0] for g in groups.values())
 
 
-def test_exact_is_the_same_with_a_saturated_filter(spark):
-    rows = random_rows(2)
+@pytest.mark.parametrize("bits, least", [(1, 0), (2**15, 0), (2**28, 0)])
+def test_exact_is_the_same_with_filters_that_are_not_broadcast_or_saturated(spark, monkeypatch, bits, least):
+    monkeypatch.setattr(common, "hot_from", lambda total: 5)
+    rows = random_rows(2) + [(1000 + k, "the same") for k in range(40)] + [(1001, "the same"), (1000, "the same")]
     one = sorted(map(tuple, exact_dedup(frame(spark, rows)).collect()))
-    assert sorted(map(tuple, exact_dedup(frame(spark, rows), max_bits=1).collect())) == one
+    assert sorted(map(tuple, exact_dedup(frame(spark, rows), broadcast_bits=bits).collect())) == one
+    kept = sorted(map(tuple, drop_exact_duplicates(frame(spark, rows)).collect()))
+    assert len(kept) == len({r[4] for r in one})
+    assert sorted(map(tuple, drop_exact_duplicates(frame(spark, rows), broadcast_bits=bits, broadcast_rows=least).collect())) == kept
+
+
+def test_the_filter_grows_with_the_rows(spark):
+    digests = spark.range(20_000).select(F.sha2(F.col("id").cast("string"), 256).alias("s"))
+    slots = exact_dedup_module.set_slots(digests, "s", 20_000, 2)
+    assert slots.blocks * exact_dedup_module.BLOCK_BITS >= 16 * 20_000 and slots.broadcast
+    assert not exact_dedup_module.set_slots(digests, "s", 20_000, 2, broadcast_bits=2**15).broadcast
+    assert slots.test(digests, "s").where("__maybe").count() < 400
+
+
+def test_of_rows_that_share_id_and_text_the_same_one_stays(spark):
+    rows = [(1, "a", str(k), k, "y", "z", "w", 2) for k in range(30)]
+    kept = {tuple(drop_exact_duplicates(spark.createDataFrame(rows, DOCS).repartition(n)).collect()[0]) for n in (1, 3, 7)}
+    assert len(kept) == 1
 
 
 def test_exact_edges(spark):
