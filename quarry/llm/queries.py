@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.partitioning import spread
 from .byte_bpe import encode_documents
-from .common import read_table, shared_dir
+from .common import durable, read_table, remove, shared_dir
 from .embedding_dedup import near_vectors
 from .exact_dedup import exact_dedup
 from .html_text import main_text
@@ -67,7 +67,11 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_warc(read_table(spark, sf_dir, "pages"), path)
-    return page_records(read_warc(spark, path))
+    responses = read_warc(spark, path, where=(("warc_type", "=", "response"),))
+    revisits = read_warc(spark, path, payload=False, where=(("warc_type", "=", "revisit"),))
+    found = durable(page_records(responses).unionByName(page_records(revisits)))
+    remove(spark, path)
+    return found
 
 
 OP9_SQL = """

@@ -7,8 +7,9 @@ revisit records that refer to it.
 
 Reading (format "warc"). The driver lists the files and plans one partition per file. A task parses a record's headers
 first and tests the pushed predicates on them; the payload of a record that fails, or of any record if the option
-`payload` is false, is skipped by its length, neither read into Python nor decoded. Predicates on any column but
-payload and http_length are pushed down. Files ending in .gz are read through their members.
+`payload` is false, is skipped by its length, neither read into Python nor decoded. Predicates on the record type and
+the other header columns (HEADERS) are pushed down: those given to `read_warc`, which belong to that load alone, and on
+demand those that Spark finds in a query. Files ending in .gz are read through their members.
 
 Defined results: null html is an empty payload; a null url leaves out the target; null ids are written as "null" and
 come back as null; repeated rows each get a record; an empty table gives an archive without records; malformed records
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import json
 import re
 from collections.abc import Iterator
 
@@ -119,6 +121,27 @@ def filesystem(path: str) -> tuple:
     return fs.LocalFileSystem(), path
 
 
+def predicate(column: str, kind: str, value: str | list[str] | None = None) -> Filter:
+    """A predicate on a header column: kind is =, !=, in, not in, null, not null, starts, ends or contains."""
+    if column not in HEADERS:
+        raise ValueError(f"no header column {column}; there are {', '.join(HEADERS)}")
+    at = (column,)
+    made = {
+        "=": lambda: EqualTo(at, value),
+        "!=": lambda: Not(EqualTo(at, value)),
+        "in": lambda: In(at, tuple(value)),
+        "not in": lambda: Not(In(at, tuple(value))),
+        "null": lambda: IsNull(at),
+        "not null": lambda: IsNotNull(at),
+        "starts": lambda: StringStartsWith(at, value),
+        "ends": lambda: StringEndsWith(at, value),
+        "contains": lambda: StringContains(at, value),
+    }
+    if kind not in made:
+        raise ValueError(f"no predicate {kind}; there are {', '.join(made)}")
+    return made[kind]()
+
+
 class WarcPartition(InputPartition):
     def __init__(self, path: str):
         super().__init__(path)
@@ -129,14 +152,7 @@ class WarcReader(DataSourceReader):
     def __init__(self, options: dict):
         self.root = options["path"]
         self.payload = options.get("payload", "true").lower() != "false"
-        self.tests: list[Filter] = []
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for test in filters:
-            if pushable(test):
-                self.tests.append(test)
-            else:
-                yield test
+        self.tests: list[Filter] = [predicate(*p) for p in json.loads(options.get("predicates", "[]"))]
 
     def partitions(self) -> list[WarcPartition]:
         from pyarrow import fs
@@ -178,7 +194,10 @@ class WarcReader(DataSourceReader):
                 return
             if not line.startswith(b"WARC/"):
                 raise ValueError(f"{name}: no record at {stream.tell() - len(line)}")
+            start = stream.tell() - len(line)
             head = read_headers(stream)
+            if not head.get("content-length", "").isdigit():
+                raise ValueError(f"{name}: no length of the record at {start}")
             length = int(head["content-length"])
             row = {column: head.get(header) for column, header in HEADERS.items()}
             if not all(matches(t, row) for t in self.tests):
@@ -199,6 +218,17 @@ class WarcReader(DataSourceReader):
             yield (*row.values(), length, http_length, payload)
 
 
+class PushingWarcReader(WarcReader):
+    """Takes predicates from Spark as well."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for test in filters:
+            if pushable(test):
+                self.tests.append(test)
+            else:
+                yield test
+
+
 class _Seekable(io.RawIOBase):
     """A pyarrow file as a raw stream that can seek."""
 
@@ -247,19 +277,25 @@ class WarcDataSource(DataSource):
         return SCHEMA
 
     def reader(self, schema: StructType) -> WarcReader:
-        return WarcReader(self.options)
+        return (PushingWarcReader if self.options.get("pushdown", "false").lower() == "true" else WarcReader)(self.options)
 
 
-def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """The records of the archives at path, with predicate pushdown switched on for the session.
+def read_warc(spark: SparkSession, path: str, payload: bool = True, where: tuple[tuple, ...] = (), pushdown: bool = False) -> DataFrame:
+    """The records of the archives at path whose headers pass all predicates of `where` (column, kind[, value]).
 
-    Spark keeps what was last pushed to a loaded Python source and would use it for a later scan without predicates.
-    The predicate here, which every record passes, makes each scan push its own. Within one query, load once for each
-    set of predicates: two differently filtered uses of one load would share the last one's.
+    With pushdown, Spark's own predicates on header columns reach the reader too, if the session has
+    spark.sql.python.filterPushdown.enabled (else this fails). Spark keeps what it last pushed to a loaded Python source,
+    so such a frame is for one set of predicates; `where` has no such limit.
     """
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    if pushdown and spark.conf.get("spark.sql.python.filterPushdown.enabled", "false") != "true":
+        raise ValueError("set spark.sql.python.filterPushdown.enabled for the session first")
     spark.dataSource.register(WarcDataSource)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path).where("warc_type is not null")
+    made = [list(p) for p in where]
+    for p in made:
+        predicate(*p)
+    options = {"payload": str(payload).lower(), "predicates": json.dumps(made), "pushdown": str(pushdown).lower()}
+    records = spark.read.format("warc").options(**options).load(path)
+    return records.where("warc_type is not null") if pushdown else records  # so that each scan pushes something
 
 
 def page_records(records: DataFrame, id_col: str = "page_id") -> DataFrame:

@@ -303,9 +303,24 @@ def test_warc_predicates_are_pushed_and_payloads_skipped(spark, tmp_path):
     pages = spark.createDataFrame([(k, f"http://h{k % 3}/", "z" * (1200 + k % 2)) for k in range(20)], "page_id long, url string, html string")
     path = str(tmp_path / "w")
     write_warc(pages, path)
-    assert read_warc(spark, path).where("warc_type = 'revisit'").count() == 18
-    assert read_warc(spark, path).where("target_uri like 'http://h1%' and warc_type in ('response', 'revisit')").count() == 7
-    assert read_warc(spark, path).where("refers_to is null").count() == 2
+    for pushdown in ("false", "true"):
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", pushdown)
+        read = lambda: read_warc(spark, path, pushdown=pushdown == "true")  # noqa: E731, B023
+        assert read().where("warc_type = 'revisit'").count() == 18
+        assert read().where("target_uri like 'http://h1%' and warc_type in ('response', 'revisit')").count() == 7
+        assert read().where("refers_to is null").count() == 2
+    spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    with pytest.raises(ValueError, match="filterPushdown"):
+        read_warc(spark, path, pushdown=True)
+    of = lambda *where: read_warc(spark, path, where=where)
+    revisits = of(("warc_type", "=", "revisit"))
+    assert revisits.count() == 18 and revisits.where("target_uri like 'http://h1%'").count() + revisits.where("target_uri not like 'http://h1%'").count() == 18
+    assert of(("target_uri", "starts", "http://h1"), ("warc_type", "in", ["response", "revisit"])).count() == 7
+    assert of(("refers_to", "null")).count() == 2 and of(("refers_to", "not null")).count() == 18 and of(("target_uri", "contains", "h2"), ("target_uri", "ends", "/")).count() == 6
+    assert of(("warc_type", "!=", "revisit")).count() == 2 and of(("warc_type", "not in", ["response"])).count() == 18
+    for wrong in (("payload", "=", "x"), ("warc_type", "~", "x")):
+        with pytest.raises(ValueError):
+            of(wrong)
     skipped = read_warc(spark, path, payload=False).where("warc_type = 'response'").collect()
     assert len(skipped) == 2 and all(r.payload is None and r.content_length > 1200 for r in skipped)
     empty = str(tmp_path / "e")
@@ -320,9 +335,10 @@ def test_warc_reads_compressed_and_folded_headers(spark, tmp_path):
     (tmp_path / "a.warc.gz").write_bytes(gzip.compress(record) + gzip.compress(record))
     got = read_warc(spark, str(tmp_path)).collect()
     assert [(r.record_id, r.warc_type, bytes(r.payload)) for r in got] == [("<a>", "metadata", b"hello")] * 2
-    (tmp_path / "b.warc").write_bytes(b"nonsense\r\n")
-    with pytest.raises(Exception, match="no record"):
-        read_warc(spark, str(tmp_path)).collect()
+    for content, message in ((b"nonsense\r\n", "no record"), (b"WARC/1.0\r\nWARC-Type: metadata\r\n\r\nx", "no length")):
+        (tmp_path / "b.warc").write_bytes(content)
+        with pytest.raises(Exception, match=message):
+            read_warc(spark, str(tmp_path)).collect()
 
 
 def toxic_corpus(seed, n):
