@@ -293,9 +293,23 @@ def vectors(spark, rows):
     return spark.createDataFrame([(i, v, b, 1, "k", 2) for i, v, b in rows], VECTORS)
 
 
-@pytest.mark.parametrize("chunk", [256, 3])
-def test_embeddings_against_brute_force(spark, monkeypatch, chunk):
+@pytest.mark.parametrize("hashes", [1, 2, 3, 4, 5, 6])
+@pytest.mark.parametrize("width", [64, 384])
+def test_pairs_at_the_threshold_share_a_bucket(hashes, width):
+    rng = np.random.default_rng([hashes, width])
+    a, b = rng.normal(size=(2, 500, width))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = 0.98 * a + np.sqrt(1 - 0.98**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    left, right = (embedding_dedup.bucket_codes(x, hashes, embedding_dedup.TABLES[hashes]) for x in (a, b))
+    shared = (left[:, :, :, None] == right[:, :, None, :]).any((1, 2, 3))
+    assert shared.mean() >= 0.98
+
+
+@pytest.mark.parametrize("chunk, split", [(256, 16_384), (3, 16_384), (4, 5)])
+def test_embeddings_against_brute_force(spark, monkeypatch, chunk, split):
     monkeypatch.setattr(embedding_dedup, "CHUNK", chunk)
+    monkeypatch.setattr(embedding_dedup, "SPLIT", split)
     rng = np.random.default_rng(chunk)
     rows = []
     for c in range(40):
