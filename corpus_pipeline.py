@@ -2,6 +2,12 @@
 
 Toxic documents go, of equal and of nearly equal documents one stays, secrets in the texts are replaced by a mark, and
 what is left is packed into sequences.
+
+Defined results: null texts count as empty, are equal to one another and stay null; a null id sorts after every other;
+rows that share an id but not a text are documents of their own, and are kept or dropped each for itself; of repeated
+rows (same id and text) one stays; ties between equal documents go to the smallest id, between ids to the text (by its
+hash); very long texts are used whole; an empty table gives empty results with the columns of the others; all stages
+but the last return the columns of documents, whatever further ones it has.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm.common import read_table, shared_dir
+from quarry.llm.common import read_table, remove, shared_dir
 from quarry.llm.exact_dedup import drop_exact_duplicates
 from quarry.llm.packing import pack
 from quarry.llm.secrets import redact
@@ -55,10 +61,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; each stage's result is a Parquet table in the shared folder."""
+    """Apply the stages to documents; each stage's result is a Parquet table in the shared folder, which goes once the
+    next one is written. The last one is what is returned."""
     at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}-{name}")
-        docs = spark.read.parquet(f"{at}/{k}-{name}")
+        here = f"{at}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(here)
+        docs = spark.read.parquet(here)
+        if before:
+            remove(spark, before)
+        before = here
     return docs
