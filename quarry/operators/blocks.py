@@ -120,9 +120,11 @@ def build_blocks(pages: DataFrame, initial_paths: DataFrame, chapters: dict[str,
         )
 
     detailed = folded.select("document_id", "pdf_page", F.transform("lines", detail).alias("lines"))
-    count = F.coalesce(F.array_max(F.transform("lines", lambda x: x["no"])), F.lit(0))
-    numbers = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-    grouped = detailed.select("document_id", "pdf_page", F.explode(F.transform(numbers, lambda b: F.filter("lines", lambda x: x["no"] == b))).alias("m"))
+    # A block's lines are next to each other, so blocks are slices between the places where the number changes.
+    places = F.transform("lines", lambda x, i: F.when((i == 0) | (F.get(F.col("lines"), i - 1)["no"] != x["no"]), i + 1))
+    begun = detailed.select("document_id", "pdf_page", "lines", F.array_append(F.array_compact(places), F.size("lines") + 1).alias("starts"))
+    slices = F.transform(F.slice("starts", 1, F.size("starts") - 1), lambda s, j: F.slice("lines", s, F.get(F.col("starts"), j + 1) - s))
+    grouped = begun.select("document_id", "pdf_page", F.explode(slices).alias("m"))
     head, lines = F.col("m")[0], F.transform("m", lambda x: x["line"])
     merged = F.size("m") > 1
     text = F.array_join(F.transform(lines, lambda x: x["text"]), "")

@@ -2,17 +2,21 @@
 
 Windows have a fixed step, so the windows that a block touches follow from its place by arithmetic: blocks are exploded
 to their windows and grouped, and no range join or whole-document string is made. Structural chunks are a sequential
-fold over the blocks of a document; it runs over three small numbers a block, and the block travels along.
+fold over the blocks of a document; it runs over a few small numbers a block, and the texts stay where they are (a
+tokenizer file, which has to see texts together, is the exception).
+
+Blocks come in the order of ORDER: by page, then by the number in the block's id, which is longer if it is larger.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +24,7 @@ from pyspark.sql import types as T
 from ..functions import text as tx
 
 SKIPPED = ("header_footer",)
+ORDER = ("pdf_page", "block_digits", "block_id")
 TOKEN_PROFILES = ((256, 51), (512, 102), (1024, 205))
 
 
@@ -60,8 +65,9 @@ def file_offsets(path: str, text: str) -> list[tuple[int, int]]:
 
 
 def usable_blocks(blocks: DataFrame) -> DataFrame:
-    """without page headers and blank blocks; adds stripped text `t`."""
-    return blocks.where(~F.col("block_type").isin(*SKIPPED)).withColumn("t", tx.strip(F.col("text"))).where("t <> ''")
+    """without page headers and blank blocks; adds stripped text `t` and the length of the id."""
+    kept = blocks.where(~F.col("block_type").isin(*SKIPPED))
+    return kept.withColumns({"t": tx.strip(F.col("text")), "block_digits": F.length("block_id")}).where("t <> ''")
 
 
 def in_ranges(blocks: DataFrame, ranges: DataFrame | None) -> DataFrame:
@@ -137,7 +143,7 @@ def _placed(blocks: DataFrame, ranges: DataFrame | None, order: list[str], size:
 PART = ("block_id", "pdf_page", "printed_page", "title_path", "block_type", "source_line_ids", "issues")
 
 
-def fixed_windows(blocks: DataFrame, ranges: DataFrame | None = None, size: int = 350, overlap: int = 70, order: tuple[str, ...] = ("pdf_page", "block_id"), title: str = "", prefix: str = "FIXED_V01") -> DataFrame:
+def fixed_windows(blocks: DataFrame, ranges: DataFrame | None = None, size: int = 350, overlap: int = 70, order: tuple[str, ...] = ORDER, title: str = "", prefix: str = "FIXED_V01") -> DataFrame:
     """Character windows over the blocks of a document and range, each block followed by a line break."""
     if size <= 0 or not 0 <= overlap < size:
         raise ValueError("invalid chunk size or overlap")
@@ -153,7 +159,7 @@ def fixed_windows(blocks: DataFrame, ranges: DataFrame | None = None, size: int
     return _finish(texts, prefix, "fixed", "0.1-draft", title, ["range_index", "k"])
 
 
-def fixed_token_windows(blocks: DataFrame, ranges: DataFrame | None = None, size: int = 256, overlap: int = 51, order: tuple[str, ...] = ("pdf_page", "block_id"), title: str = "", tokens: Tokens | None = None) -> DataFrame:
+def fixed_token_windows(blocks: DataFrame, ranges: DataFrame | None = None, size: int = 256, overlap: int = 51, order: tuple[str, ...] = ORDER, title: str = "", tokens: Tokens | None = None) -> DataFrame:
     """Token windows over the blocks of a document and range, blocks being parted by line breaks."""
     if size <= 0 or not 0 <= overlap < size:
         raise ValueError("invalid chunk size or overlap")
@@ -209,10 +215,10 @@ def _file_windows(blocks: DataFrame, ranges: DataFrame | None, size: int, step:
         shared = rows.column("document_id")[0].as_py(), rows.column("range_index")[0].as_py()
         found = token_windows(file_offsets(path, whole), size, step, lambda a, b: len(file_offsets(path, whole[a:b])))
         for k, (start, end) in enumerate(found):
-            for place, text, left in zip(places, texts, lefts):
-                lo, hi = max(start - left, 0), min(end - left, len(text))
+            for at in range(max(0, bisect_right(lefts, start) - 1), bisect_left(lefts, end)):  # the blocks it can touch
+                lo, hi = max(start - lefts[at], 0), min(end - lefts[at], len(texts[at]))
                 if lo < hi:
-                    for column, value in zip(out.values(), (*shared, place, k, lo, hi)):
+                    for column, value in zip(out.values(), (*shared, places[at], k, lo, hi)):
                         column.append(value)
         return pa.table(out, schema=pa.schema([("document_id", pa.string()), ("range_index", pa.int32()), ("place", pa.int32()), ("k", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())]))
 
@@ -287,7 +293,8 @@ def by_tokens(rows: list[dict], most: int, least: int, weigh: Callable[[list[int
 
     weigh counts the tokens of some blocks together; without it, the sum of the blocks' own counts.
     """
-    weigh = weigh or (lambda run: sum(rows[k]["size"] for k in run))
+    upto = [0, *accumulate(r["size"] for r in rows)]
+    weigh = weigh or (lambda run: upto[run[-1] + 1] - upto[run[0]])  # runs have no gaps
     runs: list[list[int]] = []
     for k, r in enumerate(rows):
         if not runs or r["boundary"] or r["range_index"] != rows[k - 1]["range_index"] or weigh([*runs[-1], k]) > most:
@@ -295,7 +302,7 @@ def by_tokens(rows: list[dict], most: int, least: int, weigh: Callable[[list[int
         runs[-1].append(k)
     done: list[list[int]] = []
     for run in runs:
-        bridge = bool(done) and (rows[done[-1][-1]]["path"] == rows[run[0]]["path"] or all(rows[k]["heading"] for k in run))
+        bridge = bool(done) and (rows[run[0]]["same_path"] or all(rows[k]["heading"] for k in run))
         if done and weigh(run) < least and bridge and weigh(done[-1] + run) <= most:
             done[-1] += run
         else:
@@ -311,40 +318,43 @@ def _numbers(runs: list[list[int]], n: int) -> list[int]:
     return out
 
 
-def _folded(units: DataFrame, order: list[str], fold: Callable[[list[dict]], list[int]], with_text: bool = False) -> DataFrame:
-    """units (document_id, range_index, order columns, boundary, raw, size, path, heading, part) with `chunk`."""
-    asked = ["boundary", "raw", "size", "range_index", "path", "heading"]
+def _folded(units: DataFrame, fold: Callable[[list[dict]], list[int]], with_text: bool = False) -> DataFrame:
+    """units with `chunk`. What a document's fold gets is a row of numbers per block, and its text if asked for."""
+    asked = ["boundary", "raw", "size", "range_index", "same_path", "heading", *(["t"] if with_text else [])]
 
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("range_index", "ascending"), *[(c, "ascending") for c in order]])
-        small = rows.select(asked).to_pylist()
-        if with_text:
-            small = [r | {"t": t} for r, t in zip(small, pc.struct_field(rows.column("part"), "t").to_pylist())]
-        return rows.append_column("chunk", pa.array(fold(small), pa.int32()))
+        rows = rows.sort_by([("range_index", "ascending"), ("place", "ascending")])
+        return rows.select(["document_id", "range_index", "place"]).append_column("chunk", pa.array(fold(rows.select(asked).to_pylist()), pa.int32()))
 
-    return units.groupBy("document_id").applyInArrow(run, T.StructType([*units.schema.fields, T.StructField("chunk", T.IntegerType())]))
+    key = ["document_id", "range_index", "place"]
+    narrow = units.select(*key, *[c for c in asked if c not in key])
+    numbers = narrow.groupBy("document_id").applyInArrow(run, T.StructType([*(units.schema[c] for c in key), T.StructField("chunk", T.IntegerType())]))
+    return units.join(numbers, key)
 
 
 def _units(blocks: DataFrame, ranges: DataFrame | None, order: list[str], size: Column) -> DataFrame:
+    """Blocks with their place in document and range, and whether a boundary or another title path is before them."""
     before = Window.partitionBy("document_id", "range_index").orderBy(*order)
-    path = F.array_join("title_path", "")
-    units = in_ranges(usable_blocks(blocks), ranges).withColumns({"path": path, "heading": F.col("block_type").isin(*tx.HEADINGS), "region": F.coalesce("layout_region", F.lit("")), "size": size, "raw": F.length("text")})
-    first = F.lag("path").over(before).isNull()
-    boundary = ~first & (F.col("heading") | (F.lag("path").over(before) != F.col("path")) | (F.lag("region").over(before) != F.col("region")))
-    return units.withColumn("boundary", boundary).select("document_id", "range_index", *[c for c in order], "boundary", "raw", "size", "path", "heading", F.struct("t", *PART).alias("part"))
+    units = in_ranges(usable_blocks(blocks), ranges).withColumns({"heading": F.col("block_type").isin(*tx.HEADINGS), "region": F.coalesce("layout_region", F.lit("")), "size": size, "raw": F.length("text"), "place": F.row_number().over(before)})
+    same = F.lag("title_path").over(before).eqNullSafe(F.col("title_path")) & (F.col("place") > 1)
+    boundary = (F.col("place") > 1) & (F.col("heading") | ~same | (F.lag("region").over(before) != F.col("region")))
+    # A range's first block has no block of the range before it; what it continues is the last of the range before.
+    first = Window.partitionBy("document_id").orderBy("range_index", *order)
+    units = units.withColumns({"boundary": boundary, "same_path": F.lag("title_path").over(first).eqNullSafe(F.col("title_path"))})
+    return units.select("document_id", "range_index", "place", "boundary", "raw", "size", "same_path", "heading", "t", F.struct("t", *PART).alias("part"))
 
 
-def structural_chunks(blocks: DataFrame, most: int = 600, least: int = 80, order: tuple[str, ...] = ("pdf_page", "block_id"), title: str = "", prefix: str = "STRUCT_V01") -> DataFrame:
+def structural_chunks(blocks: DataFrame, most: int = 600, least: int = 80, order: tuple[str, ...] = ORDER, title: str = "", prefix: str = "STRUCT_V01") -> DataFrame:
     """Chunks along titles and layout, by characters."""
     if most <= 0:
         raise ValueError("invalid chunk size")
-    folded = _folded(_units(blocks, None, list(order), F.length("t")), list(order), lambda rows: by_characters(rows, most, least))
-    parts = folded.groupBy("document_id", "chunk").agg(F.array_sort(F.collect_list(F.struct(*order, "part"))).alias("rows")).withColumn("parts", F.transform("rows", lambda r: r["part"]))
+    folded = _folded(_units(blocks, None, list(order), F.length("t")), lambda rows: by_characters(rows, most, least))
+    parts = folded.groupBy("document_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("place", "part"))).alias("rows")).withColumn("parts", F.transform("rows", lambda r: r["part"]))
     texts = parts.withColumn("text", tx.strip(F.array_join(F.transform("parts", lambda p: p["t"]), "\n"))).withColumn("source_block_ids", F.transform("parts", lambda p: p["block_id"]))
     return _finish(texts, prefix, "structural", "0.1-draft", title, ["chunk"])
 
 
-def structural_token_chunks(blocks: DataFrame, ranges: DataFrame | None = None, most: int = 512, least: int = 64, order: tuple[str, ...] = ("pdf_page", "block_id"), title: str = "", tokens: Tokens | None = None) -> DataFrame:
+def structural_token_chunks(blocks: DataFrame, ranges: DataFrame | None = None, most: int = 512, least: int = 64, order: tuple[str, ...] = ORDER, title: str = "", tokens: Tokens | None = None) -> DataFrame:
     """Chunks along titles and layout, by tokens, within page ranges."""
     tokens = tokens or Tokens()
     path = tokens.file
@@ -354,8 +364,8 @@ def structural_token_chunks(blocks: DataFrame, ranges: DataFrame | None = None,
         return by_tokens(rows, most, least, weigh)
 
     size = tokens.count(F.col("t")) if path is None else F.lit(0)
-    folded = _folded(_units(blocks, ranges, list(order), size), list(order), fold, path is not None)
-    parts = folded.groupBy("document_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("range_index", *order, "part"))).alias("rows"))
+    folded = _folded(_units(blocks, ranges, list(order), size), fold, path is not None)
+    parts = folded.groupBy("document_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("range_index", "place", "part"))).alias("rows"))
     whole = F.transform("rows", lambda r: r["part"].withField("lo", F.lit(0)).withField("hi", F.length(r["part"]["t"])).withField("n", F.length(r["part"]["t"])))
     parts = parts.withColumn("parts", whole)
     texts = parts.withColumn("text", tx.strip(F.array_join(F.transform("parts", lambda p: p["t"]), "\n")))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..functions.partitioning import spread
 from ..operators import blocks as bl
 from ..schemas import OCR_RESULT
@@ -15,9 +16,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(df) if name == "documents" else df
 
 
+#: What lines become by (31 x document + 5 x line) modulo 17, so that every kind of line, flag and region occurs.
+HEADERS = ("112", "FANUC数控编程手册", "第章 程序 12")
+ENDS = ("。", "！", "？", "；", "：")
+LABELS = ("指令格式：", "各地址含义：", "注意：")
+NUMERALS = ("一", "二", "3")
+
+
+def page_line(t: Column, i: Column) -> Column:
+    """Line i (from 0) of a document as a line of a manual: a heading, caption, code, label and so on by rule."""
+    d, n = F.col("doc_id"), (i + 1).cast("string")
+    pick = lambda of, k: F.element_at(F.array(*[F.lit(x) for x in of]), (F.pmod(k, F.lit(len(of))) + 1).cast("int"))
+    chapter, part = (F.pmod(d, F.lit(9)) + 1).cast("string"), (F.pmod(i, F.lit(7)) + 1).cast("string")
+    first = F.when(F.pmod(d, F.lit(5)) == 0, F.concat(F.lit("第"), chapter, F.lit("章 刀具 112"))).when(F.pmod(d, F.lit(5)) < 4, pick(HEADERS, d))
+    made = [
+        F.concat(chapter, F.lit("."), part, F.lit(" "), t),
+        F.concat(chapter, F.lit("."), part, F.lit("."), (F.pmod(i, F.lit(4)) + 1).cast("string"), F.lit(" "), t),
+        F.concat(F.lit("（"), pick(NUMERALS, i), F.lit("）"), t),
+        F.concat(F.lit("表 2-"), n, F.lit(" "), t),
+        F.concat(F.lit("图3-"), n, F.lit("所示 "), t),
+        F.concat(F.lit("图 3-"), n, F.lit(" "), t),
+        F.lit("练一练"),
+        pick(LABELS, i),
+        F.concat(F.lit("N10 G01 X"), n, F.lit(" 刀具")),
+        F.concat(F.lit("G02 X"), n, F.lit(" 这里有五个汉字")),
+        F.concat(t, pick(ENDS, i)),
+        F.concat(F.lit("数控GOO编程"), t),
+        F.concat(F.lit("2."), n, F.lit(" "), t),
+        F.concat(F.lit(" \t"), t, F.lit(" \u3000")),
+    ]
+    rule = F.pmod(d * 31 + i * 5, F.lit(17))
+    line = F.when(rule == 0, made[0])
+    for k, m in enumerate(made[1:], 1):
+        line = line.when(rule == k, m)
+    return F.coalesce(F.when(i == 0, first), line.otherwise(t))
+
+
 def ocr_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as one-page OCR results: their lines, with scores that follow from the ids."""
-    texts = F.split("text", "\n")
+    """documents as one-page OCR results: lines made of theirs by rule, with scores that follow from the ids."""
+    texts = F.transform(F.split("text", "\n"), page_line)
     scores = F.transform(texts, lambda t, i: F.pmod(F.col("doc_id") * 31 + i * 17, F.lit(1000)) / 1000)
     boxes = F.transform(texts, lambda t, i: F.array(F.lit(0), i, F.lit(100), i + 1))
     polys = F.expr("cast(null as array<array<array<int>>>)")
@@ -36,10 +73,10 @@ def ocr_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per line that is not blank, with type, region, title path and block number."""
-    none = F.expr("cast(map() as map<string,string>)")
+    chapters = F.create_map(F.lit("1"), F.lit("Chapter one"))
     lines = F.col("lines")
     initial = F.array(F.lit("start"))
-    folded = bl.with_lines(ocr_pages(spark, sf_dir)).select("document_id", "pdf_page", lines, bl.table_regions(lines).alias("regions"), bl.title_paths(lines, initial, none).alias("paths"), bl.block_numbers(lines).alias("numbers"))
+    folded = bl.with_lines(ocr_pages(spark, sf_dir)).select("document_id", "pdf_page", lines, bl.table_regions(lines).alias("regions"), bl.title_paths(lines, initial, chapters).alias("paths"), bl.block_numbers(lines).alias("numbers"))
     zipped = F.explode(F.arrays_zip(lines, F.col("regions"), F.col("paths"), F.col("numbers"))).alias("z")
     return folded.select("document_id", "pdf_page", zipped).select("document_id", "pdf_page", "z.lines.*", F.col("z.regions").alias("layout_region"), F.col("z.paths").alias("title_path"), F.col("z.numbers").alias("block_number"))
 
@@ -57,7 +94,7 @@ def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         "text",
         F.array(F.lit("start"), F.concat(F.lit("part "), F.floor(F.col("line_index") / 10).cast("string"))).alias("title_path"),
         F.array("source_line_id").alias("source_line_ids"),
-        F.when(F.col("score") < 0.85, F.array(F.lit("low_confidence"))).otherwise(F.array().cast("array<string>")).alias("issues"),
+        tx.line_issues(F.col("text"), F.col("type"), F.col("score"), F.col("layout_region")).alias("issues"),
     )
 
 
@@ -69,9 +106,34 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: What Unicode calls white space, for engines whose \s is ASCII only.
 SPACE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
+def _list(of: tuple[str, ...], k: str) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in of) + f"][({k}) % {len(of)} + 1]"
+
+
 LINES_SQL = rf"""
+split_lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line_index FROM documents),
 raw_lines AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS line_index FROM documents),
+  SELECT doc_id, line_index, CASE
+    WHEN line_index = 1 AND doc_id % 5 = 0 THEN '第' || (doc_id % 9 + 1) || '章 刀具 112'
+    WHEN line_index = 1 AND doc_id % 5 < 4 THEN {_list(HEADERS, "doc_id")}
+    ELSE CASE (doc_id * 31 + (line_index - 1) * 5) % 17
+      WHEN 0 THEN (doc_id % 9 + 1) || '.' || ((line_index - 1) % 7 + 1) || ' ' || t
+      WHEN 1 THEN (doc_id % 9 + 1) || '.' || ((line_index - 1) % 7 + 1) || '.' || ((line_index - 1) % 4 + 1) || ' ' || t
+      WHEN 2 THEN '（' || {_list(NUMERALS, "line_index - 1")} || '）' || t
+      WHEN 3 THEN '表 2-' || line_index || ' ' || t
+      WHEN 4 THEN '图3-' || line_index || '所示 ' || t
+      WHEN 5 THEN '图 3-' || line_index || ' ' || t
+      WHEN 6 THEN '练一练'
+      WHEN 7 THEN {_list(LABELS, "line_index - 1")}
+      WHEN 8 THEN 'N10 G01 X' || line_index || ' 刀具'
+      WHEN 9 THEN 'G02 X' || line_index || ' 这里有五个汉字'
+      WHEN 10 THEN t || {_list(ENDS, "line_index - 1")}
+      WHEN 11 THEN '数控GOO编程' || t
+      WHEN 12 THEN '2.' || line_index || ' ' || t
+      WHEN 13 THEN ' ' || chr(9) || t || ' ' || chr(12288)
+      ELSE t END END AS raw
+  FROM split_lines),
 lines AS (
   SELECT doc_id, 'D' || doc_id AS document_id, (doc_id % 100 + 1)::INT AS pdf_page, line_index::INT AS line_index,
          trim(regexp_replace(raw, '{SPACE}+', ' ', 'g')) AS text, ((doc_id * 31 + (line_index - 1) * 17) % 1000) / 1000.0::DOUBLE AS score

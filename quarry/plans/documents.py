@@ -78,27 +78,23 @@ FROM fold JOIN numbered USING (doc_id, n) GROUP BY document_id, pdf_page, no"""
 
 
 def title_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W2 over every tenth line read as a numbered heading, made from the line's place."""
-    lines = ocr_pages(spark, sf_dir).select("document_id", F.explode(F.sequence(F.lit(1), F.size(F.col("results")[0]["rec_texts"]))).alias("n"))
-    number = F.concat((F.floor(F.col("n") / 7) + 1).cast("string"), F.lit("."), (F.col("n") % 3 + 1).cast("string"), F.when(F.col("n") % 2 == 0, F.concat(F.lit("."), (F.col("n") % 5).cast("string"))).otherwise(""))
-    heads = lines.select("document_id", "n", F.concat(number, F.lit(" H"), "n").alias("text"))
-    arrays = heads.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct(F.col("n"), F.lit("heading").alias("type"), "text"))).alias("lines"))
-    chapters = F.create_map(F.lit("1"), F.lit("Chapter one"))
-    paths = bl.title_paths(F.col("lines"), F.array(F.lit("start")), chapters)
-    each = arrays.select("document_id", F.posexplode(paths).alias("pos", "path"))
-    return each.select("document_id", (F.col("pos") + 1).alias("n"), F.array_join("path", " > ").alias("path"))
-
-
-TITLE_SQL = """WITH RECURSIVE
-heads AS (SELECT 'D' || doc_id AS document_id, unnest(generate_series(1, len(string_split(text, chr(10)))))::INT AS n FROM documents),
-parts AS (SELECT document_id, n, (n // 7 + 1)::VARCHAR AS chapter, (n // 7 + 1) || '.' || (n % 3 + 1) AS two, CASE WHEN n % 2 = 0 THEN (n // 7 + 1) || '.' || (n % 3 + 1) || '.' || (n % 5) END AS three FROM heads),
-texts AS (SELECT *, coalesce(three, two) || ' H' || n AS text, CASE WHEN chapter = '1' THEN 'Chapter one' ELSE '第' || chapter || '章' END AS title FROM parts),
+    """The title path that holds at every line."""
+    lines = ocr_lines(spark, sf_dir)
+    return lines.select("source_line_id", F.array_join("title_path", " > ").alias("path"))
+
+
+TITLE_SQL = rf"""WITH RECURSIVE {LINES_SQL},
+heads AS (
+  SELECT *, regexp_extract(text, '^(\d+(?:\.\d+){{1,2}})', 1) AS number, row_number() OVER (PARTITION BY doc_id ORDER BY line_index) AS n FROM typed),
+parts AS (
+  SELECT *, CASE WHEN split_part(number, '.', 1) = '1' THEN 'Chapter one' ELSE '第' || split_part(number, '.', 1) || '章' END AS title,
+         regexp_replace(number, '\.[^.]*$', '') AS parent, len(string_split(number, '.')) = 3 AS deep FROM heads),
 fold AS (
-  SELECT document_id, n, CASE WHEN three IS NULL THEN [title, text] ELSE [title, two, text] END AS path FROM texts WHERE n = 1
+  SELECT doc_id, 0::BIGINT AS n, ['start'] AS path FROM typed GROUP BY doc_id
   UNION ALL
-  SELECT x.document_id, x.n, CASE WHEN x.three IS NULL THEN [x.title, x.text] ELSE [x.title, coalesce(list_filter(f.path, lambda p: starts_with(p, x.two || ' '))[1], x.two), x.text] END
-  FROM fold f JOIN texts x ON x.document_id = f.document_id AND x.n = f.n + 1)
-SELECT document_id, n, array_to_string(path, ' > ') AS path FROM fold"""
+  SELECT f.doc_id, x.n, CASE WHEN x.type <> 'heading' THEN f.path WHEN x.deep THEN [x.title, coalesce(list_filter(f.path, lambda p: starts_with(p, x.parent || ' '))[1], x.parent), x.text] ELSE [x.title, x.text] END
+  FROM fold f JOIN parts x ON x.doc_id = f.doc_id AND x.n = f.n + 1)
+SELECT format('{{}}_P{{:03d}}_L{{:03d}}', document_id, pdf_page, line_index) AS source_line_id, array_to_string(path, ' > ') AS path FROM fold JOIN parts USING (doc_id, n)"""
 
 
 def ocr_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,17 +164,62 @@ SELECT format('{{}}_FIXED_T256_O51_V02_C{{:04d}}', document_id, k + 1) AS chunk_
 
 
 def structural_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows only; tests hold it against a plain rendering of the rule."""
+    """Chunks along titles, headings and regions, by characters."""
     chunks = ch.structural_chunks(line_blocks(spark, sf_dir))
     return chunks.select("chunk_id", "character_count", F.size("source_block_ids").alias("n_blocks"), F.md5("text").alias("text_md5"))
 
 
+def _runs_sql(size: str, joined: int, most: int) -> str:
+    """blocks in runs (run 1, 2, ...): a run ends before a boundary and before it would outgrow `most`."""
+    return f"""{REGIONS_SQL},
+units AS (
+  SELECT doc_id, document_id, line_index, text, type IN ('heading', 'subheading', 'exercise_heading') AS heading, coalesce(region, '') AS region, line_index // 10 AS path,
+         {size} AS size, row_number() OVER (PARTITION BY doc_id ORDER BY line_index) AS n FROM regions WHERE type <> 'header_footer'),
+bounded AS (
+  SELECT *, n > 1 AND (heading OR path <> lag(path) OVER w OR region <> lag(region) OVER w) AS boundary FROM units WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+cut AS (
+  SELECT doc_id, n, 1 AS run, size + {joined} AS held FROM bounded WHERE n = 1
+  UNION ALL
+  SELECT b.doc_id, b.n, CASE WHEN b.boundary OR c.held + b.size > {most} THEN c.run + 1 ELSE c.run END, CASE WHEN b.boundary OR c.held + b.size > {most} THEN b.size + {joined} ELSE c.held + b.size + {joined} END
+  FROM cut c JOIN bounded b ON b.doc_id = c.doc_id AND b.n = c.n + 1),
+blocks AS (SELECT * FROM cut JOIN bounded USING (doc_id, n)),
+runs AS (
+  SELECT doc_id, run, sum(size + {joined}) AS w, bool_and(heading) AS headings, arg_min(path, n) AS first_path, arg_max(path, n) AS last_path, max(run) OVER (PARTITION BY doc_id) AS n_runs FROM blocks GROUP BY doc_id, run)"""
+
+
+STRUCTURAL_SQL = f"""WITH RECURSIVE {_runs_sql("length(text)", 1, 600)},
+fold AS (
+  SELECT doc_id, 0::BIGINT AS run, 0::HUGEINT AS held, 0 AS done, 0::HUGEINT AS last_w, 0 AS chunk FROM runs WHERE run = 1
+  UNION ALL
+  SELECT doc_id, run, CASE WHEN waits THEN now ELSE 0 END, CASE WHEN waits OR joins THEN done ELSE done + 1 END, CASE WHEN waits OR joins THEN last_w ELSE now END, done + 1
+  FROM (SELECT f.doc_id, r.run, f.held + r.w AS now, f.done, f.last_w, f.held + r.w < 80 AND r.run < r.n_runs AS waits,
+               f.held + r.w < 80 AND r.run = r.n_runs AND f.done > 0 AND f.last_w + f.held + r.w <= 600 AS joins
+        FROM fold f JOIN runs r ON r.doc_id = f.doc_id AND r.run = f.run + 1)),
+numbered AS (SELECT doc_id, run, least(chunk, max(done) OVER (PARTITION BY doc_id)) AS chunk FROM fold WHERE run > 0),
+texts AS (SELECT document_id, chunk, count(*)::INT AS n_blocks, string_agg(text, chr(10) ORDER BY n) AS text FROM blocks JOIN numbered USING (doc_id, run) GROUP BY document_id, chunk)
+SELECT format('{{}}_STRUCT_V01_C{{:04d}}', document_id, chunk) AS chunk_id, length(text)::INT AS character_count, n_blocks, md5(text) AS text_md5 FROM texts"""
+
+
 def structural_token_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows only, as structural_chunks."""
+    """As structural_chunks by tokens, which are runs without spaces."""
     chunks = ch.structural_token_chunks(line_blocks(spark, sf_dir), tokens=ch.Tokens(r"\S+"))
     return chunks.select("chunk_id", "token_count", F.size("source_block_ids").alias("n_blocks"), F.md5("text").alias("text_md5"))
 
 
+TOKEN_CHUNKS = rf"""{_runs_sql("len(regexp_extract_all(text, '\S+'))", 0, 512)},
+fold AS (
+  SELECT doc_id, 1::BIGINT AS run, 1 AS chunk, w AS last_w, last_path FROM runs WHERE run = 1
+  UNION ALL
+  SELECT f.doc_id, r.run, CASE WHEN r.w < 64 AND (r.first_path = f.last_path OR r.headings) AND f.last_w + r.w <= 512 THEN f.chunk ELSE f.chunk + 1 END,
+         CASE WHEN r.w < 64 AND (r.first_path = f.last_path OR r.headings) AND f.last_w + r.w <= 512 THEN f.last_w + r.w ELSE r.w END, r.last_path
+  FROM fold f JOIN runs r ON r.doc_id = f.doc_id AND r.run = f.run + 1),
+chunks AS (
+  SELECT document_id, chunk, sum(size)::INT AS token_count, count(*)::INT AS n_blocks, string_agg(text, chr(10) ORDER BY n) AS text, list(line_index) AS lines FROM blocks JOIN fold USING (doc_id, run) GROUP BY document_id, chunk)"""
+
+STRUCTURAL_TOKENS_SQL = f"""WITH RECURSIVE {TOKEN_CHUNKS}
+SELECT format('{{}}_STRUCTURAL_T512_V02_C{{:04d}}', document_id, chunk) AS chunk_id, token_count, n_blocks, md5(text) AS text_md5 FROM chunks"""
+
+
 def profile_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A4 over fixed windows."""
     row = ch.profile_report(ch.fixed_windows(line_blocks(spark, sf_dir)))
@@ -250,15 +291,17 @@ def data_review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Review items by priority and reasons."""
     blocks = line_blocks(spark, sf_dir).withColumn("title_path", F.array(F.concat(F.lit("第"), (F.col("pdf_page") % 3).cast("string"), F.lit("章"))))
     _, _, evidence = _gold_inputs(spark, sf_dir)
-    some = evidence.where("cast(substring(evidence_id, 2) as int) % 4 = 0")
-    chunks = line_blocks(spark, sf_dir).where("cast(substring(block_id, -5) as int) = 3").select(F.concat(F.lit("C"), "block_id").alias("chunk_id"), F.length("text").alias("token_count"), F.array("block_id").alias("source_block_ids"))
+    chunks = ch.structural_token_chunks(line_blocks(spark, sf_dir), tokens=ch.Tokens(r"\S+"))
     chapters = spark.createDataFrame([(1, 40, 1), (41, 80, 2)], "start_page int, end_page int, chapter int")
-    return rv.data_review_queue(blocks, some, chunks, chapters).groupBy("priority", "reasons").agg(F.count("*").alias("n_items"), F.min("block_id").alias("first_block"))
+    return rv.data_review_queue(blocks, evidence, chunks, chapters).groupBy("priority", "reasons").agg(F.count("*").alias("n_items"), F.min("block_id").alias("first_block"))
+
 
+FLAGS = """(score < 0.85 OR regexp_matches(text, '(?:GOO|执加|进考虑|平选择关|中轨迹|建刀具|第章|第③章)') OR opens OR region = 'table_candidate' OR (type = 'header_footer' AND contains(text, '第章')))"""
 
-REVIEW_SQL = f"""WITH {LINES_SQL},
-b AS (SELECT *, format('{{}}_B{{:05d}}', document_id, line_index) AS block_id, CASE WHEN pdf_page <= 40 THEN 1 WHEN pdf_page <= 80 THEN 2 END AS chapter FROM typed),
-r AS (SELECT block_id, chapter IS NOT NULL AND pdf_page % 3 <> chapter AS a, line_index = 3 AND length(text) < 64 AS s, score < 0.85 AS i, line_index BETWEEN 2 AND 5 AND doc_id % 4 = 0 AS e FROM b),
+REVIEW_SQL = f"""WITH RECURSIVE {TOKEN_CHUNKS},
+short AS (SELECT DISTINCT document_id, unnest(lines) AS line_index FROM chunks WHERE token_count < 64),
+b AS (SELECT *, format('{{}}_B{{:05d}}', document_id, line_index) AS block_id, CASE WHEN pdf_page <= 40 THEN 1 WHEN pdf_page <= 80 THEN 2 END AS chapter, coalesce({FLAGS}, false) AS i FROM regions),
+r AS (SELECT block_id, chapter IS NOT NULL AND pdf_page % 3 <> chapter AS a, s.line_index IS NOT NULL AS s, i, b.line_index BETWEEN 2 AND 5 AS e FROM b LEFT JOIN short s ON s.document_id = b.document_id AND s.line_index = b.line_index),
 x AS (SELECT block_id, CASE WHEN (a OR s OR i) AND e THEN 'P0' ELSE 'P1' END AS priority,
         array_to_string(list_filter([CASE WHEN a THEN 'suspicious_chapter_path' END, CASE WHEN s THEN 'short_structural_chunk' END, CASE WHEN i THEN 'ocr_or_structure_issue' END, CASE WHEN e THEN 'used_by_reviewed_evidence' END], lambda y: y IS NOT NULL), '|') AS reasons FROM (SELECT block_id, coalesce(a, false) AS a, s, i, e FROM r) WHERE a OR s OR i OR e)
 SELECT priority, reasons, count(*) AS n_items, min(block_id) AS first_block FROM x GROUP BY ALL"""
@@ -273,8 +316,8 @@ QUERIES = {
     "ocr_batch": (ocr_batch, BATCH_SQL),
     "fixed_windows": (fixed_windows, FIXED_SQL),
     "token_windows": (token_windows, TOKENS_SQL),
-    "structural_chunks": (structural_chunks, None),
-    "structural_token_chunks": (structural_token_chunks, None),
+    "structural_chunks": (structural_chunks, STRUCTURAL_SQL),
+    "structural_token_chunks": (structural_token_chunks, STRUCTURAL_TOKENS_SQL),
     "profile_report": (profile_report, PROFILE_SQL),
     "gold_mapping": (gold_mapping, _gold_sql()),
     "fragment_gold_mapping": (fragment_gold_mapping, FRAGMENT_GOLD_SQL),

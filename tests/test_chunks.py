@@ -141,3 +141,16 @@ def test_a_tokenizer_file_as_source_of_tokens(spark):
     assert all(r.token_count == count(r.text) <= 20 for r in got)
     chunks = ch.structural_token_chunks(frame(spark, [{"text": p} for p in parts]), most=30, least=5, tokens=ch.Tokens(file=path)).orderBy("chunk_id").collect()
     assert [b for r in chunks for b in r.source_block_ids] == [f"B{k:04d}" for k in range(12)] and all(count(r.text) <= 30 for r in chunks)
+
+
+def test_title_paths_are_compared_as_lists_and_blocks_come_by_number(spark):
+    rows = [(f"D_P001_B{n:03d}", f"text {n}", ["ab", "c"] if n < 1000 else ["a", "bc"]) for n in (1000, 999, 1001, 7)]
+    blocks = spark.createDataFrame([(b, "D", 1, 1, "paragraph", None, t, p, [b], []) for b, t, p in rows], "block_id string, document_id string, pdf_page int, printed_page int, block_type string, layout_region string, text string, title_path array<string>, source_line_ids array<string>, issues array<string>")
+    found = [r.source_block_ids for r in ch.structural_chunks(blocks, least=1).orderBy("chunk_id").collect()]
+    assert found == [["D_P001_B007", "D_P001_B999"], ["D_P001_B1000", "D_P001_B1001"]]
+    tokens = [r.source_block_ids for r in ch.structural_token_chunks(blocks, least=1, tokens=ch.Tokens(r"\S+")).orderBy("chunk_id").collect()]
+    assert tokens == found
+    (window,) = ch.fixed_windows(blocks).collect()
+    assert window.source_block_ids == [*found[0], *found[1]]
+    null_path = blocks.withColumn("title_path", F.when(F.col("block_id") != "D_P001_B999", F.col("title_path")))
+    assert [len(r.source_block_ids) for r in ch.structural_chunks(null_path, least=1).orderBy("chunk_id").collect()] == [1, 1, 2]
