@@ -206,7 +206,8 @@ def structural_token_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.select("chunk_id", "token_count", F.size("source_block_ids").alias("n_blocks"), F.md5("text").alias("text_md5"))
 
 
-TOKEN_CHUNKS = rf"""{_runs_sql("len(regexp_extract_all(text, '\S+'))", 0, 512)},
+TOKEN_COUNT = r"len(regexp_extract_all(text, '\S+'))"
+TOKEN_CHUNKS = f"""{_runs_sql(TOKEN_COUNT, 0, 512)},
 fold AS (
   SELECT doc_id, 1::BIGINT AS run, 1 AS chunk, w AS last_w, last_path FROM runs WHERE run = 1
   UNION ALL
