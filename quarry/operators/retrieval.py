@@ -1,6 +1,7 @@
 """Ranking documents for queries (R1-R4, T1-T3, A7, J11) and combining rankings.
 
-Scores are rounded before they are ranked, so that the order in which a shuffle adds doubles up cannot turn exact ties.
+Scores are rounded before they are ranked, so that the order in which a shuffle adds doubles up cannot turn exact ties;
+BM25 can rank by unrounded scores too.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return terms.groupBy(id_col, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", query_id: str = "query_id", query_text: str = "query", k: int = 10, k1: float = 1.5, b: float = 0.75, keep_zero: bool = False) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", query_id: str = "query_id", query_text: str = "query", k: int = 10, k1: float = 1.5, b: float = 0.75, keep_zero: bool = True, digits: int | None = 8) -> DataFrame:
     """(query_id, doc_id, score, rank).
 
     Common terms match nearly every document with nearly every query, so joining postings on terms would make a row for
@@ -46,8 +47,9 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", doc_text:
     batch's scores are added up there; k rows per query and batch shuffle. Document frequencies of the query terms and
     the mean length come from a pass before, which reduces to a row per term within tasks.
 
-    Scores are rounded to eight places before they are ranked. keep_zero fills up queries that fewer than k documents
-    match by documents of score zero, in id order; it looks at k documents only.
+    Scores are rounded to `digits` places before they are ranked, or ranked as they are without. Queries that fewer than
+    k documents match are filled up by documents of score zero, in id order, for which k documents are looked at;
+    keep_zero=False leaves those out.
     """
     words = lambda c: tx.tokens(F.coalesce(F.col(c), F.lit("")))
     asked = queries.select(F.col(query_id).alias("q"), words(query_text).alias("v"))
@@ -75,15 +77,15 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", doc_text:
             each = starts[terms + 1] - starts[terms]
             at = np.repeat(starts[terms] - (np.cumsum(each) - each), each) + np.arange(each.sum())
             cell = query[at] * batch.num_rows + np.repeat(doc, each)
-            total = np.bincount(cell, weight[at] * np.repeat(gain, each), held.num_rows * batch.num_rows)
-            return np.rint(total.reshape(held.num_rows, batch.num_rows) * 1e8).astype(np.int64)
+            total = np.bincount(cell, weight[at] * np.repeat(gain, each), held.num_rows * batch.num_rows).reshape(held.num_rows, batch.num_rows)
+            return total if digits is None else np.rint(total * 10**digits).astype(np.int64)
 
         return score
 
     if k <= 0:
         raise ValueError("k must be positive")
-    found = _in_blocks(base, asked, size, scorer, k, as_text=True, prepare=prepare).where("score > 0")
-    scored = found.select(F.col("q").alias(query_id), F.col("d").alias(doc_id), (F.col("score") / 1e8).alias("score"))
+    found = _in_blocks(base, asked, size, scorer, k, as_text=True, prepare=prepare, whole=digits is not None).where("score > 0")
+    scored = found.select(F.col("q").alias(query_id), F.col("d").alias(doc_id), (F.col("score") / 10 ** (digits or 0)).alias("score"))
     if keep_zero:
         first = docs.select(doc_id).orderBy(F.col(doc_id).cast("string")).limit(k)
         # Among any k documents and the matches are the k best, so k documents stand in for all that score zero.
@@ -152,15 +154,15 @@ def _unit(vectors) -> np.ndarray:
     return rows / np.where(size > 0, size, 1)
 
 
-def _in_blocks(base: DataFrame, asked: DataFrame, size: int, scorer, k: int, as_text: bool, prepare=None) -> DataFrame:
+def _in_blocks(base: DataFrame, asked: DataFrame, size: int, scorer, k: int, as_text: bool, prepare=None, whole: bool = True) -> DataFrame:
     """(q, d, score) with the k best of each batch of base (d, v) for every query of asked (q, v).
 
     prepare, if given, runs on the driver for each table of queries; scorer makes, in a task, from a table of queries
-    and what prepare gave, a function of a batch that gives whole-number scores (queries x documents). Ties in a batch
-    go by d, as text or as it is.
+    and what prepare gave, a function of a batch that gives scores (queries x documents), whole numbers or doubles. Ties
+    in a batch go by d, as text or as it is.
     """
     rounds = max(1, math.ceil(size / QUERY_BLOCK))
-    schema = T.StructType([T.StructField("q", asked.schema["q"].dataType), T.StructField("d", base.schema["d"].dataType), T.StructField("score", T.LongType())])
+    schema = T.StructType([T.StructField("q", asked.schema["q"].dataType), T.StructField("d", base.schema["d"].dataType), T.StructField("score", T.LongType() if whole else T.DoubleType())])
 
     def run_for(held: pa.Table, context):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +174,10 @@ def _in_blocks(base: DataFrame, asked: DataFrame, size: int, scorer, k: int, as_
                 order = np.empty(n, np.int64)
                 order[pc.sort_indices(b.column("d").cast(pa.string()) if as_text else b.column("d")).to_numpy()] = np.arange(n)
                 score = score_of(b)
-                best = np.argpartition(-(score * n - order), min(k, n) - 1, axis=1)[:, : min(k, n)]
+                if whole:
+                    best = np.argpartition(-(score * n - order), min(k, n) - 1, axis=1)[:, : min(k, n)]
+                else:
+                    best = np.lexsort((np.broadcast_to(order, score.shape), -score), axis=1)[:, :k]
                 q = np.repeat(np.arange(len(ids)), best.shape[1])
                 d = best.ravel()
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), b.column("d").take(pa.array(d)), pa.array(score[q, d])], ["q", "d", "score"])

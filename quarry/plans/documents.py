@@ -307,6 +307,80 @@ x AS (SELECT block_id, CASE WHEN (a OR s OR i) AND e THEN 'P0' ELSE 'P1' END AS
         array_to_string(list_filter([CASE WHEN a THEN 'suspicious_chapter_path' END, CASE WHEN s THEN 'short_structural_chunk' END, CASE WHEN i THEN 'ocr_or_structure_issue' END, CASE WHEN e THEN 'used_by_reviewed_evidence' END], lambda y: y IS NOT NULL), '|') AS reasons FROM (SELECT block_id, coalesce(a, false) AS a, s, i, e FROM r) WHERE a OR s OR i OR e)
 SELECT priority, reasons, count(*) AS n_items, min(block_id) AS first_block FROM x GROUP BY ALL"""
 
+
+def block_review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks with issues and how urgent they are."""
+    return rv.block_review_queue(line_blocks(spark, sf_dir)).select("priority", "block_id", "block_type", "issues", "review_status")
+
+
+BLOCK_QUEUE_SQL = f"""WITH {REGIONS_SQL},
+f AS (
+  SELECT *, list_filter([CASE WHEN score < 0.85 THEN 'low_confidence' END, CASE WHEN regexp_matches(text, '(?:GOO|执加|进考虑|平选择关|中轨迹|建刀具|第章|第③章)') THEN 'possible_ocr_confusion' END,
+    CASE WHEN opens THEN 'table_layout_requires_review' WHEN region = 'table_candidate' THEN 'inside_table_candidate' END,
+    CASE WHEN type = 'header_footer' AND contains(text, '第章') THEN 'header_chapter_number_missing' END], lambda x: x IS NOT NULL) AS issues FROM regions)
+SELECT CASE WHEN list_has_any(issues, ['possible_ocr_confusion', 'table_layout_requires_review']) THEN 1 WHEN list_contains(issues, 'inside_table_candidate') THEN 2 WHEN list_contains(issues, 'low_confidence') THEN 3 ELSE 4 END::INT AS priority,
+       format('{{}}_B{{:05d}}', document_id, line_index) AS block_id, type AS block_type, array_to_string(issues, '|') AS issues, 'pending' AS review_status FROM f WHERE len(issues) > 0"""
+
+
+def page_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3: lines, blocks and flagged blocks of every page."""
+    from ..sources.pages import page_paths
+
+    pages = ocr_pages(spark, sf_dir)
+    report = bl.page_report(pages, bl.build_blocks(pages, page_paths(spark, {"1-90": ["start"]}), {}, "batch"))
+    return report.select("document_id", "pdf_page", "ocr_lines", "blocks", "flagged_blocks")
+
+
+PAGE_REPORT_SQL = f"""WITH RECURSIVE {REGIONS_SQL},
+numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_index) AS n, regexp_matches(text, '[。！？；：]$') AS ended, coalesce({FLAGS}, false) AS flagged FROM regions),
+fold AS (
+  SELECT doc_id, n, 1 AS no, length(text) AS size, type = 'paragraph' AND NOT ended AS open_ FROM numbered WHERE n = 1
+  UNION ALL
+  SELECT x.doc_id, x.n, CASE WHEN f.open_ AND x.type = 'paragraph' AND f.size + length(x.text) <= 260 THEN f.no ELSE f.no + 1 END,
+         CASE WHEN f.open_ AND x.type = 'paragraph' AND f.size + length(x.text) <= 260 THEN f.size + length(x.text) ELSE length(x.text) END, x.type = 'paragraph' AND NOT x.ended
+  FROM fold f JOIN numbered x ON x.doc_id = f.doc_id AND x.n = f.n + 1)
+SELECT 'D' || d.doc_id AS document_id, (d.doc_id % 100 + 1)::INT AS pdf_page, count(no)::INT AS ocr_lines, CASE WHEN d.doc_id % 100 < 90 THEN count(DISTINCT no) ELSE 0 END AS blocks, CASE WHEN d.doc_id % 100 < 90 THEN count(DISTINCT no) FILTER (flagged) ELSE 0 END AS flagged_blocks
+FROM documents d LEFT JOIN (fold JOIN numbered USING (doc_id, n)) x ON x.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
+def missing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requested pages that there are none of."""
+    return bl.missing_pages(spark.sql("select explode(sequence(-3, 120)) as pdf_page"), ocr_pages(spark, sf_dir))
+
+
+MISSING_SQL = "SELECT unnest(generate_series(-3, 120))::INT AS pdf_page EXCEPT SELECT (doc_id % 100 + 1)::INT FROM documents"
+
+
+def blocks_in_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usable blocks by the page ranges that they are in, some in several."""
+    from ..sources.pages import page_ranges, ranges_table
+
+    ranges = ranges_table(spark, page_ranges("3, 5-40,30 - 60,99-200"))
+    found = ch.in_ranges(ch.usable_blocks(line_blocks(spark, sf_dir)), ranges)
+    return found.groupBy("range_index").agg(F.count("*").alias("n_blocks"), F.countDistinct("document_id").alias("n_documents"), F.min("pdf_page").alias("first_page"), F.max("pdf_page").alias("last_page"))
+
+
+RANGES_SQL = f"""WITH {LINES_SQL}, r(range_index, a, b) AS (VALUES (0, 3, 3), (1, 5, 40), (2, 30, 60), (3, 99, 200))
+SELECT range_index, count(*) AS n_blocks, count(DISTINCT doc_id) AS n_documents, min(pdf_page) AS first_page, max(pdf_page) AS last_page FROM typed JOIN r ON pdf_page BETWEEN a AND b WHERE type <> 'header_footer' GROUP BY range_index"""
+
+
+def gold_review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates for review, with the coverage of their evidence as JSON."""
+    questions, answers, evidence = _gold_inputs(spark, sf_dir)
+    chunks = ch.fixed_windows(line_blocks(spark, sf_dir))
+    queue = go.gold_review_queue(go.gold_mapping(questions, answers, evidence, chunks), questions, chunks)
+    return queue.select("question_id", "chunk_id", "evidence_ids", "evidence_coverage", "proposed_relevance", "review_status", "question", F.md5("chunk_text").alias("chunk_md5"))
+
+
+def _gold_queue_sql() -> str:
+    return f"""WITH {WINDOWS_SQL},
+gold AS (SELECT doc_id, line_index, count(*) OVER (PARTITION BY doc_id) AS n_gold FROM typed WHERE line_index BETWEEN 2 AND 5),
+wanted AS (SELECT item_id, unnest([item_id, item_id + 50]) AS doc_id FROM benchmark),
+met AS (SELECT w.item_id, s.document_id, s.n, any_value(s.text) AS text, count(*)::DOUBLE / any_value(n_gold) AS share FROM wanted w JOIN gold g USING (doc_id) JOIN sources s ON s.doc_id = g.doc_id AND s.line_index = g.line_index GROUP BY ALL)
+SELECT 'q' || item_id AS question_id, format('{{}}_FIXED_V01_C{{:04d}}', document_id, n) AS chunk_id, document_id AS evidence_ids, '{{"' || document_id || '":' || round(share, 4) || '}}' AS evidence_coverage,
+       (CASE WHEN share >= 0.5 THEN 2 ELSE 1 END)::INT AS proposed_relevance, 'pending' AS review_status, '?' AS question, md5(text) AS chunk_md5 FROM met"""
+
+
 QUERIES = {
     "line_classify": (line_classify, CLASSIFY_SQL),
     "line_issues": (line_issues, ISSUES_SQL),
@@ -324,4 +398,9 @@ QUERIES = {
     "fragment_gold_mapping": (fragment_gold_mapping, FRAGMENT_GOLD_SQL),
     "cited_answers": (cited_answers, CITED_SQL),
     "data_review_queue": (data_review_queue, REVIEW_SQL),
+    "block_review_queue": (block_review_queue, BLOCK_QUEUE_SQL),
+    "page_report": (page_report, PAGE_REPORT_SQL),
+    "missing_pages": (missing_pages, MISSING_SQL),
+    "blocks_in_ranges": (blocks_in_ranges, RANGES_SQL),
+    "gold_review_queue": (gold_review_queue, _gold_queue_sql()),
 }

@@ -70,12 +70,13 @@ def gold_labels(questions: DataFrame, answers: DataFrame, evidence: DataFrame, c
 def bm25_experiment(corpus: DataFrame, questions: DataFrame, labels: DataFrame, id_col: str, text_field: str = "text", k: int = 10, k1: float = 1.5, b: float = 0.75, experiment_id: str = "bm25") -> tuple[DataFrame, DataFrame]:
     """(runs, metrics): every question ranked over the corpus, with its judgments, and the macro averages.
 
-    An empty corpus fails; zero-score documents fill up to k as the ranking of all documents would have them.
+    An empty corpus fails; zero-score documents fill up to k as the ranking of all documents would have them, and scores
+    are ranked unrounded.
     """
     if not corpus.take(1):
         raise ValueError("corpus must not be empty")
     asked = questions.select(F.col("id").alias("query_id"), F.col("question").alias("query"))
-    ranked = re_.bm25(re_.select_text(corpus, text_field), asked, id_col, "text", k=k, k1=k1, b=b, keep_zero=True)
+    ranked = re_.bm25(re_.select_text(corpus, text_field), asked, id_col, "text", k=k, k1=k1, b=b, digits=None)
     return _experiment(ranked, questions, labels, id_col, experiment_id)
 
 

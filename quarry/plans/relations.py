@@ -10,7 +10,7 @@ from ..operators import gold as go
 from ..operators import review as rv
 from ..operators import validate as va
 from ..sources.pages import requested_pages
-from .base import table
+from .base import LINES_SQL, SPACE, ocr_pages, table
 
 
 def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,10 +65,10 @@ SELECT 'orders' AS "check", l_orderkey::VARCHAR AS id FROM a JOIN orders ON o_or
 """
 
 
-def first_review_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents corrected by the first reviewed turn of the conversation with their id."""
+def _reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of conversations as review rows of the blocks with their ids."""
     turns = table(spark, sf_dir, "conversations")
-    reviews = turns.select(
+    return turns.select(
         F.col("conv_id").alias("block_id"),
         F.col("turn"),
         F.when(F.col("role") == "assistant", "reviewed").otherwise("pending").alias("review_status"),
@@ -76,15 +76,37 @@ def first_review_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("conv_id") % 3 == 0, F.lit("a > b")).otherwise(" ").alias("corrected_title_path"),
         F.lit("n").alias("review_note"),
     )
-    blocks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("block_id"), F.substring("text", 1, 20).alias("text"), F.array(F.lit("t")).alias("title_path"))
-    out = rv.apply_corrections(blocks, reviews, "turn").where("correction_applied or size(title_path) > 1")
-    return out.select("block_id", "text", "original_text", F.array_join("title_path", "|").alias("path"))
+
+
+def _corrected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    blocks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("block_id"), "text", F.array(F.lit("t")).alias("title_path"))
+    reviews = _reviews(spark, sf_dir)
+    return rv.apply_corrections(blocks, reviews, "turn"), reviews
+
+
+def first_review_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents corrected by the first reviewed turn of the conversation with their id."""
+    out = _corrected(spark, sf_dir)[0].where("correction_applied or size(title_path) > 1")
+    return out.select("block_id", F.md5("text").alias("text_md5"), F.md5("original_text").alias("original_md5"), F.array_join("title_path", "|").alias("path"))
+
+
+def correction_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V5: how many blocks, reviewed items and corrections there are."""
+    report = rv.correction_report(*_corrected(spark, sf_dir), "documents", "conversations", "corrected")
+    return report.select("original_blocks", "reviewed_items", "corrections_applied", "output_file", F.col("input_files.review_queue").alias("review_queue"), F.col("timestamp").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{6}$").alias("stamped"))
 
 
 CORRECTION_SQL = """
 WITH r AS (SELECT conv_id, arg_min(turn, turn) AS turn FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
-d AS (SELECT doc_id, substring(text, 1, 20) AS t, turn % 4 = 1 AS fixed, conv_id % 3 = 0 AS moved, conv_id FROM documents JOIN r ON conv_id = doc_id)
-SELECT doc_id AS block_id, CASE WHEN fixed THEN 'fixed ' || conv_id ELSE t END AS text, CASE WHEN fixed THEN t END AS original_text, CASE WHEN moved THEN 'a|b' ELSE 't' END AS path FROM d WHERE fixed OR moved
+d AS (SELECT doc_id, text AS t, turn % 4 = 1 AS fixed, conv_id % 3 = 0 AS moved, conv_id FROM documents JOIN r ON conv_id = doc_id)
+SELECT doc_id AS block_id, md5(CASE WHEN fixed THEN 'fixed ' || conv_id ELSE t END) AS text_md5, CASE WHEN fixed THEN md5(t) END AS original_md5, CASE WHEN moved THEN 'a|b' ELSE 't' END AS path FROM d WHERE fixed OR moved
+"""
+
+
+REPORT_SQL = """
+WITH r AS (SELECT conv_id, arg_min(turn, turn) AS turn FROM conversations WHERE role = 'assistant' GROUP BY conv_id)
+SELECT (SELECT count(*) FROM documents) AS original_blocks, (SELECT count(*) FROM conversations WHERE role = 'assistant') AS reviewed_items,
+       (SELECT count(*) FROM documents JOIN r ON conv_id = doc_id WHERE turn % 4 = 1) AS corrections_applied, 'corrected' AS output_file, 'conversations' AS review_queue, true AS stamped
 """
 
 
@@ -92,11 +114,11 @@ def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A2 over a plain and over an exploded column."""
     docs = table(spark, sf_dir, "documents")
     langs = va.value_counts(docs, F.col("lang")).withColumn("kind", F.lit("lang"))
-    words = va.value_counts(docs, F.explode(F.slice(F.split("text", " "), 1, 1))).withColumn("kind", F.lit("first_word"))
+    words = va.value_counts(docs, F.explode(F.split("text", " "))).withColumn("kind", F.lit("word"))
     return langs.unionByName(words)
 
 
-COUNTS_SQL = "SELECT lang AS value, count(*) AS n, 'lang' AS kind FROM documents GROUP BY lang UNION ALL SELECT split_part(text, ' ', 1), count(*), 'first_word' FROM documents GROUP BY 1"
+COUNTS_SQL = "SELECT lang AS value, count(*) AS n, 'lang' AS kind FROM documents GROUP BY lang UNION ALL SELECT w, count(*), 'word' FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents) GROUP BY 1"
 
 
 def page_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,24 +135,18 @@ SELECT k::BIGINT AS n_nationkey, (generate_subscripts(pages, 1) - 1)::BIGINT AS
 """
 
 
-def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events' JSON properties read with a schema, and lines that are no objects counted."""
-    events = table(spark, sf_dir, "events")
-    parsed = events.select("event_type", F.from_json("props", "k int").alias("p"))
-    return parsed.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("p").isNull()).alias("n_bad"), F.sum("p.k").alias("sum_k"), F.max("p.k").cast("long").alias("max_k"))
-
-
-JSON_SQL = "SELECT event_type, count(*) AS n, count(*) FILTER (NOT json_valid(props)) AS n_bad, sum((props->>'k')::BIGINT)::BIGINT AS sum_k, max((props->>'k')::BIGINT) AS max_k FROM events GROUP BY event_type"
-
-
-def weighted_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A6's weighted mean over lineitem: discount weighted by quantity per flag."""
-    lines = table(spark, sf_dir, "lineitem")
-    mean = F.try_divide(F.sum(F.col("l_discount") * F.col("l_quantity")), F.sum("l_quantity"))
-    return lines.groupBy("l_returnflag").agg(F.round(mean, 6).alias("weighted"), F.count("*").alias("n"))
+def strict_page_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P1 over specifications that it accepts: order kept, each page once, empty parts skipped."""
+    k = F.col("n_nationkey")
+    spec = F.concat(F.lit(" "), (k + 2).cast("string"), F.lit(" ,"), (k % 4 + 1).cast("string"), F.lit("-"), (k + 5).cast("string"), F.lit(", ,"), (k + 9).cast("string"), F.lit("-"), (k + 9).cast("string"))
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", F.posexplode(requested_pages(spec)).alias("pos", "page"))
+    return rows.select(*[F.col(c).cast("long").alias(c) for c in rows.columns])
 
 
-WEIGHTED_SQL = "SELECT l_returnflag, round(sum(l_discount * l_quantity) / sum(l_quantity), 6) AS weighted, count(*) AS n FROM lineitem GROUP BY l_returnflag"
+STRICT_SQL = """
+WITH s AS (SELECT n_nationkey AS k, [n_nationkey + 2] || list_filter(generate_series(n_nationkey % 4 + 1, n_nationkey + 5), lambda x: x <> n_nationkey + 2) || [n_nationkey + 9] AS pages FROM nation)
+SELECT k::BIGINT AS n_nationkey, (generate_subscripts(pages, 1) - 1)::BIGINT AS pos, unnest(pages)::BIGINT AS page FROM s
+"""
 
 
 def last_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,15 +160,17 @@ LAST_SQL = "SELECT o_custkey, max(o_orderkey) AS o_orderkey, any_value(c_mktsegm
 
 
 def text_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F1, F2, F15, H5, H10, H11, H12 over documents and orders."""
-    docs = table(spark, sf_dir, "documents")
-    head = F.substring("text", 1, 40)
+    """F1, F2, F15, H5, H10, H11, H12 over the whole lines of documents' pages."""
+    texts = F.posexplode(F.col("results")[0]["rec_texts"]).alias("pos", "line")
+    lines = ocr_pages(spark, sf_dir).select("document_id", texts).join(table(spark, sf_dir, "documents").select(F.concat(F.lit("D"), "doc_id").alias("document_id"), "doc_id", "lang", "source"), "document_id")
     weights = F.create_map(F.lit("en"), F.lit(1), F.lit("fr"), F.lit(2))
-    pages = F.array(F.pmod("doc_id", F.lit(4)).cast("int"), F.pmod("doc_id", F.lit(3)).cast("int"), F.pmod("doc_id", F.lit(2)).cast("int"))
-    return docs.select(
+    pages = F.array(*[F.pmod(F.col("doc_id") + F.col("pos"), F.lit(k)).cast("int") for k in (4, 3, 2)])
+    return lines.select(
         "doc_id",
-        tx.normalize(head).alias("normalized"),
-        tx.is_code(head).alias("code"),
+        (F.col("pos") + 1).alias("line_index"),
+        F.md5(tx.normalize(F.col("line"))).alias("normalized_md5"),
+        tx.is_code(F.col("line")).alias("code"),
+        tx.han_count(F.col("line")).alias("han"),
         tx.first_filled(F.when(F.col("lang") == "en", F.lit("")).otherwise(F.col("lang")), F.col("source")).alias("filled"),
         tx.lookup(weights, F.col("lang"), F.lit(9)).alias("weight"),
         tx.page_label(pages).alias("label"),
@@ -160,10 +178,11 @@ def text_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SCALARS_SQL = r"""
-WITH d AS (SELECT *, substring(text, 1, 40) AS head, [doc_id % 4, doc_id % 3, doc_id % 2] AS p FROM documents)
-SELECT doc_id, trim(regexp_replace(head, '[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS normalized,
-       regexp_matches(head, '(?i)(?:^|\s)(?:N\d+)?\s*(?:G\d{1,3}|M\d{1,3}|[XYZUWRIJKFPQSDT][-+]?\d)') AND len(regexp_extract_all(head, '[一-鿿]')) <= 4 AS code,
+SCALARS_SQL = rf"""
+WITH {LINES_SQL},
+d AS (SELECT r.*, lang, source, [(doc_id + line_index - 1) % 4, (doc_id + line_index - 1) % 3, (doc_id + line_index - 1) % 2] AS p FROM raw_lines r JOIN documents USING (doc_id))
+SELECT doc_id, line_index::INT AS line_index, md5(trim(regexp_replace(raw, '{SPACE}+', ' ', 'g'))) AS normalized_md5,
+       regexp_matches(raw, '(?i)(?:^|{SPACE})(?:N\d+)?{SPACE}*(?:G\d{{1,3}}|M\d{{1,3}}|[XYZUWRIJKFPQSDT][-+]?\d)') AND len(regexp_extract_all(raw, '[一-鿿]')) <= 4 AS code, len(regexp_extract_all(raw, '[一-鿿]'))::INT AS han,
        CASE WHEN lang = 'en' THEN source ELSE lang END AS filled, CASE lang WHEN 'en' THEN 1 WHEN 'fr' THEN 2 ELSE 9 END::INT AS weight,
        CASE WHEN p[1] = p[2] AND p[2] = p[3] THEN '第' || p[1] || '页' ELSE '第' || p[1] || '—' || CASE WHEN p[3] NOT IN (p[1], p[2]) THEN p[3] WHEN p[2] <> p[1] THEN p[2] ELSE p[3] END || '页' END AS label, lang || '|' || source AS joined
 FROM d
@@ -175,10 +194,10 @@ QUERIES = {
     "validation_status": (validation_status, STATUS_SQL),
     "label_set_disagreement": (label_set_disagreement, DISAGREE_SQL),
     "first_review_correction": (first_review_correction, CORRECTION_SQL),
+    "correction_report": (correction_report, REPORT_SQL),
     "value_counts": (value_counts, COUNTS_SQL),
     "page_spec": (page_spec, PAGES_SQL),
-    "json_props": (json_props, JSON_SQL),
-    "weighted_confidence": (weighted_confidence, WEIGHTED_SQL),
+    "strict_page_spec": (strict_page_spec, STRICT_SQL),
     "last_by_key": (last_by_key, LAST_SQL),
     "text_scalars": (text_scalars, SCALARS_SQL),
 }

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions import vectors as vx
 from ..operators import citations as ci
 from ..operators import evaluation as ev
 from ..operators import retrieval as re_
-from .base import questions, table
+from .base import LINES_SQL, ocr_pages, questions, table
 
 
 def _bm25(spark: SparkSession, sf_dir: str, **options: float) -> DataFrame:
@@ -21,8 +22,12 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _terms_sql(name: str, source: str, key: str) -> str:
-    return f"""{name} AS (
-  SELECT {key}, unnest(regexp_extract_all(translate(lower(text), '０１', '01'), '(?i)[a-z]+\\d*(?:\\.\\d+)?|\\d+(?:\\.\\d+)?')) AS term FROM {source})"""
+    return f"""{name}_lowered AS (SELECT {key}, translate(lower(text), '０１', '01') AS t FROM {source}),
+{name}_runs AS (SELECT {key}, unnest(regexp_extract_all(t, '[一-鿿]+')) AS run FROM {name}_lowered),
+{name} AS (
+  SELECT {key}, unnest(regexp_extract_all(t, '(?i)[a-z]+\\d*(?:\\.\\d+)?|\\d+(?:\\.\\d+)?')) AS term FROM {name}_lowered
+  UNION ALL SELECT {key}, unnest(string_split(run, '')) FROM {name}_runs
+  UNION ALL SELECT {key}, unnest(list_transform(generate_series(1, length(run) - 1), lambda i: substring(run, i, 2))) FROM {name}_runs)"""
 
 
 def _bm25_sql(b: str = "0.75", k1: str = "1.5") -> str:
@@ -34,10 +39,12 @@ sizes AS (SELECT d.doc_id, coalesce(n, 0) AS length FROM documents d LEFT JOIN (
 stats AS (SELECT count(*) AS n, avg(length) AS mean FROM sizes),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
 qtf AS (SELECT item_id, term, count(*) AS qtf FROM query_tokens GROUP BY ALL),
-scored AS (
+matched AS (
   SELECT item_id AS query_id, tf.doc_id, round(sum(qtf * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))
          * (tf * ({k1}::DOUBLE + 1) / (tf + {k1}::DOUBLE * (1 - {b}::DOUBLE + {b}::DOUBLE * length / mean)))), 8) AS score
   FROM qtf JOIN tf USING (term) JOIN df USING (term) JOIN sizes USING (doc_id) CROSS JOIN stats GROUP BY ALL),
+scored AS (
+  SELECT i.item_id AS query_id, d.doc_id, coalesce(m.score, 0) AS score FROM documents d CROSS JOIN benchmark i LEFT JOIN matched m ON m.query_id = i.item_id AND m.doc_id = d.doc_id),
 bm25 AS (
   SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id::VARCHAR) AS rank
   FROM scored QUALIFY rank <= 10)"""
@@ -47,13 +54,15 @@ BM25_SQL = f"WITH {_bm25_sql()} SELECT query_id, doc_id, rank, round(score, 6) A
 
 
 def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens, distinct tokens and the most frequent token of each document."""
-    counts = re_.term_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    """Tokens, distinct tokens and the most frequent token of each document's page, ideographs included."""
+    pages = ocr_pages(spark, sf_dir).select(F.substring("document_id", 2, 20).cast("long").alias("doc_id"), F.array_join(F.col("results")[0]["rec_texts"], "\n").alias("text"))
+    counts = re_.term_counts(pages, "doc_id", "text")
     top = F.min_by("term", F.struct((-F.col("tf")).alias("n"), "term"))
     return counts.groupBy("doc_id").agg(F.sum("tf").alias("n_tokens"), F.count("*").alias("n_terms"), top.alias("top_term"), F.max("tf").alias("top_tf"))
 
 
-TERM_SQL = f"""WITH {_terms_sql("doc_terms", "documents", "doc_id")},
+TERM_SQL = f"""WITH {LINES_SQL}, whole AS (SELECT doc_id, string_agg(raw, chr(10) ORDER BY line_index) AS text FROM raw_lines GROUP BY doc_id),
+{_terms_sql("doc_terms", "whole", "doc_id")},
 tf AS (SELECT doc_id, term, count(*) AS tf FROM doc_terms GROUP BY ALL)
 SELECT doc_id, sum(tf)::BIGINT AS n_tokens, count(*) AS n_terms, arg_min(term, (-tf, term)) AS top_term, max(tf) AS top_tf FROM tf GROUP BY doc_id"""
 
@@ -118,15 +127,22 @@ SELECT query_id, doc_id, round(score, 5) AS score, row_number() OVER (PARTITION
 """
 
 
-def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BM25 runs with judgments by rule: of a query's ranking, labelled documents of good quality are relevant, twice
-    so if their id is even; queries with ids divisible by five have none."""
-    ranked = _bm25(spark, sf_dir)
-    good = ranked.join(table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct(), "doc_id").where("query_id % 5 <> 0")
-    grade = F.when(F.col("doc_id") % 2 == 0, 2.0).otherwise(1.0)
-    judged = good.groupBy(F.col("query_id").cast("string").alias("question_id")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("doc_id").cast("string"), grade))).alias("relevance"))
-    runs = re_.as_runs(ranked, "query_id", "doc_id").join(judged, "question_id", "left")
-    return runs.withColumn("relevant_ids", F.coalesce(F.map_keys("relevance"), F.array().cast("array<string>")))
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judgments as evidence labels: of the documents with a question's id and every tenth further one, those labelled
+    as of good quality, twice as relevant if their id is even; questions with ids divisible by five have none."""
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
+    meant = questions(spark, sf_dir).where("query_id % 5 <> 0").select("query_id", F.explode(F.expr("sequence(query_id, query_id + 990, 10)")).alias("doc_id"))
+    grade = F.when(F.col("doc_id") % 2 == 0, 2).otherwise(1)
+    item = F.struct(F.col("doc_id").cast("string").alias("evidence_id"), grade.alias("relevance"))
+    held = meant.join(good, "doc_id").groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("relevant_evidence"))
+    every = questions(spark, sf_dir).select("query_id").join(held, "query_id", "left")
+    return every.select(F.col("query_id").cast("string").alias("question_id"), F.coalesce("relevant_evidence", F.array().cast("array<struct<evidence_id:string,relevance:int>>")).alias("relevant_evidence"))
+
+
+def _runs(spark: SparkSession, sf_dir: str, **options: float) -> DataFrame:
+    """BM25 runs of every question with its judgments."""
+    ranked = re_.as_runs(_bm25(spark, sf_dir, **options), "query_id", "doc_id")
+    return re_.graded_judgments(_labels(spark, sf_dir)).join(ranked, "question_id", "left")
 
 
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,15 +151,21 @@ def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row.select(*[F.round(F.col(f"`{c}`"), 6).alias(c.replace("@", "_at_")) if c not in ("answerable_queries", "unanswerable_queries") else F.col(c) for c in row.columns])
 
 
+RELEVANT = """rel AS (
+  SELECT query_id, doc_id, CASE WHEN doc_id % 2 = 0 THEN 2.0 ELSE 1.0 END::DOUBLE AS grade
+  FROM (SELECT item_id AS query_id, unnest(generate_series(item_id, item_id + 990, 10)) AS doc_id FROM benchmark WHERE item_id % 5 <> 0) JOIN good USING (doc_id))"""
+
+
 def _metrics_sql(inner: str) -> str:
     return f"""
 WITH {_bm25_sql()}, good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
-rel AS (SELECT query_id, doc_id, CASE WHEN doc_id % 2 = 0 THEN 2.0 ELSE 1.0 END::DOUBLE AS grade FROM bm25 JOIN good USING (doc_id) WHERE query_id % 5 <> 0),
+{RELEVANT},
 j AS (SELECT b.query_id, b.rank, r.grade FROM bm25 b LEFT JOIN rel r USING (query_id, doc_id)),
+sizes_of AS (SELECT i.item_id AS query_id, count(r.doc_id) AS n FROM benchmark i LEFT JOIN rel r ON r.query_id = i.item_id GROUP BY 1),
 ideal AS (SELECT query_id, grade, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC) AS pos FROM rel),
-q AS (SELECT query_id, count(grade) AS n, coalesce(1.0::DOUBLE / min(rank) FILTER (grade IS NOT NULL), 0) AS rr, coalesce(min(rank) FILTER (grade IS NOT NULL), 0) AS first,
+q AS (SELECT query_id, any_value(n) AS n, coalesce(1.0::DOUBLE / min(rank) FILTER (grade IS NOT NULL), 0) AS rr, coalesce(min(rank) FILTER (grade IS NOT NULL), 0) AS first,
       {", ".join(f"count(grade) FILTER (rank <= {k}) AS f{k}, coalesce(sum((2 ** grade - 1) / log2(rank + 1)) FILTER (rank <= {k}), 0) AS g{k}" for k in (1, 3, 5, 10))}
-      FROM j GROUP BY query_id),
+      FROM sizes_of LEFT JOIN j USING (query_id) GROUP BY query_id),
 i AS (SELECT query_id, {", ".join(f"sum((2 ** grade - 1) / log2(pos + 1)) FILTER (pos <= {k}) AS i{k}" for k in (1, 3, 5, 10))} FROM ideal GROUP BY query_id)
 {inner}"""
 
@@ -171,34 +193,47 @@ SIMPLE_SQL = _metrics_sql(
 )
 
 
-def compare_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BM25 against ranking without length normalisation, by query language group; the better one each."""
-    docs, asked = table(spark, sf_dir, "documents"), questions(spark, sf_dir)
-    good = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id")).distinct()
+def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 against ranking without length normalisation, by two groups of questions."""
 
     def results(b: float) -> DataFrame:
-        ranked = re_.bm25(docs, asked, b=b)
-        rel = ranked.join(good, "doc_id").groupBy(F.col("query_id").cast("string").alias("question_id")).agg(F.collect_list(F.col("doc_id").cast("string")).alias("relevant_ids"))
-        runs = re_.as_runs(ranked, "query_id", "doc_id").join(rel, "question_id", "left")
-        runs = runs.withColumns({"profile": F.concat(F.lit("p"), F.pmod(F.col("question_id").cast("int"), F.lit(2))), "relevant_ids": F.coalesce("relevant_ids", F.array().cast("array<string>"))})
-        return ev.evaluate_simple(runs, "profile")
+        return ev.evaluate_simple(_runs(spark, sf_dir, b=b).withColumn("profile", F.concat(F.lit("p"), F.pmod(F.col("question_id").cast("int"), F.lit(2)))), "profile")
 
-    compared = ev.compare_methods({"default": results(0.75), "flat": results(0.0)})
-    return ev.best_profile(compared).select("method", "profile", F.round("mrr", 6).alias("mrr"))
+    return ev.compare_methods({"default": results(0.75), "flat": results(0.0)})
+
+
+def compare_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The better group of questions for each way of ranking."""
+    return ev.best_profile(_profiles(spark, sf_dir)).select("method", "profile", F.round("mrr", 6).alias("mrr"))
 
 
 def _compare_part(method: str, b: str) -> str:
-    return f"""(WITH {_bm25_sql(b)}, good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
-  r AS (SELECT query_id, coalesce(1.0::DOUBLE / min(rank) FILTER (g.doc_id IS NOT NULL), 0) AS rr FROM bm25 b LEFT JOIN good g ON g.doc_id = b.doc_id GROUP BY query_id)
-  SELECT '{method}' AS method, 'p' || (query_id % 2) AS profile, avg(rr) AS m FROM r GROUP BY ALL)"""
+    return f"""(WITH {_bm25_sql(b)}, good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1), {RELEVANT},
+  r AS (SELECT query_id, min(rank) FILTER (r.doc_id IS NOT NULL) AS first FROM bm25 b LEFT JOIN rel r USING (query_id, doc_id) GROUP BY query_id)
+  SELECT '{method}' AS method, 'p' || (query_id % 2) AS profile, coalesce(avg(coalesce(1.0::DOUBLE / first, 0)), 0) AS m, {", ".join(f"avg(coalesce(first <= {k}, false)::INT) AS h{k}" for k in (1, 5, 10))} FROM r GROUP BY ALL)"""
 
 
+PROFILES = f"""c AS ({_compare_part("default", "0.75")} UNION ALL {_compare_part("flat", "0.0")})"""
+
 COMPARE_SQL = f"""
-WITH c AS ({_compare_part("default", "0.75")} UNION ALL {_compare_part("flat", "0.0")})
+WITH {PROFILES}
 SELECT method, arg_min(profile, (-m, profile)) AS profile, round(max(m), 6) AS mrr FROM c GROUP BY method
 """
 
 
+def comparison_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K4: the comparison as a Markdown table, a row per line of it."""
+    lines = ev.comparison_table(_profiles(spark, sf_dir)).split("\n")
+    return spark.createDataFrame(list(enumerate(lines)), "line int, markdown string")
+
+
+TABLE_SQL = f"""
+WITH {PROFILES},
+body AS (SELECT row_number() OVER (ORDER BY profile, method) + 1 AS line, format('| {{}} | {{}} | {{:.3f}} | {{:.3f}} | {{:.3f}} | {{:.3f}} |', profile, method, h1, h5, h10, m) AS markdown FROM c)
+SELECT line::INT AS line, markdown FROM body UNION ALL VALUES (0, '| profile | method | Hit@1 | Hit@5 | Hit@10 | MRR |'), (1, '|---|---|---|---|---|---|') UNION ALL SELECT (max(line) + 1)::INT, '' FROM body
+"""
+
+
 def user_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Citations of each query's second and first result."""
     docs = table(spark, sf_dir, "documents")
@@ -262,6 +297,28 @@ WITH m AS (SELECT doc_id, list_transform(regexp_extract_all(regexp_replace(' ' |
 SELECT doc_id, len(list_distinct(found)) AS code_count, coalesce(array_to_string(list_sort(list_distinct(found)), '|'), '') AS codes FROM m
 """
 
+
+def normalized_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unit vectors, with their length and their cosine to the sum of the axes."""
+    unit = re_.normalized_vectors(table(spark, sf_dir, "embeddings"))
+    e, ones = F.col("embedding"), F.transform("embedding", lambda _: F.lit(1.0))
+    return unit.select("vec_id", F.round(vx.dot(e, e), 6).alias("squared"), F.round(vx.dot(e, ones), 6).alias("total"), F.round(F.get("embedding", F.lit(0)), 6).alias("first"))
+
+
+VECTORS_SQL = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS size FROM embeddings)
+SELECT vec_id, round(list_dot_product(e, e) / (size * size), 6) AS squared, round(list_sum(e) / size, 6) AS total, round(e[1] / size, 6) AS first FROM v
+"""
+
+
+def selected_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the text field that a ranker is given, with a fallback where it is empty."""
+    docs = table(spark, sf_dir, "documents").withColumn("title", F.when(F.col("lang") == "en", F.lit("")).when(F.col("lang") == "fr", F.lit(None)).otherwise(F.concat("source", F.lit(": "), "text")))
+    return re_.select_text(docs, "title", F.col("text")).select("doc_id", F.md5("text").alias("text_md5"))
+
+
+SELECTED_SQL = "SELECT doc_id, md5(CASE WHEN lang IN ('en', 'fr') THEN text ELSE source || ': ' || text END) AS text_md5 FROM documents"
+
 QUERIES = {
     "bm25_topk": (bm25_topk, BM25_SQL),
     "term_statistics": (term_statistics, TERM_SQL),
@@ -272,8 +329,11 @@ QUERIES = {
     "retrieval_metrics": (retrieval_metrics, METRICS_SQL),
     "simple_metrics": (simple_metrics, SIMPLE_SQL),
     "compare_profiles": (compare_profiles, COMPARE_SQL),
+    "comparison_table": (comparison_table, TABLE_SQL),
     "user_citations": (user_citations, CITATIONS_SQL),
     "lexicon_normalize": (lexicon_normalize, LEXICON_SQL),
     "filtered_bm25": (filtered_bm25, FILTERED_SQL),
     "code_mentions": (code_mentions, CODES_SQL),
+    "normalized_vectors": (normalized_vectors, VECTORS_SQL),
+    "selected_text": (selected_text, SELECTED_SQL),
 }
