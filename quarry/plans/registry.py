@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import documents, relations, retrieval, validation
+from . import documents, exchange, relations, retrieval, validation
 
-_ALL = {**retrieval.QUERIES, **documents.QUERIES, **relations.QUERIES, **validation.QUERIES}
+_ALL = {**retrieval.QUERIES, **documents.QUERIES, **relations.QUERIES, **validation.QUERIES, **exchange.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

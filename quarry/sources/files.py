@@ -1,7 +1,11 @@
-"""Whole files: hashes, manifests, registry and PDF text."""
+"""Whole files: hashes, manifests, registry and PDF text (S6, S10, K6); folders for intermediate files."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +15,26 @@ from pyspark.sql import functions as F
 from ..schemas import PDF_PAGE
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share, as spark.checkpoint.dir names it.
+
+    In local mode without that setting it is a temporary folder that goes with the process; a cluster is refused.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return f"{named}/quarry-{uuid.uuid4().hex}"
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    made = tempfile.mkdtemp(prefix="quarry-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return f"{made}/files"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     """(file, bytes, sha256) of the files at path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)

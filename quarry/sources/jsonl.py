@@ -71,10 +71,10 @@ def read_review_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_review_csv(df: DataFrame, path: str, byte_order_mark: bool = True) -> None:
-    """K3: a header and quoted cells; the mark makes spreadsheet programs read UTF-8."""
+    """K3: a header and quoted cells, white space kept; the mark makes spreadsheet programs read UTF-8."""
     first, *rest = df.columns
     named = df.withColumnRenamed(first, f"﻿{first}") if byte_order_mark else df
-    named.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    named.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_report(report: DataFrame, path: str) -> int:
