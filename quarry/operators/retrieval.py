@@ -78,7 +78,7 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", doc_text:
             at = np.repeat(starts[terms] - (np.cumsum(each) - each), each) + np.arange(each.sum())
             cell = query[at] * batch.num_rows + np.repeat(doc, each)
             total = np.bincount(cell, weight[at] * np.repeat(gain, each), held.num_rows * batch.num_rows).reshape(held.num_rows, batch.num_rows)
-            return total if digits is None else np.rint(total * 10**digits).astype(np.int64)
+            return total.astype(np.float64) if digits is None else np.rint(total * 10**digits).astype(np.int64)
 
         return score
 

@@ -31,8 +31,10 @@ def test_bm25_against_plain_rule(spark):
             tf = doc.count(term)
             if tf:
                 score += qtf * math.log(1 + (5 - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(doc) / mean))
-        if score:
-            expected[k] = score
+        expected[k] = score
+    assert {d for _, d, _ in ranking(re_.bm25(docs(spark, *texts), asked(spark, query), keep_zero=False))} == {d for d, s in expected.items() if s}
+    exact = ranking(re_.bm25(docs(spark, *texts), asked(spark, query), digits=None))
+    assert [d for _, d, _ in exact] == sorted(expected, key=lambda d: (-expected[d], str(d))) and [s for *_, s in exact] == pytest.approx([expected[d] for _, d, _ in exact], abs=1e-12)
     got = ranking(re_.bm25(docs(spark, *texts), asked(spark, query)))
     assert {d: s for _, d, s in got} == pytest.approx(expected, abs=1e-7)
     assert [d for _, d, _ in got] == sorted(expected, key=lambda d: (-round(expected[d], 8), str(d)))
@@ -41,9 +43,16 @@ def test_bm25_against_plain_rule(spark):
 def test_ties_go_by_id_as_text_and_zeros_fill_up(spark):
     df = docs(spark, "a b", "a b", first=9)  # ids 9 and 10
     assert [d for _, d, _ in ranking(re_.bm25(df, asked(spark, "a")))] == [10, 9]
-    got = ranking(re_.bm25(docs(spark, "a", "q", "r"), asked(spark, "a"), k=2, keep_zero=True))
+    got = ranking(re_.bm25(docs(spark, "a", "q", "r"), asked(spark, "a"), k=2))
     assert [(d, s > 0) for _, d, s in got] == [(0, True), (1, False)]
-    assert ranking(re_.bm25(docs(spark, "a"), asked(spark, "zz"), k=5, keep_zero=True)) == [(0, 0, 0.0)]
+    assert ranking(re_.bm25(docs(spark, "a"), asked(spark, "zz"), k=5)) == [(0, 0, 0.0)]
+
+
+def test_unrounded_scores_decide_below_the_eighth_place(spark, monkeypatch):
+    """With b next to nothing, the longer of two documents scores less by less than a hundred-millionth."""
+    df = docs(spark, "a " + "c " * 3, "a", "b")
+    rounded, exact = (ranking(re_.bm25(df, asked(spark, "a"), b=1e-9, keep_zero=False, digits=n)) for n in (8, None))
+    assert [d for _, d, _ in rounded] == [0, 1] and [d for _, d, _ in exact] == [1, 0]
 
 
 def test_empty_tables(spark):
