@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from quarry.plans import registry
 
 SMALL = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -16,7 +17,7 @@ def test_entry_runs(spark):
     assert df.columns == ["query_id", "doc_id", "rank", "score"] and df.count() > 0
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "char_overlap_topk", "retrieval_metrics", "line_classify", "paragraph_merge", "fixed_windows", "referential_checks", "page_spec", "user_citations"])
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_queries_equal_their_sql(spark, name):
     db = duckdb.connect()
     for t in TABLES:
@@ -30,6 +31,17 @@ def test_queries_equal_their_sql(spark, name):
 
 def test_every_oracle_has_its_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+    assert set(registry.queries()) == set(registry.oracle_sql())
+
+
+def test_a_library_that_is_missing_does_not_hide_queries(tmp_path):
+    """Only where the corpus operators are there; without them there is nothing to hide."""
+    if "pipeline" not in __spark_entry__.queries():
+        return
+    (tmp_path / "xxhash.py").write_text("raise ImportError('not installed')")
+    root = str(Path(__file__).resolve().parents[1])
+    run = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=root, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": f"{tmp_path}:{root}"}, capture_output=True, text=True, check=False)
+    assert run.returncode != 0 and "not installed" in run.stderr
 
 
 def test_the_rest_imports_without_the_corpus_operators(tmp_path):
