@@ -19,8 +19,10 @@ from pyspark.sql import types as T
 from ..functions import text as tx
 from ..functions import vectors as vx
 
-QUERY_BLOCK = 64 << 20  # bytes of queries (and of their scores for a batch) that a task holds at once
+QUERY_BLOCK = 64 << 20  # bytes of queries that a task holds at once
+SCORE_BLOCK = 64 << 20  # bytes of scores that it holds for a batch of documents
 BATCH_ROWS = 1000
+LETTER_BYTES = 1024  # for a query's row over the characters of all, at first guess
 
 
 def top_k(scored: DataFrame, query_id: str, doc_id: str, k: int, score: str = "score") -> DataFrame:
@@ -44,8 +46,9 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", doc_text:
 
     Common terms match nearly every document with nearly every query, so joining postings on terms would make a row for
     each of those. Instead the queries' weights are held as a sparse matrix by term, bounded by QUERY_BLOCK, and a
-    batch's scores are added up there; k rows per query and batch shuffle. Document frequencies of the query terms and
-    the mean length come from a pass before, which reduces to a row per term within tasks.
+    batch's scores are added up there, SCORE_BLOCK of them at a time; k rows per query and batch shuffle. Document
+    frequencies of the query terms and the mean length come from a pass before, which reduces to a row per term within
+    tasks. QUERY_BLOCK holds some 100,000 queries; more of them take further rounds of two passes.
 
     Scores are rounded to `digits` places before they are ranked, or ranked as they are without. Queries that fewer than
     k documents match are filled up by documents of score zero, in id order, for which k documents are looked at;
@@ -54,7 +57,7 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", doc_text:
     words = lambda c: tx.tokens(F.coalesce(F.col(c), F.lit("")))
     asked = queries.select(F.col(query_id).alias("q"), words(query_text).alias("v"))
     base = docs.select(F.col(doc_id).alias("d"), words(doc_text).alias("v"))
-    size = asked.agg(F.coalesce(F.sum(F.size("v") * 32 + BATCH_ROWS * 8), F.lit(0))).first()[0]
+    size = asked.agg(F.coalesce(F.sum(F.size("v") * 32), F.lit(0))).first()[0]
 
     def prepare(held: pa.Table) -> dict:
         vocabulary = pc.unique(pc.list_flatten(held["v"].combine_chunks())).sort()
@@ -67,20 +70,26 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", doc_text:
         total, length = sum(r["docs"] for r in rows), sum(r["length"] for r in rows)
         return {"vocabulary": vocabulary, "idf": np.log(1 + (total - df + 0.5) / (df + 0.5)), "mean": length / total if length else 1.0}
 
-    def scorer(held: pa.Table, context: dict):
-        term, query, weight = _query_weights(held["v"].combine_chunks(), context)
-        starts = np.searchsorted(term, np.arange(len(context["idf"]) + 1))
-
-        def score(batch: pa.RecordBatch) -> np.ndarray:
+    def scorer(context: dict):
+        def features(batch: pa.RecordBatch) -> tuple:
             doc, terms, tf, lengths = _postings(batch.column("v"), context["vocabulary"])
-            gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[doc] / context["mean"]))
-            each = starts[terms + 1] - starts[terms]
-            at = np.repeat(starts[terms] - (np.cumsum(each) - each), each) + np.arange(each.sum())
-            cell = query[at] * batch.num_rows + np.repeat(doc, each)
-            total = np.bincount(cell, weight[at] * np.repeat(gain, each), held.num_rows * batch.num_rows).reshape(held.num_rows, batch.num_rows)
-            return total.astype(np.float64) if digits is None else np.rint(total * 10**digits).astype(np.int64)
+            return batch.num_rows, doc, terms, tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[doc] / context["mean"]))
+
+        def for_queries(held: pa.Table):
+            term, query, weight = _query_weights(held["v"].combine_chunks(), context)
+            starts = np.searchsorted(term, np.arange(len(context["idf"]) + 1))
+
+            def score(some: tuple) -> np.ndarray:
+                n, doc, terms, gain = some
+                each = starts[terms + 1] - starts[terms]
+                at = np.repeat(starts[terms] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+                cell = query[at] * n + np.repeat(doc, each)
+                total = np.bincount(cell, weight[at] * np.repeat(gain, each), held.num_rows * n).reshape(held.num_rows, n)
+                return total.astype(np.float64) if digits is None else np.rint(total * 10**digits).astype(np.int64)
+
+            return score
 
-        return score
+        return features, for_queries
 
     if k <= 0:
         raise ValueError("k must be positive")
@@ -131,18 +140,21 @@ def dense_top_k(docs: DataFrame, queries: DataFrame, doc_id: str = "vec_id", doc
     """Exact top k by cosine, (query_id, doc_id, score, rank).
 
     Query vectors are held by every task while they fit in QUERY_BLOCK, which their count and width show; more of them
-    go in several rounds. A task multiplies them with its documents batch by batch and keeps k of each batch, ties being
+    go in several rounds of a pass each. A task multiplies them with its documents batch by batch and keeps k of each batch, ties being
     settled as in the final ranking, so k rows per query and batch shuffle however many documents tie.
     """
     asked = queries.where(F.size(query_vector) > 0).select(F.col(query_id).alias("q"), F.col(query_vector).alias("v"))
     n, width = asked.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
     base = docs.where(F.size(doc_vector) > 0).select(F.col(doc_id).alias("d"), F.col(doc_vector).alias("v"))
 
-    def scorer(held: pa.Table, _: None):
-        unit = _unit(held["v"])
-        return lambda batch: np.rint(unit @ _unit(batch.column("v")).T * 10**digits).astype(np.int64)
+    def scorer(_: None):
+        def for_queries(held: pa.Table):
+            unit = _unit(held["v"])
+            return lambda vectors: np.rint(unit @ vectors.T * 10**digits).astype(np.int64)
 
-    found = _in_blocks(base, asked, n * (width + BATCH_ROWS) * 8, scorer, k, as_text=True).withColumn("score", F.col("score") / 10**digits)
+        return lambda batch: _unit(batch.column("v")), for_queries
+
+    found = _in_blocks(base, asked, n * width * 8, scorer, k, as_text=True).withColumn("score", F.col("score") / 10**digits)
     return top_k(found, "q", "d", k).withColumnsRenamed({"q": query_id, "d": doc_id})
 
 
@@ -157,30 +169,34 @@ def _unit(vectors) -> np.ndarray:
 def _in_blocks(base: DataFrame, asked: DataFrame, size: int, scorer, k: int, as_text: bool, prepare=None, whole: bool = True) -> DataFrame:
     """(q, d, score) with the k best of each batch of base (d, v) for every query of asked (q, v).
 
-    prepare, if given, runs on the driver for each table of queries; scorer makes, in a task, from a table of queries
-    and what prepare gave, a function of a batch that gives scores (queries x documents), whole numbers or doubles. Ties
-    in a batch go by d, as text or as it is.
+    prepare, if given, runs on the driver for each table of queries. scorer makes, in a task and from what prepare gave,
+    two functions: one takes a batch to its features, the other a table of queries to a function of features that gives
+    scores (queries x documents), whole numbers or doubles. Ties in a batch go by d, as text or as it is.
     """
     rounds = max(1, math.ceil(size / QUERY_BLOCK))
     schema = T.StructType([T.StructField("q", asked.schema["q"].dataType), T.StructField("d", base.schema["d"].dataType), T.StructField("score", T.LongType() if whole else T.DoubleType())])
+    together = max(1, SCORE_BLOCK // (BATCH_ROWS * 8))
 
     def run_for(held: pa.Table, context):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            score_of, ids = scorer(held, context), held["q"].combine_chunks()
+            features, for_queries = scorer(context)
+            parts = [(part["q"].combine_chunks(), for_queries(part)) for at in range(0, held.num_rows, together) for part in (held.slice(at, together),)]
             for b in (b.slice(at, BATCH_ROWS) for b in batches for at in range(0, b.num_rows, BATCH_ROWS)):
                 n = b.num_rows
-                if not n or not len(ids):
+                if not n or not parts:
                     continue
                 order = np.empty(n, np.int64)
                 order[pc.sort_indices(b.column("d").cast(pa.string()) if as_text else b.column("d")).to_numpy()] = np.arange(n)
-                score = score_of(b)
-                if whole:
-                    best = np.argpartition(-(score * n - order), min(k, n) - 1, axis=1)[:, : min(k, n)]
-                else:
-                    best = np.lexsort((np.broadcast_to(order, score.shape), -score), axis=1)[:, :k]
-                q = np.repeat(np.arange(len(ids)), best.shape[1])
-                d = best.ravel()
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), b.column("d").take(pa.array(d)), pa.array(score[q, d])], ["q", "d", "score"])
+                some = features(b)
+                for ids, score_of in parts:
+                    score = score_of(some)
+                    if whole:
+                        best = np.argpartition(-(score * n - order), min(k, n) - 1, axis=1)[:, : min(k, n)]
+                    else:
+                        best = np.lexsort((np.broadcast_to(order, score.shape), -score), axis=1)[:, :k]
+                    q = np.repeat(np.arange(len(ids)), best.shape[1])
+                    d = best.ravel()
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), b.column("d").take(pa.array(d)), pa.array(score[q, d])], ["q", "d", "score"])
 
         return run
 
@@ -206,25 +222,26 @@ def character_overlap_top_k(docs: DataFrame, queries: DataFrame, doc_id: str = "
     product over the characters that queries have.
     """
     asked = queries.select(F.col(query_id).alias("q"), F.coalesce(F.col(query_text), F.lit("")).alias("v"))
-    size = asked.agg(F.coalesce(F.sum(F.length("v") + BATCH_ROWS * 8), F.lit(0))).first()[0]
+    size = asked.agg(F.coalesce(F.sum(F.length("v") + LETTER_BYTES), F.lit(0))).first()[0]
     base = docs.select(F.col(doc_id).alias("d"), F.coalesce(F.col(doc_text), F.lit("")).alias("v"))
 
-    def scorer(held: pa.Table, _: None):
-        sets = [set(t) for t in held["v"].to_pylist()]
-        letters = {c: n for n, c in enumerate(sorted(set().union(*sets)))}
-        wanted = np.zeros((len(sets), len(letters) + 1), np.float32)
-        for row, s in enumerate(sets):
-            wanted[row, [letters[c] for c in s]] = 1
-
-        def score(batch: pa.RecordBatch) -> np.ndarray:
-            has = np.zeros((batch.num_rows, len(letters) + 1), np.float32)
-            for row, text in enumerate(batch.column("v").to_pylist()):
+    def scorer(letters: dict[str, int]):
+        def rows(texts: pa.Array | pa.ChunkedArray) -> np.ndarray:
+            has = np.zeros((len(texts), len(letters) + 1), np.float32)
+            for row, text in enumerate(texts.to_pylist()):
                 has[row, [letters[c] for c in set(text) if c in letters]] = 1
-            return (wanted @ has.T).astype(np.int64)
+            return has
+
+        def for_queries(held: pa.Table):
+            wanted = rows(held["v"])
+            return lambda has: (wanted @ has.T).astype(np.int64)
+
+        return lambda batch: rows(batch.column("v")), for_queries
 
-        return score
+    def letters(held: pa.Table) -> dict[str, int]:
+        return {c: n for n, c in enumerate(sorted(set().union(*map(set, held["v"].to_pylist()))))}
 
-    found = _in_blocks(base, asked, size, scorer, k, as_text=False).where("score > 0")
+    found = _in_blocks(base, asked, size, scorer, k, as_text=False, prepare=letters).where("score > 0")
     order = Window.partitionBy("q").orderBy(F.desc("score"), "d")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select(F.col("q").alias(query_id), F.col("d").alias(doc_id), F.col("score").cast("int").alias("score"), "rank")

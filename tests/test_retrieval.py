@@ -75,8 +75,22 @@ def test_dense_rounds_give_the_same(spark, monkeypatch):
     queries = vectors.where("vec_id % 7 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     one = sorted(map(tuple, re_.dense_top_k(vectors, queries, k=4).collect()))
     monkeypatch.setattr(re_, "BATCH_ROWS", 7)
-    monkeypatch.setattr(re_, "QUERY_BLOCK", 9 * (3 + re_.BATCH_ROWS) * 8 // 3)
-    assert sorted(map(tuple, re_.dense_top_k(vectors, queries, k=4).collect())) == one
+    for name in ("QUERY_BLOCK", "SCORE_BLOCK"):
+        monkeypatch.setattr(re_, name, 100)
+        assert sorted(map(tuple, re_.dense_top_k(vectors, queries, k=4).collect())) == one
+
+
+def test_ranking_in_blocks_gives_the_same(spark, monkeypatch):
+    texts = docs(spark, *[f"g{k % 5} m{k % 3} 刀具 x{k} " * (1 + k % 4) for k in range(40)])
+    some = asked(spark, *[f"g{k % 7} x{k} 刀" for k in range(25)])
+    rankers = [re_.bm25, lambda d, q: re_.bm25(d, q, digits=None), re_.character_overlap_top_k]
+    whole = [sorted(map(tuple, r(texts, some).collect())) for r in rankers]
+    monkeypatch.setattr(re_, "BATCH_ROWS", 7)
+    for name, value in (("QUERY_BLOCK", 600), ("SCORE_BLOCK", 200)):
+        monkeypatch.setattr(re_, name, value)
+        for ranker, one in zip(rankers, whole):
+            for got, expected in zip(sorted(map(tuple, ranker(texts, some).collect())), one, strict=True):
+                assert got == pytest.approx(expected)
 
 
 def test_character_overlap(spark):
