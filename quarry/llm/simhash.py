@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import attach, connected_components, durable, without
+from .exact_dedup import BROADCAST_BITS, BROADCAST_ROWS, set_slots
 
 BITS = 64
 SEED = 42
@@ -194,15 +195,24 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return attach(fps, table, "fp", "n", total).select(F.col("__id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The rows of docs that name their group, by the smallest id and for one id by text; all their columns.
 
     Rows are told apart by id and text, so of rows that share an id only those go that are not the last of their group.
-    Only ids and hashes of texts shuffle besides the rows themselves. The default distance is op2's: with four-word
-    shingles 4 differing bits are what 64 * acos(2J / (1 + J)) / pi expects at a Jaccard similarity J of 0.96.
+    What goes is a list of ids and hashes. Up to broadcast_rows it is broadcast; of a longer one, a filter is, and only
+    rows that this does not rule out shuffle. The default distance is op2's: with four-word shingles 4 differing bits are
+    what 64 * acos(2J / (1 + J)) / pi expects at a Jaccard similarity J of 0.96.
     """
     text = F.xxhash64(F.col(text_col))
     keyed = docs.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), text.alias("text")).alias("__key"), F.col(text_col).alias("__words"))
     groups = simhash_groups(keyed, "__key", "__words", shingle, distance)
     lost = groups.where(~F.col("__key").eqNullSafe(F.col("component_id"))).select(F.col("__key.id").alias("__lost"), F.col("__key.text").alias("__lost_text")).distinct()
-    return docs.join(lost, docs[id_col].eqNullSafe(lost["__lost"]) & (F.xxhash64(docs[text_col]) == lost["__lost_text"]), "left_anti")
+    lost = durable(lost)
+    some = lost.count()
+    on = docs[id_col].eqNullSafe(lost["__lost"]) & (F.xxhash64(docs[text_col]) == lost["__lost_text"])
+    if some <= broadcast_rows:
+        return docs.join(F.broadcast(lost), on, "left_anti")
+    tested = set_slots(lost, "__lost_text", some, 1, BROADCAST_BITS, BROADCAST_BITS).test(docs.withColumn("__hash", text), "__hash").drop("__hash")
+    rest = tested.where("__maybe").drop("__maybe")
+    met = rest.join(lost, rest[id_col].eqNullSafe(lost["__lost"]) & (F.xxhash64(rest[text_col]) == lost["__lost_text"]), "left_anti")
+    return tested.where("not __maybe").drop("__maybe").unionByName(met)

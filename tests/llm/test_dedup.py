@@ -157,12 +157,13 @@ def test_simhash_against_plain_rule(spark, monkeypatch, limits):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(expected.values())) and len(kept.columns) == 8
 
 
-def test_near_copies_go_by_id_and_text(spark):
+@pytest.mark.parametrize("most", [0, 100])
+def test_near_copies_go_by_id_and_text(spark, most):
     rng = random.Random(7)
     a, b, c = (" ".join("".join(rng.choice("abcdefg") for _ in range(4)) for _ in range(400)) for _ in range(3))
     assert (plain_fingerprint(a) ^ plain_fingerprint(a + " end")).bit_count() <= 4
     rows = [(1, a), (7, a + " end"), (7, b), (9, c), (9, c + " end"), (None, b), (None, None)]
-    kept = [(r.doc_id, r.text) for r in simhash.keep_one_of_each(frame(spark, rows)).collect()]
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one_of_each(frame(spark, rows), broadcast_rows=most).collect()]
     assert sorted(kept, key=str) in [sorted([(1, a), (7, b), (9, t), (None, None)], key=str) for t in (c, c + " end")]
 
 
