@@ -198,11 +198,12 @@ def pack(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     cut = durable(pieces(docs, path, pattern, id_col, text_col, capacity, end_id, with_ids))
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     buckets = max(64, sum(histogram.values()) // ROWS_PER_BUCKET)
-    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64(F.col("id"), "piece", "start", "ids_crc32"), F.lit(buckets)).cast("int"))
+    # By place in the table that was just written, which does not change: equal rows, however many, are spread as well.
+    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(buckets)).cast("int"))
     sizes = durable(dealt.groupBy("length", "bucket").agg(F.count("*").alias("n")))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    numbered = dealt.withColumn("at", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("id", "piece")))
+    numbered = dealt.withColumn("at", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("id", "piece", "start", "ids_crc32")))
     ranked = numbered.join(bases, ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("at") - 1).drop("base", "at", "bucket")
     where = segments(plan(histogram, capacity))
     combined = where["length"] * (1 << 44) + where["lo"]
