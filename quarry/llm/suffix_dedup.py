@@ -10,7 +10,8 @@ start). The work is divided so that equal strings meet without all-against-all m
    hash meet than there are slabs of text, however common it is.
 2. Copies. An anchor's context is the text of all strings that select it (at most length + W - 1 bytes). Occurrences
    with the same context are collapsed to the earliest before anything else; the later ones repeat it in full. Contexts
-   are the same if the gram's hash, their sizes and two independent 64-bit hashes of all their bytes are.
+   are the same if the gram's hash is and, of all their bytes, a 64-bit hash and TAG bits of an independent one; so
+   the bits decide only among contexts of one gram.
 3. Shards. The distinct contexts of an anchor with two or more go to one shard, which builds a suffix array by
    Larsson-Sadakane refinement and common prefixes by Kasai's rule, both in numpy; runs of suffixes with `length`
    bytes in common are equal strings, of which the earliest start stays. A string holds half of its other bytes on one
@@ -37,6 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import attach, attach_spread, durable
+from .exact_dedup import BROADCAST_BITS, set_slots
 
 LENGTH = 100
 K = 32  # bytes of an anchor gram
@@ -46,7 +48,9 @@ _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _LOW = np.uint64((1 << 24) - 1)
 SLAB = 1 << 22  # bytes handled at a time; one document may be longer
 KNOWN = 1 << 18  # hashes that a task remembers as repeated
+TOGETHER = 64  # anchors of one hash, known to repeat, that a slab sends under one salt
 LONGEST = 1 << 30
+TAG, TAG_AT = 16, 47  # bits of a context's second hash, and where `at` has them
 CHUNK = 2048  # contexts of one anchor that a shard takes whole
 
 
@@ -288,26 +292,27 @@ def _slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray
         yield flush()
 
 
-ALONE, FIRST, KNOWN_TO_REPEAT = 0, 1, 2
+ALONE, FIRST, KNOWN_TO_REPEAT = 0, 1, 2  # and greater numbers: known to repeat, with a salt
 
 
 def _meetings(h: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How each anchor of a slab meets others (ALONE, FIRST of several here, KNOWN_TO_REPEAT), and the sorted hashes
-    that the task now knows to repeat, a FIRST of which has been sent."""
+    """How each anchor of a slab meets others (ALONE, FIRST of several here, KNOWN_TO_REPEAT plus a salt that counts on
+    every TOGETHER of them), and the sorted hashes that the task now knows to repeat, a FIRST of which has been sent."""
     order = np.argsort(h, kind="stable")
     by = h[order]
     head = np.concatenate(([True], by[1:] != by[:-1]))
     several = ~(head & np.concatenate((head[1:], [True])))
     old = known[np.minimum(np.searchsorted(known, by), len(known) - 1)] == by if len(known) else np.zeros(len(by), bool)
-    how = np.empty(len(h), np.int8)
-    how[order] = np.where(old | (several & ~head), KNOWN_TO_REPEAT, np.where(several, FIRST, ALONE))
+    nth = np.arange(len(by)) - np.maximum.accumulate(np.where(head, np.arange(len(by)), 0))
+    how = np.empty(len(h), np.int32)
+    how[order] = np.where(old | (several & ~head), KNOWN_TO_REPEAT + nth // TOGETHER, np.where(several, FIRST, ALONE))
     new = by[head & several & ~old]
     known = np.sort(np.concatenate((known, new)) if len(known) + len(new) <= KNOWN else new[:KNOWN])
     return how, known
 
 
 def _anchor_rows(length: int):
-    """at: first start << 16 | starts after it << 8 | the gram's offset from it."""
+    """at: the tag << 47 | first start << 16 | starts after it << 8 | the gram's offset from it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.empty(0, np.uint64)
@@ -316,9 +321,9 @@ def _anchor_rows(length: int):
             if not len(doc):
                 continue
             how, known = _meetings(h, known)
-            at = (first - starts[doc]) << 16 | (last - first) << 8 | (gram - first)
-            columns = [*(pa.array(x.view(np.int64)) for x in (h, c, d)), pa.array(ids, pa.int64()).take(pa.array(doc)), pa.array(at), pa.array(how)]
-            yield pa.RecordBatch.from_arrays(columns, ["h", "c", "d", "doc", "at", "how"])
+            at = (d >> np.uint64(64 - TAG)).astype(np.int64) << TAG_AT | (first - starts[doc]) << 16 | (last - first) << 8 | (gram - first)
+            columns = [*(pa.array(x.view(np.int64)) for x in (h, c)), pa.array(ids, pa.int64()).take(pa.array(doc)), pa.array(at), pa.array(how)]
+            yield pa.RecordBatch.from_arrays(columns, ["h", "c", "doc", "at", "how"])
 
     return run
 
@@ -407,24 +412,35 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     kind 0: an anchor that occurs elsewhere; kind 1: the same range when it is the earliest with its context, which
     takes it back; kind 2: starts that the suffix arrays found to be later occurrences.
     """
-    rows = docs.select("doc", "text").mapInArrow(_anchor_rows(length), "h long, c long, d long, doc long, at long, how byte")
-    known = F.col("how") == KNOWN_TO_REPEAT
-    rows = rows.select(F.when(known, F.xxhash64("doc", "at")).otherwise(F.col("h")).alias("key"), F.when(known, F.col("h")).alias("own"), "c", "d", "doc", "at", "how")
+    # Which anchor of several in a task meets others depends on their order, so a task that runs again must see the same.
+    ordered = docs.select("doc", "text").sortWithinPartitions("doc", F.xxhash64("text"))
+    rows = ordered.mapInArrow(_anchor_rows(length), "h long, c long, doc long, at long, how int")
+    # Anchors that are known to repeat go by their hash and a salt, exclusive-or of which is undone behind the shuffle.
+    salt = F.when(F.col("how") >= KNOWN_TO_REPEAT, F.xxhash64(F.lit(9), "how")).otherwise(F.lit(0).cast("long"))
+    rows = rows.select(F.col("h").bitwiseXOR(salt).alias("key"), "c", "doc", "at", "how")
     shared = rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where((F.col("how") != ALONE) | (F.col("n") > 1))
-    met = durable(shared.select(F.coalesce("own", "key").alias("h"), "c", "d", "doc", "at"))
-    classes = durable(met.groupBy("h", "c", "d").agg(F.min(F.struct("doc", "at")).alias("p")).select("h", "p.doc", "p.at"))
+    tagged = durable(shared.select(F.col("key").bitwiseXOR(salt).alias("h"), "c", "doc", "at"))
+    place = F.col("at").bitwiseAND(F.lit((1 << TAG_AT) - 1)).alias("at")
+    met = tagged.select("doc", place)
+    earliest = F.min(F.struct("doc", place)).alias("p")
+    classes = durable(tagged.groupBy("h", "c", F.shiftright("at", TAG_AT).alias("tag")).agg(earliest).select("h", "p.doc", "p.at"))
     several = durable(classes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
     contexts, most = several.agg(F.coalesce(F.sum("n"), F.lit(0)), F.max("n")).first()
     asked = attach_spread(classes, several, "h", "n", contexts, ["doc", "at"])
 
-    def texts_of(some: DataFrame) -> DataFrame:
-        each = docs.join(some.groupBy("doc").agg(F.collect_list(F.struct("h", "at", "n")).alias("rows")), "doc").select("doc", "text", "rows")
+
+    def texts_of(some: DataFrame, texts: DataFrame) -> DataFrame:
+        each = texts.join(some.groupBy("doc").agg(F.collect_list(F.struct("h", "at", "n")).alias("rows")), "doc").select("doc", "text", "rows")
         return each.mapInArrow(_contexts(length, CHUNK), "h long, doc long, at long, side long, context binary")
 
     shards = max(1, contexts // CHUNK)
-    cells = _cells(texts_of(asked.where(F.col("n") <= CHUNK)), F.pmod(F.xxhash64(F.lit(5), "h"), F.lit(shards)), F.lit(1))
+    cells = _cells(texts_of(asked.where(F.col("n") <= CHUNK), docs), F.pmod(F.xxhash64(F.lit(5), "h"), F.lit(shards)), F.lit(1))
     if contexts and most > CHUNK:
-        sides = durable(texts_of(asked.where(F.col("n") > CHUNK)))
+        crowd = durable(asked.where(F.col("n") > CHUNK))
+        holders = durable(crowd.select("doc").distinct())
+        # Texts of documents without crowded anchors do not move for them.
+        maybe = set_slots(holders, "doc", holders.count(), 1, BROADCAST_BITS).test(docs, "doc").where("__maybe").drop("__maybe")
+        sides = durable(texts_of(crowd, maybe))
         alike = durable(sides.groupBy("side").agg(F.count("*").alias("m")).where("m > 1"))
         total = alike.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
         # Shards of the others have numbers from 0 on; these have negative ones.

@@ -249,6 +249,8 @@ def test_suffix_common_anchors_meet_once_a_slab(spark, monkeypatch):
     h = np.array([5, 9, 5, 7, 9, 5], np.uint64)
     how, known = suffix_dedup._meetings(h, np.array([9], np.uint64))
     assert how.tolist() == [1, 2, 2, 0, 2, 2] and known.tolist() == [5, 9]
+    monkeypatch.setattr(suffix_dedup, "TOGETHER", 2)
+    assert suffix_dedup._meetings(np.full(6, 5, np.uint64), known)[0].tolist() == [2, 2, 3, 3, 4, 4]
 
 
 def test_suffix_real_outputs_and_edges(spark):
