@@ -2,8 +2,8 @@
 
 Windows have a fixed step, so the windows that a block touches follow from its place by arithmetic: blocks are exploded
 to their windows and grouped, and no range join or whole-document string is made. Structural chunks are a sequential
-fold over the blocks of a document; it runs over a few small numbers a block, and the texts stay where they are (a
-tokenizer file, which has to see texts together, is the exception).
+fold over the blocks of a document; it runs over a few small numbers a block, and the texts stay in the JVM (a tokenizer
+file, which has to see texts together, is the exception).
 
 Blocks come in the order of ORDER: by page, then by the number in the block's id, which is longer if it is larger.
 """
@@ -134,7 +134,8 @@ def _touched(left: Column, right: Column, total: Column, size: int, step: int) -
 
 def _placed(blocks: DataFrame, ranges: DataFrame | None, order: list[str], size: Column) -> DataFrame:
     """Blocks with left, right and total of `size` within their document and range."""
-    units = in_ranges(usable_blocks(blocks), ranges).withColumn("size", size)
+    # By document alone, which serves the window here, the grouping by window behind it and the numbering at the end.
+    units = in_ranges(usable_blocks(blocks), ranges).withColumn("size", size).repartition("document_id")
     group = Window.partitionBy("document_id", "range_index")
     upto = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return units.withColumns({"right": F.sum("size").over(upto), "total": F.sum("size").over(group), "place": F.row_number().over(group.orderBy(*order))}).withColumn("left", F.col("right") - F.col("size"))
@@ -318,38 +319,51 @@ def _numbers(runs: list[list[int]], n: int) -> list[int]:
     return out
 
 
-def _folded(units: DataFrame, fold: Callable[[list[dict]], list[int]], with_text: bool = False) -> DataFrame:
-    """units with `chunk`. What a document's fold gets is a row of numbers per block, and its text if asked for."""
-    asked = ["boundary", "raw", "size", "range_index", "same_path", "heading", *(["t"] if with_text else [])]
+def _folded(units: DataFrame, order: list[str], fold: Callable[[list[dict]], list[int]], with_text: bool = False) -> DataFrame:
+    """(document_id, chunk, parts): the parts of each chunk in order.
 
-    def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("range_index", "ascending"), ("place", "ascending")])
-        return rows.select(["document_id", "range_index", "place"]).append_column("chunk", pa.array(fold(rows.select(asked).to_pylist()), pa.int32()))
+    A document's blocks come together as one array, in the JVM; what the fold gets is an array of numbers for each, and
+    the texts if asked for. Chunks have no gaps, so they are slices of the array.
+    """
+    asked = ["boundary", "raw", "size", "range_index", "same_path", "heading", *(["t"] if with_text else [])]
 
-    key = ["document_id", "range_index", "place"]
-    narrow = units.select(*key, *[c for c in asked if c not in key])
-    numbers = narrow.groupBy("document_id").applyInArrow(run, T.StructType([*(units.schema[c] for c in key), T.StructField("chunk", T.IntegerType())]))
-    return units.join(numbers, key)
+    @F.pandas_udf("array<int>")
+    def numbers(*columns: pd.Series) -> pd.Series:
+        return pd.Series([fold([dict(zip(asked, r)) for r in zip(*(c.tolist() for c in document))]) for document in zip(*columns)])
+
+    docs = units.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("range_index", *order, "raw", "size", "region", "part"))).alias("rows"))
+    flags = F.transform("rows", _flags)
+    each = docs.select("document_id", "rows", flags.alias("flags"))
+    number = numbers(*[F.col(f"flags.{c}") for c in asked])
+    numbered = each.select("document_id", "rows", number.alias("numbers"))
+    places = F.transform("numbers", lambda n, i: F.when((i == 0) | (F.get(F.col("numbers"), i - 1) != n), i + 1))
+    begun = numbered.select("document_id", "rows", F.array_append(F.array_compact(places), F.size("rows") + 1).alias("starts"))
+    slices = F.transform(F.slice("starts", 1, F.size("starts") - 1), lambda s, j: F.slice("rows", s, F.get(F.col("starts"), j + 1) - s))
+    chunks = begun.select("document_id", F.posexplode(slices).alias("chunk", "some"))
+    return chunks.select("document_id", "chunk", F.transform("some", lambda r: r["part"]).alias("parts"))
+
+
+def _flags(row: Column, i: Column) -> Column:
+    """What a fold asks of a block: its size, whether a boundary is before it in its range, and whether it has the title
+    path of the block before it, which may be the last of the range before."""
+    before = F.get(F.col("rows"), i - 1)
+    heading = row["part"]["block_type"].isin(*tx.HEADINGS)
+    same = (i > 0) & before["part"]["title_path"].eqNullSafe(row["part"]["title_path"])
+    boundary = (i > 0) & (before["range_index"] == row["range_index"]) & (heading | ~same | (before["region"] != row["region"]))
+    named = {"boundary": F.coalesce(boundary, F.lit(False)), "raw": row["raw"], "size": row["size"], "range_index": row["range_index"], "same_path": same, "heading": heading, "t": row["part"]["t"]}
+    return F.struct(*[c.alias(n) for n, c in named.items()])
 
 
 def _units(blocks: DataFrame, ranges: DataFrame | None, order: list[str], size: Column) -> DataFrame:
-    """Blocks with their place in document and range, and whether a boundary or another title path is before them."""
-    before = Window.partitionBy("document_id", "range_index").orderBy(*order)
-    units = in_ranges(usable_blocks(blocks), ranges).withColumns({"heading": F.col("block_type").isin(*tx.HEADINGS), "region": F.coalesce("layout_region", F.lit("")), "size": size, "raw": F.length("text"), "place": F.row_number().over(before)})
-    same = F.lag("title_path").over(before).eqNullSafe(F.col("title_path")) & (F.col("place") > 1)
-    boundary = (F.col("place") > 1) & (F.col("heading") | ~same | (F.lag("region").over(before) != F.col("region")))
-    # A range's first block has no block of the range before it; what it continues is the last of the range before.
-    first = Window.partitionBy("document_id").orderBy("range_index", *order)
-    units = units.withColumns({"boundary": boundary, "same_path": F.lag("title_path").over(first).eqNullSafe(F.col("title_path"))})
-    return units.select("document_id", "range_index", "place", "boundary", "raw", "size", "same_path", "heading", "t", F.struct("t", *PART).alias("part"))
+    units = in_ranges(usable_blocks(blocks), ranges)
+    return units.select("document_id", "range_index", *order, F.length("text").alias("raw"), size.alias("size"), F.coalesce("layout_region", F.lit("")).alias("region"), F.struct("t", *PART).alias("part"))
 
 
 def structural_chunks(blocks: DataFrame, most: int = 600, least: int = 80, order: tuple[str, ...] = ORDER, title: str = "", prefix: str = "STRUCT_V01") -> DataFrame:
     """Chunks along titles and layout, by characters."""
     if most <= 0:
         raise ValueError("invalid chunk size")
-    folded = _folded(_units(blocks, None, list(order), F.length("t")), lambda rows: by_characters(rows, most, least))
-    parts = folded.groupBy("document_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("place", "part"))).alias("rows")).withColumn("parts", F.transform("rows", lambda r: r["part"]))
+    parts = _folded(_units(blocks, None, list(order), F.length("t")), list(order), lambda rows: by_characters(rows, most, least))
     texts = parts.withColumn("text", tx.strip(F.array_join(F.transform("parts", lambda p: p["t"]), "\n"))).withColumn("source_block_ids", F.transform("parts", lambda p: p["block_id"]))
     return _finish(texts, prefix, "structural", "0.1-draft", title, ["chunk"])
 
@@ -364,11 +378,9 @@ def structural_token_chunks(blocks: DataFrame, ranges: DataFrame | None = None,
         return by_tokens(rows, most, least, weigh)
 
     size = tokens.count(F.col("t")) if path is None else F.lit(0)
-    folded = _folded(_units(blocks, ranges, list(order), size), fold, path is not None)
-    parts = folded.groupBy("document_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("range_index", "place", "part"))).alias("rows"))
-    whole = F.transform("rows", lambda r: r["part"].withField("lo", F.lit(0)).withField("hi", F.length(r["part"]["t"])).withField("n", F.length(r["part"]["t"])))
-    parts = parts.withColumn("parts", whole)
-    texts = parts.withColumn("text", tx.strip(F.array_join(F.transform("parts", lambda p: p["t"]), "\n")))
+    parts = _folded(_units(blocks, ranges, list(order), size), list(order), fold, path is not None)
+    whole = F.transform("parts", lambda p: p.withField("lo", F.lit(0)).withField("hi", F.length(p["t"])).withField("n", F.length(p["t"])))
+    texts = parts.withColumn("parts", whole).withColumn("text", tx.strip(F.array_join(F.transform("parts", lambda p: p["t"]), "\n")))
     return _token_chunks(texts, f"structural_t{most}", "structural_token", most, 0, title, ["chunk"], tokens)
 
 

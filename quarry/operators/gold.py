@@ -56,9 +56,11 @@ def retrieval_labels(answers: DataFrame, evidence: DataFrame, relevance: int = 2
     return expand_evidence(answers, evidence, fields).select("question_id", F.col("items").alias("relevant_evidence"), F.lit("reviewed").alias("annotation_status"))
 
 
-def gold_mapping(questions: DataFrame, answers: DataFrame, evidence: DataFrame, chunks: DataFrame, by: str = "strategy", least_coverage: float | None = None) -> DataFrame:
+def gold_mapping(questions: DataFrame, answers: DataFrame, evidence: DataFrame, chunks: DataFrame, by: str = "strategy", least_coverage: float | None = None, strategies: list[str] | None = None) -> DataFrame:
     """One row per question and strategy (or profile) with its candidate chunks.
 
+    Without a list of the strategies, the chunks are gone through once more for it.
+
     A chunk is a candidate if it shares a block with the question's evidence; with least_coverage (in (0, 1]) only
     fragments that cover so much of their block count. Relevance is 2 if some evidence is covered by half, else 1.
     """
@@ -90,7 +92,8 @@ def gold_mapping(questions: DataFrame, answers: DataFrame, evidence: DataFrame,
     rows = pairs.withColumn("n", ordered).groupBy(by, "question_id").agg(F.collect_list(F.struct("n", F.struct(*fields).alias("c"))).alias("r"))
     in_order = F.array_sort("r", lambda a, b: a["n"] - b["n"])  # by the number alone: maps have no order
     listed = rows.select(by, "question_id", F.transform(in_order, lambda x: x["c"]).alias("relevant_chunk_candidates"))
-    every = questions.select(F.col("id").alias("question_id")).crossJoin(F.broadcast(chunks.select(by).distinct()))  # strategies are a handful
+    named = chunks.select(by).distinct() if strategies is None else questions.sparkSession.createDataFrame([(s,) for s in strategies], f"{by} string")
+    every = questions.select(F.col("id").alias("question_id")).crossJoin(F.broadcast(named))  # strategies are a handful
     empty = F.expr(f"cast(array() as {CANDIDATES})")
     return every.join(listed, [by, "question_id"], "left").select("question_id", by, F.coalesce("relevant_chunk_candidates", empty).alias("relevant_chunk_candidates"), F.lit("draft_pending_human_review").alias("mapping_status"))
 

@@ -54,9 +54,10 @@ def page_line(t: Column, i: Column) -> Column:
 
 def ocr_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as one-page OCR results: lines made of theirs by rule, with scores that follow from the ids."""
-    texts = F.transform(F.split("text", "\n"), page_line)
-    scores = F.transform(texts, lambda t, i: F.pmod(F.col("doc_id") * 31 + i * 17, F.lit(1000)) / 1000)
-    boxes = F.transform(texts, lambda t, i: F.array(F.lit(0), i, F.lit(100), i + 1))
+    lines = F.split("text", "\n")
+    texts = F.transform(lines, page_line)
+    scores = F.transform(lines, lambda t, i: F.pmod(F.col("doc_id") * 31 + i * 17, F.lit(1000)) / 1000)
+    boxes = F.transform(lines, lambda t, i: F.array(F.lit(0), i, F.lit(100), i + 1))
     polys = F.expr("cast(null as array<array<array<int>>>)")
     result = F.struct(texts.alias("rec_texts"), scores.alias("rec_scores"), boxes.alias("rec_boxes"), polys.alias("rec_polys")).cast(OCR_RESULT)
     return table(spark, sf_dir, "documents").select(

@@ -244,7 +244,7 @@ def _gold_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 def gold_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate chunks of every question."""
-    mapped = go.gold_mapping(*_gold_inputs(spark, sf_dir), ch.fixed_windows(line_blocks(spark, sf_dir)))
+    mapped = go.gold_mapping(*_gold_inputs(spark, sf_dir), ch.fixed_windows(line_blocks(spark, sf_dir)), strategies=["fixed"])
     each = mapped.select("question_id", F.explode("relevant_chunk_candidates").alias("c"))
     return each.select("question_id", "c.chunk_id", F.array_join("c.evidence_ids", "|").alias("evidence_ids"), F.size("c.matched_source_block_ids").alias("n_matched"), F.round(F.array_max(F.map_values("c.evidence_coverage")), 4).alias("best"), F.col("c.proposed_relevance").alias("relevance"))
 
