@@ -36,7 +36,7 @@ SAMPLE = 2000  # labelled documents of each class that fitting reads at most
 WINDOW, STRIDE = 64, 48  # bytes
 ORDINARY_BYTES = 131_072
 PIECE = 256  # bytes of an ordinary sample for training
-TOXIC_BYTES = 3072
+TOXIC_BYTES = 1024
 AROUND = 3  # bytes on each side of a mark that make its passage
 COVER = {"k": 24, "d": 6}  # segments and the strings in them that zstandard's training counts, for passages
 SEGMENTS = 300
