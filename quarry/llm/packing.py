@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable
+from .common import durable, small
 
 ROWS_PER_BUCKET = 20_000
 
@@ -77,7 +77,7 @@ def pieces(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str,
         if (path, pattern) not in _made:
             _made[path, pattern] = Tokenizer(path, pattern)
         tokenizer = _made[path, pattern]
-        for b in batches:
+        for b in small(batches):
             rows, piece, start, length, crc, ids = [], [], [], [], [], []
             for row, text in enumerate(b.column(1).to_pylist()):
                 all_ids = np.append(tokenizer.encode_added(text or ""), np.uint32(end_id)).astype("<u4")

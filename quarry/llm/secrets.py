@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small
+
 KINDS = ("assign", "access", "hex", "entropy_base64", "entropy_hex")
 
 # The shapes of base spans.
@@ -127,7 +129,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allow:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         allowed = re.compile("|".join(f"(?:{a})" for a in allow))
-        for b in batches:
+        for b in small(batches):
             out: list[list] = [[] for _ in range(5)]
             for text in b.column(1).to_pylist():
                 base = base_spans(text or "")
@@ -147,7 +149,7 @@ def redact(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         allowed = re.compile("|".join(f"(?:{a})" for a in allow))
-        for b in batches:
+        for b in small(batches):
             texts = b.column(at).to_pylist()
             new = [t if t is None or not (s := all_spans(t, base_spans(t), allowed)) else redacted(t, s, mark) for t in texts]
             columns = list(b.columns)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import attach, connected_components, durable, without
+from .common import attach, connected_components, durable, small, without
 from .exact_dedup import BROADCAST_BITS, BROADCAST_ROWS, set_slots
 
 BITS = 64
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Columns (__id, fp): the SimHash of every row as a signed 64-bit integer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             runs = [shingle_hashes(t, shingle) for t in b.column(1).to_pylist()]
             lengths = np.array([len(r) for r in runs], np.int64)
             fp = majority_bits(np.concatenate(runs) if runs else np.empty(0, np.uint64), lengths)

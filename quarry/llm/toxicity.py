@@ -32,6 +32,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small
+
 SAMPLE = 2000  # labelled documents of each class that fitting reads at most
 WINDOW, STRIDE = 64, 48  # bytes
 ORDINARY_BYTES = 131_072
@@ -334,7 +336,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = _scorer(model)
-        for b in batches:
+        for b in small(batches):
             p = scores(b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], schema.names)
 
@@ -349,7 +351,7 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = _scorer(model)
-        for b in batches:
+        for b in small(batches):
             yield b.filter(pa.array(scores(b.column(at).to_pylist()) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
