@@ -102,7 +102,9 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         elif at + 1 < n and page[at + 1] in "!?":
             end = find(">", at + 2) + 1 or -1
         elif name := _NAME.match(page, at + 1):
-            if at >= plain_until:
+            if page.startswith(">", name.end()):
+                end = name.end() + 1
+            elif at >= plain_until:
                 stop = _QUOTED.match(page, name.end()).end()
                 if stop < n and page[stop] == ">":
                     end = stop + 1
@@ -171,7 +173,8 @@ def parse(page: str) -> tuple[list[tuple[str, int, int]], list[Element]]:
     def end_line() -> None:
         nonlocal linked
         if text:
-            words = " ".join(html.unescape("".join(text)).split())
+            words = "".join(text)
+            words = " ".join((html.unescape(words) if "&" in words else words).split())
             if words:
                 lines.append((words, max(0, len(words) - linked), stack[-1]))
             text.clear()
@@ -294,7 +297,8 @@ def lines_of(page: str) -> list[tuple[str, int, int, int]]:
 def stretches(weights: list[int]) -> list[tuple[int, int, int]]:
     """(first line, line after the last, highest window sum) between surge and dive points of the window sums."""
     n = len(weights)
-    sums = [sum(weights[k : k + WINDOW]) for k in range(n)]
+    upto = list(accumulate(weights, initial=0))
+    sums = [upto[min(k + WINDOW, n)] - upto[k] for k in range(n)]
     found, start = [], None
     for k in range(n + 1):
         alive = k < n and sums[k] > 0
