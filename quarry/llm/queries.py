@@ -16,6 +16,7 @@ from .html_text import main_text
 from .packing import pack
 from .secrets import scan
 from .simhash import simhash_groups
+from .spelling import spelling_groups
 from .suffix_dedup import cut_repeats
 from .toxicity import fit_from, score
 from .warc import page_records, read_warc, write_warc
@@ -120,6 +121,33 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(spread(docs), fit_from(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op13_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(spread(read_table(spark, sf_dir, "documents")))
+
+
+#: crc32 by its table of 256 remainders; near words by what is left of them without one letter.
+OP13_SQL = r"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)), b::BIGINT)) AS t),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+low AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS times FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+coded AS (SELECT w, times, hex(encode(doc_id || ':' || w)) AS x FROM low),
+hashed AS (
+  SELECT w, times, xor(list_reduce(range(0, length(x) // 2), lambda c, k: xor(c >> 8, t[xor(c & 255, ('0x' || substring(x, 2 * k + 1, 2))::BIGINT) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS h FROM coded, crc),
+made AS (SELECT CASE WHEN h % 31 = 0 THEN substring(w, 1, (h % length(w))::INT) || substring(w, (h % length(w))::INT + 2) ELSE w END AS word, times FROM hashed),
+words AS (SELECT word, sum(times)::BIGINT AS n FROM made WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+less AS (SELECT word, p, substring(word, 1, p) || substring(word, p + 2) AS rest FROM (SELECT word, unnest(range(0, length(word)))::INT AS p FROM words)),
+pairs AS (
+  SELECT a.word AS x, b.word AS y FROM less a JOIN less b ON a.p = b.p AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT l.word, w.word FROM less l JOIN words w ON l.rest = w.word
+  UNION SELECT w.word, l.word FROM less l JOIN words w ON l.rest = w.word),
+best AS (SELECT x AS word, count(*) AS n_near, arg_min(y, (-n, y)) AS y, max(n) AS most FROM pairs JOIN words ON words.word = y GROUP BY x),
+formed AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 10 * n THEN y END AS form, CASE WHEN most >= 10 * n THEN most END AS form_n FROM words LEFT JOIN best USING (word)),
+steps AS (SELECT word, word AS last, 0 AS k FROM formed UNION ALL SELECT s.word, f.form, k + 1 FROM steps s JOIN formed f ON f.word = s.last WHERE f.form IS NOT NULL),
+ends AS (SELECT word, arg_max(last, k) AS root FROM steps GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)
+"""
+
+
 def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -132,8 +160,9 @@ def queries() -> dict:
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_warc": op9_warc,
         "op10_toxicity": op10_toxicity,
+        "op13_spelling_groups": op13_spelling_groups,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_exact_dedup": OP1_SQL, "op3_suffix_dedup": OP3_SQL, "op5_embedding_dedup": OP5_SQL, "op9_warc": OP9_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op3_suffix_dedup": OP3_SQL, "op5_embedding_dedup": OP5_SQL, "op9_warc": OP9_SQL, "op13_spelling_groups": OP13_SQL}
