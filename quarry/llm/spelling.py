@@ -114,15 +114,15 @@ class Block:
         part = padded[self.start + 1 - self.more : len(word) - self.end + Q + 1]
         return [part[k : k + Q] for k in range(len(part) - Q + 1)]
 
-    def add(self, k: int) -> None:
-        word = self.words[k]
-        for place, gram in enumerate(self.grams(word)):
-            self.lists[gram, place, len(word) > self.m].append(k)
+    def add(self, k: int, grams: list[str]) -> None:
+        longer = len(self.words[k]) > self.m
+        for place, gram in enumerate(grams):
+            self.lists[gram, place, longer].append(k)
 
-    def candidates(self, word: str, longer: bool) -> Iterator[int]:
-        """Words of the index, as long as this one or longer by one, that share enough grams with it."""
+    def candidates(self, grams: list[str], longer: bool) -> Iterator[int]:
+        """Words added so far, as long as the one with these grams or longer by one, that share enough of them."""
         found = []
-        for place, gram in enumerate(self.grams(word)):
+        for place, gram in enumerate(grams):
             for shifted in (place, place + 1) if longer else (place,):
                 if here := self.lists.get((gram, shifted, longer)):
                     found.append(here)
@@ -130,7 +130,7 @@ class Block:
         if len(found) < least:
             return
         last, times = -1, 0
-        for k in heapq.merge(*found) if len(found) > 1 else (found[0] if found else ()):
+        for k in heapq.merge(*found) if len(found) > 1 else found[0]:
             if k == last:
                 times += 1
             else:
@@ -143,8 +143,6 @@ def _meet(words: list[str], counts: list[int], chunk: list[bool] | None, m: int,
     """Per word with near words here: how many, the greatest count and the word that has it. chunk tells the words of
     the first chunk from those of the second, where a block is met in parts."""
     block = Block(words, m, hole)
-    for k in range(len(words)):
-        block.add(k)
     out: dict[int, list] = {}
 
     def tell(k: int, other: int) -> None:
@@ -157,17 +155,18 @@ def _meet(words: list[str], counts: list[int], chunk: list[bool] | None, m: int,
         if n > have[1] or (n == have[1] and w < have[2]):
             have[1], have[2] = n, w
 
-    for k, word in enumerate(words):
-        if len(word) > m:
-            continue
-        for longer in (False, True):
-            for other in block.candidates(word, longer):
-                if (not longer and other <= k) or (chunk and chunk[k] == chunk[other]):
+    # Longer words first, so that each of the others meets them and those before it.
+    for k in sorted(range(len(words)), key=lambda k: -len(words[k])):
+        word, grams = words[k], block.grams(words[k])
+        for longer in (False, True) if len(word) == m else ():
+            for other in block.candidates(grams, longer):
+                if chunk and chunk[k] == chunk[other]:
                     continue
                 common = near(word, words[other])
                 if common and first_hole(word, *common) == hole:
                     tell(k, other)
                     tell(other, k)
+        block.add(k, grams)
     return out
 
 
