@@ -13,6 +13,8 @@ from .common import durable, read_table, remove, shared_dir
 from .embedding_dedup import near_vectors
 from .exact_dedup import exact_dedup
 from .html_text import main_text
+from .language_id import fit_from as fit_languages
+from .language_id import identify
 from .packing import pack
 from .secrets import scan
 from .simhash import simhash_groups
@@ -20,6 +22,7 @@ from .spelling import spelling_groups
 from .suffix_dedup import cut_repeats
 from .toxicity import fit_from, score
 from .warc import page_records, read_warc, write_warc
+from .whitening import whiten
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,6 +124,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(spread(docs), fit_from(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return identify(spread(docs), fit_languages(docs))
+
+
 def op13_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_groups(spread(read_table(spark, sf_dir, "documents")))
 
@@ -160,6 +172,8 @@ def queries() -> dict:
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_warc": op9_warc,
         "op10_toxicity": op10_toxicity,
+        "op11_whitening": op11_whitening,
+        "op12_language_id": op12_language_id,
         "op13_spelling_groups": op13_spelling_groups,
     }
 
