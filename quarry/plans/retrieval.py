@@ -9,7 +9,9 @@ from ..functions import text as tx
 from ..functions import vectors as vx
 from ..operators import citations as ci
 from ..operators import evaluation as ev
+from ..operators import inverted_index as ii
 from ..operators import retrieval as re_
+from ..sources import files
 from .base import LINES_SQL, ocr_pages, questions, table
 
 
@@ -67,6 +69,18 @@ tf AS (SELECT doc_id, term, count(*) AS tf FROM doc_terms GROUP BY ALL)
 SELECT doc_id, sum(tf)::BIGINT AS n_tokens, count(*) AS n_terms, arg_min(term, (-tf, term)) AS top_term, max(tf) AS top_tf FROM tf GROUP BY doc_id"""
 
 
+def indexed_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bm25_topk from a stored index: documents are added in two segments, by language, and ranked; the index is
+    removed once the ranking, of k rows a query, is written."""
+    index = ii.InvertedIndex(spark, files.scratch_folder(spark))
+    docs, asked = table(spark, sf_dir, "documents"), questions(spark, sf_dir)
+    for some in (docs.where("lang = 'en'"), docs.where("not (lang <=> 'en')")):
+        ii.add_documents(index, some, order=("source", "lang"))
+    ranked = files.durable(ii.indexed_bm25(index, asked))
+    files.remove_folder(spark, index.path)
+    return ranked.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
 def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
@@ -321,6 +335,7 @@ SELECTED_SQL = "SELECT doc_id, md5(CASE WHEN lang IN ('en', 'fr') THEN text ELSE
 
 QUERIES = {
     "bm25_topk": (bm25_topk, BM25_SQL),
+    "indexed_bm25": (indexed_bm25, BM25_SQL),
     "term_statistics": (term_statistics, TERM_SQL),
     "dense_topk": (dense_topk, DENSE_SQL),
     "char_overlap_topk": (char_overlap_topk, OVERLAP_SQL),

@@ -35,6 +35,14 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def durable(df: DataFrame) -> DataFrame:
+    """Compute once into the shared folder, so that neither lost executors nor reuse recompute what is above."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or scratch_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     """(file, bytes, sha256) of the files at path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
