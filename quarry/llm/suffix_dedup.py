@@ -22,7 +22,8 @@ start). The work is divided so that equal strings meet without all-against-all m
 
 Defined results: null text is empty; texts below `length` bytes lose nothing; very long texts are used whole; rows
 with null ids come first, and of those equal texts count as one document; a repeated row (same id and text) is one
-document with its copy and both get the same result; an empty table gives an empty result; other columns may have any
+document with its copies and all get the same result; rows that share an id but not a text are documents of their own,
+in the order of their texts' hashes; an empty table gives an empty result; other columns may have any
 names. Ids are integers. A text of 1 GiB or more, which places are not wide enough for, fails the query.
 """
 
@@ -31,13 +32,14 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach, attach_spread, durable
+from .common import attach, attach_spread, durable, hot_from
 from .exact_dedup import BROADCAST_BITS, set_slots
 
 LENGTH = 100
@@ -472,6 +474,40 @@ def _cut_rows(length: int, with_text: bool):
     return run
 
 
+@dataclass(frozen=True)
+class Repeated:
+    """Documents (doc, n) that n > 1 rows hold, and how many such rows there are."""
+
+    rows: DataFrame
+    total: int
+    documents: int
+
+
+def _documents(base: DataFrame) -> tuple[DataFrame, Repeated | None]:
+    """Rows (id, doc, text) whose doc tells apart all that differ in id or text, in the order of ids; and those repeated."""
+    hashed = base.withColumn("h", F.xxhash64("text"))
+    alike = durable(hashed.groupBy("doc").agg(F.count("*").alias("n"), F.min("h").alias("low"), F.max("h").alias("high")).where("n > 1"))
+    documents, total, shared = alike.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("low") != F.col("high"))).first()
+    if not shared:
+        return base, Repeated(alike.select("doc", "n"), total, documents) if documents else None
+    # Some id has several texts: documents are numbered anew, in order of id and hash.
+    pair = F.struct("doc", "h")
+    counted = hashed.groupBy("doc", "h").agg(F.count("*").alias("n")).repartitionByRange("doc", "h").sortWithinPartitions("doc", "h")
+    numbered = durable(counted.select(pair.alias("pair"), "n", F.monotonically_increasing_id().alias("number")))
+    every = numbered.agg(F.sum("n")).first()[0]
+    base = attach(hashed.select("id", "text", pair.alias("pair")), numbered, "pair", "n", every).select("id", F.col("number").alias("doc"), "text")
+    several = numbered.where("n > 1").select(F.col("number").alias("doc"), "n")
+    documents, total = several.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return base, Repeated(several, total, documents) if documents else None
+
+
+def _once(base: DataFrame, repeated: Repeated) -> DataFrame:
+    """One row for each document. Copies are put together within tasks before they move."""
+    maybe = set_slots(repeated.rows, "doc", repeated.documents, 1, BROADCAST_BITS).test(base, "doc")
+    either = maybe.where("__maybe").groupBy("doc").agg(F.first("text").alias("text"))
+    return maybe.where("not __maybe").select("doc", "text").unionByName(either)
+
+
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
@@ -483,8 +519,16 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.coalesce(F.col(text_col), F.lit(""))
     # A null id becomes a key of the text alone, below every id.
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**62)) - F.xxhash64(text).bitwiseAND(F.lit(2**60 - 1)))
-    base = docs.select(key.alias("doc"), text.alias("text"))
-    ranges = repeated_ranges(base, length).groupBy("doc").agg(F.collect_list("r").alias("ranges"))
-    joined = base.join(ranges, "doc", "left").select(F.when(F.col("doc") > -(2**62), F.col("doc")).alias("id"), "text", "ranges")
+    base, repeated = _documents(docs.select(F.col(id_col).cast("long").alias("id"), key.alias("doc"), text.alias("text")))
+    once = _once(base, repeated) if repeated else base
+    ranges = repeated_ranges(once.select("doc", "text"), length).groupBy("doc").agg(F.collect_list("r").alias("ranges"))
+    hot = durable(repeated.rows.where(F.col("n") >= hot_from(repeated.total)).select("doc")) if repeated else None
+    if hot is None or hot.isEmpty():
+        joined = base.join(ranges, "doc", "left").select("id", "text", "ranges")
+    else:
+        # No more than a thousand documents or so; their copies stay where they are.
+        there = base.join(F.broadcast(hot.join(ranges, "doc", "left")), "doc")
+        rest = base.join(F.broadcast(hot), "doc", "left_anti").join(ranges, "doc", "left")
+        joined = there.select("id", "text", "ranges").unionByName(rest.select("id", "text", "ranges"))
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary, spans array<struct<start:int,end:int>>" if with_text else "")
     return joined.mapInArrow(_cut_rows(length, with_text), schema).withColumnRenamed("id", id_col)

@@ -265,6 +265,35 @@ def test_suffix_real_outputs_and_edges(spark):
         suffix_dedup.cut_repeats(frame(spark, rows), length=50)
 
 
+def test_suffix_rows_that_share_an_id_keep_to_their_own_text(spark):
+    rng = random.Random(31)
+    x, a, b, c = ("".join(rng.choice("abcdefghijklmnop ") for _ in range(n)) for n in (150, 20, 20, 300))
+    rows = [(1, x + a), (5, x + b), (5, c), (-3, b + c + c), (5, x + b), (2**61, "short")]
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.cut_repeats(frame(spark, rows), with_text=False).collect())
+    # Text c comes first in the row of the smallest id, where its second copy goes as well.
+    assert got == [(-3, 620, 300), (1, 170, 0), (5, 170, 150), (5, 170, 150), (5, 300, 300), (2**61, 5, 0)]
+    three = suffix_dedup.cut_repeats(frame(spark, [(1, x + a), (5, x + b), (5, c)]), with_text=False).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed) for r in three) == [(1, 170, 0), (5, 170, 150), (5, 300, 0)]
+
+
+@pytest.mark.parametrize("hot", [2, 10**9])
+def test_suffix_copies_of_a_row_are_worked_on_once(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "hot_from", lambda total: hot)
+    rng = random.Random(32)
+    text = "".join(rng.choice("abcdefghijklmnop ") for _ in range(2000))
+    rows = [(None, text)] * 400 + [(4, text[:1000])] * 30 + [(6, text[500:] + text[:300])]
+    seen = []
+    original = suffix_dedup.repeated_ranges
+
+    def ranges(docs, length):
+        seen.append(docs.count())
+        return original(docs, length)
+
+    monkeypatch.setattr(suffix_dedup, "repeated_ranges", ranges)
+    got = sorted({(r.doc_id or 0, r.n_removed) for r in suffix_dedup.cut_repeats(frame(spark, rows), with_text=False).collect()})
+    assert got == [(0, 0), (4, 1000), (6, 1800)] and seen == [3]
+
+
 def test_suffix_order_and_common_prefixes():
     rng = random.Random(5)
     contexts = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 60))).encode() for _ in range(30)]
