@@ -84,7 +84,16 @@ def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of a document as a block of its own; block ids are sortable."""
-    lines = ocr_lines(spark, sf_dir)
+    return as_blocks(ocr_lines(spark, sf_dir))
+
+
+def line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per line that is not blank, with what the page says of it alone."""
+    pages = bl.with_lines(ocr_pages(spark, sf_dir))
+    return pages.select("document_id", "pdf_page", F.explode("lines").alias("l")).select("document_id", "pdf_page", "l.*")
+
+
+def as_blocks(lines: DataFrame) -> DataFrame:
     return lines.select(
         F.concat("document_id", F.format_string("_B%05d", "line_index")).alias("block_id"),
         "document_id",

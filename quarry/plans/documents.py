@@ -9,8 +9,9 @@ from ..operators import blocks as bl
 from ..operators import chunks as ch
 from ..operators import gold as go
 from ..operators import review as rv
+from ..operators import row_folds as rf
 from ..operators import validate as va
-from .base import LINES_SQL, line_blocks, ocr_lines, ocr_pages, table
+from .base import LINES_SQL, as_blocks, line_blocks, line_rows, ocr_lines, ocr_pages, table
 
 
 def line_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,6 +207,40 @@ def structural_token_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.select("chunk_id", "token_count", F.size("source_block_ids").alias("n_blocks"), F.md5("text").alias("text_md5"))
 
 
+def row_table_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W1 over rows."""
+    return rf.table_regions(line_rows(spark, sf_dir)).groupBy("document_id", "type").agg(F.count("layout_region").alias("inside"), F.count("*").alias("n_lines"))
+
+
+def row_title_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W2 over rows."""
+    initial = spark.range(1, 101).select(F.col("id").cast("int").alias("pdf_page"), F.array(F.lit("start")).alias("initial_path"))
+    lines = rf.title_paths(line_rows(spark, sf_dir), initial, {"1": "Chapter one"})
+    return lines.select("source_line_id", F.array_join("title_path", " > ").alias("path"))
+
+
+def row_paragraph_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W3 over rows."""
+    blocks = rf.paragraph_blocks(line_rows(spark, sf_dir))
+    return blocks.select("block_id", "block_type", F.size("source_line_ids").alias("n_lines"), F.length("text").alias("characters"), "average_confidence")
+
+
+def _row_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_blocks(rf.table_regions(line_rows(spark, sf_dir)))
+
+
+def row_structural_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W6 over rows."""
+    chunks = rf.structural_chunks(_row_blocks(spark, sf_dir))
+    return chunks.select("chunk_id", "character_count", F.size("source_block_ids").alias("n_blocks"), F.md5("text").alias("text_md5"))
+
+
+def row_structural_token_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W7 over rows."""
+    chunks = rf.structural_token_chunks(_row_blocks(spark, sf_dir), tokens=ch.Tokens(r"\S+"))
+    return chunks.select("chunk_id", "token_count", F.size("source_block_ids").alias("n_blocks"), F.md5("text").alias("text_md5"))
+
+
 TOKEN_COUNT = r"len(regexp_extract_all(text, '\S+'))"
 TOKEN_CHUNKS = f"""{_runs_sql(TOKEN_COUNT, 0, 512)},
 fold AS (
@@ -393,6 +428,11 @@ QUERIES = {
     "token_windows": (token_windows, TOKENS_SQL),
     "structural_chunks": (structural_chunks, STRUCTURAL_SQL),
     "structural_token_chunks": (structural_token_chunks, STRUCTURAL_TOKENS_SQL),
+    "row_table_region": (row_table_region, REGION_SQL),
+    "row_title_path": (row_title_path, TITLE_SQL),
+    "row_paragraph_merge": (row_paragraph_merge, MERGE_SQL),
+    "row_structural_chunks": (row_structural_chunks, STRUCTURAL_SQL),
+    "row_structural_token_chunks": (row_structural_token_chunks, STRUCTURAL_TOKENS_SQL),
     "profile_report": (profile_report, PROFILE_SQL),
     "gold_mapping": (gold_mapping, _gold_sql()),
     "fragment_gold_mapping": (fragment_gold_mapping, FRAGMENT_GOLD_SQL),
