@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
+from .intervals import with_ranges
 
 SKIPPED = ("header_footer",)
 ORDER = ("pdf_page", "block_digits", "block_id")
@@ -73,11 +74,11 @@ def usable_blocks(blocks: DataFrame) -> DataFrame:
 def in_ranges(blocks: DataFrame, ranges: DataFrame | None) -> DataFrame:
     """Blocks with the index of each page range they are in; all have index 0 without ranges.
 
-    ranges (range_index, start_page, end_page) is a parameter table, a handful of rows, so it is broadcast.
+    ranges: (range_index, start_page, end_page).
     """
     if ranges is None:
         return blocks.withColumn("range_index", F.lit(0))
-    return blocks.join(F.broadcast(ranges), F.col("pdf_page").between(F.col("start_page"), F.col("end_page"))).drop("start_page", "end_page")
+    return with_ranges(blocks, "pdf_page", ranges.select("range_index", "start_page", "end_page"), "start_page", "end_page")
 
 
 def _citation(title: str, ids: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .intervals import with_ranges
 
 # The urgency of issue flags.
 ISSUE_PRIORITY = {"possible_ocr_confusion": 1, "table_layout_requires_review": 1, "inside_table_candidate": 2, "low_confidence": 3, "header_chapter_number_missing": 4}
@@ -26,13 +27,13 @@ def block_review_queue(blocks: DataFrame) -> DataFrame:
 def data_review_queue(blocks: DataFrame, evidence: DataFrame, chunks: DataFrame, chapters: DataFrame, short_tokens: int = 64, image_pattern: str = "page_%03d.png") -> DataFrame:
     """Blocks whose review can change chunks or gold labels, most urgent first.
 
-    chapters (start_page, end_page, chapter) says which chapter a page should be in; it is a parameter table of a few
-    rows, hence broadcast. Evidence and chunks are grouped by block before they meet the blocks.
+    chapters (start_page, end_page, chapter) says which chapter a page should be in. Evidence and chunks are grouped by
+    block before they meet the blocks.
     """
     used = evidence.select(F.explode("source_block_ids").alias("block_id"), "evidence_id").groupBy("block_id").agg(F.array_sort(F.collect_list("evidence_id")).alias("evidence_ids"))
     short = chunks.where(F.col("token_count") < short_tokens).select(F.explode("source_block_ids").alias("block_id"), "chunk_id")
     short = short.groupBy("block_id").agg(F.array_sort(F.collect_list("chunk_id")).alias("short_chunk_ids"))
-    expected = blocks.join(F.broadcast(chapters), F.col("pdf_page").between(F.col("start_page"), F.col("end_page")), "left").drop("start_page", "end_page")  # F7
+    expected = with_ranges(blocks, "pdf_page", chapters.select("start_page", "end_page", "chapter"), "start_page", "end_page", keep=True)  # F7
     joined = expected.join(used, "block_id", "left").join(short, "block_id", "left")
     path = F.coalesce("title_path", F.array().cast("array<string>"))
     named = F.transform(path, lambda s: F.nullif(F.regexp_extract(s, r"(?U)^第(\d+)章", 1), F.lit("")).cast("int"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import gold as go
+from ..operators import intervals as iv
 from ..operators import review as rv
 from ..operators import validate as va
 from ..sources.pages import requested_pages
@@ -188,7 +189,23 @@ SELECT doc_id, line_index::INT AS line_index, md5(trim(regexp_replace(raw, '{SPA
 FROM d
 """
 
+def overlapping_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J9, J10 in general: spans of documents and of pages that overlap, of the same group of five; lengths go from one to
+    the documents' sizes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 5).alias("g"), F.col("doc_id").alias("a"), (F.col("doc_id") + F.col("n_chars") % 97).alias("b"))
+    pages = table(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 5).alias("g"), (F.col("page_id") * 4).alias("a"), (F.col("page_id") * 4 + F.length("html") % F.when(F.col("page_id") % 50 == 0, 4000).otherwise(20)).alias("b"))
+    met = iv.interval_join(docs, pages, ("a", "b"), ("a", "b"), ("g",))
+    return met.select("left.doc_id", "right.page_id", F.greatest("left.a", "right.a").alias("first"), (F.least("left.b", "right.b") - F.greatest("left.a", "right.a") + 1).alias("shared"))
+
+
+SPANS_SQL = """
+WITH d AS (SELECT doc_id, doc_id % 5 AS g, doc_id AS a, doc_id + n_chars % 97 AS b FROM documents),
+p AS (SELECT page_id, page_id % 5 AS g, page_id * 4 AS a, page_id * 4 + length(html) % CASE WHEN page_id % 50 = 0 THEN 4000 ELSE 20 END AS b FROM pages)
+SELECT doc_id, page_id, greatest(d.a, p.a) AS first, least(d.b, p.b) - greatest(d.a, p.a) + 1 AS shared FROM d JOIN p ON d.g = p.g AND d.a <= p.b AND p.a <= d.b
+"""
+
 QUERIES = {
+    "overlapping_spans": (overlapping_spans, SPANS_SQL),
     "duplicate_keys": (duplicate_keys, DUPLICATES_SQL),
     "referential_checks": (referential_checks, REFERENCES_SQL),
     "validation_status": (validation_status, STATUS_SQL),
