@@ -10,8 +10,12 @@ and to none in the end.
 
 Tags and class names are hints, and a hint gives way to the text: an element is not left out if it holds the page's
 article or main element; if it holds the top heading and half of all text, or running text if it is a form; if it was
-never closed and holds a quarter of all text; or if, being a form or told by its class alone, it holds the most text of
-those left out, and what remains has neither weight nor a mark.
+never closed and holds a quarter of all text; if a part of a longer class name alone speaks against it (social-issues)
+and it holds half of all text outside links, unless that name is one of readers' comments; or if, being a form or told
+by its class alone, it holds the most text of those left out, and what remains has neither weight nor a mark. What marks
+an article is left out by whole class names only. A numbered list of links between paragraphs of its own section is
+part of the text. A section that begins with a heading such as "3 Comments" is readers' comments, and a line that only says "Share
+this" or the like is no text, whatever their classes.
 
 Pages are read in time proportional to their length, whatever their markup: a search for the end of a comment, of a tag
 or of a raw element that finds none is not made again.
@@ -50,7 +54,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILERPLATE = frozenset(
     "ad ads adv alert announcement advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline-share comment comments commentlist consent cookie cookies disclaimer disqus footer "
-    "gdpr header masthead menu modal nav navbar navigation newsletter notice notification overlay pagination pager paywall popup popover promo promoted promotion recommended related reply replies search login signin poll copyright "
+    "gdpr header masthead menu modal nav navbar navigation newsletter notice notification overlay pagination pager paywall popup popover promo promoted promotion rail recommended related reply replies search login signin poll copyright "
     "respond share sharing sidebar signup skip social sponsor sponsored sponsorship subscribe subscription tagcloud tags toolbar topbar widget widgets".split()
 )
 SECTIONS = frozenset("div section article main table center td form".split())
@@ -60,6 +64,13 @@ NOT_THE_ARTICLE = frozenset("ad ads advert advertisement comment comments commen
 TELLING = frozenset(
     "article articlebody article-body article-content article-text body-text content entry entry-content main-content maincontent page-content post post-body post-content story story-body story-content".split()
 )
+#: Readers' comments, also as the first part of a longer name; not so before these endings, which say what a page allows.
+COMMENTARY = frozenset("comment comments commentlist disqus replies reply respond".split())
+STATE_ENDS = frozenset("open closed enabled disabled on off allowed count link".split())
+_COMMENTS = re.compile(r"(?:\d+ )?(?:reader |user )?(?:comments?|replies|responses|commentaires?|kommentare?|comentarios?)(?: ?\(\d+\))?:?|leave a (?:reply|comment)|(?:join|add to) the (?:conversation|discussion)", re.I)
+#: Lines that are about the page.
+SAID = frozenset("share this|share this article|share this page|share this post|share this story|advertisement|skip to content|skip to main content|back to top".split("|"))
+HEADINGS = frozenset("h2 h3 h4 h5 h6".split())
 #: Inside a marked article these words say what a part of it is.
 PARTS = frozenset({"header"})
 #: Class names that begin so describe a layout, not what is in the element.
@@ -130,11 +141,12 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         yield "text", page[text_from:], ""
 
 
-def _traits(tag: str, attributes: str) -> tuple[bool, frozenset[str], int]:
-    """(never article text, words of class and id, how surely it marks the article: 3 article, 2 main, 1 a telling
-    class, 0)."""
+def _traits(tag: str, attributes: str) -> tuple[bool, frozenset[str], frozenset[str], int]:
+    """(never article text, words of class and id, those that are whole names or begin one of comments, how surely it
+    marks the article: 3 article, 2 main, 1 a telling class, 0)."""
     never, mark = tag in NEVER, {"article": 3, "main": 2}.get(tag, 0)
     words: set[str] = set()
+    whole: set[str] = set()
     if attributes and not attributes.isspace():
         for name, *values in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), next((v for v in values if v), "").lower()
@@ -147,25 +159,29 @@ def _traits(tag: str, attributes: str) -> tuple[bool, frozenset[str], int]:
                 mark = max(mark, 3 if value == "articlebody" else 0)
             elif name in ("class", "id") and tag not in ("body", "html"):
                 names = [n for n in value.split() if not n.startswith(STATES)]
-                words.update(w for n in names for w in _WORDS.split(n))
+                for n in names:
+                    parts = _WORDS.split(n)
+                    words.update(parts)
+                    if len(parts) == 1 or (parts[0] in COMMENTARY and parts[-1] not in STATE_ENDS):
+                        whole.add(parts[0])
                 mark = max(mark, 0 if TELLING.isdisjoint(names) else 1)
-    return never, frozenset(words), mark
+    return never, frozenset(words), frozenset(whole), mark
 
 
 class Element:
     """An open block element; elements are numbered in page order, so those inside one follow it."""
 
-    __slots__ = ("closed", "last", "lines", "mark", "never", "parent", "section", "start", "tag", "words")
+    __slots__ = ("closed", "last", "lines", "mark", "never", "parent", "section", "start", "tag", "whole", "words")
 
-    def __init__(self, tag: str, never: bool, words: frozenset[str], mark: int, parent: int, start: int):
-        self.tag, self.never, self.words, self.mark, self.parent, self.start = tag, never, words, mark, parent, start
+    def __init__(self, tag: str, never: bool, words: frozenset[str], whole: frozenset[str], mark: int, parent: int, start: int):
+        self.tag, self.never, self.words, self.whole, self.mark, self.parent, self.start = tag, never, words, whole, mark, parent, start
         self.closed, self.last, self.lines, self.section = False, -1, (start, start), 0
 
 
 def parse(page: str) -> tuple[list[tuple[str, int, int]], list[Element]]:
     """Lines (text, characters outside links, element) in page order and all block elements; element 0 is the page."""
     lines: list[tuple[str, int, int]] = []
-    elements = [Element("", False, frozenset(), 0, -1, 0)]
+    elements = [Element("", False, frozenset(), frozenset(), 0, -1, 0)]
     stack, open_ = [0], Counter()
     text: list[str] = []
     linked, in_link = 0, False
@@ -227,11 +243,17 @@ def _left_out(lines: list[tuple[str, int, int]], elements: list[Element]) -> lis
 
     articles = inside([e.tag in ("article", "main") and e.words.isdisjoint(NOT_THE_ARTICLE) for e in elements])
     tops = inside([e.tag == "h1" for e in elements])
+    weighed = list(accumulate((w for _, w, _ in lines), initial=0))
     marks, hints = [0] * len(elements), [False] * len(elements)
     for k, e in enumerate(elements):
         around = marks[e.parent] if k else 0
         words = NOT_THE_ARTICLE if e.mark else BOILERPLATE - PARTS if around else BOILERPLATE
-        hints[k] = (e.never and not (e.tag == "header" and around >= 2)) or not words.isdisjoint(e.words)
+        sure = (e.never and not (e.tag == "header" and around >= 2)) or not words.isdisjoint(e.whole)
+        by_part = not e.mark and not words.isdisjoint(e.words)
+        if by_part and not sure:
+            mine = weighed[e.lines[1]] - weighed[e.lines[0]]
+            by_part = mine < SURGE or 2 * mine < weighed[-1]
+        hints[k] = sure or by_part
         marks[k] = max(around, e.mark)
     most = held[0]
 
@@ -240,6 +262,10 @@ def _left_out(lines: list[tuple[str, int, int]], elements: list[Element]) -> lis
         return bool(articles[k] or headed or (not e.closed and 4 * held[k] >= most))
 
     hints = [h and not gives_way(k, e) for k, (h, e) in enumerate(zip(hints, elements))]
+    for text, _, k in lines:
+        e = elements[k]
+        if e.tag in HEADINGS and _COMMENTS.fullmatch(text) and elements[e.parent].tag in ("div", "section") and elements[e.parent].start == e.start and not articles[e.parent]:
+            hints[e.parent] = True
 
     def spread(flags: list[bool]) -> list[bool]:
         out = list(flags)
@@ -275,22 +301,31 @@ def lines_of(page: str) -> list[tuple[str, int, int, int]]:
     cuts = {at for k, e in enumerate(elements) if k and gone[k] and not gone[e.parent] for at in e.lines}
     out: list[tuple[str, int, int, int]] = []
     links: list[tuple[str, int, int, int]] = []
+    ordered = False
 
-    def end_links() -> None:
-        out.extend(gap if len(links) >= LINKS else links)
+    def end_links(following: int | None) -> None:
+        """following: the section of the paragraph behind them, if there is one."""
+        if len(links) >= LINKS and ordered and following and out and out[-1][1] and out[-1][3] == following:
+            out.extend((t, max(w, 1), m, s) for t, w, m, s in links)
+        else:
+            out.extend(gap if len(links) >= LINKS else links)
         links.clear()
 
     for n, (text, weight, k) in enumerate(lines):
         e = elements[k]
+        if len(text) <= 20 and text.lower() in SAID:
+            text, weight = "", 0
         row = (text, weight, e.mark, e.section)
-        item = not weight and (e.tag == "li" or (e.parent > 0 and elements[e.parent].tag == "li"))
+        at = e if e.tag == "li" else elements[e.parent] if e.parent > 0 else e
+        item = not weight and at.tag == "li"
         if n in cuts or not item:
-            end_links()
+            end_links(e.section if weight and n not in cuts and not gone[k] else None)
         if n in cuts:
             out.extend(gap)
         if not gone[k]:
             (links if item else out).append(row)
-    end_links()
+            ordered = item and elements[at.parent].tag == "ol"
+    end_links(None)
     return out
 
 

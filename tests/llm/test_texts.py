@@ -251,6 +251,28 @@ def test_hints_give_way_to_the_text(page, text):
     assert extract(page) == " ".join(text.split())
 
 
+LINKED = "".join(f"<li><a href={k}>Reference {k}</a></li>" for k in range(5))
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f'<p>{STORY[:60]}</p><article class="post-12 post category-comment">{P}<p>End.</p></article>', STORY + "End."),
+        (f'<div><p>{STORY[:60]}</p></div><div class="post comments-open">{P}{P}</div>', STORY + STORY),
+        (f'<div><p>{STORY[:60]}</p></div><div class="social-issues">{P}{P}</div><footer>Imprint</footer>', STORY[:60] + " " + STORY + STORY),
+        (f"<article>{P}<ol>{LINKED}</ol>{P}</article>", STORY + " ".join(f"Reference {k}" for k in range(5)) + " " + STORY),
+        (f"<article>{P}<div>Share this</div>{P}</article>", STORY + STORY),
+        (f"<main>{P}<section><h2>3 Comments</h2>{P * 4}</section></main>", STORY),
+        (f"<article>{P}<section><h2>Comments on the law</h2>{P}</section></article>", STORY + "Comments on the law " + STORY),
+        (f"<main>{P}</main><div class=rail>{P}</div>", STORY),
+        (f"<article>{P}</article><div class=comments-area>{P * 9}</div>", STORY),
+        (f'<div class="comment-list">{P * 9}</div><div>{P}</div>', STORY),
+    ],
+)
+def test_longer_class_names_lists_and_headings_of_comments(page, text):
+    assert extract(page) == " ".join(text.split())
+
+
 @pytest.mark.parametrize("piece", ["<option>", "<!--", "<div>", "<a ", "<", "</div>", '<a "', "<p class='", "<script>", "<svg ", "<div class=ad>", "<p>x", "<nav><li><a href=x>y"])
 def test_a_megabyte_of_unclosed_markup_takes_linear_time(piece):
     page = piece * (1_000_000 // len(piece))
