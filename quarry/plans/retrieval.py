@@ -11,6 +11,7 @@ from ..operators import citations as ci
 from ..operators import evaluation as ev
 from ..operators import inverted_index as ii
 from ..operators import retrieval as re_
+from ..operators import vector_index as vi
 from ..sources import files
 from .base import LINES_SQL, ocr_pages, questions, table
 
@@ -98,6 +99,17 @@ SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score
 """
 
 
+def indexed_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dense_topk from a stored index, which is removed once the ranking, of k rows a query, is written."""
+    vectors = table(spark, sf_dir, "embeddings")
+    asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    index = vi.VectorIndex(spark, files.scratch_folder(spark))
+    vi.build_vector_index(index, vectors)
+    ranked = files.durable(vi.indexed_dense_top_k(index, asked))
+    files.remove_folder(spark, index.path)
+    return ranked.select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), "score")
+
+
 def char_overlap_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = re_.character_overlap_top_k(table(spark, sf_dir, "documents"), questions(spark, sf_dir))
     return found.select("query_id", "doc_id", F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("rank"))
@@ -338,6 +350,7 @@ QUERIES = {
     "indexed_bm25": (indexed_bm25, BM25_SQL),
     "term_statistics": (term_statistics, TERM_SQL),
     "dense_topk": (dense_topk, DENSE_SQL),
+    "indexed_dense": (indexed_dense, DENSE_SQL),
     "char_overlap_topk": (char_overlap_topk, OVERLAP_SQL),
     "rrf_fusion": (rrf_fusion, RRF_SQL),
     "weighted_fusion": (weighted_fusion, WEIGHTED_SQL),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,12 +15,8 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_jsonl_strict(spark: SparkSession, path: str, schema: str, allow_legacy_footer: bool = False) -> DataFrame:
-    """A line that is not a JSON object fails the query with its file and text.
-
-    Lines split over tasks, so the message names the file and the line's beginning rather than its number;
-    `check_jsonl` finds numbers.
-    """
-    bad = F.concat(F.col("_file"), F.lit(": expected a JSON object: "), F.substring("value", 1, 80))
+    """A line that is not a JSON object fails the query with file:line and the line's beginning."""
+    bad = F.concat("file", F.lit(":"), F.col("line_number").cast("string"), F.lit(": expected a JSON object: "), F.substring("value", 1, 80))
     lines = _lines(spark, path, allow_legacy_footer)
     # The check is part of the row's value, so that no column pruning can drop it.
     parsed = lines.select(F.when(~_is_object(F.col("value")), F.raise_error(bad).cast(_struct(schema))).otherwise(F.from_json("value", schema)).alias("row"))
@@ -28,22 +24,28 @@ def read_jsonl_strict(spark: SparkSession, path: str, schema: str, allow_legacy_
 
 
 def check_jsonl(spark: SparkSession, path: str, allow_legacy_footer: bool = False) -> DataFrame:
-    """Columns (file, line_number, problem) of the lines that the strict reader refuses.
+    """Columns (file, line_number, problem) of the lines that the strict reader refuses."""
+    lines = _lines(spark, path, allow_legacy_footer)
+    problem = F.when(~_is_json(F.col("value")), "invalid JSON").when(~_is_object(F.col("value")), "expected a JSON object")
+    return lines.select("file", "line_number", problem.alias("problem")).where("problem is not null")
 
-    Whole files are read one per row, as line numbers need; meant for files of a size that a task can hold.
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_number, value) of text files, which are read in splits: no file is a row or a task of its own.
+
+    A first pass counts the lines of each split of each file; what is before a split in its file is a prefix sum of
+    those counts, and a line's place within its split is that among the rows of its task. Both passes plan the same
+    splits, as they read the same files.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    lines = whole.select("file", F.posexplode(F.split("value", "\n")).alias("n", "value")).withColumn("value", F.trim(F.regexp_replace("value", r"\s+$", "")))
-    lines = lines.where("value <> ''")
-    if allow_legacy_footer:
-        lines = lines.where(~F.col("value").startswith(LEGACY_FOOTER))
-    problem = F.when(~_is_json(F.col("value")), "invalid JSON").when(~_is_object(F.col("value")), "expected a JSON object")
-    return lines.select("file", (F.col("n") + 1).alias("line_number"), problem.alias("problem")).where("problem is not null")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"))
+    splits = lines.groupBy("file", "split").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = splits.select("file", "split", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    return lines.join(offsets, ["file", "split"]).select("file", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line_number"), "value")
 
 
 def _lines(spark: SparkSession, path: str, allow_legacy_footer: bool) -> DataFrame:
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"))
-    lines = lines.where(F.regexp_replace("value", r"(?U)\s+", "") != "")
+    lines = numbered_lines(spark, path).where(F.regexp_replace("value", r"(?U)\s+", "") != "")
     return lines.where(~F.ltrim("value").startswith(LEGACY_FOOTER)) if allow_legacy_footer else lines
 
 

@@ -30,6 +30,27 @@ def test_strict_jsonl(spark, tmp_path):
     assert [(r.line_number, r.problem) for r in problems] == [(3, "expected a JSON object"), (4, "invalid JSON")]
 
 
+def test_line_numbers_over_splits(spark, tmp_path):
+    """A file is read in many splits, whose lines are of all lengths, blank ones among them."""
+    lines = [json.dumps({"a": k, "b": "x" * (k * 37 % 211)}) if k % 7 else "" for k in range(1, 3001)]
+    lines[1700] = "[1]"
+    (tmp_path / "many").mkdir()
+    big = write(tmp_path / "many", "big.jsonl", "\n".join(lines) + "\n")
+    write(tmp_path / "many", "small.jsonl", '{"a": 1}\n{x\n')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        assert spark.read.text(big).rdd.getNumPartitions() > 50
+        got = {(r.file.split("/")[-1], r.line_number): r.value for r in jsonl.numbered_lines(spark, str(tmp_path / "many")).collect()}
+        assert got == {**{("big.jsonl", k): x for k, x in enumerate(lines, 1)}, ("small.jsonl", 1): '{"a": 1}', ("small.jsonl", 2): "{x"}
+        problems = sorted((r.file.split("/")[-1], r.line_number, r.problem) for r in jsonl.check_jsonl(spark, str(tmp_path / "many")).collect())
+        assert problems == [("big.jsonl", 1701, "expected a JSON object"), ("small.jsonl", 2, "invalid JSON")]
+        with pytest.raises(Exception, match="big.jsonl:1701: expected a JSON object"):
+            jsonl.read_jsonl_strict(spark, big, "a int").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_jsonl_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("刀", None), ("b", 1)], "t string, n int")
     jsonl.write_jsonl(df, str(tmp_path / "out"), single_file=True)
