@@ -1,7 +1,9 @@
 """Validators (V1-V4) and the checks they are made of.
 
-A check is a table (check, id) of what is wrong; a validator is their union. `report` turns it into one row per check
-with its count and ids, and `status` into pass or fail.
+A check is a table (check, id) of what is wrong; a validator is their union. Checks of an entity's rows come from one
+scan of it (`failing_all`), and those of one key's presence in several entities from one grouping of all of them
+(`reconciled`). `summary` turns problems into one row per check, of a bounded size; `write_problems` keeps the ids
+themselves as a sorted table; `report` puts them into the row, for few problems; `status` is pass or fail.
 """
 
 from __future__ import annotations
@@ -34,6 +36,31 @@ def failing(df: DataFrame, key: str | Column, test: Column, name: str) -> DataFr
     return _as(df.where(test), name, key)
 
 
+def failing_all(df: DataFrame, key: str | Column, tests: dict[str, Column]) -> DataFrame:
+    """As failing for several tests by name, in one scan: a row and its id come once for each test that holds."""
+    names = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in tests.items()]))
+    id_ = F.col(key) if isinstance(key, str) else key
+    return df.select(id_.cast("string").alias("id"), F.explode(names).alias("check")).select("check", "id")
+
+
+def reconciled(sides: dict[str, tuple[DataFrame, str]], repeated: dict[str, str], lacking: dict[tuple[str, str], str]) -> DataFrame:
+    """A1 and J8 over one kind of id: keys that occur more than once in a side, and keys of a side that another lacks.
+
+    sides: tables and their key by a name; repeated: the check's name by side; lacking: by (side, other). Every key is
+    counted per side within tasks and shuffles once, where checks by themselves would group or join it anew.
+    """
+    names = list(sides)
+    count = {n: f"n{k}" for k, n in enumerate(names)}
+    tagged = None
+    for name, (df, key) in sides.items():
+        one = df.select(F.col(key).cast("string").alias("id"), *[F.lit(int(n == name)).cast("long").alias(count[n]) for n in names])
+        tagged = one if tagged is None else tagged.unionByName(one)
+    counts = tagged.groupBy("id").agg(*[F.sum(count[n]).alias(count[n]) for n in names])
+    tests = {check: F.col(count[n]) > 1 for n, check in repeated.items()}
+    tests |= {check: F.col("id").isNotNull() & (F.col(count[a]) > 0) & (F.col(count[b]) == 0) for (a, b), check in lacking.items()}
+    return failing_all(counts, "id", tests)
+
+
 def set_disagreements(left: DataFrame, right: DataFrame, key: str, left_set: str, right_set: str, name: str) -> DataFrame:
     """Keys of both sides whose id sets differ."""
     members = lambda c: F.array_sort(F.array_distinct(c))
@@ -53,8 +80,24 @@ def union(checks: list[DataFrame]) -> DataFrame:
     return out
 
 
+def summary(problems: DataFrame, names: list[str]) -> DataFrame:
+    """K2: (check, n, n_ids, first_id) for every check, also for those that found nothing; rows stay small however many
+    ids there are."""
+    rows = problems.sparkSession.createDataFrame([(n,) for n in names], "check string")
+    found = problems.groupBy("check").agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_ids"), F.min("id").alias("first_id"))
+    return rows.join(found, "check", "left").select("check", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_ids", F.lit(0)).alias("n_ids"), "first_id")
+
+
+def write_problems(problems: DataFrame, names: list[str], path: str) -> DataFrame:
+    """K2: writes the problems as a table by check, sorted by id over files, and returns the summary with each check's
+    folder. The checks run once; the summary is made of what was written."""
+    problems.repartitionByRange("check", "id").sortWithinPartitions("check", "id").write.mode("overwrite").partitionBy("check").parquet(path)
+    written = problems.sparkSession.read.schema("id string, check string").parquet(path)
+    return summary(written, names).withColumn("folder", F.when(F.col("n") > 0, F.concat(F.lit(f"{path}/check="), "check")))
+
+
 def report(problems: DataFrame, names: list[str]) -> DataFrame:
-    """K2: one row per check, also for those that found nothing."""
+    """K2: one row per check, also for those that found nothing, with all ids in it: for problems that fit in a row."""
     rows = problems.sparkSession.createDataFrame([(n,) for n in names], "check string")
     found = problems.groupBy("check").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("id")).alias("ids"))
     return rows.join(found, "check", "left").select("check", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("ids", F.array().cast("array<string>")).alias("ids"))
@@ -80,12 +123,20 @@ def ocr_blocks(pages: DataFrame, blocks: DataFrame, expected: DataFrame, page_of
             failing(pages.join(expected.select("pdf_page"), "pdf_page", "left_semi"), "pdf_page", F.size(lengths) > 1, "array_lengths_differ"),
             failing(sample, F.concat_ws(":", "pdf_page", "token"), ~F.coalesce(text.contains(F.col("token")), F.lit(False)), "missing_expected_tokens"),
             duplicates(blocks, "block_id", "duplicate_block_ids"),
-            duplicates(held, "line_id", "duplicate_source_line_ids"),
-            unmatched(line_ids, "line_id", held, "line_id", "missing_source_line_ids"),
-            unmatched(held, "line_id", line_ids, "line_id", "unexpected_source_line_ids"),
-            failing(blocks, "block_id", F.col("printed_page") != F.col("pdf_page") + page_offset, "invalid_printed_page_mappings"),
-            failing(blocks, "block_id", tx.is_blank(F.col("text")), "empty_text_blocks"),
-            failing(blocks, "block_id", F.col("review_status") != "auto_draft", "invalid_review_status"),
+            reconciled(
+                {"lines": (line_ids, "line_id"), "held": (held, "line_id")},
+                {"held": "duplicate_source_line_ids"},
+                {("lines", "held"): "missing_source_line_ids", ("held", "lines"): "unexpected_source_line_ids"},
+            ),
+            failing_all(
+                blocks,
+                "block_id",
+                {
+                    "invalid_printed_page_mappings": F.col("printed_page") != F.col("pdf_page") + page_offset,
+                    "empty_text_blocks": tx.is_blank(F.col("text")),
+                    "invalid_review_status": F.col("review_status") != "auto_draft",
+                },
+            ),
         ]
     )
 
@@ -109,13 +160,11 @@ def chunk_artifacts(chunks: DataFrame, blocks: DataFrame, mappings: DataFrame, e
         [
             duplicates(chunks, "chunk_id", "duplicate_chunk_ids"),
             unmatched(cited, "block_id", blocks, "block_id", "missing_source_block_ids"),
-            failing(chunks, "chunk_id", tx.is_blank(F.col("text")), "empty_chunks"),
-            failing(chunks, "chunk_id", _citation_differs(), "invalid_citations"),
+            failing_all(chunks, "chunk_id", {"empty_chunks": tx.is_blank(F.col("text")), "invalid_citations": _citation_differs()}),
             unmatched(candidates, "chunk_id", chunks, "chunk_id", "invalid_candidate_chunk_ids"),
             _as(partial, "incomplete_evidence_coverage", F.concat_ws(":", "question_id", "evidence_id")),
             _as(unmapped, "incomplete_evidence_coverage", F.concat_ws(":", "question_id", "evidence_id", F.lit("unmapped"))),
-            failing(mappings, "question_id", F.size("relevant_chunk_candidates") == 0, "questions_without_candidates"),
-            failing(mappings, "question_id", F.col("mapping_status") != "draft_pending_human_review", "non_draft_mappings"),
+            failing_all(mappings, "question_id", {"questions_without_candidates": F.size("relevant_chunk_candidates") == 0, "non_draft_mappings": F.col("mapping_status") != "draft_pending_human_review"}),
         ]
     )
 
@@ -129,9 +178,11 @@ def chunk_matrix(chunks: DataFrame, blocks: DataFrame, mappings: DataFrame, hash
     problem = F.when(F.col("size").isNull(), "missing").otherwise("invalid")
     checks = [
         duplicates(chunks, "chunk_id", "duplicate_chunk_ids"),
-        failing(chunks, "chunk_id", tx.is_blank(F.col("text")), "empty_chunks"),
-        failing(chunks, "chunk_id", (tokens or Tokens()).count(F.col("text")) != F.col("token_count"), "invalid_token_counts"),
-        failing(chunks, "chunk_id", _citation_differs(), "invalid_citations"),
+        failing_all(
+            chunks,
+            "chunk_id",
+            {"empty_chunks": tx.is_blank(F.col("text")), "invalid_token_counts": (tokens or Tokens()).count(F.col("text")) != F.col("token_count"), "invalid_citations": _citation_differs()},
+        ),
         failing(sized, F.concat_ws(":", "chunk_id", "block_id", problem), ~F.coalesce(sound, F.lit(False)), "invalid_source_fragments"),
         failing(mappings, "question_id", F.size("relevant_chunk_candidates") == 0, "questions_without_candidates"),
     ]
@@ -150,22 +201,25 @@ def dev_dataset(questions: DataFrame, answers: DataFrame, cited_answers: DataFra
     unreviewed = F.exists("evidence", lambda e: e["review_status"] != "reviewed")
     return union(
         [
-            duplicates(questions, "id", "duplicate_question_ids"),
-            duplicates(answers, "question_id", "duplicate_answer_question_ids"),
-            duplicates(evidence, "evidence_id", "duplicate_evidence_ids"),
-            unmatched(questions, "id", answers, "question_id", "questions_without_answers"),
-            unmatched(answers, "question_id", questions, "id", "answers_without_questions"),
-            unmatched(referenced, "evidence_id", evidence, "evidence_id", "missing_evidence_ids"),
-            unmatched(evidence, "evidence_id", referenced, "evidence_id", "unreferenced_evidence_ids"),
+            reconciled(
+                {"questions": (questions, "id"), "answers": (answers, "question_id"), "labels": (labels, "question_id"), "cited": (cited_answers, "question_id")},
+                {"questions": "duplicate_question_ids", "answers": "duplicate_answer_question_ids", "labels": "duplicate_retrieval_question_ids", "cited": "duplicate_cited_answer_ids"},
+                {
+                    ("questions", "answers"): "questions_without_answers",
+                    ("answers", "questions"): "answers_without_questions",
+                    ("questions", "labels"): "questions_without_retrieval_labels",
+                    ("labels", "questions"): "retrieval_labels_without_questions",
+                    ("answers", "cited"): "answers_without_cited_view",
+                    ("cited", "answers"): "cited_view_without_answers",
+                },
+            ),
+            reconciled(
+                {"evidence": (evidence, "evidence_id"), "referenced": (referenced, "evidence_id"), "labelled": (labelled, "evidence_id")},
+                {"evidence": "duplicate_evidence_ids"},
+                {("referenced", "evidence"): "missing_evidence_ids", ("evidence", "referenced"): "unreferenced_evidence_ids", ("labelled", "evidence"): "missing_retrieval_evidence_ids"},
+            ),
             unmatched(used_blocks, "block_id", blocks, "block_id", "missing_source_block_ids"),
-            unmatched(questions, "id", labels, "question_id", "questions_without_retrieval_labels"),
-            unmatched(labels, "question_id", questions, "id", "retrieval_labels_without_questions"),
-            duplicates(labels, "question_id", "duplicate_retrieval_question_ids"),
-            unmatched(labelled, "evidence_id", evidence, "evidence_id", "missing_retrieval_evidence_ids"),
             set_disagreements(answers, label_ids, "question_id", "evidence_ids", "ids", "answer_label_disagreements"),
-            unmatched(answers, "question_id", cited_answers, "question_id", "answers_without_cited_view"),
-            unmatched(cited_answers, "question_id", answers, "question_id", "cited_view_without_answers"),
-            duplicates(cited_answers, "question_id", "duplicate_cited_answer_ids"),
             failing(cited_answers, "question_id", ~F.col("evidence_ids").eqNullSafe(expanded) | unreviewed, "invalid_expanded_citations"),
             failing(answers, "question_id", F.col("annotation_status") != "reviewed", "non_reviewed_answers"),
             failing(evidence, "evidence_id", F.col("review_status") != "reviewed", "non_reviewed_evidence"),

@@ -13,7 +13,7 @@ from .base import LINES_SQL, line_blocks, ocr_pages, table
 
 def _summary(problems: DataFrame, names: list[str]) -> DataFrame:
     """K2: per check how many rows and ids it found, and the first id."""
-    return va.report(problems, names).select("check", "n", F.size("ids").alias("n_ids"), F.get("ids", F.lit(0)).alias("first_id"))
+    return va.summary(problems, names).select("check", "n", F.col("n_ids").cast("int").alias("n_ids"), "first_id")
 
 
 def _summary_sql(checks: dict[str, str]) -> str:

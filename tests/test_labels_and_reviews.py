@@ -153,3 +153,31 @@ def test_comparison(spark):
     assert {(r.method, r.profile) for r in ev.best_profile(compared).collect()} == {("BM25", "o"), ("Vector", "p")}
     assert "| o | BM25 | 0.100 | 0.200 | 0.300 | 0.500 |" in ev.comparison_table(compared)
     assert ev.best_profile(compared.limit(0)).count() == 0
+
+
+def test_checks_of_one_key_come_from_one_grouping(spark, tmp_path):
+    a = spark.createDataFrame([(1,), (1,), (2,), (None,), (None,), (5,)], "x int")
+    b = spark.createDataFrame([("2",), ("3",), ("3",), (None,)], "y string")
+    got = va.reconciled({"a": (a, "x"), "b": (b, "y")}, {"a": "repeated_a", "b": "repeated_b"}, {("a", "b"): "only_a", ("b", "a"): "only_b"})
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    alone = va.union([va.duplicates(a, "x", "repeated_a"), va.duplicates(b, "y", "repeated_b"), va.unmatched(a, "x", b, "y", "only_a"), va.unmatched(b, "y", a, "x", "only_b")])
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, alone.collect()), key=str)
+
+
+def test_several_tests_of_rows_take_one_scan(spark, tmp_path):
+    spark.createDataFrame([(k, k % 3) for k in range(30)], "k int, r int").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    got = va.failing_all(df, "k", {"zero": F.col("r") == 0, "big": F.col("k") > 27, "never": F.lit(None).cast("boolean")})
+    assert got._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert sorted(map(tuple, got.collect())) == sorted([("zero", str(k)) for k in range(0, 30, 3)] + [("big", "28"), ("big", "29")])
+
+
+def test_problems_are_kept_as_a_table_and_the_report_stays_small(spark, tmp_path):
+    ids = spark.range(200_000).select(F.lit("many").alias("check"), F.col("id").cast("string").alias("id"))
+    few = spark.createDataFrame([("few", "b"), ("few", "a"), ("few", "b"), ("few", None)], "check string, id string")
+    path = str(tmp_path / "problems")
+    found = {r.check: tuple(r)[1:] for r in va.write_problems(ids.unionByName(few), ["many", "few", "none"], path).collect()}
+    assert found == {"many": (200_000, 200_000, "0", f"{path}/check=many"), "few": (4, 2, "a", f"{path}/check=few"), "none": (0, 0, None, None)}
+    assert spark.read.parquet(f"{path}/check=many").count() == 200_000
+    assert va.status(va.summary(few, ["few"])).first().status == "fail"
