@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import blocks as bl
+from ..operators import chunks as ch
 from ..operators import validate as va
-from ..sources import files, jsonl, pages
-from .base import ocr_pages, table
-from .documents import BATCH_SQL
+from ..sources import files, jsonl, pages, publish
+from .base import line_blocks, ocr_pages, table
+from .documents import BATCH_SQL, FIXED_SQL
 
 EVENT = "event_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 BAD = ["Average score: 0.5", "", "  \t", "[1, 2]", '{"event_id": 1', "Average score: 1"]
@@ -141,7 +142,23 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PAGE_FILES_SQL = f"SELECT *, '1=one,2=two,9=nine' AS paths, 'b1' AS batch_id FROM ({BATCH_SQL})"
 
+def published_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1, K6: blocks and fixed windows published as a version, whose chunks are read back by the manifest and verified. The store
+    goes once they are copied."""
+    root = files.scratch_folder(spark)
+    stages = [
+        publish.Stage("blocks", lambda s, _: line_blocks(s, sf_dir)),
+        publish.Stage("chunks", lambda s, made: ch.fixed_windows(made["blocks"]), "350/70"),
+    ]
+    publish.publish(spark, root, "v1", stages, {"tables": "documents"})
+    chunks = publish.read_version(spark, root, "v1", "chunks", verify=True)
+    found = files.durable(chunks.select("chunk_id", "character_count", F.size("source_block_ids").alias("n_blocks"), F.md5("text").alias("text_md5"), F.md5("retrieval_text").alias("retrieval_md5")))
+    files.remove_folder(spark, root)
+    return found
+
+
 QUERIES = {
+    "published_chunks": (published_chunks, FIXED_SQL),
     "jsonl_round_trip": (jsonl_round_trip, JSONL_SQL),
     "review_csv_round_trip": (review_csv_round_trip, CSV_SQL),
     "report_round_trip": (report_round_trip, REPORTS_SQL),
