@@ -4,9 +4,11 @@ import random
 import zlib
 from decimal import Decimal
 
+import duckdb
 import numpy as np
 import pytest
 
+import __spark_entry__
 from quarry.llm import language_id, spelling, whitening
 
 SF = "/root/testdata/sf0.01"
@@ -280,3 +282,29 @@ def test_the_sample_of_labels_is_bounded_and_even(spark):
     few = language_id.fit_from(frame(spark, rows[:300]), documents=20, windows=8)
     # A hundred copies count once.
     assert few.languages == network.languages and all(np.isfinite(v).all() for v in network.weights.values())
+
+
+# The registered queries.
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_the_spelling_query_equals_its_sql(spark):
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    found = db.execute(__spark_entry__.oracle_sql()["op13_spelling_groups"])
+    columns = [c[0] for c in found.description]
+    got = __spark_entry__.queries()["op13_spelling_groups"](spark, SMALL).select(*columns).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, found.fetchall())) and len(got) > 500
+
+
+def test_the_queries_return_what_they_should(spark):
+    every = __spark_entry__.queries()
+    vectors = spark.read.parquet(f"{SMALL}/embeddings.parquet")
+    got = every["op11_whitening"](spark, SMALL).collect()
+    assert sorted((r.vec_id, r.component) for r in got) == sorted((r.vec_id, k) for r in vectors.collect() for k in (1, 2, 3, 4))
+    assert got[0].identity_error < 1e-9 and len({r.identity_error for r in got}) == len({r.n for r in got}) == 1
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    named = every["op12_language_id"](spark, SMALL)
+    assert named.columns[:4] == ["doc_id", "held_out", "lang_pred", "score"]
+    assert sorted(r.doc_id for r in named.collect()) == sorted(r.doc_id for r in docs.collect())
