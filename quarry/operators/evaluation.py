@@ -31,7 +31,7 @@ def evaluate_retrieval(runs: DataFrame, k_values: Sequence[int] = (1, 3, 5, 10),
 
 
 def evaluate_simple(runs: DataFrame, by: str | None = None) -> DataFrame:
-    """Hit at 1, 5 and 10, MRR and the mean first rank over all queries; a query without relevant ids scores 0."""
+    """Hit at 1, 5 and 10, MRR and how many have no hit, over all queries; a query without relevant ids scores 0."""
     rank = F.coalesce(rk.first_relevant_rank(F.col("relevant_ids"), F.col("retrieved_ids")), F.lit(0))
     columns = [F.count("*").alias("queries")]
     columns += [F.coalesce(F.avg(rk.hit_at_k(F.col("relevant_ids"), F.col("retrieved_ids"), k)), F.lit(0.0)).alias(f"hit_at_{k}") for k in (1, 5, 10)]

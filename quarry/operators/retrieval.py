@@ -62,12 +62,11 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", doc_text:
     def prepare(held: pa.Table) -> dict:
         vocabulary = pc.unique(pc.list_flatten(held["v"].combine_chunks())).sort()
         counts = base.select("v").mapInArrow(_frequencies(vocabulary), "term long, df long, docs long, length long")
-        rows = counts.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("df", "docs", "length")]).collect()  # a row per query term
+        rows = counts.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("df", "docs", "length")]).toArrow()  # a row per query term
+        term, found, docs_, lengths = (rows[c].to_numpy().astype(np.int64) for c in ("term", "df", "docs", "length"))
         df = np.zeros(len(vocabulary))
-        for r in rows:
-            if r["term"] >= 0:
-                df[r["term"]] = r["df"]
-        total, length = sum(r["docs"] for r in rows), sum(r["length"] for r in rows)
+        df[term[term >= 0]] = found[term >= 0]
+        total, length = int(docs_.sum()), int(lengths.sum())
         return {"vocabulary": vocabulary, "idf": np.log(1 + (total - df + 0.5) / (df + 0.5)), "mean": length / total if length else 1.0}
 
     def scorer(context: dict):
