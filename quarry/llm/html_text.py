@@ -73,6 +73,7 @@ SAID = frozenset("share this|share this article|share this page|share this post|
 HEADINGS = frozenset("h2 h3 h4 h5 h6".split())
 #: Inside a marked article these words say what a part of it is.
 PARTS = frozenset({"header"})
+IN_ARTICLES = BOILERPLATE - PARTS
 #: Class names that begin so describe a layout, not what is in the element.
 STATES = ("has-", "with-", "no-", "without-", "is-", "js-")
 
@@ -80,6 +81,7 @@ _NAME = re.compile(r"(/?)([a-zA-Z][\w:-]*)")
 _QUOTED = re.compile(r"""(?:[^<>"']+|"[^"]*"|'[^']*')*+""")
 _ATTRIBUTE = re.compile(r"""(?<![\w:-])([\w:-]++)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORDS = re.compile(r"[\s_-]+")
+_NO_WORDS: frozenset[str] = frozenset()
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
@@ -144,27 +146,28 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
 def _traits(tag: str, attributes: str) -> tuple[bool, frozenset[str], frozenset[str], int]:
     """(never article text, words of class and id, those that are whole names or begin one of comments, how surely it
     marks the article: 3 article, 2 main, 1 a telling class, 0)."""
-    never, mark = tag in NEVER, {"article": 3, "main": 2}.get(tag, 0)
+    never, mark = tag in NEVER, 3 if tag == "article" else 2 if tag == "main" else 0
+    if not attributes or attributes.isspace():
+        return never, _NO_WORDS, _NO_WORDS, mark
     words: set[str] = set()
     whole: set[str] = set()
-    if attributes and not attributes.isspace():
-        for name, *values in _ATTRIBUTE.findall(attributes):
-            name, value = name.lower(), next((v for v in values if v), "").lower()
-            if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-                never = True
-            elif name == "role":
-                never |= value in ROLES
-                mark = max(mark, 2 if value == "main" else 3 if value == "article" else 0)
-            elif name == "itemprop":
-                mark = max(mark, 3 if value == "articlebody" else 0)
-            elif name in ("class", "id") and tag not in ("body", "html"):
-                names = [n for n in value.split() if not n.startswith(STATES)]
-                for n in names:
-                    parts = _WORDS.split(n)
-                    words.update(parts)
-                    if len(parts) == 1 or (parts[0] in COMMENTARY and parts[-1] not in STATE_ENDS):
-                        whole.add(parts[0])
-                mark = max(mark, 0 if TELLING.isdisjoint(names) else 1)
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), next((v for v in values if v), "").lower()
+        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
+            never = True
+        elif name == "role":
+            never |= value in ROLES
+            mark = max(mark, 2 if value == "main" else 3 if value == "article" else 0)
+        elif name == "itemprop":
+            mark = max(mark, 3 if value == "articlebody" else 0)
+        elif name in ("class", "id") and tag not in ("body", "html"):
+            names = [n for n in value.split() if not n.startswith(STATES)]
+            for n in names:
+                parts = _WORDS.split(n)
+                words.update(parts)
+                if len(parts) == 1 or (parts[0] in COMMENTARY and parts[-1] not in STATE_ENDS):
+                    whole.add(parts[0])
+            mark = max(mark, 0 if TELLING.isdisjoint(names) else 1)
     return never, frozenset(words), frozenset(whole), mark
 
 
@@ -247,14 +250,16 @@ def _left_out(lines: list[tuple[str, int, int]], elements: list[Element]) -> lis
     marks, hints = [0] * len(elements), [False] * len(elements)
     for k, e in enumerate(elements):
         around = marks[e.parent] if k else 0
-        words = NOT_THE_ARTICLE if e.mark else BOILERPLATE - PARTS if around else BOILERPLATE
+        marks[k] = max(around, e.mark)
+        if not e.never and not e.words:
+            continue
+        words = NOT_THE_ARTICLE if e.mark else IN_ARTICLES if around else BOILERPLATE
         sure = (e.never and not (e.tag == "header" and around >= 2)) or not words.isdisjoint(e.whole)
         by_part = not e.mark and not words.isdisjoint(e.words)
         if by_part and not sure:
             mine = weighed[e.lines[1]] - weighed[e.lines[0]]
             by_part = mine < SURGE or 2 * mine < weighed[-1]
         hints[k] = sure or by_part
-        marks[k] = max(around, e.mark)
     most = held[0]
 
     def gives_way(k: int, e: Element) -> bool:
