@@ -16,8 +16,10 @@ the ids as text. All vectors of an index have one width.
 from __future__ import annotations
 
 import math
+import operator
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,7 @@ MOST = 4_096  # centres
 FIRST = 2  # clusters that a query begins with
 NOWHERE = -1  # the cluster of vectors of length zero
 ROW_GROUP = 1 << 20  # bytes
+SPANS = 32  # of distances that row groups are chosen by
 
 
 def matrix(lists: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -122,13 +125,34 @@ class _Reading:
     high: dict[int, np.ndarray]
 
     def filter(self) -> F.Column:
-        """A condition on cluster and distance: folders and row groups that no query wants are not read."""
-        out = F.lit(False)
-        for c, queries in self.wanted.items():
-            bounded = len(queries) and (self.low[c].min() > 0 or self.high[c].max() < 2)
-            mine = F.col("cluster") == c
-            out = out | (mine & F.col("distance").between(float(self.low[c].min()), float(self.high[c].max())) if bounded else mine)
-        return F.col("cluster").isin(*self.wanted) & out if self.wanted else out
+        """A condition on cluster and distance: folders and row groups that no query wants are not read.
+
+        It is of the same depth for any number of clusters: bounds are looked up by cluster, and what row groups are
+        chosen by is the union of all bounds in SPANS pieces at most.
+        """
+        if not self.wanted:
+            return F.lit(False)
+        bounds = {c: (float(self.low[c].min()), float(self.high[c].max())) if len(q) else (0.0, 3.0) for c, q in self.wanted.items()}
+        folders = F.col("cluster").isin(*self.wanted)
+        if all(low <= 0 and high >= 2 for low, high in bounds.values()):
+            return folders
+        places = range(NOWHERE, max(bounds) + 1)
+        lows, highs = (F.lit([bounds.get(c, (3.0, 0.0))[side] for c in places]) for side in (0, 1))
+        place = F.col("cluster") - F.lit(NOWHERE)
+        mine = F.col("distance").between(F.get(lows, place), F.get(highs, place))
+        spans = reduce(operator.or_, [F.col("distance").between(low, high) for low, high in _union(list(bounds.values()))])
+        return folders & spans & mine
+
+
+def _union(spans: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Disjoint spans that cover the same; the whole range if they are more than SPANS."""
+    out: list[tuple[float, float]] = []
+    for low, high in sorted(spans):
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(high, out[-1][1]))
+        else:
+            out.append((low, high))
+    return out if len(out) <= SPANS else [(out[0][0], out[-1][1])]
 
 
 def _scores(reading: _Reading, units: np.ndarray, names: pa.Array, k: int, digits: int):

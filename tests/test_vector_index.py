@@ -60,3 +60,19 @@ def test_centres_are_means(spark):
     points = np.concatenate([rng.normal(size=(50, 2)) * 0.01 + c for c in ([0, 5], [5, 0])])
     centres = vi.moved_centres(points[[0, 50, *range(100)]], 2)
     assert np.allclose(sorted(centres.round(1).tolist()), [[0, 5], [5, 0]], atol=0.1)
+
+
+def test_a_filter_over_very_many_clusters_is_a_condition_as_any_other(spark):
+    many = range(vi.NOWHERE, vi.MOST)
+    wanted = {c: np.array([0, 1]) for c in many if c % 3}
+    wanted[vi.NOWHERE] = np.array([0])
+    low = {c: np.array([0.2 + c / 10_000, 0.3 + c / 10_000])[: len(q)] for c, q in wanted.items()}
+    high = {c: x + 0.05 for c, x in low.items()}
+    rows = spark.range(len(many) * 20).selectExpr(f"cast(id % {len(many)} + {vi.NOWHERE} as int) as cluster", f"floor(id / {len(many)}) / 20D as distance")
+    found = {(r.cluster, r.distance) for r in rows.where(vi._Reading(wanted, low, high).filter()).collect()}
+    assert found == {(c, d / 20) for c in wanted for d in range(20) if low[c].min() <= d / 20 <= high[c].max()}
+
+
+def test_spans_are_joined_and_bounded():
+    assert vi._union([(0.5, 0.7), (0.1, 0.2), (0.6, 0.9), (0.2, 0.3)]) == [(0.1, 0.3), (0.5, 0.9)]
+    assert vi._union([(k, k + 0.5) for k in range(vi.SPANS + 1)]) == [(0, vi.SPANS + 0.5)]
