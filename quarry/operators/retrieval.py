@@ -22,6 +22,7 @@ from ..functions import vectors as vx
 QUERY_BLOCK = 64 << 20  # bytes of queries that a task holds at once
 SCORE_BLOCK = 64 << 20  # bytes of scores that it holds for a batch of documents
 BATCH_ROWS = 1000
+PRODUCTS = 1 << 18  # of postings and queries' weights that are multiplied at once
 LETTER_BYTES = 1024  # for a query's row over the characters of all, at first guess
 
 
@@ -80,10 +81,7 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", doc_text:
 
             def score(some: tuple) -> np.ndarray:
                 n, doc, terms, gain = some
-                each = starts[terms + 1] - starts[terms]
-                at = np.repeat(starts[terms] - (np.cumsum(each) - each), each) + np.arange(each.sum())
-                cell = query[at] * n + np.repeat(doc, each)
-                total = np.bincount(cell, weight[at] * np.repeat(gain, each), held.num_rows * n).reshape(held.num_rows, n)
+                total = weighted_sums(starts, query, weight, terms, doc, gain, held.num_rows, n)
                 return total.astype(np.float64) if digits is None else np.rint(total * 10**digits).astype(np.int64)
 
             return score
@@ -102,6 +100,25 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", doc_text:
     return top_k(scored, query_id, doc_id, k)
 
 
+def weighted_sums(starts: np.ndarray, query: np.ndarray, weight: np.ndarray, terms: np.ndarray, doc: np.ndarray, gain: np.ndarray, queries: int, docs: int) -> np.ndarray:
+    """Of postings (term, document, gain): the sums of gain times weight, queries x documents.
+
+    A term t has the queries and weights at [starts[t], starts[t + 1]). Sums are added up in the order of the postings,
+    PRODUCTS products at a time, so memory does not grow with the queries of a term.
+    """
+    total = np.zeros(queries * docs)
+    each = starts[terms + 1] - starts[terms]
+    upto = np.cumsum(each)
+    begin = 0
+    while begin < len(terms):
+        end = max(begin + 1, int(np.searchsorted(upto, upto[begin] - each[begin] + PRODUCTS, "right")))
+        n = each[begin:end]
+        at = np.repeat(starts[terms[begin:end]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        np.add.at(total, query[at] * docs + np.repeat(doc[begin:end], n), weight[at] * np.repeat(gain[begin:end], n))
+        begin = end
+    return total.reshape(queries, docs)
+
+
 def _postings(lists: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, ...]:
     """(document, term, frequency) of the vocabulary's terms in a batch of token lists, and the lists' lengths."""
     lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
