@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ranking as rk
@@ -41,13 +42,10 @@ def evaluate_simple(runs: DataFrame, by: str | None = None) -> DataFrame:
 
 def compare_methods(results: dict[str, DataFrame], key: str = "profile") -> DataFrame:
     """(profile, method, hit_at_1, hit_at_5, hit_at_10, mrr) of profiles that every method has."""
-    out, shared = None, None
-    for df in results.values():
-        shared = df.select(key) if shared is None else shared.join(df.select(key), key, "left_semi")
-    for name, df in results.items():
-        rows = df.join(shared, key, "left_semi").select(key, F.lit(name).alias("method"), "hit_at_1", "hit_at_5", "hit_at_10", "mrr")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    rows = [df.where(F.col(key).isNotNull()).select(key, F.lit(name).alias("method"), "hit_at_1", "hit_at_5", "hit_at_10", "mrr") for name, df in results.items()]
+    # Each result is computed once; joins of their keys would compute it again.
+    methods = F.size(F.collect_set("method").over(Window.partitionBy(key)))
+    return reduce(DataFrame.unionByName, rows).withColumn("methods", methods).where(F.col("methods") == len(rows)).drop("methods")
 
 
 def best_profile(comparison: DataFrame, key: str = "profile") -> DataFrame:

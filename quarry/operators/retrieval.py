@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as tx
 from ..functions import vectors as vx
+from ..sources.files import durable
 
 QUERY_BLOCK = 64 << 20  # bytes of queries that a task holds at once
 SCORE_BLOCK = 64 << 20  # bytes of scores that it holds for a batch of documents
@@ -55,6 +56,16 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", doc_text:
     k documents match are filled up by documents of score zero, in id order, for which k documents are looked at;
     keep_zero=False leaves those out.
     """
+    return _bm25(docs, queries, doc_id, doc_text, query_id, query_text, k, [(k1, b)], keep_zero, digits)[0]
+
+
+def bm25_each(docs: DataFrame, queries: DataFrame, settings: dict[str, tuple[float, float]], doc_id: str = "doc_id", doc_text: str = "text", query_id: str = "query_id", query_text: str = "query", k: int = 10, keep_zero: bool = True, digits: int | None = 8) -> dict[str, DataFrame]:
+    """`bm25` for several (k1, b) by name: documents are tokenized as often as for one, as a batch is scored by all."""
+    ranked = _bm25(docs, queries, doc_id, doc_text, query_id, query_text, k, list(settings.values()), keep_zero, digits)
+    return dict(zip(settings, ranked))
+
+
+def _bm25(docs: DataFrame, queries: DataFrame, doc_id: str, doc_text: str, query_id: str, query_text: str, k: int, settings: list[tuple[float, float]], keep_zero: bool, digits: int | None) -> list[DataFrame]:
     words = lambda c: tx.tokens(F.coalesce(F.col(c), F.lit("")))
     asked = queries.select(F.col(query_id).alias("q"), words(query_text).alias("v"))
     base = docs.select(F.col(doc_id).alias("d"), words(doc_text).alias("v"))
@@ -73,15 +84,15 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", doc_text:
     def scorer(context: dict):
         def features(batch: pa.RecordBatch) -> tuple:
             doc, terms, tf, lengths = _postings(batch.column("v"), context["vocabulary"])
-            return batch.num_rows, doc, terms, tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[doc] / context["mean"]))
+            return batch.num_rows, doc, terms, [tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[doc] / context["mean"])) for k1, b in settings]
 
         def for_queries(held: pa.Table):
             term, query, weight = _query_weights(held["v"].combine_chunks(), context)
             starts = np.searchsorted(term, np.arange(len(context["idf"]) + 1))
 
             def score(some: tuple) -> np.ndarray:
-                n, doc, terms, gain = some
-                total = weighted_sums(starts, query, weight, terms, doc, gain, held.num_rows, n)
+                n, doc, terms, gains = some
+                total = np.concatenate([weighted_sums(starts, query, weight, terms, doc, gain, held.num_rows, n) for gain in gains])
                 return total.astype(np.float64) if digits is None else np.rint(total * 10**digits).astype(np.int64)
 
             return score
@@ -90,14 +101,20 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", doc_text:
 
     if k <= 0:
         raise ValueError("k must be positive")
-    found = _in_blocks(base, asked, size, scorer, k, as_text=True, prepare=prepare, whole=digits is not None).where("score > 0")
-    scored = found.select(F.col("q").alias(query_id), F.col("d").alias(doc_id), (F.col("score") / 10 ** (digits or 0)).alias("score"))
-    if keep_zero:
-        first = docs.select(doc_id).orderBy(F.col(doc_id).cast("string")).limit(k)
-        # Among any k documents and the matches are the k best, so k documents stand in for all that score zero.
-        zeros = queries.select(query_id).crossJoin(F.broadcast(first)).withColumn("score", F.lit(0.0))
-        scored = scored.unionByName(zeros).groupBy(query_id, doc_id).agg(F.max("score").alias("score"))
-    return top_k(scored, query_id, doc_id, k)
+    every = _in_blocks(base, asked, size, scorer, k, as_text=True, prepare=prepare, whole=digits is not None, copies=len(settings)).where("score > 0")
+    if len(settings) > 1:
+        every = durable(every)  # k rows per query and batch, read once for each of the settings
+    out = []
+    for copy in range(len(settings)):
+        found = every.where(F.col("copy") == copy) if len(settings) > 1 else every
+        scored = found.select(F.col("q").alias(query_id), F.col("d").alias(doc_id), (F.col("score") / 10 ** (digits or 0)).alias("score"))
+        if keep_zero:
+            first = docs.select(doc_id).orderBy(F.col(doc_id).cast("string")).limit(k)
+            # Among any k documents and the matches are the k best, so k documents stand in for all that score zero.
+            zeros = queries.select(query_id).crossJoin(F.broadcast(first)).withColumn("score", F.lit(0.0))
+            scored = scored.unionByName(zeros).groupBy(query_id, doc_id).agg(F.max("score").alias("score"))
+        out.append(top_k(scored, query_id, doc_id, k))
+    return out
 
 
 def weighted_sums(starts: np.ndarray, query: np.ndarray, weight: np.ndarray, terms: np.ndarray, doc: np.ndarray, gain: np.ndarray, queries: int, docs: int) -> np.ndarray:
@@ -182,16 +199,19 @@ def _unit(vectors) -> np.ndarray:
     return rows / np.where(size > 0, size, 1)
 
 
-def _in_blocks(base: DataFrame, asked: DataFrame, size: int, scorer, k: int, as_text: bool, prepare=None, whole: bool = True) -> DataFrame:
+def _in_blocks(base: DataFrame, asked: DataFrame, size: int, scorer, k: int, as_text: bool, prepare=None, whole: bool = True, copies: int = 1) -> DataFrame:
     """(q, d, score) with the k best of each batch of base (d, v) for every query of asked (q, v).
 
     prepare, if given, runs on the driver for each table of queries. scorer makes, in a task and from what prepare gave,
     two functions: one takes a batch to its features, the other a table of queries to a function of features that gives
-    scores (queries x documents), whole numbers or doubles. Ties in a batch go by d, as text or as it is.
+    scores (queries x documents), whole numbers or doubles. Ties in a batch go by d, as text or as it is. With copies, scores
+    have the queries that many times over, each with its k best, and a column says which time it is.
     """
     rounds = max(1, math.ceil(size / QUERY_BLOCK))
     schema = T.StructType([T.StructField("q", asked.schema["q"].dataType), T.StructField("d", base.schema["d"].dataType), T.StructField("score", T.LongType() if whole else T.DoubleType())])
-    together = max(1, SCORE_BLOCK // (BATCH_ROWS * 8))
+    if copies > 1:
+        schema = schema.add("copy", T.LongType())
+    together = max(1, SCORE_BLOCK // (BATCH_ROWS * 8 * copies))
 
     def run_for(held: pa.Table, context):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,9 +230,10 @@ def _in_blocks(base: DataFrame, asked: DataFrame, size: int, scorer, k: int, as_
                         best = np.argpartition(-(score * n - order), min(k, n) - 1, axis=1)[:, : min(k, n)]
                     else:
                         best = np.lexsort((np.broadcast_to(order, score.shape), -score), axis=1)[:, :k]
-                    q = np.repeat(np.arange(len(ids)), best.shape[1])
+                    q = np.repeat(np.arange(len(score)), best.shape[1])
                     d = best.ravel()
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), b.column("d").take(pa.array(d)), pa.array(score[q, d])], ["q", "d", "score"])
+                    columns = [ids.take(pa.array(q % len(ids))), b.column("d").take(pa.array(d)), pa.array(score[q, d]), pa.array(q // len(ids))]
+                    yield pa.RecordBatch.from_arrays(columns[: len(schema)], schema.names)
 
         return run
 

@@ -165,10 +165,10 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.select(F.col("query_id").cast("string").alias("question_id"), F.coalesce("relevant_evidence", F.array().cast("array<struct<evidence_id:string,relevance:int>>")).alias("relevant_evidence"))
 
 
-def _runs(spark: SparkSession, sf_dir: str, **options: float) -> DataFrame:
-    """BM25 runs of every question with its judgments."""
-    ranked = re_.as_runs(_bm25(spark, sf_dir, **options), "query_id", "doc_id")
-    return re_.graded_judgments(_labels(spark, sf_dir)).join(ranked, "question_id", "left")
+def _runs(spark: SparkSession, sf_dir: str, ranked: DataFrame | None = None) -> DataFrame:
+    """Runs of every question, BM25's if none are given, with its judgments."""
+    runs = re_.as_runs(_bm25(spark, sf_dir) if ranked is None else ranked, "query_id", "doc_id")
+    return re_.graded_judgments(_labels(spark, sf_dir)).join(runs, "question_id", "left")
 
 
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,10 +222,11 @@ SIMPLE_SQL = _metrics_sql(
 def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 against ranking without length normalisation, by two groups of questions."""
 
-    def results(b: float) -> DataFrame:
-        return ev.evaluate_simple(_runs(spark, sf_dir, b=b).withColumn("profile", F.concat(F.lit("p"), F.pmod(F.col("question_id").cast("int"), F.lit(2)))), "profile")
+    def results(ranked: DataFrame) -> DataFrame:
+        return ev.evaluate_simple(_runs(spark, sf_dir, ranked).withColumn("profile", F.concat(F.lit("p"), F.pmod(F.col("question_id").cast("int"), F.lit(2)))), "profile")
 
-    return ev.compare_methods({"default": results(0.75), "flat": results(0.0)})
+    ranked = re_.bm25_each(table(spark, sf_dir, "documents"), questions(spark, sf_dir), {"default": (1.5, 0.75), "flat": (1.5, 0.0)})
+    return ev.compare_methods({name: results(rows) for name, rows in ranked.items()})
 
 
 def compare_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:

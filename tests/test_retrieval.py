@@ -124,3 +124,34 @@ def test_metadata_filter_reaches_the_scan(spark, tmp_path, capsys):
     re_.metadata_filter(spark.read.parquet(str(tmp_path / "d")), lang="en").select("doc_id").explain()
     plan = capsys.readouterr().out
     assert "EqualTo(lang,en)" in plan and "text" not in plan
+
+
+def test_bm25_by_several_settings_at_once_is_bm25_by_each(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, " ".join(f"w{k * j % 7}" for j in range(k % 11))) for k in range(60)], "doc_id int, text string")
+    asked = spark.createDataFrame([(1, "w0 w3"), (2, "w5 w5 w1"), (3, "none"), (4, None)], "query_id int, query string")
+    monkeypatch.setattr(re_, "BATCH_ROWS", 7)
+    monkeypatch.setattr(re_, "PRODUCTS", 3)
+    found = re_.bm25_each(docs, asked, {"default": (1.5, 0.75), "flat": (1.5, 0.0)}, k=4)
+    rows = lambda df: sorted((r.query_id, r.rank, r.doc_id, r.score) for r in df.collect())
+    assert rows(found["default"]) == rows(re_.bm25(docs, asked, k=4))
+    assert rows(found["flat"]) == rows(re_.bm25(docs, asked, k=4, b=0.0)) != rows(found["default"])
+
+
+def test_a_comparison_computes_each_result_once(spark):
+    from quarry.operators import evaluation as ev
+
+    def result(profiles, mrr):
+        seen = spark.sparkContext.accumulator(0)
+
+        def run(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        rows = [(p, 0.0, 0.0, 0.0, mrr) for p in profiles]
+        return seen, spark.createDataFrame(rows, "profile string, hit_at_1 double, hit_at_5 double, hit_at_10 double, mrr double").mapInArrow(run, "profile string, hit_at_1 double, hit_at_5 double, hit_at_10 double, mrr double")
+
+    (seen_a, a), (seen_b, b) = result(["p", "q", None], 0.5), result(["r", "q", None], 0.25)
+    found = ev.compare_methods({"a": a, "b": b}).collect()
+    assert sorted((r.profile, r.method, r.mrr) for r in found) == [("q", "a", 0.5), ("q", "b", 0.25)]
+    assert (seen_a.value, seen_b.value) == (3, 3)
