@@ -63,3 +63,7 @@ def test_token_rows_and_count_agree(spark):
 
 def test_character_overlap(spark):
     assert one(spark, tx.character_overlap(F.col("a"), F.col("b")), a="aab😀", b="b😀c") == 2
+
+
+def test_letters_that_fold_to_latin_ones_and_digits_of_all_kinds_are_tokens(spark):
+    assert one(spark, tx.tokens(F.col("t")), t="ıſx3.4 K7 É0 x٣.٤ ０１.１") == ["ıſx3.4", "k7", "0", "x٣.٤", "01.1"]
