@@ -180,17 +180,21 @@ def _pattern_windows(blocks: DataFrame, ranges: DataFrame | None, size: int, ste
     Tokens of a pattern are the same by themselves as within their document, so a right edge never needs to shrink, and
     only a window's first and last token decide where it begins and ends in their blocks; they are looked up by number.
     """
-    placed = _placed(blocks, ranges, order, tokens.count(F.col("t")))
-    each = placed.withColumn("k", F.explode(_touched(F.col("left"), F.col("right"), F.col("total"), size, step)))
-    first, last = F.col("k") * step - F.col("left"), F.col("k") * step + size - F.col("left") - 1
+    placed = _placed(blocks, ranges, order, tokens.count(F.col("t"))).withColumn("windows", _touched(F.col("left"), F.col("right"), F.col("total"), size, step))
     inner = F.col("size") - 1
-    each = each.withColumns({"first": F.when((first > 0) & (first <= inner), first).cast("int"), "last": F.when((last >= 0) & (last < inner), last).cast("int"), "n": F.length("t")})
-    key = ["document_id", "range_index", "place"]
-    cut = each.where("first is not null or last is not null").select(*key, "k", F.explode(F.array_compact(F.array("first", "last"))).alias("token"))
-    texts = placed.join(cut.select(*key).distinct(), key, "left_semi")
-    edges = cut.join(tx.token_rows(texts, key, "t", tokens.pattern), [*key, "token"]).groupBy(*key, "k").agg(F.map_from_entries(F.collect_set(F.struct("token", F.struct("s", "e")))).alias("edge"))
-    each = each.join(edges, [*key, "k"], "left")
-    return each.withColumns({"lo": F.coalesce(F.try_element_at("edge", "first")["s"], F.lit(0)), "hi": F.coalesce(F.try_element_at("edge", "last")["e"], "n")})
+
+    def edges(k: Column) -> tuple[Column, Column]:
+        first, last = k * step - F.col("left"), k * step + size - F.col("left") - 1
+        return F.when((first > 0) & (first <= inner), first).cast("int"), F.when((last >= 0) & (last < inner), last).cast("int")
+
+    cut = F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.transform("windows", lambda k: F.array(*edges(k)))))))
+    with_cuts = placed.withColumn("cut", cut).withColumn("spans", tx.token_spans(F.col("t"), F.col("cut"), tokens.pattern))
+    # Outer, and windows of none left out behind it: before an inner one Spark infers a filter that computes them again.
+    each = with_cuts.withColumn("k", F.explode_outer("windows")).where("k is not null")
+    first, last = edges(F.col("k"))
+    span = lambda token: F.get("spans", (F.array_position("cut", token) - 1).cast("int"))
+    n = F.length("t")
+    return each.withColumns({"n": n, "lo": F.coalesce(span(first)["s"], F.lit(0)), "hi": F.coalesce(span(last)["e"], n)}).drop("windows", "cut", "spans")
 
 
 def token_windows(offsets: list[tuple[int, int]], size: int, step: int, count: Callable[[int, int], int]) -> Iterator[tuple[int, int]]:

@@ -72,25 +72,34 @@ def ocr_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _each(pages: DataFrame, what: Column) -> DataFrame:
+    """A row for each entry of an array. Outer, and the nulls left out behind it: before an inner one Spark infers a
+    filter on the array's size, which computes the array a second time."""
+    return pages.select("document_id", "pdf_page", F.explode_outer(what).alias("z")).where("z is not null")
+
+
+def _ocr_lines(spark: SparkSession, sf_dir: str, folds: dict[str, Column]) -> DataFrame:
+    """One row per line that is not blank, with the entry of each fold's array."""
+    folded = bl.with_lines(ocr_pages(spark, sf_dir)).select("document_id", "pdf_page", "lines", *[c.alias(n) for n, c in folds.items()])
+    zipped = F.arrays_zip("lines", *folds)
+    return _each(folded, zipped).select("document_id", "pdf_page", "z.lines.*", *[f"z.{n}" for n in folds])
+
+
 def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per line that is not blank, with type, region, title path and block number."""
-    chapters = F.create_map(F.lit("1"), F.lit("Chapter one"))
-    lines = F.col("lines")
-    initial = F.array(F.lit("start"))
-    folded = bl.with_lines(ocr_pages(spark, sf_dir)).select("document_id", "pdf_page", lines, bl.table_regions(lines).alias("regions"), bl.title_paths(lines, initial, chapters).alias("paths"), bl.block_numbers(lines).alias("numbers"))
-    zipped = F.explode(F.arrays_zip(lines, F.col("regions"), F.col("paths"), F.col("numbers"))).alias("z")
-    return folded.select("document_id", "pdf_page", zipped).select("document_id", "pdf_page", "z.lines.*", F.col("z.regions").alias("layout_region"), F.col("z.paths").alias("title_path"), F.col("z.numbers").alias("block_number"))
+    lines, chapters = F.col("lines"), F.create_map(F.lit("1"), F.lit("Chapter one"))
+    folds = {"layout_region": bl.table_regions(lines), "title_path": bl.title_paths(lines, F.array(F.lit("start")), chapters), "block_number": bl.block_numbers(lines)}
+    return _ocr_lines(spark, sf_dir, folds)
 
 
 def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of a document as a block of its own; block ids are sortable."""
-    return as_blocks(ocr_lines(spark, sf_dir))
+    return as_blocks(_ocr_lines(spark, sf_dir, {"layout_region": bl.table_regions(F.col("lines"))}))
 
 
 def line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per line that is not blank, with what the page says of it alone."""
-    pages = bl.with_lines(ocr_pages(spark, sf_dir))
-    return pages.select("document_id", "pdf_page", F.explode("lines").alias("l")).select("document_id", "pdf_page", "l.*")
+    return _each(bl.with_lines(ocr_pages(spark, sf_dir)), F.col("lines")).select("document_id", "pdf_page", "z.*")
 
 
 def as_blocks(lines: DataFrame) -> DataFrame:

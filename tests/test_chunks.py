@@ -79,6 +79,13 @@ def test_token_windows_cover_every_token(spark):
     assert all(r.token_count <= 5 for r in got.collect())
 
 
+def test_token_windows_go_through_the_blocks_once(spark):
+    blocks = frame(spark, [{"text": "a b c d"}, {"text": "e f"}])
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(blocks).count("LogicalRDD") == 1
+    assert plan(ch.fixed_token_windows(blocks, tokens=ch.Tokens(r"\S+"))).count("LogicalRDD") == 1
+
+
 def plain_structural(rows, most, least):
     groups, cur = [], []
     for k, r in enumerate(rows):

@@ -67,3 +67,16 @@ def test_character_overlap(spark):
 
 def test_letters_that_fold_to_latin_ones_and_digits_of_all_kinds_are_tokens(spark):
     assert one(spark, tx.tokens(F.col("t")), t="ıſx3.4 K7 É0 x٣.٤ ０１.１") == ["ıſx3.4", "k7", "0", "x٣.٤", "01.1"]
+
+
+def test_token_spans_are_those_of_token_rows(spark):
+    texts = ["", " ", "a", " bb  刀具 c\u3000d ", "𝄞x y", "、。 G01 X-1.5 " * 40]
+    asked = {k: [j for j in range(200) if j % (k + 1) == 0] for k in range(len(texts))}
+    for pattern in (None, r"\S+", r"[a-z]*"):
+        df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+        rows = {(r.k, r.token): (r.s, r.e) for r in tx.token_rows(df, ["k"], "t", pattern).collect()}
+        counts = {r.k: r.n for r in df.select("k", F.size(F.regexp_extract_all("t", F.lit(f"(?U)({pattern or tx.DEFAULT_TOKEN})"), F.lit(1))).alias("n")).collect()}
+        some = {k: [j for j in asked[k] if j < counts[k]] for k in asked}
+        with_asked = spark.createDataFrame([(k, t, some[k]) for k, t in enumerate(texts)], "k int, t string, asked array<int>")
+        for r in with_asked.select("k", tx.token_spans(F.col("t"), F.col("asked"), pattern).alias("spans")).collect():
+            assert [None if x is None else (x.s, x.e) for x in r.spans] == [rows.get((r.k, j)) for j in some[r.k]]
