@@ -15,7 +15,7 @@ import json
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .files import remove_folder
@@ -42,13 +42,24 @@ class Written:
     schema: str
 
 
-def checksum(df: DataFrame) -> tuple[int, str]:
-    """The number of rows and a checksum that does not depend on their order: sums of two 64-bit hashes."""
-    sums = [F.coalesce(F.sum(F.xxhash64(F.lit(seed), F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).cast("decimal(38,0)")), F.lit(0)) for seed in (1, 2)]
-    n, *totals = df.agg(F.count("*"), *sums).first()
+def _row(df: DataFrame) -> Column:
+    return F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+
+
+def _sums(row: Column) -> list[Column]:
+    """The number of rows and sums of two 64-bit hashes, which do not depend on the rows' order."""
+    return [F.count("*").alias("n"), *[F.coalesce(F.sum(F.xxhash64(F.lit(seed), row).cast("decimal(38,0)")), F.lit(0)).alias(f"s{seed}") for seed in (1, 2)]]
+
+
+def _told(n: int, *totals: int) -> tuple[int, str]:
     return n, "-".join(f"{int(t) % 2**64:016x}" for t in totals)
 
 
+def checksum(df: DataFrame) -> tuple[int, str]:
+    """The number of rows and a checksum that does not depend on their order."""
+    return _told(*df.agg(*_sums(_row(df))).first())
+
+
 class Store:
     """A folder that Spark reads and writes; names are made final by renames within it."""
 
@@ -112,9 +123,11 @@ def publish(spark: SparkSession, root: str, version: str, stages: list[Stage], n
             path = f"versions/{version}/{stage.name}"
             store.remove(f"{path}.json")
             df = stage.build(spark, dict(tables))
-            df.write.mode("overwrite").parquet(f"{root}/{path}")
+            # What is given is summed up as it is written: it is computed once.
+            seen = Observation()
+            df.withColumn("__row", _row(df)).observe(seen, *_sums(F.col("__row"))).drop("__row").write.mode("overwrite").parquet(f"{root}/{path}")
             back = spark.read.parquet(f"{root}/{path}")
-            given, there = checksum(df), checksum(back.select(*[F.col(f"`{c}`") for c in df.columns]))
+            given, there = _told(*[seen.get[c] for c in ("n", "s1", "s2")]), checksum(back.select(*[F.col(f"`{c}`") for c in df.columns]))
             if given != there:
                 raise OSError(f"stage {stage.name} of {version}: {there[0]} rows with checksum {there[1]} were read back, {given[0]} with {given[1]} written")
             found = Written(stage.name, stage.key, after, path, *there, back.schema.json())

@@ -76,3 +76,17 @@ def test_checksums_do_not_depend_on_the_order(spark):
     assert pb.checksum(df) == pb.checksum(df.orderBy(F.desc("id")).repartition(7))
     assert pb.checksum(df) != pb.checksum(df.withColumn("x", F.when(F.col("id") == 5, 0.0).otherwise(F.col("x"))))
     assert pb.checksum(df.limit(0)) == (0, "0000000000000000-0000000000000000")
+
+
+def test_a_stage_is_computed_once(spark, tmp_path):
+    rows = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            rows.add(b.num_rows)
+            yield b
+
+    stage = pb.Stage("numbers", lambda s, _: s.range(100).mapInArrow(counted, "id long"))
+    made = pb.publish(spark, str(tmp_path / "store"), "v1", [stage])
+    assert rows.value == 100
+    assert (made["stages"][0]["rows"], made["stages"][0]["checksum"]) == pb.checksum(spark.range(100))
