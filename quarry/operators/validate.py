@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources.files import durable
 from .blocks import with_lines
 from .chunks import Tokens
 
@@ -112,31 +113,34 @@ def ocr_blocks(pages: DataFrame, blocks: DataFrame, expected: DataFrame, page_of
     """V1. expected (pdf_page, token): strings that sample pages must hold."""
     first = F.col("results")[0]
     lengths = F.array_distinct(F.array(F.size(first["rec_texts"]), F.size(first["rec_scores"]), F.size(first["rec_boxes"])))
-    sample = expected.join(pages, "pdf_page", "left")
+    # The expected strings go to the pages; pages, which are whole texts, do not shuffle.
+    sample = pages.join(expected, "pdf_page")
+    nowhere = expected.join(pages.select("pdf_page").distinct(), "pdf_page", "left_anti")
     text = F.array_join(first["rec_texts"], "\n")
+    tests = {
+        "invalid_printed_page_mappings": F.col("printed_page") != F.col("pdf_page") + page_offset,
+        "empty_text_blocks": tx.is_blank(F.col("text")),
+        "invalid_review_status": F.col("review_status") != "auto_draft",
+    }
+    # What the checks ask of a block, without its text; made once, since blocks cost much more than these.
+    blocks = durable(blocks.select("block_id", "pdf_page", "source_line_ids", *[test.alias(name) for name, test in tests.items()]))
     ours = blocks.select("pdf_page").distinct()
     sound = pages.where(F.size(lengths) == 1).join(ours, "pdf_page", "left_semi")
-    line_ids = with_lines(sound).select(F.explode(F.transform("lines", lambda x: x["source_line_id"])).alias("line_id"))
+    # Outer, since an inner one makes Spark infer a filter that computes the lines a second time; pages without lines go behind it.
+    line_ids = with_lines(sound).select(F.explode_outer("lines.source_line_id").alias("line_id")).where("line_id is not null")
     held = blocks.select(F.explode("source_line_ids").alias("line_id"))
     return union(
         [
             failing(pages.join(expected.select("pdf_page"), "pdf_page", "left_semi"), "pdf_page", F.size(lengths) > 1, "array_lengths_differ"),
             failing(sample, F.concat_ws(":", "pdf_page", "token"), ~F.coalesce(text.contains(F.col("token")), F.lit(False)), "missing_expected_tokens"),
+            _as(nowhere, "missing_expected_tokens", F.concat_ws(":", "pdf_page", "token")),
             duplicates(blocks, "block_id", "duplicate_block_ids"),
             reconciled(
                 {"lines": (line_ids, "line_id"), "held": (held, "line_id")},
                 {"held": "duplicate_source_line_ids"},
                 {("lines", "held"): "missing_source_line_ids", ("held", "lines"): "unexpected_source_line_ids"},
             ),
-            failing_all(
-                blocks,
-                "block_id",
-                {
-                    "invalid_printed_page_mappings": F.col("printed_page") != F.col("pdf_page") + page_offset,
-                    "empty_text_blocks": tx.is_blank(F.col("text")),
-                    "invalid_review_status": F.col("review_status") != "auto_draft",
-                },
-            ),
+            failing_all(blocks, "block_id", {name: F.col(name) for name in tests}),
         ]
     )
 

@@ -115,6 +115,26 @@ def test_page_files_and_validator(spark, tmp_path):
     assert [tuple(r)[2:] for r in bl.page_report(pages, blocks).orderBy("pdf_page").collect()] == [(2, 2, 0), (1, 1, 0)]
 
 
+def test_block_checks_compute_the_blocks_once_and_pages_do_not_shuffle(spark, tmp_path):
+    page_file(tmp_path / "pages", 1, ["a", "b。"])
+    pages = bl.read_ocr_pages(spark, str(tmp_path / "pages"))
+    rows = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            rows.add(b.num_rows)
+            yield b
+
+    made = bl.build_blocks(pages, page_paths(spark, {"1": ["c"]}), {}, "b", -8).select("block_id", "pdf_page", "printed_page", "text", "source_line_ids", "review_status")
+    blocks = made.unionByName(made.withColumn("printed_page", F.lit(0)))
+    expected = spark.createDataFrame([(1, "a"), (1, "zz"), (None, "x")], "pdf_page int, token string")
+    found = va.ocr_blocks(pages, blocks.mapInArrow(counted, blocks.schema), expected)
+    problems = sorted((r["check"], r["id"]) for r in found.collect())
+    one = "D_P001_B001"
+    assert problems == [("duplicate_block_ids", one), ("duplicate_source_line_ids", "D_P001_L001"), ("duplicate_source_line_ids", "D_P001_L002"), ("invalid_printed_page_mappings", one), ("missing_expected_tokens", "1:zz"), ("missing_expected_tokens", "x")]
+    assert rows.value == 2
+
+
 def test_streamed_blocks_equal_batch_blocks(spark, tmp_path):
     folder = tmp_path / "pages"
     for page in (1, 2):
