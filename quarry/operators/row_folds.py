@@ -143,7 +143,7 @@ def structural_chunks(blocks: DataFrame, most: int = 600, least: int = 80, order
     """W6 as `chunks.structural_chunks`; block ids must be unique in a document."""
     if most <= 0:
         raise ValueError("invalid chunk size")
-    units = ch._units(blocks, None, list(order), F.length("t"))
+    units = durable(ch._units(blocks, None, list(order), F.length("t")))  # read for their numbers and again for their texts
     # A line break between blocks: size and raw are with one, and what a run may hold is one more for its last.
     rows, runs = _runs(units, list(order), F.col("raw") + 1, most + 1)
     weighed = rows.groupBy("document_id", "run").agg(F.sum(F.col("size") + 1).alias("w"))
@@ -164,7 +164,7 @@ def structural_token_chunks(blocks: DataFrame, ranges: DataFrame | None = None,
     tokens = tokens or ch.Tokens()
     if tokens.file is not None:
         raise ValueError("a tokenizer file has to see texts together; use chunks.structural_token_chunks")
-    units = ch._units(blocks, ranges, list(order), tokens.count(F.col("t")))
+    units = durable(ch._units(blocks, ranges, list(order), tokens.count(F.col("t"))))  # read for their numbers and again for their texts
     rows, runs = _runs(units, list(order), F.col("size"), most)
     bridges = runs.withColumn("apart", ~((F.col("w") < least) & (F.col("same_path") | F.col("headings"))))
     joined = greedy_segments(bridges.select("document_id", "run", "w", "apart"), ["document_id"], "run", "w", Rule(most), starts="apart")

@@ -93,3 +93,19 @@ def test_numbers_follow_the_order_over_partitions(spark):
     rows = spark.range(3000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7919 % 3001).alias("o")).repartition(5)
     got = sorted((r.place, r.g, r.o) for r in rf.numbered(rows, ["g"], ["o"]).collect())
     assert [p for p, *_ in got] == list(range(3000)) and [x[1:] for x in got] == sorted(x[1:] for x in got)
+
+
+def test_structural_chunks_compute_the_blocks_once(spark):
+    rows = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            rows.add(b.num_rows)
+            yield b
+
+    made = [(f"B{n:03d}", "D", 1, 1, "paragraph", None, f"text {n}", ["a"], [f"L{n}"], []) for n in range(20)]
+    blocks = spark.createDataFrame(made, "block_id string, document_id string, pdf_page int, printed_page int, block_type string, layout_region string, text string, title_path array<string>, source_line_ids array<string>, issues array<string>")
+    for chunks in (rf.structural_chunks, lambda b: rf.structural_token_chunks(b, tokens=ch.Tokens(r"\S+"))):
+        rows.value = 0
+        (chunk,) = chunks(blocks.mapInArrow(counted, blocks.schema)).collect()
+        assert chunk.source_block_ids == [r[0] for r in made] and rows.value == 20
