@@ -37,11 +37,10 @@ def table_regions(lines: DataFrame) -> DataFrame:
     Segments begin at captions and headings and have TABLE_LINES lines at most; those that a table caption begins are
     regions.
     """
-    narrow = lines.select(*PAGE, "line_index", ((F.col("type") == "caption") & F.col("text").startswith("表")).alias("opens"), F.col("type").isin(*REGION_STOPS).alias("stops"))
-    cut = greedy_segments(narrow.withColumn("one", F.lit(1)), PAGE, "line_index", "one", Rule(TABLE_LINES), starts="stops")
-    first = F.first("opens").over(Window.partitionBy(*PAGE, "segment").orderBy("line_index"))
-    region = cut.select(*PAGE, "line_index", F.when(first, "table_candidate").alias("layout_region"))
-    return lines.join(region, [*PAGE, "line_index"])
+    flags = {"__opens": (F.col("type") == "caption") & F.col("text").startswith("表"), "__stops": F.col("type").isin(*REGION_STOPS), "__one": F.lit(1)}
+    cut = greedy_segments(lines.withColumns(flags), PAGE, "line_index", "__one", Rule(TABLE_LINES), starts="__stops")
+    first = F.first("__opens").over(Window.partitionBy(*PAGE, "segment").orderBy("line_index"))
+    return cut.withColumn("layout_region", F.when(first, "table_candidate")).drop("segment", *flags)
 
 
 def title_paths(lines: DataFrame, initial: DataFrame | None, chapters: dict[str, str]) -> DataFrame:
@@ -50,13 +49,12 @@ def title_paths(lines: DataFrame, initial: DataFrame | None, chapters: dict[str,
     initial: (pdf_page, initial_path), a page's path before its first heading. A deep heading's path names its parent as the path
     before it does; along headings with one parent that is the same name, so it is found for the first of them.
     """
-    narrow = lines.select(*PAGE, "line_index", "text", (F.col("type") == "heading").alias("heading"))
-    cut = greedy_segments(narrow.select(*PAGE, "line_index", "heading", F.when(F.col("heading"), F.col("text")).alias("text")).withColumn("one", F.lit(0)), PAGE, "line_index", "one", Rule(1), starts="heading")
-    cut = durable(cut)
+    flags = {"__heading": F.col("type") == "heading", "__zero": F.lit(0)}
+    cut = greedy_segments(lines.withColumns(flags), PAGE, "line_index", "__zero", Rule(1), starts="__heading")
     chapter_map = F.create_map(*[F.lit(x) for pair in chapters.items() for x in pair]) if chapters else F.expr("cast(map() as map<string,string>)")
     number = F.regexp_extract("text", f"(?U){tx.SECTION}", 1)
     chapter = F.split_part(number, F.lit("."), F.lit(1))
-    heads = cut.where("heading").select(
+    heads = cut.where("__heading").select(
         *PAGE,
         "segment",
         "text",
@@ -64,6 +62,7 @@ def title_paths(lines: DataFrame, initial: DataFrame | None, chapters: dict[str,
         F.regexp_replace(number, r"\.[^.]*$", "").alias("parent"),
         (F.size(F.split(number, r"\.")) > 2).alias("deep"),
     )
+    heads = durable(heads)
     before = heads.select(*PAGE, (F.col("segment") + 1).alias("segment"), F.array("title", "text").alias("old"), F.when(F.col("deep"), F.col("parent")).alias("old_parent"))
     met = heads.join(before, [*PAGE, "segment"], "left")
     start = initial.select("pdf_page", F.col("initial_path")) if initial is not None else None
@@ -78,10 +77,9 @@ def title_paths(lines: DataFrame, initial: DataFrame | None, chapters: dict[str,
     second = F.coalesce(own, "lead", "parent")
     path = F.when(F.col("deep"), F.array(F.col("title"), second, F.col("text"))).otherwise(F.array("title", "text"))
     paths = runs.join(leads, [*PAGE, "segment"], "left").select(*PAGE, F.col("head").alias("segment"), path.alias("title_path"))
-    each = cut.select(*PAGE, "line_index", "segment").join(paths, [*PAGE, "segment"], "left")
+    each = cut.join(paths, [*PAGE, "segment"], "left")
     each = each.join(start, "pdf_page", "left") if start is not None else each.withColumn("initial_path", F.lit(None).cast("array<string>"))
-    found = each.select(*PAGE, "line_index", F.coalesce("title_path", "initial_path", nothing).alias("title_path"))
-    return lines.join(found, [*PAGE, "line_index"])
+    return each.withColumn("title_path", F.coalesce("title_path", "initial_path", nothing)).drop("segment", "initial_path", *flags)
 
 
 def paragraph_blocks(lines: DataFrame, most_chars: int = MERGED_CHARS) -> DataFrame:
@@ -90,11 +88,11 @@ def paragraph_blocks(lines: DataFrame, most_chars: int = MERGED_CHARS) -> DataFr
     ended = F.lit(False)
     for sign in tx.SENTENCE_ENDS:
         ended = ended | F.col("text").endswith(sign)
-    narrow = lines.select(*PAGE, "line_index", F.length("text").alias("size"), (~paragraph).alias("other"), (~paragraph | ended).alias("closes"))
-    cut = greedy_segments(narrow, PAGE, "line_index", "size", Rule(most_chars), starts="other", ends="closes")
+    flags = {"__size": F.length("text"), "__other": ~paragraph, "__closes": ~paragraph | ended}
+    cut = greedy_segments(lines.withColumns(flags), PAGE, "line_index", "__size", Rule(most_chars), starts="__other", ends="__closes")
     # A block has some lines of most_chars characters together, or one.
     part = F.struct("line_index", "source_line_id", "type", "text", F.round("score", 6).alias("score"), "box")
-    parts = lines.join(cut.select(*PAGE, "line_index", "segment"), [*PAGE, "line_index"]).groupBy(*PAGE, "segment").agg(F.array_sort(F.collect_list(part)).alias("m"))
+    parts = cut.groupBy(*PAGE, "segment").agg(F.array_sort(F.collect_list(part)).alias("m"))
     text = F.array_join(F.transform("m", lambda x: x["text"]), "")
     scores = F.transform("m", lambda x: x["score"])
     mean = F.aggregate(scores, F.lit(0.0), lambda a, x: a + x) / F.size(scores)

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -131,7 +131,11 @@ def _begins(starts: np.ndarray, ends: np.ndarray, units: np.ndarray) -> np.ndarr
 
 
 def _marking(keys: list[str], rule: Rule):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The segment numbers of rows that come sorted by the keys and place; a unit's numbers are given once it is whole."""
+    names = [*keys, "__weight", "__starts", "__ends", "__held", "__before"]
+
+    def run(columns: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        batches = (pa.RecordBatch.from_arrays(list(c), names) for c in columns)
         for table, units in _units(batches, keys):
             weights, starts, ends = _columns(table)
             begins = _begins(starts, ends, units)
@@ -153,11 +157,11 @@ def _marking(keys: list[str], rule: Rule):
                     roots[lo + first] = True
             out = marked(after, np.flatnonzero(roots))
             count = np.cumsum(out)
-            number = count - np.repeat(count[units] - out[units], sizes) - 1 + np.repeat(before, sizes)
-            kept = table.drop_columns(["__weight", "__starts", "__ends", "__held", "__before", "__slab"])
-            yield from kept.append_column("segment", pa.array(number, pa.int64())).to_batches()
+            yield pa.array(count - np.repeat(count[units] - out[units], sizes) - 1 + np.repeat(before, sizes), pa.int64())
 
-    return run
+    # Not to be evaluated for fewer rows than come: a filter on the rows may not go below it.
+    number = F.arrow_udf(run, "long").asNondeterministic()
+    return number(*names)
 
 
 def _cases(keys: list[str], rule: Rule):
@@ -231,30 +235,34 @@ def greedy_segments(rows: DataFrame, group: list[str], place: str, weight: str,
     """rows with `segment`, the number from 0 of each row's segment in its group.
 
     place: whole numbers from 0 or so on that differ within a group and give its order; weight: whole numbers from 0 on;
-    starts, ends: columns of booleans. Rows should be narrow: all columns travel with them and are written once.
+    starts, ends: columns of booleans. All columns are dealt out and written once, but Python sees the group's and the
+    numbers only; texts may come along.
     """
     flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if c else F.lit(False)
     slab = F.floor(F.col(place) / SLAB).cast("long")
-    base = durable(rows.withColumns({"__weight": F.col(weight).cast("long"), "__starts": flag(starts), "__ends": flag(ends), "__slab": slab}))
     keys = [*group, "__slab"]
+    seen = Observation()
+    base = rows.withColumns({"__weight": F.col(weight).cast("long"), "__starts": flag(starts), "__ends": flag(ends), "__slab": slab})
+    # Dealt and sorted before it is written, so that nothing above is computed again and nothing is dealt again.
+    base = durable(base.repartition(*keys).sortWithinPartitions(*keys, place).observe(seen, F.max(F.col("__slab") != 0).alias("long")))
     nothing = F.lit(None).cast("long")
-    long_groups = durable(base.where(F.col("__slab") != 0).select(*group).distinct())
-    n = long_groups.count()
     same = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in group]
-    if n:
+    if seen.get["long"]:
+        long_groups = durable(base.where(F.col("__slab") != 0).select(*group).distinct())
+        n = long_groups.count()
         few = F.broadcast(long_groups) if n <= LISTED else long_groups
         some = base.alias("b").join(few.alias("l"), same("b", "l"), "left_semi").select(*keys, place, "__weight", "__starts", "__ends")
         kinds = T.StructType([base.schema[g] for g in group])
         at = T.StructType([*kinds, T.StructField("__slab", T.LongType())])
         many = T.ArrayType(T.LongType())
         cases = T.StructType([*at, *[T.StructField(c, t) for c, t in (("rows", T.LongType()), ("sums", many), ("first", T.LongType()), ("open", many), ("count", many), ("total", T.LongType()), ("last", T.BooleanType()))]])
-        seen = some.repartition(*keys).sortWithinPartitions(*keys, place).mapInArrow(_cases(keys, rule), cases)
+        cased = some.repartition(*keys).sortWithinPartitions(*keys, place).mapInArrow(_cases(keys, rule), cases)
         entries = T.StructType([*at, T.StructField("__held", T.LongType()), T.StructField("__before", T.LongType())])
-        entered = durable(seen.repartition(*group).sortWithinPartitions(*keys).mapInArrow(_following(group, rule), entries))
+        entered = durable(cased.repartition(*group).sortWithinPartitions(*keys).mapInArrow(_following(group, rule), entries))
         known = F.broadcast(entered) if entered.count() <= LISTED else entered
         on = [*same("b", "e"), F.col("b.__slab") == F.col("e.__slab")]
         base = base.alias("b").join(known.alias("e"), on, "left").select("b.*", "e.__held", "e.__before")
+        base = base.repartition(*keys).sortWithinPartitions(*keys, place)
     else:
         base = base.withColumns({"__held": nothing, "__before": nothing})
-    out = T.StructType([*[f for f in rows.schema if f.name not in ("__weight",)], T.StructField("segment", T.LongType())])
-    return base.repartition(*keys).sortWithinPartitions(*keys, place).mapInArrow(_marking(keys, rule), out)
+    return base.withColumn("segment", _marking(keys, rule)).drop("__weight", "__starts", "__ends", "__held", "__before", "__slab")

@@ -109,3 +109,32 @@ def test_structural_chunks_compute_the_blocks_once(spark):
         rows.value = 0
         (chunk,) = chunks(blocks.mapInArrow(counted, blocks.schema)).collect()
         assert chunk.source_block_ids == [r[0] for r in made] and rows.value == 20
+
+
+FOLDS = {
+    "paragraph_blocks": rf.paragraph_blocks,
+    "title_paths": lambda lines: rf.title_paths(lines, None, CHAPTERS),
+    "table_regions": rf.table_regions,
+}
+
+
+@pytest.mark.parametrize("fold", FOLDS)
+def test_lines_are_computed_once(spark, fold):
+    met = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        met.add(1)
+        return text
+
+    lines = rows_of(lines_of(spark, 1)).localCheckpoint()
+    FOLDS[fold](lines.withColumn("text", seen.asNondeterministic()("text"))).write.format("noop").mode("overwrite").save()
+    assert met.value == lines.count()
+
+
+def test_texts_do_not_go_through_python(spark):
+    lines = rows_of(lines_of(spark, 1)).withColumns({"size": F.length("text"), "opens": F.col("type") == "heading"})
+    cut = sg.greedy_segments(lines, rf.PAGE, "line_index", "size", sg.Rule(260), starts="opens")
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython [run(document_id" in plan and "MapInArrow" not in plan
+    assert "text" not in plan.split("ArrowEvalPython [")[1].split("]")[0]
