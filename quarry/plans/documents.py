@@ -215,7 +215,8 @@ def row_table_region(spark: SparkSession, sf_dir: str) -> DataFrame:
 def row_title_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W2 over rows."""
     initial = spark.range(1, 101).select(F.col("id").cast("int").alias("pdf_page"), F.array(F.lit("start")).alias("initial_path"))
-    lines = rf.title_paths(line_rows(spark, sf_dir), initial, {"1": "Chapter one"})
+    heading = F.when(F.col("type") == "heading", F.col("text")).alias("text")  # paths need no other texts
+    lines = rf.title_paths(line_rows(spark, sf_dir).select("document_id", "pdf_page", "line_index", "source_line_id", "type", heading), initial, {"1": "Chapter one"})
     return lines.select("source_line_id", F.array_join("title_path", " > ").alias("path"))
 
 
