@@ -208,8 +208,9 @@ def structural_token_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def row_table_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W1 over rows."""
-    return rf.table_regions(line_rows(spark, sf_dir)).groupBy("document_id", "type").agg(F.count("layout_region").alias("inside"), F.count("*").alias("n_lines"))
+    """W1 over rows; they carry what is asked for and the first sign of their texts, which tells a table's caption."""
+    lines = line_rows(spark, sf_dir).select("document_id", "pdf_page", "line_index", "type", F.left("text", F.lit(1)).alias("text"))
+    return rf.table_regions(lines).groupBy("document_id", "type").agg(F.count("layout_region").alias("inside"), F.count("*").alias("n_lines"))
 
 
 def row_title_path(spark: SparkSession, sf_dir: str) -> DataFrame:
