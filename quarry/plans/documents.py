@@ -411,7 +411,7 @@ def gold_review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates for review, with the coverage of their evidence as JSON."""
     blocks = durable(line_blocks(spark, sf_dir))  # for the evidence and for the chunks
     questions, answers, evidence = _gold_inputs(spark, sf_dir, blocks)
-    chunks = ch.fixed_windows(blocks)
+    chunks = durable(ch.fixed_windows(blocks).select("strategy", "chunk_id", "source_block_ids", "text"))  # for their strategies, the mapping and the texts
     queue = go.gold_review_queue(go.gold_mapping(questions, answers, evidence, chunks), questions, chunks)
     return queue.select("question_id", "chunk_id", "evidence_ids", "evidence_coverage", "proposed_relevance", "review_status", "question", F.md5("chunk_text").alias("chunk_md5"))
 
