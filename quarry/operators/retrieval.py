@@ -23,6 +23,7 @@ from ..sources.files import durable
 QUERY_BLOCK = 64 << 20  # bytes of queries that a task holds at once
 SCORE_BLOCK = 64 << 20  # bytes of scores that it holds for a batch of documents
 BATCH_ROWS = 1000
+TOKENS = 1 << 18  # that are looked up in a vocabulary at once, unless one document has more
 PRODUCTS = 1 << 18  # of postings and queries' weights that are multiplied at once
 LETTER_BYTES = 1024  # for a query's row over the characters of all, at first guess
 
@@ -137,12 +138,20 @@ def weighted_sums(starts: np.ndarray, query: np.ndarray, weight: np.ndarray, ter
 
 
 def _postings(lists: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, ...]:
-    """(document, term, frequency) of the vocabulary's terms in a batch of token lists, and the lists' lengths."""
+    """(document, term, frequency) of the vocabulary's terms in a batch of token lists, and the lists' lengths. Documents
+    are gone through TOKENS tokens at a time, so that memory beside the postings does not grow with the batch."""
     lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    term = pc.fill_null(pc.index_in(lists.flatten(), value_set=vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-    doc = np.repeat(np.arange(len(lists)), lengths)[term >= 0]
-    key, tf = np.unique(doc * max(1, len(vocabulary)) + term[term >= 0], return_counts=True)
-    return key // max(1, len(vocabulary)), key % max(1, len(vocabulary)), tf, lengths
+    upto, size = np.cumsum(lengths), max(1, len(vocabulary))
+    parts = [(np.zeros(0, np.int64),) * 2]
+    begin = 0
+    while begin < len(lists):
+        end = max(begin + 1, int(np.searchsorted(upto, upto[begin] - lengths[begin] + TOKENS, "right")))
+        term = pc.fill_null(pc.index_in(lists.slice(begin, end - begin).flatten(), value_set=vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        doc = np.repeat(np.arange(begin, end), lengths[begin:end])[term >= 0]
+        parts.append(np.unique(doc * size + term[term >= 0], return_counts=True))
+        begin = end
+    key, tf = (np.concatenate(c) for c in zip(*parts))
+    return key // size, key % size, tf, lengths
 
 
 def _frequencies(vocabulary: pa.Array):
@@ -150,7 +159,7 @@ def _frequencies(vocabulary: pa.Array):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, docs, length = np.zeros(len(vocabulary), np.int64), 0, 0
-        for b in batches:
+        for b in (b.slice(at, BATCH_ROWS) for b in batches for at in range(0, b.num_rows, BATCH_ROWS)):
             _, term, _, lengths = _postings(b.column("v"), vocabulary)
             df += np.bincount(term, minlength=len(vocabulary))
             docs, length = docs + b.num_rows, length + int(lengths.sum())

@@ -1,6 +1,10 @@
 import math
+import random
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,3 +159,35 @@ def test_a_comparison_computes_each_result_once(spark):
     found = ev.compare_methods({"a": a, "b": b}).collect()
     assert sorted((r.profile, r.method, r.mrr) for r in found) == [("q", "a", 0.5), ("q", "b", 0.25)]
     assert (seen_a.value, seen_b.value) == (3, 3)
+
+
+def _token_batch(docs, tokens):
+    lists = pa.ListArray.from_arrays(np.arange(docs + 1, dtype=np.int32) * tokens, pa.array(np.arange(docs * tokens) % 50).cast(pa.string()))
+    return pa.RecordBatch.from_arrays([lists], ["v"]), pa.array([str(n) for n in range(0, 50, 2)])
+
+
+@pytest.mark.parametrize("pass_", ["frequencies", "postings"])
+def test_memory_of_looking_up_tokens_does_not_grow_with_a_batch(pass_):
+    docs = {"frequencies": 8000, "postings": 40}[pass_]
+    batch, vocabulary = _token_batch(docs, 2_000_000 // docs)
+    tracemalloc.start()
+    if pass_ == "frequencies":
+        rows = next(re_._frequencies(vocabulary)(iter([batch])))
+        assert rows.column("docs")[-1].as_py() == docs and rows.column("df")[0].as_py() == docs
+    else:
+        assert re_._postings(batch.column("v"), vocabulary)[2].sum() == 1_000_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20
+
+
+def test_postings_do_not_depend_on_how_tokens_are_cut(monkeypatch):
+    rng = random.Random(5)
+    lists = pa.array([[str(rng.randint(0, 9)) for _ in range(n)] for n in (0, 3, 40, 0, 0, 7, 1, 90, 0)], pa.list_(pa.string()))
+    vocabulary = pa.array(["1", "3", "5", "7"])
+    whole = re_._postings(lists, vocabulary)
+    for most in (1, 7, 50):
+        monkeypatch.setattr(re_, "TOKENS", most)
+        for a, b in zip(whole, re_._postings(lists, vocabulary)):
+            assert a.tolist() == b.tolist()
+    assert [len(c) for c in re_._postings(lists.slice(0, 0), vocabulary)] == [0, 0, 0, 0]
