@@ -344,7 +344,10 @@ def selected_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return re_.select_text(docs, "title", F.col("text")).select("doc_id", F.md5("text").alias("text_md5"))
 
 
-SELECTED_SQL = "SELECT doc_id, md5(CASE WHEN lang IN ('en', 'fr') THEN text ELSE source || ': ' || text END) AS text_md5 FROM documents"
+SELECTED_SQL = """
+WITH titled AS (SELECT doc_id, text, CASE lang WHEN 'en' THEN '' WHEN 'fr' THEN NULL ELSE source || ': ' || text END AS title FROM documents)
+SELECT doc_id, md5(CASE WHEN title <> '' THEN title ELSE text END) AS text_md5 FROM titled
+"""
 
 QUERIES = {
     "bm25_topk": (bm25_topk, BM25_SQL),

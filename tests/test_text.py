@@ -54,6 +54,12 @@ def test_first_filled_and_lookup(spark):
     assert one(spark, tx.lookup(F.create_map(F.lit("a"), F.lit(1)), F.col("a"), F.lit(9)), a="z") == 9
 
 
+@pytest.mark.parametrize(("values", "chosen"), [(("", ""), ""), ((None, ""), ""), (("", None), None), (("x", ""), "x"), (("", None, ""), "")])
+def test_first_filled_ends_with_the_last_as_it_is(spark, values, chosen):
+    columns = [F.lit(v).cast("string") for v in values]
+    assert spark.range(1).select(tx.first_filled(*columns).alias("x")).first()["x"] == chosen
+
+
 def test_token_rows_and_count_agree(spark):
     df = spark.createDataFrame([(1, "ab 刀具, x"), (2, ""), (3, "😀 a")], "k int, t string")
     rows = {(r.k, r.token): (r.s, r.e) for r in tx.token_rows(df, ["k"], "t").collect()}
